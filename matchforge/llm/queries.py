@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchforge.llm import pieces, quality, simhash
+from matchforge.llm import crf, pieces, pseudonyms, quality, simhash
 from matchforge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: The key of these queries; a real run passes its own from where it keeps secrets.
+PSEUDONYM_KEY = b"matchforge example key"
+
+
+@query
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymized(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+@query
+def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.line_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
