@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchforge.llm import crf, pieces, pseudonyms, quality, simhash
+from matchforge.llm import crf, licences, nearest, pages, pieces, pseudonyms, quality, simhash
 from matchforge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,21 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.line_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_lines(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_licences"] = licences.oracle_sql()
+
+
+@query
+def op4_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"))
