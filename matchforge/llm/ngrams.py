@@ -18,7 +18,7 @@ BITS = 18
 SAMPLE, SHARDS = 8_000, 4
 EPOCHS = 3
 #: FTRL-proximal: learning rate, its smoothing, and the weights of the two penalties.
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1.0
+ALPHA, BETA, L1, L2 = 0.5, 0.05, 0.002, 0.1
 #: Different words that a worker remembers at most.
 MEMORY = 400_000
 
@@ -42,26 +42,26 @@ class Words(dict):
 _WORDS = Words()
 
 
-def features(text: bytes | None) -> np.ndarray:
-    """Places of the text's features, repeats included: words, word pairs, shapes, shape pairs (one place for a pair of equal words); place 0 is the constant."""
+def features(text: bytes | None, pairs: bool = True) -> np.ndarray:
+    """Places of the text's features, repeats included: words, word pairs, shapes, shape pairs (one place for a pair of equal words); place 0 is the constant. Without `pairs` single words and shapes only."""
     words = (text or b"").split()
     if not words:
         return np.zeros(0, np.uint32)
     both = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     word, shape = both >> np.uint64(24), both & np.uint64(0xFFFFFF)
     with np.errstate(over="ignore"):
-        parts = [
-            word * MIX[0],
-            (word[:-1] * MIX[1] + word[1:]) * MIX[2],
-            (shape + np.uint64(1)) * MIX[3],
-            np.where(word[:-1] == word[1:], MIX[0], ((shape[:-1] + np.uint64(7)) * MIX[2] + shape[1:]) * MIX[1]),
-        ]
+        parts = [word * MIX[0], (shape + np.uint64(1)) * MIX[3]]
+        if pairs:
+            parts += [
+                (word[:-1] * MIX[1] + word[1:]) * MIX[2],
+                np.where(word[:-1] == word[1:], MIX[0], ((shape[:-1] + np.uint64(7)) * MIX[2] + shape[1:]) * MIX[1]),
+            ]
     return ((np.concatenate(parts) >> np.uint64(64 - BITS)) | np.uint64(1)).astype(np.uint32)
 
 
-def weighed(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+def weighed(text: bytes | None, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The sparse vector of a text: places and values; values shrink with the root of the length."""
-    found = features(text)
+    found = features(text, pairs)
     places, counts = np.unique(found, return_counts=True)
     return np.r_[0, places.astype(np.int64)], np.r_[1.0, counts / np.sqrt(max(len(found), 1))]
 
@@ -87,7 +87,7 @@ def ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], marks: np.ndarray) -> np.
     return weights(z, n)
 
 
-def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
+def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE, pairs: bool = True) -> dict[str, np.ndarray]:
     """A model for each class of `marks` (doc_id, class string, mark double) from the texts of `docs`.
 
     At most `sample` labelled documents, chosen by the hash of their ids, are
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> dict[str, np
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["order", "doc_id", "text"], na_position="first")
-        vectors = [weighed(t.encode() if t else b"") for t in part["text"]]
+        vectors = [weighed(t.encode() if t else b"", pairs) for t in part["text"]]
         out = []
         for name in sorted({k for m in part["marks"] for k, _ in entries(m)}):
             w = ftrl(vectors, np.array([dict(entries(m)).get(name, 0.0) for m in part["marks"]]))
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> dict[str, np
         return list(m.items()) if isinstance(m, dict) else list(m)
 
     dealt = chosen.withColumn("order", F.xxhash64("doc_id")).groupBy(F.pmod("order", F.lit(SHARDS)).alias("shard"))
-    got = dealt.applyInPandas(lambda part: train(part), "class string, place int, weight double")
+    got = dealt.applyInPandas(train, "class string, place int, weight double")
     models: dict[str, np.ndarray] = {}
     means = got.groupBy("class", "place").agg((F.sum("weight") / SHARDS).alias("weight")).toPandas()
     for name, part in means[means["place"] >= 0].groupby("class"):
@@ -122,19 +122,26 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> dict[str, np
     return models
 
 
-def scorer(models: dict[str, np.ndarray]):
-    """A column function: text to array<double>, the models' probabilities in the order of their names; 0.5 each without models."""
+def scorer(models: dict[str, np.ndarray], pairs: bool = True):
+    """A column function: text to struct<n_words bigint, scores array<double>>, the models' probabilities in the order of their names.
+
+    Without models the one score is 0.5.
+    """
     names = sorted(models)
     table = np.stack([models[n] for n in names], axis=1) if names else np.zeros((1 << BITS, 1), np.float32)
+    per_word = 4 if pairs else 2
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("struct<n_words: bigint, scores: array<double>>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             found = np.empty((len(texts), table.shape[1]))
+            words = np.empty(len(texts), np.int64)
             for i, text in enumerate(texts.cast(pa.binary()).to_pylist()):
-                at = features(text)
+                at = features(text, pairs)
+                words[i] = -(-len(at) // per_word)  # n words give n or n - 1 places of each sort
                 found[i] = table[at].sum(axis=0, dtype=np.float64) / np.sqrt(max(len(at), 1)) + table[0]
             flat = pa.array(sigmoid(found).ravel())
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * table.shape[1], pa.int32()), flat)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * table.shape[1], pa.int32()), flat)
+            yield pa.StructArray.from_arrays([pa.array(words), lists], names=["n_words", "scores"])
 
     return score

@@ -24,7 +24,7 @@ def quality_model(docs: DataFrame, labels: DataFrame):
     score = ngrams.scorer(ngrams.fit(docs, marks))
 
     def of(text: Column) -> Column:
-        return score(text)[0]
+        return score(text)["scores"][0]
 
     return of
 

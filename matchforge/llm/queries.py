@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchforge.llm import crf, licences, nearest, pages, pieces, pseudonyms, quality, simhash
+from matchforge.llm import crf, licences, mixture, nearest, pages, pieces, pseudonyms, quality, simhash
 from matchforge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +71,19 @@ def op4_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+#: Target shares of tokens: toxic documents, and the languages of the others.
+TARGETS = {"en": 0.5, "de": 0.14, "fr": 0.13, "es": 0.11, "toxic": 0.12}
+
+
+def domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled documents: toxic, or else their language."""
+    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.select("doc_id", "lang").join(known, "doc_id").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise(F.col("lang")).alias("domain"))
+
+
+@query
+def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return mixture.with_rates(docs, domains(docs, labels), TARGETS).select("doc_id", "n_tokens", "posterior", "rate")
