@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchforge.llm import crf, licences, mixture, nearest, pages, pieces, pseudonyms, quality, simhash
+from matchforge.llm import crf, licences, lm, mixture, nearest, pages, pieces, pseudonyms, quality, simhash
 from matchforge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return mixture.with_rates(docs, domains(docs, labels), TARGETS).select("doc_id", "n_tokens", "posterior", "rate")
+
+
+@query
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.text_scores(table(spark, sf_dir, "documents"))
