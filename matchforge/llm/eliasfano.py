@@ -122,6 +122,7 @@ class EliasFano:
 def relative(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Lists of increasing values, one after the other, made one increasing sequence: each starts after the end of the last."""
     sizes = np.diff(np.r_[starts, len(values)])
+    values = values.astype(np.int64)
     last = values[starts + sizes - 1] + 1
     base = np.r_[0, np.cumsum(last)[:-1]]
     return values + np.repeat(base, sizes)

@@ -41,24 +41,25 @@ DISCOUNT = 0.75
 #: Ids that are no words.
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
 #: Bytes of text in a batch; words and trigrams that a shard gets about.
-BATCH, SHARD_WORDS, SHARD_TRIGRAMS = 4_000_000, 400_000, 1_200_000
+BATCH, SHARD_WORDS, SHARD_TRIGRAMS = 4_000_000, 400_000, 1_000_000
 #: Steps of a base-10 logarithm between shards and batches; below 10**-15 it is cut.
 STEPS = 4096
 LOCAL_BITS = 21
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as compressed byte planes."""
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
+    """Arrays of numbers from 0 on, of one length, as compressed byte planes of the narrowest widths."""
+    narrow = [a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(a) or int(a.max()) <= np.iinfo(t).max)) for a in arrays]
+    planes = [a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in narrow]
+    return bytes([len(narrow), *(a.itemsize for a in narrow)]) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def unpack(blob: bytes, *types) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    widths = [np.dtype(t).itemsize for t in types]
+def unpack(blob: bytes) -> list[np.ndarray]:
+    widths = list(blob[1 : blob[0] + 1])
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[blob[0] + 1 :]), np.uint8)
     n, at, out = len(raw) // sum(widths), 0, []
-    for t, width in zip(types, widths, strict=True):
-        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(t).ravel())
+    for width in widths:
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(f"u{width}").ravel())
         at += n * width
     return out
 
@@ -67,22 +68,22 @@ def steps_of(logs: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-logs * STEPS), 0, 15 * STEPS).astype(np.uint16)
 
 
-def word_shards(words: list[bytes], shards: int) -> np.ndarray:
-    return np.fromiter((xxhash.xxh32_intdigest(w, 5) for w in words), np.int64, len(words)) % shards
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh32_intdigest(w, 5) for w in words), np.int64, len(words))
 
 
 # ---- batches -------------------------------------------------------------------------------------------------------
 
 
 def batch_columns(docs: list[tuple]) -> dict:
-    """One batch of (doc_id, held out, words): its word table, commonest first, and the words' places in it."""
+    """One batch of (doc_id, held out, words): its word table in the order of hashes, and the words' places in it."""
     number: defaultdict[bytes, int] = defaultdict()
     number.default_factory = number.__len__
     lengths = np.array([len(w) for _, _, w in docs], np.int32)
     held = np.array([bool(h) for _, h, _ in docs])
     places = np.fromiter(map(number.__getitem__, chain.from_iterable(w for _, _, w in docs)), np.int64, int(lengths.sum()))
     names = list(number)
-    order = np.argsort(-np.bincount(places, minlength=len(names)), kind="stable")
+    order = np.argsort(word_hashes(names), kind="stable")
     rank = np.empty(len(names), np.int32)
     rank[order] = np.arange(len(names))
     places = rank[places]
@@ -92,7 +93,7 @@ def batch_columns(docs: list[tuple]) -> dict:
         "doc_ids": [i for i, _, _ in docs],
         "held": held.tobytes(),
         "lengths": pack(lengths),
-        "places": pack(places.astype(np.int32)),
+        "places": pack(places),
         "words": zstandard.ZstdCompressor(level=3).compress(b" ".join(names[i] for i in order)),
         "counts": pack(counts),
         "n_words": len(names),
@@ -143,15 +144,12 @@ def vocabulary(batches: DataFrame, shards: int) -> DataFrame:
         for part in parts:
             for k in range(part.num_rows):
                 words = word_list(part.column("words")[k].as_py())
-                (counts,) = unpack(part.column("counts")[k].as_py(), np.int64)
-                own = word_shards(words, shards)
-                order = np.argsort(own, kind="stable")
-                ends = np.searchsorted(own[order], np.arange(shards + 1))
+                (counts,) = unpack(part.column("counts")[k].as_py())
+                ends = np.searchsorted(word_hashes(words) * shards >> 32, np.arange(shards + 1))  # shards are ranges of hashes
                 rows = []
-                for s in range(shards):
-                    at = order[ends[s] : ends[s + 1]]
-                    if len(at):
-                        rows.append({"shard": s, "batch": part.column("batch")[k].as_py(), "words": b" ".join([words[i] for i in at]), "counts": pack(counts[at])})
+                for s, i, j in zip(range(shards), ends, ends[1:], strict=False):
+                    if i < j:
+                        rows.append({"shard": s, "batch": part.column("batch")[k].as_py(), "words": b" ".join(words[i:j]), "counts": pack(counts[i:j])})
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("batch", pa.string()), ("words", pa.binary()), ("counts", pa.binary())]))
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
@@ -160,7 +158,7 @@ def vocabulary(batches: DataFrame, shards: int) -> DataFrame:
         lists = [np.fromiter(map(number.__getitem__, w.split(b" ")), np.int64) for w in rows["words"]]
         total = np.zeros(len(number), np.int64)
         for at, blob in zip(lists, rows["counts"], strict=True):
-            total[at] += unpack(blob, np.int64)[0]  # a batch names a word once
+            total[at] += unpack(blob)[0].astype(np.int64)  # a batch names a word once
         order = np.argsort(-total, kind="stable")
         ids = np.zeros(len(number), np.int64)
         ids[order] = np.arange(len(number)) * shards + int(rows["shard"].iloc[0]) + FIRST  # commoner words get smaller ids
@@ -179,21 +177,17 @@ def vocabulary(batches: DataFrame, shards: int) -> DataFrame:
 class Numbered:
     """A batch with corpus ids: its tokens, sums of the base score, and its different trigrams in the order of ids."""
 
-    def __init__(self, row: dict, word_shards_: int, trigram_shards: int, tokens: int, known: int, trained: int):
-        words = word_list(row["words"])
-        ids, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        if words:
-            answers = sorted(row["answers"], key=lambda a: a["shard"])
-            order = np.argsort(word_shards(words, word_shards_), kind="stable")
-            ids[order] = np.concatenate([unpack(a["ids"], np.int64)[0] for a in answers])
-            counts[order] = np.concatenate([unpack(a["counts"], np.int64)[0] for a in answers])
+    def __init__(self, row: dict, trigram_shards: int, tokens: int, known: int, trained: int):
+        answers = sorted(row["answers"] or [], key=lambda a: a["shard"])  # shards are ranges of the word table
+        ids = np.concatenate([np.zeros(0, np.int64), *(unpack(a["ids"])[0] for a in answers)]).astype(np.int64)
+        counts = np.concatenate([np.zeros(0, np.int64), *(unpack(a["counts"])[0] for a in answers)]).astype(np.int64)
         self.ids, place = np.unique(np.r_[UNKNOWN, START, END, ids], return_inverse=True)
         count = np.zeros(len(self.ids), np.int64)
         count[place[3:]] = counts
         count[END] = trained
         self.unigram = np.log10((count + 1) / (tokens + known + 1))
-        (lengths,) = unpack(row["lengths"], np.int32)
-        (places,) = unpack(row["places"], np.int32)
+        (lengths,) = unpack(row["lengths"])
+        (places,) = unpack(row["places"])
         held = np.frombuffer(row["held"], bool)
         self.lengths = lengths.astype(np.int64) + 1  # with the end
         first = np.r_[0, np.cumsum(self.lengths + 1)[:-1]]  # with the start
@@ -227,13 +221,13 @@ class Numbered:
         for s in range(len(self.ends) - 1):
             at = self.order[self.ends[s] : self.ends[s + 1]]
             if len(at):
-                yield s, pack(*(self.ids[x[at]] for x in (self.v, self.u, self.w)), self.counts[at].astype(np.uint32), steps_of(self.unigram[self.w[at]]))
+                yield s, pack(*(self.ids[x[at]] for x in (self.v, self.u, self.w)), self.counts[at], steps_of(self.unigram[self.w[at]]))
 
     def scores(self, answers: list[dict]) -> np.ndarray:
         """The score of each document from the shards' answers."""
         logs = self.unigram[self.w].copy()
         for a in answers or []:
-            logs[self.order[self.ends[a["shard"]] : self.ends[a["shard"] + 1]]] = unpack(a["logs"], np.uint16)[0] / -STEPS
+            logs[self.order[self.ends[a["shard"]] : self.ends[a["shard"] + 1]]] = unpack(a["logs"])[0] / -STEPS
         return np.add.reduceat(logs[self.inverse], self.starts)
 
 
@@ -241,70 +235,110 @@ def run_starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
 
-def answered(v: np.ndarray, u: np.ndarray, w: np.ndarray, counts: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-    """log10 of the smoothed probability of each trigram asked for, sums of equal ones' counts being the model.
-
-    All trigrams with the same v must be here; `unigram` is log10 of that of w.
+def sorted_by(bits: int, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts rows by their columns (all but the first below 2**bits), and where a new row begins in it."""
+    first = int(columns[0].max()) if len(columns[0]) else 0
+    if first.bit_length() + bits * (len(columns) - 1) <= 63:
+        key = columns[0].astype(np.int64)
+        for c in columns[1:]:
+            key = key << bits | c.astype(np.int64)
+        order = np.argsort(key)
+        key = key[order]
+        return order, np.r_[True, key[1:] != key[:-1]][: len(key)]
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    return order, new
+
+
+def answered(columns: list[np.ndarray]) -> np.ndarray:
+    """Steps of the smoothed probability of each trigram asked for, sums of equal ones' counts being the model.
+
+    `columns` are v, u, w, counts and the steps of the unigram of w; the list is
+    emptied, so that memory is given back early. All trigrams with the same v
+    must be here.
     """
-    own, v_at = np.unique(v, return_inverse=True)
+    v, u, w, counts, unigram = columns
+    columns.clear()
+    _, v = np.unique(v, return_inverse=True)
+    v = v.astype(np.uint32)
     bits = int(max(u.max(), w.max())).bit_length()
-    if len(own).bit_length() + 2 * bits <= 63:
-        key, first, inverse = np.unique(v_at << 2 * bits | u << bits | w, return_index=True, return_inverse=True)
-        order = first
-    else:
-        rows, order, inverse = np.unique(np.stack([v_at, u, w], axis=1), axis=0, return_index=True, return_inverse=True)
-        inverse = inverse.ravel()
-    v, u, w, one = v_at[order], u[order], w[order], unigram[order]
-    counts = np.bincount(inverse, weights=counts)
+    order, new = sorted_by(bits, v, u, w)
+    at = order[new]
+    inverse = np.empty(len(order), np.uint32)
+    inverse[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    del order, new
+    v, u, w = (x[at].astype(np.uint32 if bits <= 32 else np.int64) for x in (v, u, w))
+    one = unigram[at].astype(np.float32) / np.float32(-STEPS)
+    counts = np.bincount(inverse, weights=counts, minlength=len(v)).astype(np.float32)
+    del at, unigram
     # the model: trigrams that were seen
-    seen = counts > 0
-    kv, ku, kw, c, p1 = v[seen], u[seen], w[seen], counts[seen], 10.0 ** one[seen]
     logs = one.copy()
-    if len(kv):
-        pairs = np.lexsort((kw, kv))
-        new = np.r_[True, (kv[pairs][1:] != kv[pairs][:-1]) | (kw[pairs][1:] != kw[pairs][:-1])]
-        pair_of = np.empty(len(kv), np.int64)
-        pair_of[pairs] = np.cumsum(new) - 1
-        before = np.bincount(pair_of).astype(np.float64)  # different words before the pair
-        pv, pw, pp = kv[pairs][new], kw[pairs][new], p1[pairs][new]
-        at_v = run_starts(pv)
-        all_v, n_v = np.add.reduceat(before, at_v), np.diff(np.r_[at_v, len(pv)])
-        weight_v = DISCOUNT * n_v / all_v
-        p2 = (before - DISCOUNT) / np.repeat(all_v, n_v) + np.repeat(weight_v, n_v) * pp
-        context = np.r_[True, (kv[1:] != kv[:-1]) | (ku[1:] != ku[:-1])]
-        at_u = np.flatnonzero(context)
-        all_u, n_u = np.add.reduceat(c, at_u), np.diff(np.r_[at_u, len(kv)])
-        weight_u = DISCOUNT * n_u / all_u
-        p3 = (c - DISCOUNT) / np.repeat(all_u, n_u) + np.repeat(weight_u, n_u) * p2[pair_of]
-        tv, tu, tw = np.r_[pv, kv], np.r_[np.zeros_like(pv), ku], np.r_[pw, kw]
-        order = np.lexsort((tw, tu, tv))
-        heads = np.lexsort((np.r_[np.zeros(len(at_v), np.int64), ku[at_u]], np.r_[pv[at_v], kv[at_u]]))
-        trie = Trie(tv[order], tu[order], tw[order], np.log10(np.r_[p2, p3])[order], np.log10(np.r_[weight_v, weight_u])[heads]).mapped()
-        # what was asked for: successors of v, then u, then w, each in the list of its context
-        starts = run_starts(v)
-        context_at, has_context = trie.context(v[starts])
-        sizes = np.diff(np.r_[starts, len(v)])
-        context_at, has_context = np.repeat(context_at, sizes), np.repeat(has_context, sizes)
-        own_u = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])])
-        extension, found = np.zeros(len(own_u), np.int64), has_context[own_u] & (u[own_u] != UNKNOWN)
-        hits = np.flatnonzero(found)
-        extension[hits], found[hits] = trie.extension(context_at[own_u[hits]], u[own_u[hits]])
-        sizes = np.diff(np.r_[own_u, len(v)])
-        off = np.zeros(len(own_u))
-        off[found] = trie.weight.logs(trie.weights[extension[found]])
-        extension, found, off = np.repeat(extension, sizes), np.repeat(found, sizes), np.repeat(off, sizes)
-        hits = np.flatnonzero(found)
-        at, there = trie.word(extension[hits], w[hits])
-        logs[hits[there]] = trie.probability.logs(trie.codes[at[there]])
-        done = np.zeros(len(v), bool)
-        done[hits[there]] = True
-        rest = np.flatnonzero(has_context & ~done)  # shorter context: the list without extension comes first
-        if len(rest):
-            general, _ = trie.extension(context_at[rest], np.zeros(len(rest), np.int64))
-            at, there = trie.word(general, w[rest])
-            logs[rest] = off[rest] + trie.weight.logs(trie.weights[general]) + one[rest]
-            logs[rest[there]] = off[rest[there]] + trie.probability.logs(trie.codes[at[there]])
-    return logs[inverse]
+    seen = counts > 0
+    if seen.any():
+        trie = trained(bits, v[seen], u[seen], w[seen], counts[seen].astype(np.float64), 10.0 ** one[seen])
+        del counts
+        looked_up(trie, v, u, w, one, logs)
+    return steps_of(logs)[inverse]
+
+
+def trained(bits: int, kv: np.ndarray, ku: np.ndarray, kw: np.ndarray, c: np.ndarray, p1: np.ndarray) -> Trie:
+    """The trie of sorted trigrams that were seen `c` times, with unigrams `p1` of their last words."""
+    pairs, new = sorted_by(bits, kv, kw)
+    pair_of = np.empty(len(kv), np.uint32)
+    pair_of[pairs] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    before = np.bincount(pair_of).astype(np.float64)  # different words before the pair
+    heads = pairs[new]
+    pv, pw, pp = kv[heads], kw[heads], p1[heads]
+    del pairs, new, heads, p1
+    at_v = run_starts(pv)
+    all_v, n_v = np.add.reduceat(before, at_v), np.diff(np.r_[at_v, len(pv)])
+    weight_v = DISCOUNT * n_v / all_v
+    p2 = (before - DISCOUNT) / np.repeat(all_v, n_v) + np.repeat(weight_v, n_v) * pp
+    del before, pp
+    at_u = np.flatnonzero(np.r_[True, (kv[1:] != kv[:-1]) | (ku[1:] != ku[:-1])])
+    all_u, n_u = np.add.reduceat(c, at_u), np.diff(np.r_[at_u, len(kv)])
+    weight_u = DISCOUNT * n_u / all_u
+    p3 = (c - DISCOUNT) / np.repeat(all_u, n_u) + np.repeat(weight_u, n_u) * p2[pair_of]
+    del c, pair_of
+    logs = np.log10(np.r_[p2, p3]).astype(np.float32)
+    del p2, p3
+    heads, _ = sorted_by(bits, np.r_[pv[at_v], kv[at_u]], np.r_[np.zeros_like(pv[at_v]), ku[at_u]])
+    backoff = np.log10(np.r_[weight_v, weight_u])[heads]
+    tv, tu, tw = np.r_[pv, kv], np.r_[np.zeros_like(pv), ku], np.r_[pw, kw]
+    del pv, pw, kv, ku, kw
+    order, _ = sorted_by(bits, tv, tu, tw)
+    return Trie(tv[order], tu[order], tw[order], logs[order], backoff).mapped()
+
+
+def looked_up(trie: Trie, v: np.ndarray, u: np.ndarray, w: np.ndarray, one: np.ndarray, logs: np.ndarray) -> None:
+    """Write the probabilities of sorted trigrams into `logs`: successors of v, then u, then w, each in the list of its context."""
+    v, u, w = (x.astype(np.int64) for x in (v, u, w))
+    starts = run_starts(v)
+    context_at, has_context = trie.context(v[starts])
+    sizes = np.diff(np.r_[starts, len(v)])
+    context_at, has_context = np.repeat(context_at, sizes), np.repeat(has_context, sizes)
+    own_u = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])])
+    extension, found = np.zeros(len(own_u), np.int64), has_context[own_u] & (u[own_u] != UNKNOWN)
+    hits = np.flatnonzero(found)
+    extension[hits], found[hits] = trie.extension(context_at[own_u[hits]], u[own_u[hits]])
+    sizes = np.diff(np.r_[own_u, len(v)])
+    off = np.zeros(len(own_u))
+    off[found] = trie.weight.logs(trie.weights[extension[found]])
+    extension, found, off = np.repeat(extension, sizes), np.repeat(found, sizes), np.repeat(off, sizes)
+    hits = np.flatnonzero(found)
+    at, there = trie.word(extension[hits], w[hits])
+    logs[hits[there]] = trie.probability.logs(trie.codes[at[there]])
+    done = np.zeros(len(v), bool)
+    done[hits[there]] = True
+    rest = np.flatnonzero(has_context & ~done)  # shorter context: the list without extension comes first
+    if len(rest):
+        general, _ = trie.extension(context_at[rest], np.zeros(len(rest), np.int64))
+        at, there = trie.word(general, w[rest])
+        logs[rest] = off[rest] + trie.weight.logs(trie.weights[general]) + one[rest]
+        logs[rest[there]] = off[rest[there]] + trie.probability.logs(trie.codes[at[there]])
 
 
 def text_scores(docs: DataFrame) -> DataFrame:
@@ -324,10 +358,10 @@ def text_scores(docs: DataFrame) -> DataFrame:
     totals = words.agg(F.sum("known"), F.sum("tokens")).first()
     known, tokens = int(totals[0] or 0) + (trained > 0), int(totals[1] or 0) + trained
     answers = words.groupBy("batch").agg(F.collect_list(F.struct("shard", "ids", "counts")).alias("answers"))
-    with_ids = batches.select("batch", "doc_ids", "held", "lengths", "places", "words").join(answers, "batch", "left")
+    with_ids = batches.select("batch", "doc_ids", "held", "lengths", "places").join(answers, "batch", "left")
 
     def numbered(row: dict) -> Numbered:
-        return Numbered(row, shards, deals, tokens, known, trained)
+        return Numbered(row, deals, tokens, known, trained)
 
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.schema([("deal", pa.int32()), ("batch", pa.string()), ("request", pa.binary())])
@@ -337,11 +371,12 @@ def text_scores(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"deal": s, "batch": row["batch"], "request": r} for s, r in numbered(row).requests()], schema=types)
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        asked = [unpack(r, np.int64, np.int64, np.int64, np.uint32, np.uint16) for r in rows["request"]]
-        v, u, w, c, p = (np.concatenate(x) for x in zip(*asked, strict=True))
-        logs = steps_of(answered(v, u, w, c, p / -STEPS))
+        asked = [unpack(r) for r in rows["request"]]
         ends = np.cumsum([len(a[0]) for a in asked])
-        return pd.DataFrame({"batch": rows["batch"].to_numpy(), "shard": rows["deal"].to_numpy(), "logs": [pack(x) for x in np.split(logs, ends[:-1])]})
+        columns = [np.concatenate(x) for x in zip(*asked, strict=True)]
+        del asked
+        steps = answered(columns)
+        return pd.DataFrame({"batch": rows["batch"].to_numpy(), "shard": rows["deal"].to_numpy(), "logs": [pack(x) for x in np.split(steps, ends[:-1])]})
 
     replies = with_ids.mapInArrow(ask, "deal int, batch string, request binary").groupBy("deal").applyInPandas(answer, "batch string, shard int, logs binary")
     back = replies.groupBy("batch").agg(F.collect_list(F.struct("shard", "logs")).alias("replies"))
