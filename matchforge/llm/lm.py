@@ -42,8 +42,8 @@ DISCOUNT = 0.75
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
 #: Bytes of text in a batch; words and trigrams that a shard gets about.
 BATCH, SHARD_WORDS, SHARD_TRIGRAMS = 4_000_000, 400_000, 1_000_000
-#: Steps of a base-10 logarithm between shards and batches; below 10**-15 it is cut.
-STEPS = 4096
+#: Steps of a base-10 logarithm between shards and batches, finer than the trie's levels; below 10**-15 it is cut.
+STEPS = 1024
 LOCAL_BITS = 21
 
 
@@ -64,6 +64,20 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def ascents(v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs as differences: v from the one before, u from the one before with the same v."""
+    dv, du = np.diff(v, prepend=0), np.diff(u, prepend=0)
+    return dv, np.where((dv > 0) | (np.arange(len(v)) == 0), u, du)
+
+
+def summed(dv: np.ndarray, du: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that `ascents` came from."""
+    v, u = np.cumsum(dv, dtype=np.int64), np.cumsum(du, dtype=np.int64)
+    starts = np.flatnonzero((dv > 0) | (np.arange(len(dv)) == 0))
+    u -= np.repeat(u[starts] - du[starts].astype(np.int64), np.diff(np.r_[starts, len(dv)]))
+    return v.astype(np.uint32 if v[-1] < 1 << 32 else np.int64), u.astype(np.uint32 if u.max() < 1 << 32 else np.int64)
+
+
 def steps_of(logs: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-logs * STEPS), 0, 15 * STEPS).astype(np.uint16)
 
@@ -221,7 +235,7 @@ class Numbered:
         for s in range(len(self.ends) - 1):
             at = self.order[self.ends[s] : self.ends[s + 1]]
             if len(at):
-                yield s, pack(*(self.ids[x[at]] for x in (self.v, self.u, self.w)), self.counts[at], steps_of(self.unigram[self.w[at]]))
+                yield s, pack(*ascents(self.ids[self.v[at]], self.ids[self.u[at]]), self.ids[self.w[at]], self.counts[at], steps_of(self.unigram[self.w[at]]))
 
     def scores(self, answers: list[dict]) -> np.ndarray:
         """The score of each document from the shards' answers."""
@@ -371,7 +385,7 @@ def text_scores(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"deal": s, "batch": row["batch"], "request": r} for s, r in numbered(row).requests()], schema=types)
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        asked = [unpack(r) for r in rows["request"]]
+        asked = [(*summed(*r[:2]), *r[2:]) for r in map(unpack, rows["request"])]
         ends = np.cumsum([len(a[0]) for a in asked])
         columns = [np.concatenate(x) for x in zip(*asked, strict=True)]
         del asked
