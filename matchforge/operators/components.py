@@ -47,3 +47,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """All nodes that edges (a, b) lead to from `start` (node), itself included, a breadth-first round at a time."""
+    seen = stored(start.distinct(), "seen")
+    frontier = seen
+    while not frontier.isEmpty():
+        steps = frontier.join(edges, frontier["node"] == edges["a"]).select(F.col("b").alias("node")).distinct()
+        frontier = stored(steps.join(seen, "node", "left_anti"), "frontier")
+        seen = seen.union(frontier)
+    return seen
