@@ -8,23 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from matchforge.functions.statistics import outcome_probabilities
 
 MARGIN, CLOSE, DEMOTE_DEPTH, TAIL_FROM = 0.5, 0.8, 4, 5
 
-OF_QUERY = Window.partitionBy("query_id")
+
+def of_query() -> WindowSpec:
+    return Window.partitionBy("query_id")
 
 
 def per_query(c: Column) -> Column:
-    return c.over(OF_QUERY)
+    return c.over(of_query())
 
 
 def ranked(candidates: DataFrame, *order: Column, name: str = "place") -> DataFrame:
     """A new place from 0 by `order`, then by the old place."""
-    return candidates.withColumn(name, F.row_number().over(OF_QUERY.orderBy(*order, "place")) - 1)
+    return candidates.withColumn(name, F.row_number().over(of_query().orderBy(*order, "place")) - 1)
 
 
 def decisive(margin: float = MARGIN) -> Column:
@@ -54,7 +56,7 @@ def all_schemes(candidates: DataFrame) -> DataFrame:
     """The first candidate of each query under each order."""
     out = None
     for name, keys in SCHEMES.items():
-        order = OF_QUERY.orderBy(*[F.desc(f"__k{i}") for i in range(len(keys()))], "place")
+        order = of_query().orderBy(*[F.desc(f"__k{i}") for i in range(len(keys()))], "place")
         keyed = candidates.withColumns({f"__k{i}": k for i, k in enumerate(keys())})
         first = keyed.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(F.lit(name).alias("scheme"), "query_id", "slug")
         out = first if out is None else out.unionAll(first)
@@ -66,7 +68,7 @@ def leader_features(candidates: DataFrame) -> DataFrame:
     leader, later = F.col("place") == 0, F.col("place") > 0
     rival_clean = F.min_by(F.struct("cv", "inliers"), F.when(later & (F.col("reasons") == 0), F.col("place")))
     rival_any = F.min_by(F.struct("cv", "inliers"), F.when(later, F.col("place")))
-    falling = candidates.withColumn("__rank", F.row_number().over(OF_QUERY.orderBy(F.desc("cv"), "place")) - 1)
+    falling = candidates.withColumn("__rank", F.row_number().over(of_query().orderBy(F.desc("cv"), "place")) - 1)
     folded = falling.groupBy("query_id").agg(
         F.max(F.when(leader, F.struct("slug", "cv", "inliers", "coverage", "reasons"))).alias("l"),
         F.coalesce(F.when(F.count_if(later & (F.col("reasons") == 0)) > 0, rival_clean), F.when(F.count_if(later) > 0, rival_any)).alias("r"),
@@ -113,7 +115,7 @@ def demoted(candidates: DataFrame, hard: str = "hard") -> DataFrame:
     m = F.least(k, F.lit(DEMOTE_DEPTH))
     key = F.when(k.isNull() | (k == 0), i).when(i < m, k - i).when(i < k, i - m).when(i == k, k - m).otherwise(i)
     keyed = candidates.withColumn("__key", key)
-    return keyed.withColumn("place", F.row_number().over(OF_QUERY.orderBy("__key", "place")) - 1).drop("__key")
+    return keyed.withColumn("place", F.row_number().over(of_query().orderBy("__key", "place")) - 1).drop("__key")
 
 
 def own_first(candidates: DataFrame, own: Column) -> DataFrame:
@@ -171,4 +173,4 @@ def fused(candidates: DataFrame, texts: DataFrame, text_weight: float, attribute
         score = score + attribute_weight * F.coalesce("agreement", F.lit(0.0))
     kept = both.withColumn("__some", some).filter(F.col("norm").isNotNull() | ~F.col("__some"))
     scored = kept.withColumn("score", F.when(F.col("__some"), score).otherwise(F.coalesce("text", F.lit(0.0))))
-    return scored.withColumn("place", F.row_number().over(OF_QUERY.orderBy(F.desc("score"), "slug")) - 1).filter(F.col("place") < limit)
+    return scored.withColumn("place", F.row_number().over(of_query().orderBy(F.desc("score"), "slug")) - 1).filter(F.col("place") < limit)
