@@ -45,7 +45,8 @@ def payload_cards(rows: DataFrame) -> DataFrame:
                     card = None
                 card = card if isinstance(card, dict) else {}
                 maker = card.get("maker")
-                out.append((page, card.get("slug"), card.get("title"), maker.get("name") if isinstance(maker, dict) else maker))
+                values = (card.get("slug"), card.get("title"), maker.get("name") if isinstance(maker, dict) else maker)
+                out.append((page, *(str(x) if isinstance(x, str | int | float) else None for x in values)))
             yield pd.DataFrame(out, columns=["page_id", "slug", "title", "maker"])
 
     return rows.select("page_id", "payload").mapInPandas(run, "page_id bigint, slug string, title string, maker string")

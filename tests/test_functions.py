@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchforge.functions import statistics, text
-from matchforge.operators import boxes, catalogue, components, evaluation, ranking
+from matchforge.operators import boxes, catalogue, components, evaluation, evidence, pages, ranking
 
 
 def values(spark, texts, f):
@@ -196,3 +196,40 @@ def test_layers_reject_unknown_values(spark):
     frame = spark.createDataFrame([("a", "x")], "slug string, sweetness string")
     with pytest.raises(Exception, match="unknown value"):
         catalogue.layered(frame, frame, frame, "slug", "sweetness", ["y"]).collect()
+
+
+def test_spaced_letters(spark):
+    lines = ["Б А Л А K Л А В А", "Б Р ЮТ", "1 8 8 8", "КРАСН OE", "ПОЛУ СЛАДКОЕ", "Шато Тамань", "", None]
+    assert values(spark, lines, evidence.joined_spaces) == ["БАЛАKЛАВА", "БРЮТ", "1888", "КРАСНOE", "ПОЛУСЛАДКОЕ", "Шато Тамань", "", None]
+
+
+def test_label_answers(spark):
+    raw = ['```json {"producer": "Massandra", "color": "red", "sweetness": "Brut", "grapes": ["a", "b", "c", "d", "e"]} ```', '{"producer": "none", "color": "blue"}', '{"producer": ', "no object", None]
+    got = values(spark, raw, evidence.label_json)
+    assert (got[0].producer, got[0].colour, got[0].sweetness, got[0].grapes) == ("Massandra", "красное", "брют", ["a", "b", "c", "d"])
+    assert (got[1].producer, got[1].colour, got[1].grapes) == (None, None, [])
+    assert got[2:] == [None, None, None]
+
+
+def test_splits_never_mix(spark):
+    rows = spark.createDataFrame([("a", "s1", "w1"), ("b", "s2", "w2"), ("c", "s3", "w2"), ("d", None, None)], "image string, series string, item string")
+    locked = spark.createDataFrame([("item:w1", "tune"), ("item:w2", "test")], "node string, split string")
+    got = {r["image"]: r["split"] for r in evidence.assigned_splits(rows, locked).collect()}
+    assert got == {"a": "tune", "b": "test", "c": "test", "d": "tune"}
+    bridge = rows.union(spark.createDataFrame([("x", "s1", "w2")], rows.schema))
+    with pytest.raises(Exception, match="two splits meet"):
+        evidence.assigned_splits(bridge, locked).collect()
+
+
+def test_payloads(spark):
+    rows = [(1, '[{"slug":1,"title":2,"maker":3},"p","t",{"name":4},"m"]'), (2, "broken"), (3, None), (4, '[{"slug":0}]')]
+    got = pages.payload_cards(spark.createDataFrame(rows, "page_id bigint, payload string")).orderBy("page_id").collect()
+    assert [tuple(r)[1:] for r in got[:3]] == [("p", "t", "m"), (None, None, None), (None, None, None)]
+
+
+def test_cards(spark):
+    schema = "slug string, title string, manufacturer struct<name:string>, region struct<name:string>, category struct<name:string>, grapes array<struct<name:string>>, dishes array<struct<name:string>>"
+    got = catalogue.flat_cards(spark.createDataFrame([("a", None, None, ("r",), None, [("x",), (None,)], None)], schema)).first()
+    assert tuple(got) == ("a", "", "", "r", "", ["x"], [])
+    parts = values(spark, ["Белое сухое", "Игристое брют", "красное"], text.category_parts)
+    assert [tuple(p) for p in parts] == [("Белое", "Сухое"), ("", "Игристое брют"), ("Красное", "")]
