@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchforge.llm.common import slices, small_batches, tidied
+
 #: Labelled documents from which the field is trained at most, and the parts in which they are trained side by side.
 SAMPLE, SHARDS = 4_000, 4
 STEPS, RATE, PENALTY = 120, 0.2, 1e-3
@@ -228,8 +230,9 @@ def line_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     field = fit(docs, labels)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             counts, rows, sizes, lengths = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 text = text or b""
@@ -252,4 +255,4 @@ def line_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words"])
 
     schema = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, content_words bigint"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)

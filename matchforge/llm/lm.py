@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchforge.llm.common import remainder, stored
+from matchforge.llm.common import remainder, slices, small_batches, stored, tidied
 from matchforge.llm.eliasfano import Trie
 
 FOLDS, HELD_OUT = 7, 2
@@ -50,7 +50,7 @@ LOCAL_BITS = 21
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of numbers from 0 on, of one length, as compressed byte planes of the narrowest widths."""
     narrow = [a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(a) or int(a.max()) <= np.iinfo(t).max)) for a in arrays]
-    planes = [a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in narrow]
+    planes = [a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in narrow]
     return bytes([len(narrow), *(a.itemsize for a in narrow)]) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
@@ -126,9 +126,10 @@ BATCH_SCHEMA = "batch string, doc_ids array<bigint>, held binary, lengths binary
 
 
 def batched(docs: DataFrame) -> DataFrame:
+    @tidied
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for part in parts:
+        for part in (some for whole in parts for some in slices(whole)):
             for row in zip(part.column("doc_id").to_pylist(), part.column("held").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 text = row[2] or b""
                 held.append((row[0], row[1], text.lower().split()))  # bytes: A-Z and ASCII white space only
@@ -363,7 +364,7 @@ def text_scores(docs: DataFrame) -> DataFrame:
     without training documents every score is 0; an empty table gives an empty
     one; other columns are ignored.
     """
-    batches = stored(batched(docs), "batches")
+    batches = stored(batched(small_batches(docs)), "batches")
     sums = batches.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_trained")).first()
     shards = max(1, math.ceil((sums[0] or 0) / SHARD_WORDS))
     deals = max(1, math.ceil((sums[1] or 0) / SHARD_TRIGRAMS))
@@ -377,6 +378,7 @@ def text_scores(docs: DataFrame) -> DataFrame:
     def numbered(row: dict) -> Numbered:
         return Numbered(row, deals, tokens, known, trained)
 
+    @tidied
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.schema([("deal", pa.int32()), ("batch", pa.string()), ("request", pa.binary())])
         for part in parts:
@@ -395,6 +397,7 @@ def text_scores(docs: DataFrame) -> DataFrame:
     replies = with_ids.mapInArrow(ask, "deal int, batch string, request binary").groupBy("deal").applyInPandas(answer, "batch string, shard int, logs binary")
     back = replies.groupBy("batch").agg(F.collect_list(F.struct("shard", "logs")).alias("replies"))
 
+    @tidied
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for k in range(part.num_rows):

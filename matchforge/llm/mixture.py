@@ -26,7 +26,7 @@ from matchforge.llm.common import stored
 
 #: Domains are few by contract: their Gram matrix is solved on the driver.
 MOST_DOMAINS = 64
-PASSES, CLOSE = 40, 1e-4
+PASSES, CLOSE = 80, 1e-4
 
 
 def with_posteriors(docs: DataFrame, labelled: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -56,11 +56,12 @@ def with_posteriors(docs: DataFrame, labelled: DataFrame) -> tuple[DataFrame, li
 
 
 def rates(start: float, steps: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Rates of documents with posteriors `p` after all steps, each cut at zero."""
-    r = np.full(len(p), start)
-    for step in steps:
-        r = np.maximum(0.0, r - p @ step)
-    return r
+    """Rates of documents with posteriors `p` after all steps: each is carried on by momentum and cut at zero."""
+    before = now = at = np.full(len(p), start)
+    for k, step in enumerate(steps):
+        before, now = now, np.maximum(0.0, at - p @ step)
+        at = np.maximum(0.0, now + k / (k + 3) * (now - before))
+    return at
 
 
 def fitted(docs: DataFrame, domains: list[str], targets: dict[str, float], budget: float) -> tuple[float, np.ndarray, np.ndarray]:
@@ -69,7 +70,9 @@ def fitted(docs: DataFrame, domains: list[str], targets: dict[str, float], budge
     `targets` are weights of domains (made to sum to 1 over those that there are);
     `budget` is the wanted tokens as a multiple of all tokens. Minimised is the
     squared distance of the domains' shares from the targets, weighed by the
-    inverse of their Gram matrix, in which a full projected step never rises.
+    inverse of their Gram matrix, for which a full step is the right length;
+    momentum helps where many rates are cut at zero. Ends when all shares are met,
+    when they no longer move, or after `PASSES`.
     """
     k = len(domains)
     want = np.array([targets.get(d, 0.0) for d in domains])
@@ -96,10 +99,11 @@ def fitted(docs: DataFrame, domains: list[str], targets: dict[str, float], budge
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(out)], names=["domain", "tokens"])
 
         got = docs.select("n_tokens", "posterior").mapInArrow(sums, "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect()
+        before = reached.copy()
         for row in got:
             reached[row["domain"]] = row["tokens"] / total / budget
         off = reached - want
-        if np.abs(off).max() < CLOSE:
+        if np.abs(off).max() < CLOSE or len(steps) > 3 and np.abs(reached - before).max() < CLOSE / 100:
             break
         steps = np.vstack([steps, inverse @ off])
     return budget, steps, reached

@@ -9,9 +9,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchforge.llm.common import slices, small_batches, tidied
+
 #: Weights of a model: a proven bound of what is sent to every task (1 MB for one class).
 BITS = 18
 #: Labelled rows from which a model is fitted at most, and the parts in which they are trained side by side.
@@ -19,8 +21,8 @@ SAMPLE, SHARDS = 8_000, 4
 EPOCHS = 3
 #: FTRL-proximal: learning rate, its smoothing, and the weights of the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 0.05, 0.002, 0.1
-#: Different words that a worker remembers at most.
-MEMORY = 400_000
+#: Different words that each of a worker's two generations of memory holds at most; a full young one becomes the old one.
+MEMORY = 75_000
 
 RUNS = ((re.compile(r"[a-zß-öø-ÿ]+"), "x"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[0-9]+"), "9"))
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -29,9 +31,16 @@ MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 class Words(dict):
     """Word in UTF-8 to 64 bits: 40 of the word's hash over 24 of its shape's (letter and digit runs as one sign each)."""
 
+    def __init__(self):
+        self.old: dict[bytes, int] = {}
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY:
+            self.old = dict(self)
             self.clear()
+        if word in self.old:
+            found = self[word] = self.old[word]
+            return found
         shape = word[:64].decode("utf-8", "replace")
         for run, sign in RUNS:
             shape = run.sub(sign, shape)
@@ -95,6 +104,7 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE, pairs: bool = T
     parts are averaged by Spark. What comes to the driver is bounded by 2**BITS
     weights a class. No labelled text gives no models.
     """
+    small_batches(docs)
     ids = marks.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = marks.join(F.broadcast(ids), "doc_id")  # at most `sample` ids
     chosen = docs.select("doc_id", "text").join(F.broadcast(rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("class", "mark"))).alias("marks"))), "doc_id")
@@ -132,11 +142,12 @@ def scorer(models: dict[str, np.ndarray], pairs: bool = True):
     per_word = 4 if pairs else 2
 
     @F.arrow_udf("struct<n_words: bigint, scores: array<double>>")
+    @tidied
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             found = np.empty((len(texts), table.shape[1]))
             words = np.empty(len(texts), np.int64)
-            for i, text in enumerate(texts.cast(pa.binary()).to_pylist()):
+            for i, text in enumerate(t for part in slices(texts) for t in part.cast(pa.binary()).to_pylist()):
                 at = features(text, pairs)
                 words[i] = -(-len(at) // per_word)  # n words give n or n - 1 places of each sort
                 found[i] = table[at].sum(axis=0, dtype=np.float64) / np.sqrt(max(len(at), 1)) + table[0]

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchforge.llm.common import slices, small_batches, tidied
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split())
@@ -363,8 +365,9 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
     """
 
     @F.arrow_udf("string")
+    @tidied
     def shown(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in batches:
-            yield pa.array([visible_text(h) for h in part.to_pylist()], pa.string())
+            yield pa.array([visible_text(h) for some in slices(part) for h in some.to_pylist()], pa.string())
 
-    return pages.withColumn("__text", shown(F.col(html))).drop(html, "text").withColumnRenamed("__text", "text")
+    return small_batches(pages).withColumn("__text", shown(F.col(html))).drop(html, "text").withColumnRenamed("__text", "text")

@@ -22,9 +22,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from matchforge.llm.common import slices, small_batches, tidied
+
 SPACE = "▁"
-#: Units that a worker remembers at most; the memory is emptied when it is full.
-MEMORY = 600_000
+#: Units that each of a worker's two generations of memory holds at most; a full young one becomes the old one.
+MEMORY = 125_000
 
 
 @dataclass
@@ -93,6 +95,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memory: dict[str, str] = {}
+        self.old: dict[str, str] = {}
         self.texts: dict[str, str] = {}
         self.shorter: dict[str, str] = {}
 
@@ -166,12 +169,15 @@ class Encoder:
         return "".join(out)
 
     def remember(self, unit: str) -> str:
+        """The ids of a unit that the young generation doesn't hold."""
         if len(self.memory) >= MEMORY:
-            self.memory.clear()
-            self.texts.clear()
-        ids = self.unit(unit.replace(" ", SPACE))
-        found = self.memory[unit] = ",".join(map(str, ids))
-        text = self.decoded(ids)
+            self.old, self.memory = self.memory, {}
+            self.texts.clear()  # filled again with what follows
+        found = self.old.get(unit)
+        if found is None:
+            found = ",".join(map(str, self.unit(unit.replace(" ", SPACE))))
+        self.memory[unit] = found
+        text = self.decoded(list(map(int, found.split(","))))
         if text != unit:
             self.texts[unit] = text
         return found
@@ -180,15 +186,14 @@ class Encoder:
         """Ids in decimal, joined by commas, and the text that they decode to."""
         if not text:
             return "", ""
-        memory, texts = self.memory, self.texts
         units = UNITS.findall(" " + text.replace(SPACE, " "))
         parts = []
+        back = []
         for u in units:
-            got = memory.get(u)
+            got = self.memory.get(u)
             parts.append(got if got is not None else self.remember(u))
-        if texts:
-            units = [texts.get(u, u) for u in units]
-        back = "".join(units)
+            back.append(self.texts.get(u, u) if self.texts else u)
+        back = "".join(back)
         return ",".join(parts), back[1:]
 
 
@@ -212,9 +217,10 @@ def piece_digests(docs: DataFrame, model: PieceModel, ids: bool = False) -> Data
     results), an empty table gives an empty one, other columns are ignored.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_of(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             n, one, two, all_ids = [], [], [], []
             for text in batch.column("text").to_pylist():
                 joined, back = enc.encoded(text or "")
@@ -231,4 +237,4 @@ def piece_digests(docs: DataFrame, model: PieceModel, ids: bool = False) -> Data
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchforge.llm.common import slices, small_batches, tidied
+
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -86,15 +88,31 @@ class Pseudonyms:
             return f"{x:0{n}x}"
         return f"{x:0{n}d}"
 
-    def date(self, year: str, month: str, day: str, format_: str) -> tuple[int, int, int] | None:
+    def date(self, parts: list[str], order: tuple[int, int, int], kind: str) -> list[str] | None:
+        """Another date written the same way: places that show a leading zero or its lack stay below ten."""
+        year, month, day = (int(parts[i]) for i in order)
         try:
-            n = datetime.date(int(year), int(month), int(day)).toordinal()
+            n = datetime.date(year, month, day).toordinal()
         except ValueError:
             return None
         if not FIRST_DAY <= n <= LAST_DAY:
             return None
-        d = datetime.date.fromordinal(FIRST_DAY + permuted(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, self.key, format_, self.back))
-        return d.year, d.month, d.day
+        style = self.style(parts, order)
+        while True:  # walk on to a date that can be written in this style
+            n = FIRST_DAY + permuted(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, self.key, kind + style, self.back)
+            d = datetime.date.fromordinal(n)
+            new = list(parts)
+            for i, x, bare in zip(order, (d.year, d.month, d.day), (False, style[0] == "b", style[1] == "b"), strict=True):
+                new[i] = str(x) if bare else f"{x:02d}"
+            if self.style(new, order) == style:
+                return new
+
+    @staticmethod
+    def style(parts: list[str], order: tuple[int, int, int]) -> str:
+        """How month and day are written: z padded, b bare; two digits from ten on go with the other one."""
+        seen = ["z" if parts[i][0] == "0" else "b" if len(parts[i]) == 1 else "-" for i in order[1:]]
+        other = {"-": "z"} if seen == ["-", "-"] else {"-": next((x for x in seen if x != "-"), "z")}
+        return "".join(other.get(x, x) for x in seen)
 
     def _value(self, kind: str, text: str) -> str | None:
         """The pseudonym of a value, or None if it doesn't validate."""
@@ -129,13 +147,8 @@ class Pseudonyms:
             return self.name(text[:-1]) + "@" if len(text) <= 65 else None
         order = {"iso": (0, 1, 2), "day": (2, 1, 0), "month": (2, 0, 1)}[kind]
         parts = re.split(r"[-./]", text)
-        new = self.date(*(parts[i] for i in order), kind)
-        if new is None:
-            return None
-        filled = list(parts)
-        for i, x in zip(order, new, strict=True):
-            filled[i] = f"{x:0{len(parts[i])}d}" if parts[i][0] == "0" or kind == "iso" else str(x)
-        return text[len(parts[0])].join(filled)
+        new = self.date(parts, order, kind)
+        return text[len(parts[0])].join(new) if new else None
 
     def name(self, text: str) -> str:
         """An email's name, sign by sign within its classes."""
@@ -177,10 +190,11 @@ def pseudonymizer(key: bytes, back: bool = False) -> Callable[[Column], Column]:
     """A column function: text -> struct<text string, n_values int>."""
 
     @F.arrow_udf("struct<text: string, n_values: int>")
+    @tidied
     def replace(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Pseudonyms(key, back)
         for texts in batches:
-            found = [own.text(t) for t in texts.to_pylist()]
+            found = [own.text(t) for part in slices(texts) for t in part.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int32())], names=["text", "n_values"])
 
     return replace
@@ -194,5 +208,5 @@ def pseudonymized(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     rows stay equal; all other columns stay, and one named n_values is
     overwritten. An empty table gives an empty one.
     """
-    done = docs.withColumn("__done", pseudonymizer(key, back)(F.col("text")))
+    done = small_batches(docs).withColumn("__done", pseudonymizer(key, back)(F.col("text")))
     return done.withColumn("text", F.col("__done.text")).withColumn("n_values", F.col("__done.n_values")).drop("__done")

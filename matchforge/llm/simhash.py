@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchforge.llm.common import stored
+from matchforge.llm.common import slices, small_batches, stored, tidied
 from matchforge.operators.components import connected_components
 
 DISTANCE = 4
@@ -58,13 +58,14 @@ def fingerprint(text: bytes | None) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp bigint) of each row."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def _nearest() -> np.ndarray:
@@ -187,6 +188,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
             anchors, fps = replicas(batch.column("fp").to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(fps.view(np.int64))], names=["anchor", "fp"])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, fps, held = [], [], 0
         for batch in batches:
