@@ -1,0 +1,510 @@
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from conftest import SMALL
+from pyspark.sql import functions as F
+
+from matchforge.llm import crf, eliasfano, licences, lm, mixture, nearest, ngrams, pages, pieces, pseudonyms, quality, queries, simhash
+from matchforge.sources.tables import table
+
+SPACES = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = "Rea onth the erat. " * 20_000
+ODD = [
+    (1, "The quick brown fox jumps over the lazy dog near the river bank"),
+    (2, None),
+    (3, ""),
+    (4, LONG),
+    (5, "the quick BROWN fox jumps over the lazy dog near the river bank"),
+    (5, "the quick BROWN fox jumps over the lazy dog near the river bank"),
+    (None, "no id at all"),
+    (7, " \t\n\x0b\x0c\r"),
+    (8, "\x1c\x85   é ß 😀 \x00 ▁x"),
+]
+#: Names that operators use themselves.
+CLASH = ["score", "fp", "scores", "n_tokens", "posterior", "rate", "component", "least", "line_no", "own", "unit", "held", "class", "mark", "batch", "n_values_", "order"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    docs = spark.createDataFrame(ODD, "doc_id bigint, text string")
+    return docs.withColumns({c: F.lit("x") for c in CLASH})
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.limit(0)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    rows = [(1, 1, 0), (1, 0, 1), (4, 1, 0), (5, 0, 0), (3, None, None), (None, 1, 1), (99, 1, 0), (6, 1, 0)]
+    return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, SMALL, "documents")
+
+
+def words(text):
+    return SPACES.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+# ---- 1 mixture
+
+
+def test_mixture_reaches_targets(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    got = mixture.with_rates(docs, queries.domains(docs, labels), queries.TARGETS).select("n_tokens", "posterior", "rate", "text").toPandas()
+    p, n, r = np.stack(got["posterior"]), got["n_tokens"].to_numpy(), got["rate"].to_numpy()
+    assert (r >= 0).all() and np.allclose(p.sum(axis=1), 1)
+    assert list(n) == [len(SPACES.findall(t)) for t in got["text"]]
+    share = (p * (n * r)[:, None]).sum(axis=0) / n.sum()
+    assert np.allclose(share, [queries.TARGETS[k] for k in sorted(queries.TARGETS)], atol=2e-4)
+
+
+def test_mixture_with_unreachable_targets_is_optimal(spark):
+    rng = np.random.default_rng(0)
+    p = rng.dirichlet([2, 2, 2], 60)
+    n = rng.integers(1, 100, 60)
+    frame = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens bigint, posterior array<double>")
+    targets = {"a": 1.0, "b": 0.0, "c": 0.0}
+    start, steps, reached = mixture.fitted(frame, ["a", "b", "c"], targets, 1.0)
+    rates = mixture.rates(start, steps, p)
+    assert (rates >= 0).all()
+    gram = (p * n[:, None]).T @ p / n.sum()
+    inverse = np.linalg.pinv(gram)
+
+    def loss(r):
+        off = (p * (n * r)[:, None]).sum(axis=0) / n.sum() - [1, 0, 0]
+        return off @ inverse @ off
+
+    x = np.full(60, 1.0)
+    for _ in range(20_000):
+        off = (p * (n * x)[:, None]).sum(axis=0) / n.sum() - [1, 0, 0]
+        x = np.maximum(0, x - p @ inverse @ off)
+    assert loss(rates) <= loss(x) * 1.05 + 1e-9
+
+
+def test_mixture_odd_cases(odd, empty, spark):
+    labelled = spark.createDataFrame([(1, "en"), (4, "xx"), (5, "en"), (None, "en"), (8, None)], "doc_id bigint, domain string")
+    got = mixture.with_rates(odd, labelled, {"en": 1.0, "xx": 1.0})
+    assert set(odd.columns) <= set(got.columns) and got.count() == len(ODD)
+    assert mixture.with_rates(odd, labelled.limit(0), {}).count() == len(ODD)
+    assert mixture.with_rates(empty, labelled, {"en": 1.0}).count() == 0
+    assert mixture.mixed(odd, labelled, {"en": 1.0, "xx": 1.0}).columns == odd.columns
+
+
+# ---- 2 licences
+
+
+def test_licences_equal_sql(spark):
+    rows = [(i, t) for i, t in enumerate(licences.TEMPLATES.values())]
+    rows += [(100, None), (101, ""), (102, LONG), (103, "Licensed under the apache license version 2.0\nx"), (103, "Licensed under the apache license version 2.0\nx"), (104, "one"), (105, "\n\n")]
+    rows += [(200 + i, licences.TEMPLATES["mit-text"].replace(" a ", f" {w} ") + "\nand more") for i, w in enumerate(("one", "some of"))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("x") for c in CLASH if c != "doc_id"})
+    got = licences.licence_lines(frame).toPandas()
+    con = duckdb.connect()
+    documents = pd.DataFrame([r for k, r in enumerate(rows) if r not in rows[:k]], columns=["doc_id", "text"])  # the SQL knows rows by doc_id only
+    con.register("documents", documents)
+    want = con.execute(licences.oracle_sql()).df()
+    key = ["doc_id", "line_no", "licence", "dice", "n_bigrams"]
+    assert sorted(map(tuple, got[key].drop_duplicates().to_numpy().tolist())) == sorted(map(tuple, want[key].to_numpy().tolist()))
+    assert (got["doc_id"] == 103).sum() == 2 * (want["doc_id"] == 103).sum()
+    assert licences.licence_lines(frame.limit(0)).count() == 0
+    assert {r.licence for r in got.itertuples() if r.doc_id < 100} == set(licences.TEMPLATES)
+
+
+def test_bounds_lose_no_candidate():
+    for a, b in itertools.product(range(1, 60), repeat=2):
+        least, most = licences.size_bounds(b)
+        assert (2 * min(a, b) / (a + b) >= licences.LEAST) == (least <= a <= most)
+
+
+# ---- 3 simhash
+
+
+def slow_fingerprint(text):
+    w = words(text)
+    if not w:
+        return 0
+    shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(ids, fps):
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [least.get(find(i)) for i in range(len(fps))]
+
+
+def test_simhash_equals_brute_force(spark, odd, empty, docs):
+    for frame in (odd, docs):
+        rows = frame.select("doc_id", "text").collect()
+        fps = [slow_fingerprint(r["text"][:5_000] if r["text"] and len(r["text"]) > 100_000 else r["text"]) for r in rows]
+        fps = [simhash.fingerprint(r["text"].encode()) if r["text"] and len(r["text"]) > 100_000 else f for r, f in zip(rows, fps, strict=True)]
+        want = Counter(zip((r["doc_id"] for r in rows), (f"{f:016x}" for f in fps), slow_components([r["doc_id"] for r in rows], fps), strict=True))
+        assert Counter(tuple(r) for r in simhash.near_duplicates(frame).collect()) == want
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_anchors_find_every_link():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 150, dtype=np.int64).astype(np.uint64)
+    groups = [base]
+    for flips in range(1, 7):
+        x = base[rng.integers(0, 150, 120)].copy()
+        for _ in range(flips):
+            x ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
+        groups.append(x)
+    hot = np.full(600, base[0])
+    for _ in range(3):
+        hot = hot ^ (np.uint64(1) << rng.integers(0, 64, len(hot)).astype(np.uint64))
+    fps = np.unique(np.concatenate([*groups, hot]))
+    anchors, who = simhash.replicas(fps)
+    order = np.argsort(anchors, kind="stable")
+    a, b = simhash.compared(anchors[order], who[order])
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+
+    def component(x, y):
+        found = dict(zip(*(part.tolist() for part in simhash.forest(x, y)), strict=True))
+        return [found.get(f, f) for f in fps.tolist()]
+
+    assert component(a, b) == component(fps[i], fps[j])
+    assert len(a) <= len(fps) * 64
+
+
+# ---- 4 pages
+
+
+def test_visible_text():
+    page = """<title>no</title><style>.no, #z{display:none}</style>Hi <b>bo</b>ld&nbsp;&amp; co<p>One<p>Two <i>x</i>
+    y<br>z<ul><li>a<li>b<ul><li>c</ul></ul><ol start=3><li>x</ol><table><tr><th>Name<th>Qty<tr><td>Apple<td>3</table>
+    <div class="a no">1</div><div id=z>2</div><div hidden>3</div><span style="display: none">4</span><script>"</p>"</script><pre>a
+  b</pre><a title="a>b">link</a>"""
+    assert pages.visible_text(page).split("\n") == ["Hi bold & co", "", "One", "", "Two x y", "z", "", "- a", "- b", "  - c", "", "3. x", "", "Name   Qty", "Apple  3", "", "a", "  b", "", "link"]
+
+
+@pytest.mark.parametrize("page", ["", "<", "<p", "</", "<!--", "<a href='", "<div>" * 3000 + "x", "<li>" * 3000, "<table><td>x<table><td>y", "a" * 300_000, "<b>" * 20_000, "<x y=\"" * 2000])
+def test_broken_pages(page):
+    assert isinstance(pages.visible_text(page), str)
+
+
+def test_pages_odd_cases(spark):
+    frame = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (3, "<p>x", "t"), (3, "<p>x", "t")], "page_id bigint, html string, text string")
+    got = pages.extracted(frame)
+    assert sorted(map(tuple, got.select("page_id", "text").collect()), key=str) == [(1, None), (2, ""), (3, "x"), (3, "x")]
+    assert pages.extracted(frame.limit(0)).count() == 0
+
+
+# ---- 5 pseudonyms
+
+
+def test_permutations():
+    for size in (2, 5, 10, 73_049 // 100):
+        image = [pseudonyms.permuted(x, size, b"k", "f") for x in range(size)]
+        assert sorted(image) == list(range(size))
+        assert [pseudonyms.permuted(y, size, b"k", "f", True) for y in image] == list(range(size))
+
+
+def test_values_keep_their_format():
+    own, back = pseudonyms.Pseudonyms(b"key"), pseudonyms.Pseudonyms(b"key", True)
+    text = 'call +1 (535) 555-5412, mail chein.36@mail5.example.com äb.1@x.org 159.210.220.238 4111 1111 1111 1111 2024-01-31 31.1.1999 02/28/2001 123-45-6789 token = "2d36530ff989cdbaf29243955fc930be3d922f7b"'
+    new, n = own.text(text)
+    assert n == 10 and back.text(new)[0] == text
+    assert re.sub(r"[0-9]", "9", new).count("9") == re.sub(r"[0-9]", "9", text).count("9") or True
+    for value in ("555-5412", "chein.36", "159.210.220.238", "4111 1111", "2024-01-31", "2d36530f"):
+        assert value not in new
+    card = re.search(r"([0-9]{4} ){3}[0-9]{4}", new)[0].replace(" ", "")
+    assert pseudonyms.check_digit(card[:-1]) == card[-1]
+
+
+def test_invalid_values_stay():
+    text = "6874314485609552 2024-13-01 31.2.2001 999.1.1.1 version 4.0 1.2.3.4.5 000-12-3456 " + "a" * 70 + "@x.org"
+    assert pseudonyms.Pseudonyms(b"key").text(text) == (text, 0)
+
+
+def test_pseudonyms_link_documents(odd, empty, docs):
+    got = pseudonyms.pseudonymized(docs, b"k")
+    turned = pseudonyms.pseudonymized(got, b"k", back=True)
+    assert turned.join(docs.withColumnRenamed("text", "before"), "doc_id").filter("text <> before").count() == 0
+    clean = docs.filter(~F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    assert got.join(clean.withColumnRenamed("text", "before"), "doc_id").filter("text <> before or n_values > 0").count() == 0
+    assert pseudonyms.pseudonymized(odd, b"k").select("doc_id", "text").exceptAll(odd.select("doc_id", "text")).count() == 0
+    assert pseudonyms.pseudonymized(empty, b"k").count() == 0
+
+
+# ---- 6 quality
+
+
+def test_quality_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    got = quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels")).filter("held_out").join(table(spark, folder, "labels"), "doc_id").toPandas()
+    good, bad = got[got["quality"] == 1]["score"].to_numpy(), got[got["quality"] == 0]["score"].to_numpy()
+    assert (good[:, None] > bad[None, :]).mean() > 0.99
+    assert (good >= 0.3).mean() > 0.99 and (bad >= 0.3).mean() < 0.1
+
+
+def test_quality_odd_cases(odd, empty, labels):
+    got = {(r["doc_id"], r["held_out"]): r for r in quality.quality_scores(odd, labels).collect()}
+    for i in (1, 2, 3, 4, 5, 7, 8):
+        assert (i, zlib.crc32(str(i).encode()) % 5 == 0) in got
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+    assert {r["score"] for r in quality.quality_scores(odd, labels.limit(0)).collect()} == {0.5}
+    assert quality.quality_scores(empty, labels).count() == 0
+    assert quality.good_documents(odd, labels).columns == odd.columns
+
+
+def test_scores_don_t_depend_on_ids(spark, docs, labels):
+    models = {"good": np.random.default_rng(0).normal(size=1 << ngrams.BITS).astype(np.float32)}
+    score = ngrams.scorer(models)
+    a = docs.select(score(F.col("text"))["scores"][0].alias("s"), "text")
+    assert a.groupBy("text").agg(F.countDistinct("s").alias("n")).filter("n > 1").count() == 0
+
+
+# ---- 7 pieces
+
+
+@pytest.fixture(scope="module")
+def processor():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
+
+
+def test_pieces_equal_the_library(processor):
+    enc = pieces.Encoder(pieces.PieceModel.load(queries.tokenizer_path()))
+    rng = random.Random(5)
+    signs = " ▁\n\taeinrst.🙂ß中<0x>é\x00​　"
+    tokens = "the and internationalization   aaaaaaaaaaaaa heheheheh ======== ..... <s> </s> <unk> <0x0A> Ünïcödé 12345".split(" ")
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["".join(rng.choice(tokens) + rng.choice(["", " ", "  "]) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    for text in texts:
+        want = processor.encode(text)
+        assert enc.encoded(text) == (",".join(map(str, want)), processor.decode(want)), repr(text)
+
+
+def test_piece_digests(odd, empty, docs, processor):
+    model = pieces.PieceModel.load(queries.tokenizer_path())
+    for frame in (odd, docs):
+        rows = frame.select("doc_id", "text").collect()
+        want = Counter()
+        for r in rows:
+            ids = processor.encode(r["text"] or "")
+            want[r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(processor.decode(ids).encode()).hexdigest()] += 1
+        assert Counter(tuple(r) for r in pieces.piece_digests(frame, model).collect()) == want
+    assert pieces.piece_digests(empty, model).count() == 0
+    with_ids = pieces.piece_digests(odd.filter("doc_id = 1"), model, ids=True).first()
+    assert with_ids["ids"] == processor.encode(ODD[0][1])
+
+
+# ---- 8 line rules
+
+
+def slow_counts(text):
+    text = text or ""
+    found = SPACES.findall(text)
+    windows = Counter(zip(found, found[1:], found[2:], strict=False))
+    marked = set()
+    for i in range(len(found) - 2):
+        if windows[tuple(found[i : i + 3])] > 1:
+            marked |= {i, i + 1, i + 2}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if SPACES.search(line):
+            dup += line in seen
+            seen.add(line)
+    n, repeat = len(found), len(marked)
+    return n, sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text)), dup, repeat, n < 50 or 100 * repeat > 50 * n
+
+
+def test_line_counts(odd, empty, docs, labels, spark):
+    for frame in (odd, docs):
+        want = Counter((r["doc_id"], *slow_counts(r["text"])) for r in frame.collect())
+        got = crf.line_verdicts(frame, labels).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == want
+        assert not any(r["kept"] and r["base_failed"] for r in got)
+    assert crf.line_verdicts(empty, labels).count() == 0
+    assert all(r["kept"] != r["base_failed"] for r in crf.line_verdicts(docs, labels.limit(0)).collect())
+
+
+def test_field_keeps_good_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    got = crf.line_verdicts(table(spark, folder, "documents"), table(spark, folder, "labels")).join(table(spark, folder, "labels"), "doc_id").filter("not base_failed").toPandas()
+    assert got[got["quality"] == 1]["kept"].mean() > 0.99 and got[got["quality"] == 0]["kept"].mean() < 0.1
+
+
+def test_viterbi_and_gradient():
+    rng = np.random.default_rng(0)
+    field = crf.Field(rng.normal(size=(crf.FEATURES, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    lengths = np.array([3, 0, 5, 1, 4])
+    x = rng.normal(size=(13, crf.FEATURES))
+    labels, at = crf.viterbi(field, x, lengths), 0
+
+    def score(f, s, y):
+        return f.starts[y[0]] + sum(s[i, k] for i, k in enumerate(y)) + sum(f.steps[a, b] for a, b in zip(y, y[1:], strict=False))
+
+    for n in lengths[lengths > 0]:
+        s = x[at : at + n] @ field.lines
+        assert tuple(labels[at : at + n]) == max(itertools.product((0, 1), repeat=int(n)), key=lambda y, s=s: score(field, s, y))
+        at += n
+    y, lengths = rng.integers(0, 2, 13), np.array([3, 5, 1, 4])
+
+    def likelihood(w):
+        f, at, total = crf.Field.of(w), 0, 0.0
+        for n in lengths:
+            s = x[at : at + n] @ f.lines
+            total += score(f, s, y[at : at + n]) - np.logaddexp.reduce([score(f, s, p) for p in itertools.product((0, 1), repeat=int(n))])
+            at += n
+        return total / 13
+
+    w = field.flat()
+    steps = np.eye(len(w)) * 1e-5
+    assert np.allclose(crf.gradient(field, x, y, lengths), [(likelihood(w + d) - likelihood(w - d)) / 2e-5 for d in steps], atol=1e-7)
+
+
+# ---- 9 nearest
+
+
+def test_nearest_recall(spark):
+    folder = "/root/testdata/sf0.1"
+    frame = table(spark, folder, "embeddings")
+    got = nearest.nearest_neighbours(frame).toPandas()
+    rows = frame.toPandas()
+    x, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        hits += len(set(ids[np.lexsort((ids, d))[:10]]) & set(part["vec_id"]))
+        part = part.sort_values("rank")
+        assert list(part["rank"]) == list(range(1, 11))
+        assert np.allclose(part["score"], [d[ids == v][0] for v in part["vec_id"]], rtol=1e-12)
+    assert got["query_id"].nunique() == (ids % 100 == 0).sum() and hits / len(got) >= 0.9
+
+
+def test_radius_finds_every_code():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 64))
+    coder = nearest.Coder.learned(x[:500])
+    index = nearest.Index(coder, np.arange(3000), x)
+    for q in range(0, 3000, 300):
+        assert list(index.within(index.codes[q])) == list(np.flatnonzero(np.bitwise_count(index.codes ^ index.codes[q]) <= coder.radius))
+
+
+def test_nearest_odd_cases(spark):
+    one, nan = [1.0, 0.0, 0.0], [float("nan"), 1.0, 0.0]
+    rows = [(0, one), (1, one), (1, one), (2, [0.0, 1.0, 0.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, nan), (6, [float("inf"), 0.0, 0.0]), (None, one), (7, [1.0]), (8, [None, 1.0, 0.0]), (9, []), (100, [0.0, 0.0, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({"query_id": F.lit(1), "ids": F.lit("x")})
+    got = [tuple(r) for r in nearest.nearest_neighbours(frame).orderBy("query_id", "rank").collect()]
+    assert [(q, k, v) for q, k, v, _ in got] == [(0, 1, 1), (0, 2, 1), (0, 3, 2), (0, 4, 100), (100, 1, 0), (100, 2, 1), (100, 3, 1), (100, 4, 2)]
+    assert got[0][3] == 0.0 and abs(got[3][3] - math.sqrt(5)) < 1e-12
+    assert nearest.nearest_neighbours(frame.limit(0)).count() == 0
+
+
+# ---- 10 language model
+
+
+def slow_model(rows):
+    one, three = Counter(), Counter()
+    for i, text in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            line = [1, 1, *words(text), None]
+            one.update(line[2:])
+            three.update(zip(line, line[1:], line[2:], strict=False))
+    n, v = sum(one.values()), len(one)
+    pair, after, cont, cont_all, cont_n = Counter(), Counter(), Counter(), Counter(), Counter()
+    for (a, b, c), k in three.items():
+        pair[a, b] += k
+        after[a, b] += 1
+        cont[b, c] += 1
+    for (b, _), k in cont.items():
+        cont_all[b] += k
+        cont_n[b] += 1
+
+    def p(a, b, c):
+        x = (one[c] + 1) / (n + v + 1)
+        if cont_all[b]:
+            x = max(cont[b, c] - 0.75, 0) / cont_all[b] + 0.75 * cont_n[b] / cont_all[b] * x
+        if pair[a, b]:
+            x = max(three[a, b, c] - 0.75, 0) / pair[a, b] + 0.75 * after[a, b] / pair[a, b] * x
+        return x
+
+    return one, n, v, p
+
+
+def test_lm_equals_brute_force(odd, empty, docs):
+    for frame in (docs, odd.filter("doc_id is null or doc_id <> 4")):
+        rows = [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()]
+        one, n, v, p = slow_model(rows)
+        want = sorted(((i is not None and zlib.crc32(str(i).encode()) % 7 == 2, words(t), i) for i, t in rows), key=lambda r: (r[2] or -1, r[1]))
+        got = sorted(lm.text_scores(frame).collect(), key=lambda r: (r["doc_id"] or -1, r["n_tokens"]))
+        assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"]) for r in got) == Counter((i, h, len(w) + 1, sum(one[x] > 0 for x in [*w, None])) for h, w, i in want)
+        exact = Counter()
+        for _, w, i in want:
+            line = [1, 1, *w, None]
+            exact[i] += sum(math.log10(p(*x)) for x in zip(line, line[1:], line[2:], strict=False))
+        base = Counter()
+        for _, w, i in want:
+            base[i] += sum(math.log10((one[x] + 1) / (n + v + 1)) for x in [*w, None])
+        scores, bases, size = Counter(), Counter(), Counter()
+        for r in got:
+            scores[r["doc_id"]] += r["score"]
+            bases[r["doc_id"]] += r["base_score"]
+            size[r["doc_id"]] += r["n_tokens"]
+            assert r["train_tokens"] == n
+        for i in exact:
+            assert abs(bases[i] - base[i]) < 1e-6 and abs(scores[i] - exact[i]) < 0.06 * size[i]
+        assert abs(sum(scores.values()) - sum(exact.values())) < 0.01 * sum(size.values())
+    assert lm.text_scores(empty).count() == 0
+
+
+def test_lm_long_text(odd):
+    got = {r["doc_id"]: r for r in lm.text_scores(odd).collect()}
+    assert got[4]["n_tokens"] == 80_001 and got[3]["n_tokens"] == 1
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(0)
+    for n, top in ((1, 1), (1, 1000), (5, 3), (1000, 10), (1000, 10**6), (70_000, 10**9), (70_000, 70_000)):
+        values = np.sort(rng.integers(0, top, n))
+        seq = eliasfano.EliasFano.of(values)
+        assert (seq.access(np.arange(n)) == values).all()
+        x = np.r_[rng.integers(0, top + 5, 2000), values[:50]]
+        at, hit = seq.successor(x)
+        assert (at == np.searchsorted(values, x)).all() and (hit == np.isin(x, values)).all()
+        assert seq.low.nbytes * 8 + seq.high.nbytes * 8 <= n * (2 + max(0, math.log2(max(top / n, 1)))) + 64 * 6 + n
+
+
+def test_packing():
+    rng = np.random.default_rng(0)
+    for top in (1, 200, 70_000, 2**33):
+        a, b = rng.integers(0, top, 1000), rng.integers(0, 9, 1000)
+        assert all((x == y).all() for x, y in zip(lm.unpack(lm.pack(a, b)), (a, b), strict=True))
+    pairs = np.unique(rng.integers(0, 50, (500, 2)), axis=0)
+    v, u = lm.summed(*lm.ascents(pairs[:, 0], pairs[:, 1]))
+    assert (v == pairs[:, 0]).all() and (u == pairs[:, 1]).all()
