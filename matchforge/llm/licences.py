@@ -2,12 +2,15 @@
 
 Whole texts and their single lines are compared. Only templates whose number of
 different bigrams lies within the bounds that the least coefficient allows are
-candidates. All of it is DataFrame functions over one row at a time: no shuffle,
+candidates. The same bounds say how many bigrams a match shares with a template
+at least, so some of a few words of it must stand in the text: texts without any
+of these are passed over unread. All of it is DataFrame functions over one row at a time: no shuffle,
 no join, and the templates are a constant of the plan.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -79,6 +82,28 @@ def size_bounds(size: int) -> tuple[int, int]:
     return next(n for n in range(1, size + 1) if 2 * n >= LEAST * (n + size)), max(n for n in range(size, 3 * size + 2) if 2 * size >= LEAST * (n + size))
 
 
+#: Words too common to tell a licence.
+COMMON = frozenset("a all and any at be by for in is not of on or that the this to under with".split())
+
+
+def needed_words(text: str) -> list[str]:
+    """Words of a template of which every match holds one: so few bigrams have none of them that a match can't do with those."""
+    own = {tuple(b.split(" ")) for b in template_bigrams(text)}
+    shared = math.ceil(LEAST / 2 * (size_bounds(len(own))[0] + len(own)))
+    found: list[str] = []
+    while len(own) >= shared:
+        found.append(max(sorted({w for b in own for w in b}), key=lambda w: (w not in COMMON, min(len(w), 6), sum(w in b for b in own), len(w))))
+        own = {b for b in own if found[-1] not in b}
+    return found
+
+
+def worth_reading(text: Column) -> Column:
+    """Does a text hold a word that some template's matches need?"""
+    every = sorted({w for t in TEMPLATES.values() for w in needed_words(t)})
+    words = F.array(*[F.lit(w) for w in every if not any(o != w and o in w for o in every)])
+    return bound(F.lower(text), lambda low: F.exists(words, lambda w: low.contains(w)))
+
+
 def templates() -> Column:
     """The templates as a constant array of structs."""
     found = []
@@ -100,7 +125,7 @@ def licence_lines(docs: DataFrame) -> DataFrame:
     """
     units = bound(F.split("text", "\n"), lambda w: F.concat(F.when(F.size(w) > 1, F.array("text")).otherwise(F.array(F.lit(None).cast("string"))), w))
     # Generators keep what they made: filters above them don't work out the bigrams or coefficients again.
-    sized = docs.select("doc_id", F.posexplode_outer(F.transform(units, bigrams)).alias("line_no", "own"))
+    sized = docs.filter(worth_reading(F.col("text"))).select("doc_id", F.posexplode_outer(F.transform(units, bigrams)).alias("line_no", "own"))
     bounds = [size_bounds(len(template_bigrams(t))) for t in TEMPLATES.values()]
     sized = sized.filter(F.size("own").between(min(a for a, _ in bounds), max(b for _, b in bounds)))
     n = F.size("own")
