@@ -7,7 +7,8 @@ if it is compatible with the one before it, falls back to the next shorter
 prefix token, and marks positions from which no way leads on in a bit field.
 
 Texts are cut where no piece can reach across: before a run of spaces, and
-around line ends. Units repeat a lot, so each Python worker remembers their ids.
+around line ends, and between a letter and a point if no piece has such a pair.
+Units repeat a lot, so each Python worker remembers their ids.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from matchforge.llm.common import slices, small_batches, tidied
 
 SPACE = "▁"
 #: Units that each of a worker's two generations of memory holds at most; a full young one becomes the old one.
-MEMORY = 125_000
+MEMORY = 220_000
 
 
 @dataclass
@@ -93,10 +94,12 @@ class Encoder:
         for piece in self.whole:
             self.automaton.add_word(piece, (len(piece), piece))
         self.automaton.make_automaton()
+        self.units = UNITS if any(map(TOGETHER.search, self.ids)) else FINER_UNITS
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memory: dict[str, str] = {}
         self.old: dict[str, str] = {}
         self.texts: dict[str, str] = {}
+        self.old_texts: dict[str, str] = {}
         self.shorter: dict[str, str] = {}
 
     def prefix(self, piece: str) -> str:
@@ -169,15 +172,20 @@ class Encoder:
         return "".join(out)
 
     def remember(self, unit: str) -> str:
-        """The ids of a unit that the young generation doesn't hold."""
+        """The ids of a unit; `texts` gets what they decode to where that differs."""
+        found = self.memory.get(unit)
+        if found is not None:
+            return found
         if len(self.memory) >= MEMORY:
             self.old, self.memory = self.memory, {}
-            self.texts.clear()  # filled again with what follows
+            self.old_texts, self.texts = self.texts, {}
         found = self.old.get(unit)
         if found is None:
-            found = ",".join(map(str, self.unit(unit.replace(" ", SPACE))))
+            ids = self.unit(unit.replace(" ", SPACE))
+            found, text = ",".join(map(str, ids)), self.decoded(ids)
+        else:
+            text = self.old_texts.get(unit, unit)
         self.memory[unit] = found
-        text = self.decoded(list(map(int, found.split(","))))
         if text != unit:
             self.texts[unit] = text
         return found
@@ -186,18 +194,23 @@ class Encoder:
         """Ids in decimal, joined by commas, and the text that they decode to."""
         if not text:
             return "", ""
-        units = UNITS.findall(" " + text.replace(SPACE, " "))
-        parts = []
-        back = []
+        units = self.units.findall(" " + text.replace(SPACE, " "))
+        memory, parts = self.memory, []
         for u in units:
-            got = self.memory.get(u)
+            got = memory.get(u)
             parts.append(got if got is not None else self.remember(u))
-            back.append(self.texts.get(u, u) if self.texts else u)
-        back = "".join(back)
+        if self.texts or self.old_texts:
+            units = [self.texts.get(u) or self.old_texts.get(u, u) for u in units]
+        back = "".join(units)
         return ",".join(parts), back[1:]
 
 
+#: Units of text: line ends, and runs of spaces with the word after them.
 UNITS = re.compile(r"\n| *[^ \n]+| +")
+#: The same, cut between a Latin letter and a point or comma too, where no piece has the two side by side.
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+FINER_UNITS = re.compile(rf"\n|(?: *(?:[^ \n.,]|(?<!{LETTER})[.,])|[.,])(?:[^ \n.,]+|(?<!{LETTER})[.,])*| +")
+TOGETHER = re.compile(rf"{LETTER}[.,]")
 #: One encoder for each model in a Python worker; workers live on between tasks.
 _ENCODERS: dict[str, Encoder] = {}
 
