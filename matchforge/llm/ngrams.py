@@ -117,7 +117,7 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE, pairs: bool = T
             w = ftrl(vectors, np.array([dict(entries(m)).get(name, 0.0) for m in part["marks"]]))
             at = np.flatnonzero(w)
             out.append(pd.DataFrame({"class": name, "place": at, "weight": w[at]}))
-        return pd.concat([pd.DataFrame({"class": ["" for _ in out], "place": [-1 for _ in out], "weight": [1.0 for _ in out]}), *out])[: None if out else 0]
+        return pd.concat(out)  # each row has marks, so there is a class
 
     def entries(m) -> list:
         return list(m.items()) if isinstance(m, dict) else list(m)
@@ -125,10 +125,12 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE, pairs: bool = T
     dealt = chosen.withColumn("order", F.xxhash64("doc_id")).groupBy(F.pmod("order", F.lit(SHARDS)).alias("shard"))
     got = dealt.applyInPandas(train, "class string, place int, weight double")
     models: dict[str, np.ndarray] = {}
-    means = got.groupBy("class", "place").agg((F.sum("weight") / SHARDS).alias("weight")).toPandas()
-    for name, part in means[means["place"] >= 0].groupby("class"):
+    means = got.groupBy("class", "place").agg((F.sum("weight") / SHARDS).cast("float").alias("weight")).toArrow()
+    names = means.column("class").combine_chunks().dictionary_encode()
+    of, places, weights = names.indices.to_numpy(), means.column("place").to_numpy(), means.column("weight").to_numpy()
+    for k, name in enumerate(names.dictionary.to_pylist()):
         models[name] = np.zeros(1 << BITS, np.float32)
-        models[name][part["place"].to_numpy()] = part["weight"].to_numpy()
+        models[name][places[of == k]] = weights[of == k]
     return models
 
 
