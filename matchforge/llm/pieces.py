@@ -27,7 +27,7 @@ from matchforge.llm.common import slices, small_batches, tidied
 
 SPACE = "▁"
 #: Units that each of a worker's two generations of memory holds at most; a full young one becomes the old one.
-MEMORY = 220_000
+MEMORY = 150_000
 
 
 @dataclass
