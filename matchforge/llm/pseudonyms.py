@@ -4,7 +4,11 @@ Each value becomes another value of its own format: a card number another one
 with a right check digit, a date another date written the same way. The
 permutation depends on the key, the kind and the format only, so equal values
 stay equal in all documents, different ones stay different, and the holder of
-the key can turn them back. What doesn't validate is left alone.
+the key can turn them back. What doesn't validate is left alone. Of digits in
+groups, the first and shortest groups that validate are the card, so numbers
+before or after it don't hide it; where the pseudonym would make earlier groups
+validate too, it is permuted once more. Dates with slashes are read month first,
+and day first where that is no date.
 """
 
 from __future__ import annotations
@@ -30,15 +34,21 @@ KINDS = re.compile(
     |(?P<email>(?<![\w.+-])[\w.+-]*\w@(?=[\w-]+(?:\.[\w-]+)+))
     |(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))
     |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?!\w))
-    |(?P<iso>(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-]))
+    |(?P<iso>(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=[Tt][0-9]{2})|(?![\w-])))
     |(?P<day>(?<![\w.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?!\w|\.[0-9]))
     |(?P<month>(?<![\w/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![\w/]))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-    |(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))""",
+    |(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?!\w|-(?![0-9])))""",
     re.VERBOSE,
 )
+CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}(?!\w|-(?![0-9]))")
 ANY = re.compile(r"[0-9@]|[0-9a-f]{32}")
 DIGITS = re.compile(r"[0-9]")
+#: What a number that doesn't validate is passed over by: another one may begin after its first digits.
+LEAD = re.compile(r"\+?[0-9]+")
+GROUP_END = re.compile(r"(?<=[0-9])(?![0-9])")
+#: Digits of a card at least and at most, and the signs of the longest one with separators.
+CARD_DIGITS, CARD_SIGNS = range(13, 20), 37
 #: Signs that email names are made of, by class; a sign stays within its class.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 CLASS_OF = {c: (k, i) for k, signs in enumerate(CLASSES) for i, c in enumerate(signs)}
@@ -88,8 +98,8 @@ class Pseudonyms:
             return f"{x:0{n}x}"
         return f"{x:0{n}d}"
 
-    def date(self, parts: list[str], order: tuple[int, int, int], kind: str) -> list[str] | None:
-        """Another date written the same way: places that show a leading zero or its lack stay below ten."""
+    def date(self, parts: list[str], order: tuple[int, int, int], kind: str, least_day: int = 1) -> list[str] | None:
+        """Another date written the same way, from `least_day` of its month on: places that show a leading zero or its lack stay below ten."""
         year, month, day = (int(parts[i]) for i in order)
         try:
             n = datetime.date(year, month, day).toordinal()
@@ -104,7 +114,7 @@ class Pseudonyms:
             new = list(parts)
             for i, x, bare in zip(order, (d.year, d.month, d.day), (False, style[0] == "b", style[1] == "b"), strict=True):
                 new[i] = str(x) if bare else f"{x:02d}"
-            if self.style(new, order) == style:
+            if self.style(new, order) == style and d.day >= least_day:
                 return new
 
     @staticmethod
@@ -120,10 +130,14 @@ class Pseudonyms:
         if kind == "secret":
             return self.of(text, 16, kind)
         if kind == "card":
-            if check_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+            if not valid_card(digits):
                 return None
-            new = self.of(digits[:-1], 10, kind)
-            return refilled(text, new + check_digit(new))
+            while True:  # walk on to a number of which no shorter groups validate
+                new = self.of(digits[:-1], 10, kind)
+                digits = new + check_digit(new)
+                new = refilled(text, digits)
+                if first_card(new) == new:
+                    return new
         if kind == "ip":
             parts = [int(x) for x in text.split(".")]
             if max(parts) > 255 or any(str(p) != x for p, x in zip(parts, text.split("."), strict=True)):
@@ -148,6 +162,8 @@ class Pseudonyms:
         order = {"iso": (0, 1, 2), "day": (2, 1, 0), "month": (2, 0, 1)}[kind]
         parts = re.split(r"[-./]", text)
         new = self.date(parts, order, kind)
+        if new is None and kind == "month":  # day first: these days are no months, so the pseudonym is read so too
+            new = self.date(parts, (2, 1, 0), "slashed day", 13)
         return text[len(parts[0])].join(new) if new else None
 
     def name(self, text: str) -> str:
@@ -171,15 +187,41 @@ class Pseudonyms:
         """The text with its values replaced, and how many were."""
         if not text or not ANY.search(text):
             return text, 0
-        n = 0
-
-        def replace(m: re.Match) -> str:
-            nonlocal n
-            new = self.value(m.lastgroup, m[0])
-            n += new is not None
-            return m[0] if new is None else new
-
-        return KINDS.sub(replace, text), n
+        done: list[str] = []
+        tried: list[int] = []  # where digits begin that are no card
+        n = at = start = 0
+        while m := KINDS.search(text, start):
+            kind = m.lastgroup
+            old = first_card(m[0]) if kind == "card" else m[0]
+            new = None if old is None else self.value(kind, old)
+            if new is None:
+                if kind == "card":
+                    tried.append(m.start())
+                start = LEAD.match(m[0]).end() + m.start() if kind in ("card", "phone") else m.end()
+                continue
+            start = m.start() + len(old)
+            if kind == "card":
+                before = [text[i : m.start()] for i in tried if m.start() - i < CARD_SIGNS]
+                while any(first_card(b + new + text[start : start + CARD_SIGNS]) for b in before):
+                    new = self.value(kind, new)
+            done += [text[at : m.start()], new]
+            at = start
+            n += 1
+        return "".join([*done, text[at:]]), n
+
+
+def first_card(text: str) -> str | None:
+    """The shortest groups of digits from the beginning of a text on that are a card number."""
+    m = CARD.match(text)
+    for end in GROUP_END.finditer(m[0] if m else ""):
+        digits = "".join(DIGITS.findall(m[0][: end.start()]))
+        if len(digits) in CARD_DIGITS and valid_card(digits):
+            return m[0][: end.start()]
+    return None
+
+
+def valid_card(digits: str) -> bool:
+    return check_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
 
 
 def valid_ssn(digits: str) -> bool:

@@ -248,6 +248,19 @@ def test_invalid_values_stay():
     assert pseudonyms.Pseudonyms(b"key").text(text) == (text, 0)
 
 
+@pytest.mark.parametrize("text", [
+    "4111 1111 1111 1111 12/27", "4111111111111111 123", "4111111111111111-12/27", "4111-1111-1111-1111-1234", "12 4111 1111 1111 1111", "+1 4111 1111 1111 1111",
+    "12 123-45-6789 4111 1111 1111 1111", "2024-01-05T10:00:00Z", "25/12/1980", "né le 31/1/1999", "4111 1111 1111 1111 5500 0000 0000 0004 123",
+])
+def test_values_beside_other_numbers(text):
+    for key in (b"%d" % k for k in range(40)):
+        new, n = pseudonyms.Pseudonyms(key).text(text)
+        assert n and pseudonyms.Pseudonyms(key, True).text(new) == (text, n)
+        assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", text)
+        for value in ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "5500 0000 0000 0004", "123-45-6789", "2024-01-05", "25/12/1980", "31/1/1999"):
+            assert value not in new
+
+
 def test_pseudonyms_link_documents(odd, empty, docs):
     got = pseudonyms.pseudonymized(docs, b"k")
     turned = pseudonyms.pseudonymized(got, b"k", back=True)
