@@ -13,8 +13,10 @@ from matchforge.llm.common import shared_dir
 from matchforge.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Tokens wanted of the mixture, as a multiple of what comes in: enough that targets are met by repeating, not by leaving out.
+#: Tokens wanted of the mixture at least, as a multiple of what comes in. Targets are met by repeating, not by leaving
+#: out: no rate is below one, and the budget grows where a language has more than that share of it.
 BUDGET = 1.2
+LEAST_RATE = 1.0
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +45,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its fitted rate says."""
+    """Each document as often as its fitted rate says, once at least; languages without a target stay as they are."""
     labelled = queries.domains(docs, table(spark, sf_dir, "labels"))
-    return mixture.mixed(docs, labelled, queries.TARGETS, BUDGET).select(*COLUMNS)
+    return mixture.mixed(docs, labelled, queries.TARGETS, BUDGET, LEAST_RATE).select(*COLUMNS)
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

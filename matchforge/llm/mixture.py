@@ -55,24 +55,38 @@ def with_posteriors(docs: DataFrame, labelled: DataFrame) -> tuple[DataFrame, li
     return scored.withColumn("n_tokens", F.col("__scored.n_words")).withColumn("posterior", posterior).drop("__scored"), names
 
 
-def rates(start: float, steps: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Rates of documents with posteriors `p` after all steps: each is carried on by momentum and cut at zero."""
+def rates(start: float, steps: np.ndarray, p: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Rates of documents with posteriors `p` after all steps: each is carried on by momentum and cut at `least`."""
     before = now = at = np.full(len(p), start)
     for k, step in enumerate(steps):
-        before, now = now, np.maximum(0.0, at - p @ step)
-        at = np.maximum(0.0, now + k / (k + 3) * (now - before))
+        before, now = now, np.maximum(least, at - p @ step)
+        at = np.maximum(least, now + k / (k + 3) * (now - before))
     return at
 
 
-def fitted(docs: DataFrame, domains: list[str], targets: dict[str, float], budget: float) -> tuple[float, np.ndarray, np.ndarray]:
+def kept_whole(share: np.ndarray, target: np.ndarray, budget: float, least: float) -> tuple[float, np.ndarray]:
+    """The budget, raised until targets can be met with rates of `least` and more, and the shares wanted of it.
+
+    Domains without a target are wanted as often as `least` says; the targets
+    share out the rest.
+    """
+    other = np.where(target > 0, 0.0, share * least)
+    if not target.any():
+        return max(budget, least), share
+    budget = max(budget, other.sum() + least * (share[target > 0] / target[target > 0]).max())
+    return budget, (other + target / target.sum() * (budget - other.sum())) / budget
+
+
+def fitted(docs: DataFrame, domains: list[str], targets: dict[str, float], budget: float, least: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
     """Start rate, steps and reached shares for documents with n_tokens and posterior.
 
     `targets` are weights of domains (made to sum to 1 over those that there are);
     `budget` is the wanted tokens as a multiple of all tokens. Minimised is the
     squared distance of the domains' shares from the targets, weighed by the
     inverse of their Gram matrix, for which a full step is the right length;
-    momentum helps where many rates are cut at zero. Ends when all shares are met,
-    when they no longer move, or after `PASSES`.
+    momentum helps where many rates are cut. Ends when all shares are met, when
+    they no longer move, or after `PASSES`. With `least` above zero no rate is
+    smaller: the budget grows as `kept_whole` says.
     """
     k = len(domains)
     want = np.array([targets.get(d, 0.0) for d in domains])
@@ -82,10 +96,14 @@ def fitted(docs: DataFrame, domains: list[str], targets: dict[str, float], budge
     first = docs.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * p[i] * p[j]) for i, j in pairs]).first()
     total = float(first[0] or 0)
     if total == 0:
-        return budget, np.zeros((0, k)), np.zeros(k)
+        return max(budget, least), np.zeros((0, k)), np.zeros(k)
     gram = np.zeros((k, k))
     for (i, j), x in zip(pairs, first[1:], strict=True):
-        gram[i, j] = gram[j, i] = x / total / budget
+        gram[i, j] = gram[j, i] = x / total
+    if least > 0:
+        given = np.array([max(targets.get(d, 0.0), 0.0) for d in domains])
+        budget, want = kept_whole(gram.sum(axis=1), given / (given.sum() or 1), budget, least)
+    gram /= budget
     inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
     steps = np.zeros((0, k))
     reached = np.zeros(k)
@@ -95,7 +113,7 @@ def fitted(docs: DataFrame, domains: list[str], targets: dict[str, float], budge
             out = np.zeros(k)
             for batch in batches:
                 own = batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                out += own.T @ (rates(budget, steps, own) * batch.column("n_tokens").to_numpy(zero_copy_only=False))
+                out += own.T @ (rates(budget, steps, own, least) * batch.column("n_tokens").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(out)], names=["domain", "tokens"])
 
         got = docs.select("n_tokens", "posterior").mapInArrow(sums, "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect()
@@ -109,36 +127,37 @@ def fitted(docs: DataFrame, domains: list[str], targets: dict[str, float], budge
     return budget, steps, reached
 
 
-def rate_column(start: float, steps: np.ndarray) -> Column:
+def rate_column(start: float, steps: np.ndarray, least: float = 0.0) -> Column:
     """The rate of a document with column posterior."""
     width = steps.shape[1]
 
     @F.arrow_udf("double")
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in batches:
-            yield pa.array(rates(start, steps, part.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)))
+            yield pa.array(rates(start, steps, part.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), least))
 
     return rate(F.col("posterior"))
 
 
-def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0) -> DataFrame:
+def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, least: float = 0.0) -> DataFrame:
     """`docs` with n_tokens, posterior (in the order of the sorted domains) and rate.
 
     Null and empty texts have no tokens, the posteriors of the constant, and a
     rate like any other; texts count whole; repeated rows get equal rates; an
     empty table stays empty; all other columns stay, and columns named n_tokens,
     posterior or rate are overwritten. Targets out of reach are met as nearly as
-    nonnegative rates can.
+    rates of `least` and more can; with `least` above zero the budget grows until
+    they are in reach, and domains without a target are wanted at that rate.
     """
     scored, domains = with_posteriors(docs, labelled)
     scored = stored(scored, "posteriors")
-    start, steps, _ = fitted(scored, domains, targets, budget)
-    return scored.withColumn("rate", rate_column(start, steps))
+    start, steps, _ = fitted(scored, domains, targets, budget, least)
+    return scored.withColumn("rate", rate_column(start, steps, least))
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, least: float = 0.0) -> DataFrame:
     """Rows of `docs`, each as often as its rate says: the whole part, and once more by a hash of its id with the rest as chance."""
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("mixture")), F.lit(1 << 24)) / float(1 << 24)
     times = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")
-    chosen = with_rates(docs, labelled, targets, budget).withColumn("__times", times.cast("int")).filter("__times > 0")
+    chosen = with_rates(docs, labelled, targets, budget, least).withColumn("__times", times.cast("int")).filter("__times > 0")
     return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

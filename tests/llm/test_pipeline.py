@@ -1,13 +1,15 @@
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 from test_operators import slow_components, slow_fingerprint
 
 import corpus_pipeline
-from matchforge.llm import pseudonyms, quality, queries
+from matchforge.llm import mixture, pseudonyms, quality, queries
 from matchforge.sources.shared import stored
 from matchforge.sources.tables import table
 
@@ -54,6 +56,29 @@ def test_mixture_stage(steps):
     assert 0.7 < tokens / sum(size.values()) / corpus_pipeline.BUDGET < 1.4
 
 
+def test_mixture_stage_keeps_every_document(spark):
+    """A language at 90 % of the tokens, and a fifth one without a target."""
+    rng = random.Random(3)
+    labelled = [r["doc_id"] for r in table(spark, SMALL, "labels").select("doc_id").distinct().orderBy("doc_id").limit(80).collect()]
+    langs = ["de", "fr", "es"] * 2 + ["it"] * 4 + ["en"] * 90
+    ids = labelled + list(range(10**6, 10**6 + len(langs) - len(labelled)))
+    texts = [" ".join(f"{lang}{rng.randrange(20)}" for _ in range(40)) for lang in langs]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in zip(ids, texts, langs, strict=True)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r["doc_id"] for r in STAGE["mixture"](spark, docs, SMALL).collect()} == set(ids)
+
+
+def test_rates_of_one_and_more_meet_targets(spark):
+    domains = ["de", "en", "es", "fr", "it"]
+    own = [1] * 90 + [0, 2, 3] * 2 + [4] * 4
+    p = np.eye(5)[own]
+    frame = spark.createDataFrame([(10, row.tolist()) for row in p], "n_tokens bigint, posterior array<double>")
+    start, steps, reached = mixture.fitted(frame, domains, queries.TARGETS, corpus_pipeline.BUDGET, corpus_pipeline.LEAST_RATE)
+    rates = mixture.rates(start, steps, p, corpus_pipeline.LEAST_RATE)
+    assert rates.min() >= 1 and abs(rates[own.index(4)] - 1) < 1e-3
+    tokens = p.T @ rates
+    assert np.allclose(tokens[:4] / tokens[:4].sum(), [queries.TARGETS[k] for k in domains[:4]], atol=1e-3)
+
+
 def test_piece_stage(steps):
     import sentencepiece
 
