@@ -51,7 +51,11 @@ PLAIN = re.compile(r"[^\"'>]*")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+#: What a style sheet's braces are looked for without: comments and strings.
+ASIDE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.DOTALL)
+BRACE = re.compile(r"([^{}]*)([{}]|\Z)")
+SHOWS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)([^;]*)", re.IGNORECASE)
+EVERYWHERE = frozenset(["", "all", "screen", "only all", "only screen"])
 SIMPLE = re.compile(r"[.#]?[\w-]+")
 
 
@@ -69,11 +73,39 @@ class Node:
         return found
 
 
-def tree(html: str) -> tuple[Node, set[str]]:
-    """The element tree, and the simple selectors that style sheets hide."""
+def everywhere(media: str) -> bool:
+    """Does a list of media queries take in every screen?"""
+    return any(" ".join(q.lower().split()) in EVERYWHERE for q in media.split(","))
+
+
+def rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of a style sheet, without those in @-blocks that depend on a medium or another condition."""
+    path: list[list] = []  # what is open: the selectors, "" for an @-block; whether it counts; the declarations so far
+    for m in BRACE.finditer(ASIDE.sub(" ", sheet)):
+        text, sign = m.groups()
+        if sign == "{":
+            before, _, head = text.rpartition(";")
+            head = head.strip()
+            if path and path[-1][0]:
+                path[-1][2] += before + ";"
+            counts = not path or path[-1][1] and not path[-1][0]  # nested rules have no simple selector
+            if head.startswith("@"):
+                name, _, condition = head.replace("(", " (", 1).partition(" ")
+                path.append(["", counts and (name.lower() == "@layer" or name.lower() == "@media" and everywhere(condition)), ""])
+            else:
+                path.append([head, counts, ""])
+        elif path:
+            head, counts, own = path.pop()
+            if head and counts:
+                yield head, own + text
+
+
+def tree(html: str) -> tuple[Node, dict[str, dict[str, tuple]]]:
+    """The element tree, and what style sheets say of display and visibility: by simple selector, (important, place, is hidden)."""
     root = Node("#root")
     path = [root]
-    hidden: set[str] = set()
+    hidden: dict[str, dict[str, tuple]] = {}
+    n_said = 0
     at, end = 0, len(html)
 
     def text(part: str) -> None:
@@ -139,9 +171,14 @@ def tree(html: str) -> tuple[Node, set[str]]:
                 j = html.find(">", m.end()) if m else -1
                 at = end if j < 0 else j + 1
                 if name == "style":
-                    for rule in RULE.finditer(inner):
-                        if NOT_SHOWN.search(rule[2]):
-                            hidden |= {s.strip().lower() for s in rule[1].split(",") if SIMPLE.fullmatch(s.strip())}
+                    for selectors, declared in rules(inner) if everywhere(node.get().get("media", "")) else ():
+                        for said in SHOWS.finditer(declared):
+                            n_said += 1
+                            new = ("!important" in said[3].lower().replace(" ", ""), n_said, said[2].lower() in ("none", "hidden", "collapse"))
+                            for s in selectors.split(","):
+                                if SIMPLE.fullmatch(s.strip()):
+                                    of = hidden.setdefault(s.strip().lower(), {})
+                                    of[said[1].lower()] = max(new, of.get(said[1].lower(), new))
                 else:
                     node.children.append(unescape(inner) if name in ("textarea", "title") else inner)
             elif name not in VOID and len(path) < DEEP:
@@ -155,7 +192,7 @@ def tree(html: str) -> tuple[Node, set[str]]:
 class Layout:
     """Lines of text with pending spaces and block breaks."""
 
-    def __init__(self, hidden: set[str]):
+    def __init__(self, hidden: dict[str, dict[str, tuple]]):
         self.hidden = hidden
         self.lines: list[str] = []
         self.line: list[str] = []
@@ -165,17 +202,24 @@ class Layout:
         self.space = False
 
     def visible(self, node: Node) -> bool:
-        if node.name in HIDDEN or node.name in self.hidden:
+        if node.name in HIDDEN:
             return False
         if not node.attributes:
-            return node.name != "dialog"
+            return node.name != "dialog" and not (node.name in self.hidden and self.styled_away(node.name, {}))
         a = node.get()
         if "hidden" in a or NOT_SHOWN.search(a.get("style", "")) or node.name == "dialog" and "open" not in a:
             return False
-        if self.hidden and (f"#{a.get('id', '').lower()}" in self.hidden or any(f".{c.lower()}" in self.hidden for c in a.get("class", "").split())):
+        if self.hidden and self.styled_away(node.name, a):
             return False
         return not (node.name == "input" and a.get("type", "").lower() == "hidden")
 
+    def styled_away(self, name: str, a: dict[str, str]) -> bool:
+        """Do the style sheets hide an element? Important ones count first, then ids, classes and names, then later ones."""
+        selectors = [(0, name), *((1, f".{c.lower()}") for c in a.get("class", "").split()), (2, f"#{a.get('id', '').lower()}")]
+        said = [(prop, (x[0], weight, *x[1:])) for weight, s in selectors for prop, x in self.hidden.get(s, {}).items()]
+        said += [(m[1].lower(), (False, 3, 0, False)) for m in SHOWS.finditer(a.get("style", ""))] if said else []
+        return any(x[-1] for x in {prop: max(y for p, y in said if p == prop) for prop, _ in said}.values())
+
     def flush(self) -> None:
         if self.line:
             if self.gap and self.lines and self.lines[-1]:

@@ -209,6 +209,17 @@ def test_visible_text():
     assert pages.visible_text(page).split("\n") == ["Hi bold & co", "", "One", "", "Two x y", "z", "", "- a", "- b", "  - c", "", "3. x", "", "Name   Qty", "Apple  3", "", "a", "  b", "", "link"]
 
 
+@pytest.mark.parametrize(("sheet", "shown"), [
+    ("@media print { .a { display: none } }", True), ("@media (max-width: 600px) { .a { display: none } p { margin: 0 } }", True), ("@supports (display: grid) { .a { display: none } }", True),
+    ("@media screen { .a { display: none } }", False), ("@media print, screen { .a { display: none } }", False), ("@media print { .b { color: red } } .a { display: none }", False),
+    (".a { display: none } .a { display: block }", True), (".a { display: none !important } .a { display: block }", False), ("div { display: none } .a { display: block }", True),
+    (".a { display: none } div { display: block }", False), ("@import 'x.css'; .a { display: none }", False), ("/* } .a { display: none } */", True), (".a { display: none", False),
+])
+def test_style_sheets(sheet, shown):
+    assert pages.visible_text(f'<style>{sheet}</style><div class="a">x</div>') == ("x" if shown else "")
+    assert pages.visible_text(f'<style media="print">{sheet}</style><div class="a">x</div>') == "x"
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "</", "<!--", "<a href='", "<div>" * 3000 + "x", "<li>" * 3000, "<table><td>x<table><td>y", "a" * 300_000, "<b>" * 20_000, "<x y=\"" * 2000])
 def test_broken_pages(page):
     assert isinstance(pages.visible_text(page), str)
