@@ -97,11 +97,19 @@ FROM (SELECT * FROM raw WHERE row_id <> query_id QUALIFY row_number() OVER (PART
 ranks AS (SELECT q.query_id, coalesce(min(place) FILTER (WHERE slug = q.gold::VARCHAR), -1) AS rank FROM q LEFT JOIN others o ON o.query_id = q.query_id GROUP BY q.query_id)"""
 
 
+def others_best(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """The nearest row of each key but the query's own row, at any depth: rows that are queries are kept apart from their keys until it is left out."""
+    asked = F.broadcast(queries.select(F.col("query_id").alias("row_id"), F.lit(True).alias("asked")))
+    apart = index.join(asked, "row_id", "left").withColumn("slug", F.when(F.col("asked"), F.concat("slug", F.lit("\x01"), "row_id")).otherwise(F.col("slug")))
+    found = knn.best_by_key(apart, queries).filter("row_id <> query_id").withColumn("slug", F.substring_index("slug", "\x01", 1))
+    best = F.max_by(F.struct("row_id", "cv"), F.struct("cv", -F.col("row_id")))
+    return found.groupBy("query_id", "slug").agg(best.alias("r")).select("query_id", "slug", "r.row_id", "r.cv")
+
+
 def gold_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each query's own key among the others' nearest rows; -1 if it isn't there."""
     queries = query_rows(spark, sf_dir)
-    rows = knn.top_rows(index_rows(spark, sf_dir), queries, 400).filter("row_id <> query_id and slug is not null")
-    first = rows.groupBy("query_id", "slug").agg(F.min_by(F.struct("row_id", "cv"), "rank").alias("r")).select("query_id", "slug", "r.row_id", "r.cv")
+    first = others_best(index_rows(spark, sf_dir), queries)
     gold = queries.select("query_id", "gold").join(knn.placed(first), ["query_id"], "left").filter("slug = gold").select("query_id", "place")
     return queries.select("query_id").join(gold, "query_id", "left").select("query_id", F.coalesce("place", F.lit(-1)).alias("rank"))
 
@@ -125,8 +133,7 @@ def recall_gain_loss_vs_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two views against one: queries won and lost at the first place."""
     both = gold_ranks(spark, sf_dir)
     queries = query_rows(spark, sf_dir)
-    rows = knn.top_rows(index_rows(spark, sf_dir).filter("view = 0"), queries, 400).filter("row_id <> query_id and slug is not null")
-    first = rows.groupBy("query_id", "slug").agg(F.min_by(F.struct("row_id", "cv"), "rank").alias("r")).select("query_id", "slug", "r.row_id", "r.cv")
+    first = others_best(index_rows(spark, sf_dir).filter("view = 0"), queries)
     gold = queries.join(knn.placed(first), "query_id").filter("slug = gold").select("query_id", F.col("place").alias("base"))
     pairs = both.join(gold, "query_id", "left").withColumn("base", F.coalesce("base", F.lit(-1)))
     return pairs.agg(

@@ -3,7 +3,7 @@ from conftest import SMALL
 from oracle import connect, rows
 
 import __spark_entry__ as entry
-from matchforge.plans import registry
+from matchforge.plans import registry, vectors
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,12 @@ def test_partitions_change_nothing(spark, name):
         assert rows(registry.QUERIES[name](spark, SMALL).toPandas()) == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_gold_ranks_behind_a_hot_key(spark, monkeypatch):
+    """500 rows of one key are nearer than the query's own key."""
+    rows = [(0, "g", 0, [1.0, 0.0]), (1, "g", 1, [0.5, 0.0])] + [(i, "h", i % 2, [0.9, 0.0]) for i in range(2, 502)]
+    index = spark.createDataFrame(rows, "row_id bigint, slug string, view bigint, embedding array<double>")
+    monkeypatch.setattr(vectors, "index_rows", lambda *_: index)
+    monkeypatch.setattr(vectors, "query_rows", lambda *_: index.filter("row_id = 0").selectExpr("row_id AS query_id", "slug AS gold", "embedding"))
+    assert [tuple(r) for r in vectors.gold_ranks(spark, SMALL).collect()] == [(0, 1)]
