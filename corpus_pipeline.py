@@ -25,17 +25,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; one row of it if it repeats.
+    """One row of each group of near-duplicates, the one with the smallest id; rows, not ids, are what is kept.
 
-    Documents without id are kept: no other row can stand for them.
+    Shingles have five words; SimHash estimates a similarity of 0.8 and more.
     """
-    member = simhash.near_duplicates(docs).select("doc_id", "component_id")
-    kept = member.filter("doc_id = component_id").select("doc_id").distinct()
-    found = docs.join(kept, "doc_id", "left_semi")
-    again = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = found.join(again, "doc_id", "left_anti").select(*COLUMNS)
-    least = found.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    return once.unionByName(least.select("doc_id", "row.*")).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    return simhash.one_of_each(docs.select(*COLUMNS), simhash.SIMILAR)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,40 +162,81 @@ def slow_components(ids, fps):
     return [least.get(find(i)) for i in range(len(fps))]
 
 
+def slow_links(fps, kind):
+    """Components of fingerprints as rows of 64-bit words, all pairs compared."""
+    apart = np.bitwise_count(fps[:, None] ^ fps[None])
+    return np.nonzero(np.triu((apart[:, :, 0] <= kind.distance) & (apart.sum(axis=2) <= kind.in_all), 1))
+
+
 def test_simhash_equals_brute_force(spark, odd, empty, docs):
     for frame in (odd, docs):
         rows = frame.select("doc_id", "text").collect()
-        fps = [slow_fingerprint(r["text"][:5_000] if r["text"] and len(r["text"]) > 100_000 else r["text"]) for r in rows]
-        fps = [simhash.fingerprint(r["text"].encode()) if r["text"] and len(r["text"]) > 100_000 else f for r, f in zip(rows, fps, strict=True)]
+        fps = [slow_fingerprint(r["text"]) for r in rows]
         want = Counter(zip((r["doc_id"] for r in rows), (f"{f:016x}" for f in fps), slow_components([r["doc_id"] for r in rows], fps), strict=True))
         assert Counter(tuple(r) for r in simhash.near_duplicates(frame).collect()) == want
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_anchors_find_every_link():
+def planted_fingerprints(halves):
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 150, dtype=np.int64).astype(np.uint64)
+    base = rng.integers(0, 2**63, (120, halves), dtype=np.int64).astype(np.uint64)
     groups = [base]
-    for flips in range(1, 7):
-        x = base[rng.integers(0, 150, 120)].copy()
+    for flips in range(1, 14):
+        x = base[rng.integers(0, 120, 40)].copy()
         for _ in range(flips):
-            x ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
+            x[:, 0] ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
+            x[:, -1] ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
         groups.append(x)
-    hot = np.full(600, base[0])
+    hot = np.repeat(base[:1], 600, axis=0)
     for _ in range(3):
-        hot = hot ^ (np.uint64(1) << rng.integers(0, 64, len(hot)).astype(np.uint64))
-    fps = np.unique(np.concatenate([*groups, hot]))
-    anchors, who = simhash.replicas(fps)
-    order = np.argsort(anchors, kind="stable")
-    a, b = simhash.compared(anchors[order], who[order])
-    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+        hot[:, 0] ^= np.uint64(1) << rng.integers(0, 64, len(hot)).astype(np.uint64)
+    return np.unique(np.concatenate([*groups, hot]), axis=0)
+
+
+@pytest.mark.parametrize("kind", [simhash.Kind(), simhash.SIMILAR])
+@pytest.mark.parametrize("parts", [2, 3, 4, 6])
+@pytest.mark.parametrize("part", [50, simhash.PART])
+def test_every_cover_finds_every_link(spark, monkeypatch, kind, parts, part):
+    """Also with hot anchors in parts of 50 rows."""
+    if not 1 <= kind.distance // parts <= 3:
+        pytest.skip("not a cover that is used")
+    monkeypatch.setattr(simhash, "PART", part)
+    fps = planted_fingerprints(kind.halves)
+    names = [f.astype(">u8").tobytes() for f in fps]
+    i, j = slow_links(fps, kind)
+    frame = spark.createDataFrame([(n,) for n in names], "fp binary")
+    got = simhash.fingerprint_links(frame, kind, simhash.Cover(kind.distance, parts)).collect()
+    place = {n: k for k, n in enumerate(names)}
+    a, b = (np.array([place[bytes(r[k])] for r in got], np.int64) for k in (0, 1))
 
     def component(x, y):
-        found = dict(zip(*(part.tolist() for part in simhash.forest(x, y)), strict=True))
-        return [found.get(f, f) for f in fps.tolist()]
-
-    assert component(a, b) == component(fps[i], fps[j])
-    assert len(a) <= len(fps) * 64
+        found = dict(zip(*(p.tolist() for p in simhash.forest(x, y)), strict=True))
+        return [found.get(k, k) for k in range(len(names))]
+
+    assert component(a, b) == component(i, j)
+    assert len(got) <= len(names) * 200
+
+
+def test_covers_reach_every_value_within_the_radius():
+    rng = np.random.default_rng(4)
+    for cover in (simhash.cover_for(4, 10**6), simhash.cover_for(4, 10**10), simhash.cover_for(11, 10**6)):
+        x = rng.integers(0, 2**63, 20, dtype=np.int64).astype(np.uint64)
+        anchors, who = cover.replicas(x)
+        own = {(int(a), int(w)) for a, w in zip(anchors, who, strict=True)}
+        for k, flips in enumerate(cover.flips):
+            y = x ^ flips[rng.integers(0, len(flips), len(x))]
+            assert all((int(h), i) in own for i, h in enumerate(cover.homes(y, k)))
+
+
+def test_one_of_each_keeps_rows(spark):
+    """Rows that share an id stand for themselves; a copy under another id goes, a text of its own stays."""
+    x, y = "one two three four five six seven", "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(1, x, "en"), (3, x, "en"), (3, y, "en"), (5, None, "en"), (6, "", "en"), (None, "w " * 9, "en"), (None, "w " * 9, "en"), (7, y + " ", "de"), (8, "v u t s r", "en"), (8, "v u t s r", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumns({"fp": F.lit(1), "group": F.lit(2), "first": F.lit(3), "key": F.lit(4)})
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert Counter(tuple(r)[:3] for r in got.collect()) == Counter([(1, x, "en"), (3, y, "en"), (5, None, "en"), (None, "w " * 9, "en"), (8, "v u t s r", "en")])
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
 # ---- 4 pages
