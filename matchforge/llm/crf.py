@@ -1,14 +1,20 @@
 """Quality rules by line labelling: a linear-chain conditional random field marks each line as content or boilerplate.
 
-The field is trained on lines of labelled documents: lines of good ones are
-content, lines of bad ones are boilerplate. Viterbi decoding gives the likeliest labels of all lines of a text
-at once; a text is kept if enough of its words stand in content lines.
+Line labels vary within a document, and so do those that the field learns from.
+Labelled documents are cut into runs of lines, and runs of good and of bad ones
+are put together in turn: composites with real changes of label. Their labels are the
+documents', but for lines that rules know (repeated lines, menus, notices of
+rights), which are boilerplate in any document. Viterbi decoding gives the
+likeliest labels of all lines of a text at once; a text is kept if enough of its
+words stand in content lines.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import cycle, islice
 
 import numpy as np
 import pandas as pd
@@ -20,7 +26,9 @@ from matchforge.llm.common import slices, small_batches, tidied
 
 #: Labelled documents from which the field is trained at most, and the parts in which they are trained side by side.
 SAMPLE, SHARDS = 4_000, 4
-STEPS, RATE, PENALTY = 120, 0.2, 1e-3
+STEPS, RATE, PENALTY = 120, 0.2, 1e-4
+#: Lines in a run of a composite at most.
+RUN = 12
 #: A text is kept if at least this share of its words stands in content lines.
 KEPT_SHARE = 0.5
 MIN_WORDS = 50
@@ -28,7 +36,13 @@ BASE_SYMBOLS = b"#*$%&|<>"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 UPPER, DIGIT, LETTER = bytes(range(65, 91)), bytes(range(48, 58)), bytes(range(97, 123))
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"()-")
-FEATURES = 12
+#: Signs between the entries of a menu, and phrases of notices (fixed values).
+BARS = re.compile(rb"\s(?:\||>|/|-|\xc2\xb7|\xe2\x80\xa2|\xc2\xbb|\xe2\x80\xba)\s")
+NOTICE = re.compile(
+    rb"\(c\)|\xc2\xa9|copyright|rights? reserved|licen[sc]ed? (?:under|by)|terms of (?:use|service)|privacy policy|cookies?\b|sign (?:in|up)|log ?in\b|subscribe|click here|all rights",
+    re.IGNORECASE,
+)
+FEATURES = 18
 
 
 def line_features(line: bytes, words: list[bytes], again: bool) -> tuple:
@@ -54,9 +68,21 @@ def line_features(line: bytes, words: list[bytes], again: bool) -> tuple:
         min(1.0, 4 * digits / size),
         float(line.rstrip()[-1:] in b".!?"),
         float(again),
+        float(n <= 3),
+        min(1.0, len(BARS.findall(line)) / 3),
+        float(NOTICE.search(line) is not None),
+        float(line.rstrip()[-1:] not in b".!?,;:\"'"),
+        min(1.0, marks / 3),
+        min(1.0, max(map(len, words)) / 40),
     )
 
 
+def boilerplate_by_rule(features: tuple) -> bool:
+    """Lines that are boilerplate whatever document they stand in: repeated lines, menus, short notices of rights."""
+    again, menu, notice, words = features[11] > 0, features[13] > 0.5, features[14] > 0, features[2] * 100
+    return again or menu or notice and words <= 20
+
+
 def lines_of(text: bytes) -> tuple[list[tuple], list[int], int]:
     """Features and word counts of the lines that have words, and how many of them equal an earlier line."""
     seen: set[bytes] = set()
@@ -150,8 +176,8 @@ def viterbi(field: Field, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return labels
 
 
-def gradient(field: Field, x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Mean gradient of the log likelihood over lines, by forward and backward sums."""
+def sums(field: Field, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logarithms of the forward and backward sums of each line and label, and of the whole of each line's text."""
     order, first = ordered(lengths)
     long = lengths[order]
     own = x @ field.lines
@@ -167,16 +193,22 @@ def gradient(field: Field, x: np.ndarray, y: np.ndarray, lengths: np.ndarray) ->
         after = backward[at + 1] + own[at + 1]
         backward[at] = np.logaddexp(after[:, :1] + field.steps[:, 0], after[:, 1:] + field.steps[:, 1])
     both = forward + backward
-    total = np.logaddexp(both[:, :1], both[:, 1:])
-    wrong = np.eye(2)[y] - np.exp(both - total)
+    return forward, backward, np.logaddexp(both[:, 0], both[:, 1])
+
+
+def gradient(field: Field, x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Mean gradient of the log likelihood over lines, by forward and backward sums."""
+    forward, backward, total = sums(field, x, lengths)
+    own = x @ field.lines
+    starting = np.r_[0, np.cumsum(lengths)[:-1]][lengths > 0]
+    wrong = np.eye(2)[y] - np.exp(forward + backward - total[:, None])
     later = np.ones(len(x), bool)
-    later[first[: alive[0]]] = False
+    later[starting] = False
     at = np.flatnonzero(later)
-    pair = np.exp(forward[at - 1][:, :, None] + field.steps + (own[at] + backward[at])[:, None, :] - total[at][:, :, None])
+    pair = np.exp(forward[at - 1][:, :, None] + field.steps + (own[at] + backward[at])[:, None, :] - total[at][:, None, None])
     pairs = np.zeros((2, 2))
     np.add.at(pairs, (y[at - 1], y[at]), 1)
-    starts = wrong[first[: alive[0]]].sum(axis=0)
-    return np.concatenate([(x.T @ wrong).ravel(), (pairs - pair.sum(axis=0)).ravel(), starts]) / len(x)
+    return np.concatenate([(x.T @ wrong).ravel(), (pairs - pair.sum(axis=0)).ravel(), wrong[starting].sum(axis=0)]) / len(x)
 
 
 def trained(x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> Field:
@@ -190,24 +222,60 @@ def trained(x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> Field:
     return Field.of(w)
 
 
+def composites(docs: list[tuple[np.ndarray, np.ndarray, bool]], seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of lines of good and bad documents put together by turns of chance: features, labels, lengths.
+
+    Every line of the commoner sort is used once; the rarer sort is gone through
+    as often as needed. Documents of one sort only stay in sequences of their own.
+    """
+    chance = np.random.default_rng(seed)
+    runs: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
+    for x, y, good in docs:
+        at = 0
+        while at < len(x):
+            n = int(chance.integers(1, RUN + 1))
+            runs[good].append((x[at : at + n], y[at : at + n]))
+            at += n
+    most = max(map(len, runs.values()))
+    left = {sort: list(islice(cycle(own), most)) if own else [] for sort, own in runs.items()}
+    found, lengths = [], []
+    while any(left.values()):
+        size = 0
+        for _ in range(int(chance.integers(1, 5))):
+            sort = bool(chance.integers(0, 2))
+            sort = sort if left[sort] else not sort
+            if left[sort]:
+                found.append(left[sort].pop())
+                size += len(found[-1][0])
+        lengths.append(size)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), np.array(lengths)
+
+
+def learned(docs: list[tuple[list[tuple], bool]]) -> Field:
+    """The field of labelled documents (features of their lines, is good)."""
+    parts = [(np.array(rows), good) for rows, good in docs]
+    rule = [np.array([boilerplate_by_rule(r) for r in rows]) for rows, _ in docs]
+    marks = [np.where(r, 0, int(good)) for r, (_, good) in zip(rule, parts, strict=True)]
+    return trained(*composites([(x, y, good) for (x, good), y in zip(parts, marks, strict=True)]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Train on at most `sample` labelled documents, dealt to `SHARDS` tasks; Spark averages their weights."""
+    """Train on at most `sample` labelled documents, dealt to `SHARDS` tasks; Spark averages their weights.
+
+    A labelled id that repeats in `docs` counts once, with its smallest text.
+    """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most `sample` ids
-    dealt = docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("order", F.xxhash64("doc_id"))
+    dealt = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good"))
+    dealt = small_batches(dealt).withColumn("order", F.xxhash64("doc_id"))
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["order", "doc_id", "text"], na_position="first")
-        rows, marks, lengths = [], [], []
-        for text, good in zip(part["text"], part["good"], strict=True):
-            found, _, _ = lines_of((text or "").encode())
-            if found:
-                rows += found
-                marks += [int(good)] * len(found)
-                lengths.append(len(found))
-        if not rows:
+        part = part.sort_values(["order", "doc_id"])
+        own = [(lines_of((text or "").encode())[0], bool(good)) for text, good in zip(part["text"], part["good"], strict=True)]
+        own = [(rows, good) for rows, good in own if rows]
+        if not own:
             return pd.DataFrame({"place": [], "weight": []})
-        w = trained(np.array(rows), np.array(marks), np.array(lengths)).flat()
+        w = learned(own).flat()
         return pd.DataFrame({"place": np.arange(len(w)), "weight": w})
 
     got = dealt.groupBy(F.pmod("order", F.lit(SHARDS)).alias("shard")).applyInPandas(train, "place int, weight double")
