@@ -46,3 +46,14 @@ def slices(batch, rows: int = 1_000) -> Iterator:
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`: the fold of a document."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+
+
+#: What operators remember in a Python worker between tasks, by operator.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    """Say at the start of a task which operator's memory this worker needs: the others' is given up, so that they don't add up."""
+    for other in [k for k in _KEPT if k != name]:
+        _KEPT.pop(other)()
+    _KEPT[name] = forget

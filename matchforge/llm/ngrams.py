@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchforge.llm.common import slices, small_batches, tidied
+from matchforge.llm.common import remembers, slices, small_batches, stored, tidied
 
 #: Weights of a model: a proven bound of what is sent to every task (1 MB for one class).
 BITS = 18
@@ -29,7 +29,11 @@ MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 
 
 class Words(dict):
-    """Word in UTF-8 to 64 bits: 40 of the word's hash over 24 of its shape's (letter and digit runs as one sign each)."""
+    """Word in UTF-8 to 64 bits: 40 of the whole word's hash over 24 of its shape's.
+
+    A shape has letter and digit runs as one sign each; it is a feature of how a
+    word begins, the first eight such signs of its first 64 bytes.
+    """
 
     def __init__(self):
         self.old: dict[bytes, int] = {}
@@ -38,14 +42,24 @@ class Words(dict):
         if len(self) >= MEMORY:
             self.old = dict(self)
             self.clear()
+        if len(word) > 64:  # not worth remembering; bounds the memory in bytes
+            return self.hashed(word)
         if word in self.old:
             found = self[word] = self.old[word]
             return found
+        found = self[word] = self.hashed(word)
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.old.clear()
+
+    @staticmethod
+    def hashed(word: bytes) -> int:
         shape = word[:64].decode("utf-8", "replace")
         for run, sign in RUNS:
             shape = run.sub(sign, shape)
-        found = self[word] = xxhash.xxh64_intdigest(word, 1) >> 24 << 24 | xxhash.xxh32_intdigest(shape[:8].encode(), 2) & 0xFFFFFF
-        return found
+        return xxhash.xxh64_intdigest(word, 1) >> 24 << 24 | xxhash.xxh32_intdigest(shape[:8].encode(), 2) & 0xFFFFFF
 
 
 _WORDS = Words()
@@ -102,7 +116,8 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE, pairs: bool = T
     At most `sample` labelled documents, chosen by the hash of their ids, are
     dealt to `SHARDS` tasks; each trains on its part, and the weights of the
     parts are averaged by Spark. What comes to the driver is bounded by 2**BITS
-    weights a class. No labelled text gives no models.
+    weights a class. A labelled id that repeats in `docs` counts once, with its
+    smallest text. No labelled text gives no models.
     """
     small_batches(docs)
     ids = marks.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -115,17 +130,20 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE, pairs: bool = T
         out = []
         for name in sorted({k for m in part["marks"] for k, _ in entries(m)}):
             w = ftrl(vectors, np.array([dict(entries(m)).get(name, 0.0) for m in part["marks"]]))
-            at = np.flatnonzero(w)
+            at = np.r_[0, 1 + np.flatnonzero(w[1:])]
             out.append(pd.DataFrame({"class": name, "place": at, "weight": w[at]}))
         return pd.concat(out)  # each row has marks, so there is a class
 
     def entries(m) -> list:
         return list(m.items()) if isinstance(m, dict) else list(m)
 
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("marks").alias("marks"))
     dealt = chosen.withColumn("order", F.xxhash64("doc_id")).groupBy(F.pmod("order", F.lit(SHARDS)).alias("shard"))
-    got = dealt.applyInPandas(train, "class string, place int, weight double")
-    models: dict[str, np.ndarray] = {}
-    means = got.groupBy("class", "place").agg((F.sum("weight") / SHARDS).cast("float").alias("weight")).toArrow()
+    # Place 0 with weight 0 stands for a shard that had texts: weights are averaged over these.
+    got = stored(dealt.applyInPandas(train, "class string, place int, weight double"), "weights")
+    trained = got.filter("place = 0").groupBy("class").agg(F.count("*").alias("shards"))
+    means = got.join(F.broadcast(trained), "class").groupBy("class", "place", "shards").agg(F.sum("weight").alias("weight"))  # at most one row a class
+    means = means.select("class", "place", (F.col("weight") / F.col("shards")).cast("float").alias("weight")).toArrow()
     names = means.column("class").combine_chunks().dictionary_encode()
     of, places, weights = names.indices.to_numpy(), means.column("place").to_numpy(), means.column("weight").to_numpy()
     for k, name in enumerate(names.dictionary.to_pylist()):
@@ -146,6 +164,7 @@ def scorer(models: dict[str, np.ndarray], pairs: bool = True):
     @F.arrow_udf("struct<n_words: bigint, scores: array<double>>")
     @tidied
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        remembers("ngrams", _WORDS.forget)
         for texts in batches:
             found = np.empty((len(texts), table.shape[1]))
             words = np.empty(len(texts), np.int64)

@@ -1,7 +1,7 @@
 """HTML extraction: a tree with implied tags, visibility rules, and a plain-text layout of all visible text.
 
 Blocks are kept apart (paragraph-like ones by an empty line), list items get
-their marks and indents, and data tables keep aligned columns.
+their marks and indents, and tables of several columns keep aligned cells.
 """
 
 from __future__ import annotations
@@ -40,23 +40,26 @@ ENDS = {
 }
 WALLS = {name: frozenset("ul ol menu".split()) if name == "li" else frozenset(["dl"]) if name in ("dt", "dd") else frozenset(["table"]) for name in ENDS}
 WALLS["p"] = frozenset("table td th caption button object".split())
-HIDDEN = frozenset("head script style template noscript iframe object audio video canvas svg datalist noembed noframes meta link title".split())
-#: Elements open at once; deeper ones become neighbours.
-DEEP = 150
-#: A table with a longer cell is laid out as blocks.
+HIDDEN = frozenset("head script style template noscript iframe object audio video canvas datalist noembed noframes meta link title desc defs symbol metadata".split())
+#: Cells of tables with several columns are wrapped at this width; longer words stand out.
 CELL = 60
+#: Where only parts of tables may stand; all else found there is put before the table.
+IN_TABLE = frozenset("table tbody thead tfoot tr".split())
+TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th style script template".split())
+TABLE_ROWS = frozenset("caption colgroup tbody thead tfoot tr td th".split())
+#: Types of input fields whose values aren't shown as text.
+NO_TEXT = frozenset("hidden checkbox radio file image password range color".split())
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 PLAIN = re.compile(r"[^\"'>]*")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
-NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
 #: What a style sheet's braces are looked for without: comments and strings.
 ASIDE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.DOTALL)
 BRACE = re.compile(r"([^{}]*)([{}]|\Z)")
 SHOWS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)([^;]*)", re.IGNORECASE)
 EVERYWHERE = frozenset(["", "all", "screen", "only all", "only screen"])
-SIMPLE = re.compile(r"[.#]?[\w-]+")
+COMPOUND = re.compile(r"(\*|[\w-]+)?((?:[.#][\w-]+)*)")
 
 
 class Node:
@@ -100,22 +103,70 @@ def rules(sheet: str) -> Iterator[tuple[str, str]]:
                 yield head, own + text
 
 
-def tree(html: str) -> tuple[Node, dict[str, dict[str, tuple]]]:
-    """The element tree, and what style sheets say of display and visibility: by simple selector, (important, place, is hidden)."""
+Said = dict[str, list[tuple]]
+
+
+def said_by(sheet: str, n: int) -> Iterator[tuple[str, tuple]]:
+    """What a style sheet says of display and visibility, by a name, class or id that its compound selectors need.
+
+    Each is (compound, property, rank, value); of what is said of an element the
+    largest rank counts: importance, ids, classes, names, place.
+    """
+    for selectors, declared in rules(sheet):
+        for said in SHOWS.finditer(declared):
+            n += 1
+            important = "!important" in said[3].lower().replace(" ", "")
+            for selector in selectors.lower().split(","):
+                m = COMPOUND.fullmatch(selector.strip())
+                if not m or not m[0]:
+                    continue
+                own = re.findall(r"[.#][\w-]+", m[2])
+                ids, classes = sum(x[0] == "#" for x in own), sum(x[0] == "." for x in own)
+                name = m[1] if m[1] and m[1] != "*" else ""
+                rank = (important, ids, classes, bool(name), n)
+                yield own[-1] if own else name or "*", (frozenset([*own, *filter(None, [name])]), said[1].lower(), rank, said[2].lower())
+
+
+def tree(html: str) -> tuple[Node, Said]:
+    """The element tree, and what style sheets say by selector. Elements may stand in each other to any depth."""
     root = Node("#root")
-    path = [root]
-    hidden: dict[str, dict[str, tuple]] = {}
-    n_said = 0
+    path, holders = [root], [[root]]  # open elements, and the lists of children that hold them
+    n_open: dict[str, int] = {}
+    said: Said = {}
     at, end = 0, len(html)
 
+    def shut(k: int) -> None:
+        for node in path[k:]:
+            n_open[node.name] -= 1
+        del path[k:], holders[k:]
+
+    def put(child: Node | str, name: str = "") -> list:
+        """Append to the innermost open element; what can't stand in a table goes before it."""
+        of = path[-1]
+        if of.name in IN_TABLE and name not in TABLE_PARTS and (name or child.strip(" \t\n\r\f")):
+            k = next((k for k in range(len(path) - 1, 0, -1) if path[k].name == "table"), 0)
+            if k:
+                where = next(i for i in range(len(holders[k]) - 1, -1, -1) if holders[k][i] is path[k])
+                holders[k].insert(where, child)
+                return holders[k]
+        of.children.append(child)
+        return of.children
+
+    def open_(node: Node) -> None:
+        holders.append(put(node, node.name))
+        path.append(node)
+        n_open[node.name] = n_open.get(node.name, 0) + 1
+
     def text(part: str) -> None:
         if part:
-            path[-1].children.append(unescape(part) if "&" in part else part)
+            put(unescape(part) if "&" in part else part)
 
     def close(name: str, stop: frozenset[str] = frozenset()) -> bool:
+        if not n_open.get(name):
+            return False
         for k in range(len(path) - 1, 0, -1):
             if path[k].name == name:
-                del path[k:]
+                shut(k)
                 return True
             if path[k].name in stop:
                 return False
@@ -139,9 +190,9 @@ def tree(html: str) -> tuple[Node, dict[str, dict[str, tuple]]]:
             j = html.find(">", i)
             at = end if j < 0 else j + 1
             if name == "br":
-                path[-1].children.append(Node("br"))
-            elif name == "p" and not any(n.name == "p" for n in path):
-                path[-1].children.append(Node("p"))
+                put(Node("br"), "br")
+            elif name == "p" and not n_open.get("p"):
+                put(Node("p"), "p")
             elif name not in VOID:
                 close(name, frozenset(["table"]) if name not in ("table", "body", "html") else frozenset())
         elif m := NAME.match(html, i + 1):
@@ -157,43 +208,70 @@ def tree(html: str) -> tuple[Node, dict[str, dict[str, tuple]]]:
                 break  # the file ends within a tag
             node = Node(name, html[m.end() : j])
             at = j + 1
-            for open_, (_, starts) in ENDS.items():
+            for ended, (_, starts) in ENDS.items():
                 if name in starts:
-                    close(open_, WALLS[open_])
+                    close(ended, WALLS[ended])
+            if name in TABLE_ROWS and n_open.get("table"):  # back from what was put before the table
+                shut(1 + max(k for k, of in enumerate(path) if of.name in IN_TABLE))
             if name in ("td", "th") and path[-1].name in ("table", "tbody", "thead", "tfoot"):
-                row = Node("tr")
-                path[-1].children.append(row)
-                path.append(row)
-            path[-1].children.append(node)
+                open_(Node("tr"))
             if name in RAW:
+                put(node, name)
                 m = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(html, at)
                 inner = html[at : m.start() if m else end]
                 j = html.find(">", m.end()) if m else -1
                 at = end if j < 0 else j + 1
                 if name == "style":
-                    for selectors, declared in rules(inner) if everywhere(node.get().get("media", "")) else ():
-                        for said in SHOWS.finditer(declared):
-                            n_said += 1
-                            new = ("!important" in said[3].lower().replace(" ", ""), n_said, said[2].lower() in ("none", "hidden", "collapse"))
-                            for s in selectors.split(","):
-                                if SIMPLE.fullmatch(s.strip()):
-                                    of = hidden.setdefault(s.strip().lower(), {})
-                                    of[said[1].lower()] = max(new, of.get(said[1].lower(), new))
+                    if everywhere(node.get().get("media", "")):
+                        for key, one in said_by(inner, sum(map(len, said.values()))):
+                            said.setdefault(key, []).append(one)
                 else:
                     node.children.append(unescape(inner) if name in ("textarea", "title") else inner)
-            elif name not in VOID and len(path) < DEEP:
-                path.append(node)
+            elif name in VOID:
+                put(node, name)
+            else:
+                open_(node)
         else:
             text("<")
             at = i + 1
-    return root, hidden
+    return root, said
+
+
+def performed(work: Iterator) -> None:
+    """Run a generator and those that it yields, innermost first: recursion without a limit of depth."""
+    stack = [work]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def wrapped(text: str) -> list[str]:
+    """Lines of a cell, cut between words where they are longer than `CELL`."""
+    found = []
+    for line in text.split("\n"):
+        if len(line) <= CELL:
+            found.append(line)
+            continue
+        own = ""
+        for word in line.split(" "):
+            if own and len(own) + 1 + len(word) > CELL:
+                found.append(own)
+                own = word
+            else:
+                own = f"{own} {word}" if own else word
+        found.append(own)
+    return found
 
 
 class Layout:
-    """Lines of text with pending spaces and block breaks."""
+    """Lines of text with pending spaces and block breaks. What may nest is a generator that yields the inner work."""
 
-    def __init__(self, hidden: dict[str, dict[str, tuple]]):
-        self.hidden = hidden
+    def __init__(self, said: Said, shown: bool = True):
+        self.said = said
+        self.shown = shown
         self.lines: list[str] = []
         self.line: list[str] = []
         self.indent = ""
@@ -202,23 +280,29 @@ class Layout:
         self.space = False
 
     def visible(self, node: Node) -> bool:
-        if node.name in HIDDEN:
-            return False
-        if not node.attributes:
-            return node.name != "dialog" and not (node.name in self.hidden and self.styled_away(node.name, {}))
-        a = node.get()
-        if "hidden" in a or NOT_SHOWN.search(a.get("style", "")) or node.name == "dialog" and "open" not in a:
-            return False
-        if self.hidden and self.styled_away(node.name, a):
-            return False
-        return not (node.name == "input" and a.get("type", "").lower() == "hidden")
+        """Is the element laid out at all?"""
+        return self.styles(node)[0]
 
-    def styled_away(self, name: str, a: dict[str, str]) -> bool:
-        """Do the style sheets hide an element? Important ones count first, then ids, classes and names, then later ones."""
-        selectors = [(0, name), *((1, f".{c.lower()}") for c in a.get("class", "").split()), (2, f"#{a.get('id', '').lower()}")]
-        said = [(prop, (x[0], weight, *x[1:])) for weight, s in selectors for prop, x in self.hidden.get(s, {}).items()]
-        said += [(m[1].lower(), (False, 3, 0, False)) for m in SHOWS.finditer(a.get("style", ""))] if said else []
-        return any(x[-1] for x in {prop: max(y for p, y in said if p == prop) for prop, _ in said}.values())
+    def styles(self, node: Node) -> tuple[bool, bool | None]:
+        """Is the element laid out, and what its visibility is set to (None: as around it)?"""
+        if node.name in HIDDEN:
+            return False, None
+        a = node.get() if node.attributes else {}
+        if "hidden" in a or node.name == "dialog" and "open" not in a or node.name == "input" and a.get("type", "").lower() == "hidden":
+            return False, None
+        found: dict[str, tuple] = {}
+        if self.said:
+            own = {node.name, *(f".{c}" for c in a.get("class", "").lower().split()), *([f"#{a['id'].lower()}"] if a.get("id") else [])}
+            for key in (*own, "*"):
+                for needs, prop, rank, value in self.said.get(key, ()):
+                    if needs <= own:
+                        found[prop] = max(found.get(prop, (rank, value)), (rank, value))
+        for n, m in enumerate(SHOWS.finditer(a.get("style", "")) if "style" in a else ()):
+            new = (("!important" in m[3].lower().replace(" ", ""), 1_000_000, 0, False, n), m[2].lower())
+            found[m[1].lower()] = max(found.get(m[1].lower(), new), new)
+        set_to = found["visibility"][1] if "visibility" in found else ""
+        visibility = False if set_to in ("hidden", "collapse") else True if set_to in ("visible", "initial") else None
+        return "display" not in found or found["display"][1] != "none", visibility
 
     def flush(self) -> None:
         if self.line:
@@ -229,6 +313,8 @@ class Layout:
         self.space = False
 
     def words(self, text: str) -> None:
+        if not self.shown:
+            return
         if not text.strip(" \t\n\r\f"):
             self.space = self.space or bool(text and self.line)
             return
@@ -239,24 +325,31 @@ class Layout:
         self.line.append(SPACES.sub(" ", text).strip(" "))
         self.space = text[-1] in " \t\n\r\f"
 
-    def block(self, node: Node, wide: bool) -> None:
+    def block(self, node: Node, wide: bool) -> Iterator:
         self.flush()
         self.gap |= wide
-        self.children(node)
+        yield self.children(node)
         self.flush()
         self.gap |= wide
 
-    def children(self, node: Node) -> None:
+    def children(self, node: Node) -> Iterator:
         for child in node.children:
             if isinstance(child, str):
                 self.words(child)
             else:
-                self.show(child)
+                yield self.show(child)
 
-    def show(self, node: Node) -> None:
-        name = node.name
-        if not self.visible(node):
+    def show(self, node: Node) -> Iterator:
+        laid_out, visibility = self.styles(node)
+        if not laid_out:
             return
+        around = self.shown
+        self.shown = around if visibility is None else visibility
+        yield self.inner(node)
+        self.shown = around
+
+    def inner(self, node: Node) -> Iterator:
+        name = node.name
         if name == "br":
             if self.line:
                 self.flush()
@@ -273,30 +366,30 @@ class Layout:
                     self.lines.append("")
             self.gap = 1
         elif name in ("ul", "ol", "menu", "dir"):
-            self.list(node)
+            yield self.list(node)
         elif name == "table":
-            self.table(node)
+            yield self.table(node)
         elif name == "details" and "open" not in node.get():
             for child in node.children:
                 if isinstance(child, Node) and child.name == "summary":
-                    self.block(child, False)
+                    yield self.block(child, False)
                     break
         elif name == "hr":
             self.flush()
             self.gap = 1
         elif name == "input":
             a = node.get()
-            self.words(a.get("value", "") if a.get("type", "").lower() in ("submit", "button", "reset") else "")
+            self.words("" if a.get("type", "").lower() in NO_TEXT else a.get("value", "") or a.get("placeholder", ""))
         elif name in BLOCKS:
-            self.block(node, name in PARAGRAPHS)
+            yield self.block(node, name in PARAGRAPHS)
         elif name == "q":
             self.words('"')
-            self.children(node)
+            yield self.children(node)
             self.words('"')
         else:
-            self.children(node)
+            yield self.children(node)
 
-    def list(self, node: Node) -> None:
+    def list(self, node: Node) -> Iterator:
         self.flush()
         outer = not self.indent
         self.gap |= outer
@@ -306,8 +399,9 @@ class Layout:
             if isinstance(child, str):
                 self.words(child)
                 continue
-            if child.name != "li" or not self.visible(child):
-                self.show(child)
+            laid_out, visibility = self.styles(child)
+            if child.name != "li" or not laid_out:
+                yield self.show(child)
                 continue
             self.flush()
             if node.name == "ol":
@@ -317,84 +411,101 @@ class Layout:
                 count += 1
             else:
                 mark = "- "
-            before = self.indent
-            self.indent, self.mark = before + " " * len(mark), mark
-            self.children(child)
+            before, around = self.indent, self.shown
+            self.indent, self.mark, self.shown = before + " " * len(mark), mark, around if visibility is None else visibility
+            yield self.children(child)
             self.flush()
-            self.indent, self.mark = before, ""
+            self.indent, self.mark, self.shown = before, "", around
         self.flush()
         self.gap |= outer
 
-    def table(self, node: Node) -> None:
+    def table(self, node: Node) -> Iterator:
         self.flush()
         self.gap = 1
-        grid: list[dict[int, str]] = []
-        taken: dict[tuple[int, int], bool] = {}
-        for row in rows(node, self):
+        grid: list[dict[int, list[str]]] = []
+        until: dict[int, int] = {}  # the row up to which a cell from above reaches, by column
+        for row, shown in rows(node, self):
             y = len(grid)
             grid.append({})
             x = 0
             for cell in row.children:
-                if not isinstance(cell, Node) or cell.name not in ("td", "th") or not self.visible(cell):
+                if not isinstance(cell, Node) or cell.name not in ("td", "th"):
                     continue
-                while (y, x) in taken:
+                laid_out, visibility = self.styles(cell)
+                if not laid_out:
+                    continue
+                while until.get(x, 0) > y:
                     x += 1
                 a = cell.get() if cell.attributes else {}
-                wide, tall = (min(int(v), 100) if re.fullmatch(r"[1-9][0-9]{0,8}", v := a.get(k, "1")) else 1 for k in ("colspan", "rowspan"))
-                inner = Layout(self.hidden)
-                inner.children(cell)
+                wide, tall = (min(int(v[:9]), most) if (v := a.get(k, "1")).isascii() and v.isdigit() and int(v[:9]) else 1 for k, most in SPANS)
+                inner = Layout(self.said, shown if visibility is None else visibility)
+                yield inner.children(cell)
                 inner.flush()
-                grid[y][x] = "\n".join(inner.lines)
-                for dy in range(tall):
-                    for dx in range(wide):
-                        taken[y + dy, x + dx] = True
+                grid[y][x] = inner.lines
+                for taken in range(x, x + wide):
+                    until[taken] = y + tall
                 x += wide
         for child in node.children:
-            if isinstance(child, Node) and child.name == "caption" and self.visible(child):
-                self.block(child, False)
-        as_blocks = any("\n" in v or len(v) > CELL for r in grid for v in r.values())
-        width: dict[int, int] = {}
-        for r in grid:
-            for x, v in r.items():
-                width[x] = max(width.get(x, 0), len(v))
+            if isinstance(child, Node) and child.name == "caption":
+                yield self.show(child)
+        columns = sorted({x for r in grid for x in r})
+        if len(columns) > 1:
+            grid = [{x: wrapped("\n".join(lines)) for x, lines in r.items()} for r in grid]
+        width = {x: min(CELL, max((len(line) for r in grid for line in r.get(x, ())), default=0)) for x in columns}
         for r in grid:
-            if as_blocks:
-                for _, v in sorted(r.items()):
-                    for part in v.split("\n"):
-                        self.line = [part] if part else []
-                        self.flush()
-            elif any(r.values()):
-                self.line = ["  ".join(r.get(x, "").ljust(width[x]) for x in sorted(width))]
+            for k in range(max(map(len, r.values()), default=0)):
+                parts = [r[x][k] if x in r and k < len(r[x]) else "" for x in columns]
+                last = max((i for i, part in enumerate(parts) if part), default=-1)
+                self.line = ["  ".join([part.ljust(width[x]) for x, part in zip(columns[: last + 1], parts, strict=False)])] if last >= 0 else []
                 self.flush()
         self.gap = 1
 
 
-def rows(node: Node, layout: Layout) -> Iterator[Node]:
-    for child in node.children:
-        if isinstance(child, Node) and layout.visible(child):
-            if child.name == "tr":
-                yield child
-            elif child.name in ("thead", "tbody", "tfoot"):
-                yield from rows(child, layout)
-
-
-def texts(node: Node, layout: Layout) -> Iterator[str]:
-    for child in node.children:
-        if isinstance(child, str):
-            yield child
-        elif child.name == "br":
+#: Attributes of cells that reach over columns or rows, and the most that the standard lets them (fixed values).
+SPANS = (("colspan", 1000), ("rowspan", 65534))
+
+
+def rows(table: Node, layout: Layout) -> Iterator[tuple[Node, bool]]:
+    """Rows that are laid out, and their visibility."""
+    stack = [(child, layout.shown) for child in reversed(table.children)]
+    while stack:
+        node, shown = stack.pop()
+        if isinstance(node, Node) and node.name in ("tr", "thead", "tbody", "tfoot"):
+            laid_out, visibility = layout.styles(node)
+            shown = shown if visibility is None else visibility
+            if laid_out and node.name == "tr":
+                yield node, shown
+            elif laid_out:
+                stack += [(child, shown) for child in reversed(node.children)]
+
+
+def texts(pre: Node, layout: Layout) -> Iterator[str]:
+    """Visible text as it stands."""
+    stack: list[tuple] = [(child, layout.shown) for child in reversed(pre.children)]
+    while stack:
+        node, shown = stack.pop()
+        if isinstance(node, str):
+            if shown:
+                yield node
+        elif node.name == "br":
             yield "\n"
-        elif layout.visible(child):
-            yield from texts(child, layout)
+        else:
+            laid_out, visibility = layout.styles(node)
+            shown = shown if visibility is None else visibility
+            stack += [(child, shown) for child in reversed(node.children)] if laid_out else []
 
 
 def visible_text(html: str | None) -> str | None:
-    """All visible text of a page, laid out in lines; null for null."""
+    """All visible text of a page, laid out in lines; null for null.
+
+    Text that only stands in for what isn't shown (alternatives of images and
+    objects) isn't visible; values and placeholders of input fields are.
+    """
     if html is None:
         return None
-    root, hidden = tree(html)
-    layout = Layout(hidden)
-    layout.children(root)
+    root, said = tree(html)
+    layout = Layout(said)
+    performed(layout.children(root))
     layout.flush()
     return "\n".join(layout.lines).strip("\n")
 

@@ -23,11 +23,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from matchforge.llm.common import slices, small_batches, tidied
+from matchforge.llm.common import remembers, slices, small_batches, tidied
 
 SPACE = "▁"
-#: Units that each of a worker's two generations of memory holds at most; a full young one becomes the old one.
-MEMORY = 150_000
+#: Units that each of a worker's two generations of memory holds at most (a full young one becomes the old one), and signs of a remembered unit.
+MEMORY, REMEMBERED = 100_000, 64
 
 
 @dataclass
@@ -50,6 +50,9 @@ class PieceModel:
         with open(path, "rb") as f:
             raw = f.read()
         p = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        kept = ("  a  b ", "Ａﬁ\u00a0é", "a\tb\n c")  # texts that other normalisers and space settings change
+        if any(p.decode(p.encode(t)) != t for t in kept) or not p.encode("a", out_type=str)[0].startswith(SPACE):
+            raise ValueError("the model changes texts or puts no space before them")
         ids = range(p.vocab_size())
         byte_of = {i: int(p.id_to_piece(i)[3:5], 16) for i in ids if p.is_byte(i)}
         if len(byte_of) != 256:
@@ -101,6 +104,11 @@ class Encoder:
         self.texts: dict[str, str] = {}
         self.old_texts: dict[str, str] = {}
         self.shorter: dict[str, str] = {}
+        self.long: dict[str, str] = {}
+
+    def forget(self) -> None:
+        for memory in (self.pairs, self.memory, self.old, self.texts, self.old_texts):
+            memory.clear()
 
     def prefix(self, piece: str) -> str:
         """The longest shorter token with which this one begins; "" after one character."""
@@ -176,6 +184,10 @@ class Encoder:
         found = self.memory.get(unit)
         if found is not None:
             return found
+        if len(unit) > REMEMBERED:  # not worth it; bounds the memory in bytes
+            ids = self.unit(unit.replace(" ", SPACE))
+            self.long[unit] = self.decoded(ids)
+            return ",".join(map(str, ids))
         if len(self.memory) >= MEMORY:
             self.old, self.memory = self.memory, {}
             self.old_texts, self.texts = self.texts, {}
@@ -199,8 +211,9 @@ class Encoder:
         for u in units:
             got = memory.get(u)
             parts.append(got if got is not None else self.remember(u))
-        if self.texts or self.old_texts:
-            units = [self.texts.get(u) or self.old_texts.get(u, u) for u in units]
+        if self.texts or self.old_texts or self.long:
+            units = [self.long[u] if len(u) > REMEMBERED else self.texts[u] if u in self.texts else self.old_texts.get(u, u) for u in units]
+            self.long.clear()
         back = "".join(units)
         return ",".join(parts), back[1:]
 
@@ -233,6 +246,7 @@ def piece_digests(docs: DataFrame, model: PieceModel, ids: bool = False) -> Data
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_of(model)
+        remembers("pieces", enc.forget)
         for batch in (part for whole in batches for part in slices(whole)):
             n, one, two, all_ids = [], [], [], []
             for text in batch.column("text").to_pylist():

@@ -41,8 +41,8 @@ SEED = 42
 CHUNK, LARGE = 250_000, 32
 #: Rows of an anchor's group in one part at most.
 PART = 200_000
-#: Comparisons that sending one replica costs, about.
-SENDING = 200
+#: Comparisons that sending one replica costs, about, and the number of fingerprints up to which the cover stays the same.
+SENDING, FEW = 200, 10_000_000
 
 
 @dataclass(frozen=True)
@@ -172,8 +172,8 @@ for _bit in range(64):
 
 
 def cover_for(distance: int, n: int) -> Cover:
-    """The cheapest cover for `n` different fingerprints; radii above three would need too many replicas."""
-    return min((Cover(distance, k) for k in range(2, distance + 1) if distance // k <= 3), key=lambda c: c.cost(n))
+    """The cheapest cover for `n` different fingerprints, `FEW` at least; radii above three would need too many replicas."""
+    return min((Cover(distance, k) for k in range(2, distance + 1) if distance // k <= 3), key=lambda c: c.cost(max(n, FEW)))
 
 
 # ---- comparing -----------------------------------------------------------------------------------------------------
@@ -286,6 +286,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys with the sums of their counts."""
+    different, at = np.unique(keys, return_inverse=True)
+    return different, np.bincount(at, weights=counts, minlength=len(different)).astype(np.int64)
+
+
 def words_of(column: pa.Array, halves: int) -> np.ndarray:
     """Binary fingerprints as rows of 64-bit words."""
     column = column.cast(pa.binary())
@@ -314,10 +320,18 @@ def fingerprint_links(distinct: DataFrame, kind: Kind = Kind(), cover: Cover | N
             yield pa.RecordBatch.from_arrays([pa.array(anchors[order]), binaries(words[who[order]])], names=["key", "fp"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 100_000)):
+        held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in (part for whole in batches for part in slices(whole, 10_000)):
             anchors, _ = cover.replicas(words_of(batch.column("fp"), kind.halves)[:, 0])
-            different, counts = np.unique(anchors, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(different), pa.array(counts)], names=["key", "rows"])
+            for own, more in zip(held, np.unique(anchors, return_counts=True), strict=True):
+                own.append(more)
+            if sum(map(len, held[0])) > 4 * CHUNK:
+                keys, counts = added(*map(np.concatenate, held))
+                if len(keys) > 2 * CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "rows"])
+                    keys, counts = keys[:0], counts[:0]
+                held = [keys], [counts]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, added(*map(np.concatenate, held)))), names=["key", "rows"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -261,11 +261,60 @@ def test_style_sheets(sheet, shown):
     assert pages.visible_text(f'<style media="print">{sheet}</style><div class="a">x</div>') == "x"
 
 
-@pytest.mark.parametrize("page", ["", "<", "<p", "</", "<!--", "<a href='", "<div>" * 3000 + "x", "<li>" * 3000, "<table><td>x<table><td>y", "a" * 300_000, "<b>" * 20_000, "<x y=\"" * 2000])
+@pytest.mark.parametrize("page", ["", "<", "<p", "</", "<!--", "<a href='", "<div>" * 3000 + "x", "<li>" * 3000, "<table><td>x<table><td>y", "a" * 300_000, "<b>" * 20_000, "<table>" * 2000 + "x", "<ul><li>" * 4000 + "x", "<table><tr><td>" * 300 + "x", "<x y=\"" * 2000])
 def test_broken_pages(page):
     assert isinstance(pages.visible_text(page), str)
 
 
+@pytest.mark.parametrize(("page", "shown"), [
+    ("<div>" * 5000 + '<div style="display:none">SECRET</div>x', "x"), ("<table><tr>loose<td>c</table>", "loose\n\nc"), ("<table><tr><td>a</td></tr><p>p<tr><td>b</table>", "p\n\na\nb"),
+    ('<div style="visibility:hidden">no<b style="visibility:visible">yes</b>no</div>', "yes"), ("<style>div.x{display:none}</style><div class=x>1</div><p class=x>2", "2"),
+    ("<style>/* c */ .a.b{display:none}</style><i class=a>1</i><i class='b a'>2</i>", "1"), ("<style>*{visibility:hidden}#k{visibility:visible}</style><p id=k>k<p>l", "k"),
+    ('<style>.a{display:none!important}</style><p class=a style="display:block">1', ""), ("<svg><title>t</title><text>drawn</text></svg>", "drawn"), ("<input value=v><input type=password value=p><input placeholder=h>", "vh"),
+    ("<table><tr><td colspan=300>w<td>e<tr><td>a</table>", "w  e\na"), ("<table><tr><td rowspan=200>r<td>0" + "".join(f"<tr><td>{i}" for i in range(1, 150)) + "</table>", "r  0\n" + "\n".join(f"   {i}" for i in range(1, 150))),
+    ("<table><tr><td>k<td>" + "word " * 30 + "<tr><td>l<td>x</table>", "k  " + ("word " * 12).strip() + "\n   " + ("word " * 12).strip() + "\n   " + ("word " * 6).strip() + "\nl  x"),
+    ("<table><tr><td>a<p>b<td>c</table>", "a  c\nb"), ("<table><td>" + "x" * 100 + "<td>y</table>", "x" * 100 + "  y"),
+])
+def test_all_visible_text(page, shown):
+    assert pages.visible_text(page) == shown
+
+
+def slow_page(rng, depth, laid_out=True, shown=True):
+    """A random page, well formed, and the words that it shows, by the rules of display and visibility."""
+    html, seen = [], []
+    for _ in range(rng.randrange(1, 4)):
+        if depth == 0 or rng.random() < 0.3:
+            word = f"w{rng.randrange(10**6)}"
+            html.append(f" {word} ")
+            seen += [word] if laid_out and shown else []
+            continue
+        name, style = rng.choice(["div", "span", "section", "ul", "b"]), rng.choice(["", "", "display:none", "visibility:hidden", "visibility:visible", "color:red"])
+        how = rng.choice(["style", "class", "hidden"]) if style == "display:none" else rng.choice(["style", "class"])
+        mark = {"style": f'style="{style}"', "class": f'class="x {style.replace(":", "")}"', "hidden": "hidden"}[how]
+        inner, words_ = slow_page(rng, depth - 1, laid_out and style != "display:none", {"visibility:hidden": False, "visibility:visible": True}.get(style, shown))
+        if name == "ul":
+            inner = f"<li>{inner}</li>"
+        html.append(f"<{name} {mark}>{inner}</{name}>")
+        seen += words_
+    return "".join(html), seen
+
+
+def test_visible_words_equal_slow_reference():
+    sheet = "<style>@media all{.displaynone{display:none}} .x.visibilityhidden{visibility:hidden} .visibilityvisible{visibility:visible}</style>"
+    rng = random.Random(2)
+    for _ in range(300):
+        html, seen = slow_page(rng, 6)
+        assert [w for w in pages.visible_text(sheet + html).split() if w != "-"] == seen
+
+
+def test_visible_text_query_equals_function(spark):
+    frame = table(spark, SMALL, "pages")
+    want = Counter((r["page_id"], pages.visible_text(r["html"])) for r in frame.collect())
+    assert Counter((r["page_id"], r["text"]) for r in pages.extracted(frame).collect()) == want
+    long = spark.createDataFrame([(1, "<p>" + "some words " * 200_000)], "page_id bigint, html string")
+    assert len(pages.extracted(long).first()["text"].split()) == 400_000
+
+
 def test_pages_odd_cases(spark):
     frame = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (3, "<p>x", "t"), (3, "<p>x", "t")], "page_id bigint, html string, text string")
     got = pages.extracted(frame)
