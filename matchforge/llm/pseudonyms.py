@@ -9,12 +9,21 @@ groups, the first and shortest groups that validate are the card, so numbers
 before or after it don't hide it; where the pseudonym would make earlier groups
 validate too, it is permuted once more. Dates with slashes are read month first,
 and day first where that is no date.
+
+Kinds: cards (Luhn), IBANs (mod 97), phones (international, North American, and
+national ones with a leading zero), IPv4 and IPv6 addresses, social security
+numbers, dates of the years 1 to 9999 (each within 1-1899, 1900-2099 or
+2100-9999), email names, hexadecimal secrets and access key ids. Email domains
+stay. Being a permutation, it leaves one value in as many as a format has as it
+is. IPv6 addresses in mixed case are left alone. Keys of more than 64 bytes are
+hashed first.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -27,13 +36,19 @@ from pyspark.sql import functions as F
 from matchforge.llm.common import slices, small_batches, tidied
 
 ROUNDS = 8
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: First and last days that are permuted among themselves.
+AGES = tuple((datetime.date(a, 1, 1).toordinal(), datetime.date(b, 12, 31).toordinal()) for a, b in ((1900, 2099), (1, 1899), (2100, 9999)))
 
 KINDS = re.compile(
     r"""(?P<secret>(?<=[\s"'=:])[0-9a-f]{32,64}(?![0-9A-Za-z]))
     |(?P<email>(?<![\w.+-])[\w.+-]*\w@(?=[\w-]+(?:\.[\w-]+)+))
+    |(?P<access>(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w))
+    |(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?(?!\w))
+    |(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.[0-9]))
     |(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))
     |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?!\w))
+    |(?P<area>(?<![\w(])\([2-9][0-9]{2}\)[ ]?[2-9][0-9]{2}[ .-]?[0-9]{4}(?!\w)|(?<![\w.+-])[2-9][0-9]{2}(?P<mark>[.-])[2-9][0-9]{2}(?P=mark)[0-9]{4}(?![\w-]|\.[0-9]))
+    |(?P<trunk>(?<![\w.+/-])0[1-9][0-9]{1,3}[ /-][1-9][0-9]{4,7}(?![\w-]|[ .]?[0-9]))
     |(?P<iso>(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=[Tt][0-9]{2})|(?![\w-])))
     |(?P<day>(?<![\w.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?!\w|\.[0-9]))
     |(?P<month>(?<![\w/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![\w/]))
@@ -49,6 +64,8 @@ LEAD = re.compile(r"\+?[0-9]+")
 GROUP_END = re.compile(r"(?<=[0-9])(?![0-9])")
 #: Digits of a card at least and at most, and the signs of the longest one with separators.
 CARD_DIGITS, CARD_SIGNS = range(13, 20), 37
+#: Signs of a name that are permuted together.
+NAME = 64
 #: Signs that email names are made of, by class; a sign stays within its class.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 CLASS_OF = {c: (k, i) for k, signs in enumerate(CLASSES) for i, c in enumerate(signs)}
@@ -87,7 +104,7 @@ class Pseudonyms:
     """Replaces the values of a text under one key."""
 
     def __init__(self, key: bytes, back: bool = False):
-        self.key, self.back = key[:64], back
+        self.key, self.back = key if len(key) <= 64 else hashlib.blake2b(key).digest(), back
         self.value = lru_cache(100_000)(self._value)
 
     def of(self, digits: str, base: int, format_: str) -> str:
@@ -105,15 +122,15 @@ class Pseudonyms:
             n = datetime.date(year, month, day).toordinal()
         except ValueError:
             return None
-        if not FIRST_DAY <= n <= LAST_DAY:
-            return None
+        age = next(k for k, (first, last) in enumerate(AGES) if first <= n <= last)
+        first, last = AGES[age]
         style = self.style(parts, order)
         while True:  # walk on to a date that can be written in this style
-            n = FIRST_DAY + permuted(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, self.key, kind + style, self.back)
+            n = first + permuted(n - first, last - first + 1, self.key, kind + style + (f"|{age}" if age else ""), self.back)
             d = datetime.date.fromordinal(n)
             new = list(parts)
             for i, x, bare in zip(order, (d.year, d.month, d.day), (False, style[0] == "b", style[1] == "b"), strict=True):
-                new[i] = str(x) if bare else f"{x:02d}"
+                new[i] = str(x) if bare else f"{x:0{len(parts[i]) if i == order[0] else 2}d}"
             if self.style(new, order) == style and d.day >= least_day:
                 return new
 
@@ -158,7 +175,27 @@ class Pseudonyms:
                 if valid_ssn(digits):
                     return refilled(text, digits)
         if kind == "email":
-            return self.name(text[:-1]) + "@" if len(text) <= 65 else None
+            return self.name(text[:-1]) + "@"
+        if kind == "access":
+            return text[:4] + self.name(text[4:], kind)
+        if kind == "iban":
+            own = text.replace(" ", "")
+            if len(own) < 15 or own[2:4] != iban_check(own[:2], own[4:]):
+                return None
+            new = self.name(own[4:], kind)
+            signs = iter(own[:2] + iban_check(own[:2], new) + new)
+            return "".join(c if c == " " else next(signs) for c in text)
+        if kind == "ipv6":
+            return self.ipv6(text)
+        if kind in ("area", "trunk"):
+            fixed = digits[:1] if kind == "trunk" else ""
+            own = digits[len(fixed) :]
+            groups = [len(g) for g in re.findall("[0-9]+", text)]
+            leads = (0, groups[0] - 1) if kind == "trunk" else (0, 3)  # digits that begin a part can't be 0 (or 1)
+            while True:
+                own = self.of(own, 10, kind + "|".join(map(str, groups)))
+                if all(own[i] not in ("0" if kind == "trunk" else "01") for i in leads):
+                    return refilled(text, fixed + own)
         order = {"iso": (0, 1, 2), "day": (2, 1, 0), "month": (2, 0, 1)}[kind]
         parts = re.split(r"[-./]", text)
         new = self.date(parts, order, kind)
@@ -166,8 +203,30 @@ class Pseudonyms:
             new = self.date(parts, (2, 1, 0), "slashed day", 13)
         return text[len(parts[0])].join(new) if new else None
 
-    def name(self, text: str) -> str:
-        """An email's name, sign by sign within its classes."""
+    def ipv6(self, text: str) -> str | None:
+        """Another address with groups of the same lengths."""
+        own = text.replace(":", "")
+        upper = own != own.lower()
+        if upper and own != own.upper() or text.count(":") != 7 and "::" not in text:
+            return None
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        if not own:
+            return None
+        new = own.lower()
+        while True:  # capitals show by a letter only
+            new = self.of(new, 16, f"ipv6{upper}")
+            if not upper or not new.isdigit():
+                break
+        signs = iter(new.upper() if upper else new)
+        return "".join(c if c == ":" else next(signs) for c in text)
+
+    def name(self, text: str, kind: str = "email") -> str:
+        """An email's name or the like, sign by sign within its classes; long ones in pieces."""
+        if len(text) > NAME:
+            return "".join(self.name(text[i : i + NAME], f"{kind}{i}|{len(text)}|") for i in range(0, len(text), NAME))
         at = [CLASS_OF.get(c) for c in text]
         sizes = [len(CLASSES[k[0]]) for k in at if k]
         x, total = 0, 1
@@ -176,7 +235,7 @@ class Pseudonyms:
                 x, total = x * len(CLASSES[k[0]]) + k[1], total * len(CLASSES[k[0]])
         if total < 2:
             return text
-        x = permuted(x, total, self.key, "email" + "".join(c if k is None else str(k[0]) for c, k in zip(text, at, strict=True)), self.back)
+        x = permuted(x, total, self.key, kind + "".join(c if k is None else str(k[0]) for c, k in zip(text, at, strict=True)), self.back)
         new = []
         for size in reversed(sizes):
             x, i = divmod(x, size)
@@ -197,7 +256,7 @@ class Pseudonyms:
             if new is None:
                 if kind == "card":
                     tried.append(m.start())
-                start = LEAD.match(m[0]).end() + m.start() if kind in ("card", "phone") else m.end()
+                start = LEAD.match(m[0]).end() + m.start() if kind in ("card", "phone") else m.start() + 1 if kind in ("iban", "ipv6") else m.end()
                 continue
             start = m.start() + len(old)
             if kind == "card":
@@ -220,6 +279,11 @@ def first_card(text: str) -> str | None:
     return None
 
 
+def iban_check(country: str, own: str) -> str:
+    """The check digits of an IBAN: letters count 10 to 35, remainder 1 of 97."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in own + country + '00')) % 97:02d}"
+
+
 def valid_card(digits: str) -> bool:
     return check_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
 
