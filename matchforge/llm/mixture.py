@@ -14,6 +14,7 @@ from it and sends back one sum for each domain.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,6 +125,8 @@ def fitted(docs: DataFrame, domains: list[str], targets: dict[str, float], budge
         if np.abs(off).max() < CLOSE or len(steps) > 3 and np.abs(reached - before).max() < CLOSE / 100:
             break
         steps = np.vstack([steps, inverse @ off])
+    else:
+        warnings.warn(f"shares still move after {PASSES} passes; the farthest is off by {np.abs(off).max():.2g}", stacklevel=2)
     return budget, steps, reached
 
 
@@ -139,7 +142,7 @@ def rate_column(start: float, steps: np.ndarray, least: float = 0.0) -> Column:
     return rate(F.col("posterior"))
 
 
-def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, least: float = 0.0) -> DataFrame:
+def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, least: float = 0.0, spare: tuple[str, ...] = ()) -> DataFrame:
     """`docs` with n_tokens, posterior (in the order of the sorted domains) and rate.
 
     Null and empty texts have no tokens, the posteriors of the constant, and a
@@ -148,9 +151,11 @@ def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     posterior or rate are overwritten. Targets out of reach are met as nearly as
     rates of `least` and more can; with `least` above zero the budget grows until
     they are in reach, and domains without a target are wanted at that rate.
+    Columns named in `spare` aren't needed after scoring and are left out; a
+    warning tells if the fit ended before the shares stood still.
     """
     scored, domains = with_posteriors(docs, labelled)
-    scored = stored(scored, "posteriors")
+    scored = stored(scored.drop(*spare), "posteriors")
     start, steps, _ = fitted(scored, domains, targets, budget, least)
     return scored.withColumn("rate", rate_column(start, steps, least))
 

@@ -5,8 +5,10 @@ quantisation on a bounded sample. They are cut into substrings of up to 16 bits,
 and every block of vectors has one table for each substring. If two codes differ
 in at most `radius` bits, some substring differs in few (pigeonhole), so probing
 the tables finds every code within the radius; those vectors are then ranked by
-their exact distances. The radius is learned too: on the sample it holds `HOLDS`
-of the true neighbours.
+their exact distances. The radius is learned too: for a bounded set of sample
+queries, all rows are read and it holds `HOLDS` of their true neighbours, so it
+shrinks as the table fills. A query that finds too few within it widens it by a
+bit at a time.
 
 Queries and vectors are packed into blocks, and blocks of both meet by equal
 block numbers, so no task needs all vectors or all queries.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchforge.llm.common import stored
+from matchforge.llm.common import slices, stored
 
 #: Vectors from which rotation and radius are learned at most, and queries among them.
 SAMPLE, SAMPLE_QUERIES = 4_096, 256
@@ -56,7 +58,7 @@ class Coder:
 
     @classmethod
     def learned(cls, x: np.ndarray) -> Coder:
-        """Iterative quantisation on principal axes, then the radius."""
+        """Iterative quantisation on principal axes; the radius is still all bits."""
         centre = x.mean(axis=0)
         y = x - centre
         bits = min(x.shape[1], 64)
@@ -66,16 +68,39 @@ class Coder:
         for _ in range(TURNS):
             u, _, v = np.linalg.svd(z.T @ np.where(z @ turn > 0, 1.0, -1.0))
             turn = u @ v
-        coder = cls(centre, axes @ turn, bits)
-        codes, far = coder.codes(x), []
-        for q in range(min(SAMPLE_QUERIES, len(x))):
-            d = ((x - x[q]) ** 2).sum(axis=1)
-            d[q] = np.inf
-            near = np.argsort(d)[: min(NEAREST, len(x) - 1)]
-            far.append(np.bitwise_count(codes[near] ^ codes[q]))
-        if far and len(far[0]):
-            coder.radius = int(np.quantile(np.concatenate(far), HOLDS, method="higher"))
-        return coder
+        return cls(centre, axes @ turn, bits)
+
+
+def with_radius(coder: Coder, rows: DataFrame, ids: np.ndarray, asked: np.ndarray) -> Coder:
+    """The coder with the radius that holds `HOLDS` of the true neighbours of the sample queries among all rows.
+
+    Each task sends ten rows a query; ten times `SAMPLE_QUERIES` numbers come to the driver.
+    """
+    codes = coder.codes(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(ids), NEAREST), np.inf), np.zeros((len(ids), NEAREST), np.int64)
+        for batch in (part for whole in batches for part in slices(whole, 2_000)):
+            own, x = vectors_of(batch)
+            d = (asked**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * asked @ x.T
+            d[ids[:, None] == own] = np.inf
+            both = np.concatenate([best[0], d], axis=1)
+            bits = np.concatenate([best[1], np.bitwise_count(codes[:, None] ^ coder.codes(x)).astype(np.int64)], axis=1)
+            few = np.argpartition(both, NEAREST - 1, axis=1)[:, :NEAREST]
+            best = np.take_along_axis(both, few, 1), np.take_along_axis(bits, few, 1)
+        query, place = np.nonzero(np.isfinite(best[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(best[0][query, place]), pa.array(best[1][query, place])], names=["query", "d", "bits"])
+
+    found = rows.mapInArrow(run, "query bigint, d double, bits bigint")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "bits"))
+    far = found.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("bits").toPandas()["bits"].to_numpy()
+    return Coder(coder.centre, coder.turn, int(np.quantile(far, HOLDS, method="higher")) if len(far) else coder.bits)
+
+
+def vectors_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors as rows of doubles."""
+    ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+    return ids, batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
 class Index:
@@ -84,19 +109,19 @@ class Index:
     def __init__(self, coder: Coder, ids: np.ndarray, vectors: np.ndarray):
         self.coder, self.ids, self.vectors = coder, ids, vectors
         self.codes = coder.codes(vectors.astype(np.float64))
-        n = math.ceil(coder.bits / PART)
-        reach, over = divmod(coder.radius, n)
         self.tables = []
-        for j in range(n):
+        for j in range(math.ceil(coder.bits / PART)):
             values = self.codes >> np.uint64(j * PART) & np.uint64((1 << PART) - 1)
             order = np.argsort(values, kind="stable")
             buckets, starts, sizes = np.unique(values[order], return_index=True, return_counts=True)
-            self.tables.append((j, reach if j <= over else reach - 1, order, buckets, starts, sizes))
+            self.tables.append((order, buckets, starts, sizes))
 
-    def within(self, code: np.uint64) -> np.ndarray:
-        """Rows whose code differs in at most the radius: probe the buckets near each substring, then check whole codes."""
+    def within(self, code: np.uint64, radius: int) -> np.ndarray:
+        """Rows whose code differs in at most `radius` bits: probe the buckets near each substring, then check whole codes."""
         found = np.zeros(len(self.ids), bool)
-        for j, reach, order, buckets, starts, sizes in self.tables:
+        each, over = divmod(radius, len(self.tables))
+        for j, (order, buckets, starts, sizes) in enumerate(self.tables):
+            reach = each if j <= over else each - 1
             if reach < 0:
                 continue
             value = code >> np.uint64(j * PART) & np.uint64((1 << PART) - 1)
@@ -105,14 +130,15 @@ class Index:
                 ends = np.cumsum(sizes[near])
                 found[order[np.arange(ends[-1]) + np.repeat(starts[near] - (ends - sizes[near]), sizes[near])]] = True
         rows = np.flatnonzero(found)
-        return rows[np.bitwise_count(self.codes[rows] ^ code) <= self.coder.radius]
+        return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
 
     def nearest(self, query_id: int, query: np.ndarray, code: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the block's nearest; if the radius holds too few, the whole block is ranked."""
-        rows = self.within(code)
-        rows = rows[self.ids[rows] != query_id]
-        if len(rows) < NEAREST:
-            rows = np.flatnonzero(self.ids != query_id)
+        """Ids and distances of the block's nearest within the radius, which is widened while it holds too few."""
+        for radius in range(self.coder.radius, self.coder.bits + 1):
+            rows = self.within(code, radius)
+            rows = rows[self.ids[rows] != query_id]
+            if len(rows) >= NEAREST:
+                break
         d = np.sqrt(((self.vectors[rows].astype(np.float64) - query.astype(np.float64)) ** 2).sum(axis=1))
         if len(rows) > NEAREST:
             few = d <= np.partition(d, NEAREST - 1)[NEAREST - 1]
@@ -134,13 +160,21 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
     """Blocks of at most `size` rows: block string, ids and vectors (doubles) as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                ids = part.column("vec_id").to_numpy(zero_copy_only=False)
-                flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
-                columns = [pa.array([uuid.uuid4().hex]), pa.array([ids.tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "vectors"])
+        held: list[tuple] = []
+        n = 0
+        for batch in (part for whole in batches for part in slices(whole, size)):
+            held.append(vectors_of(batch))
+            n += len(held[-1][0])
+            while n >= size:  # whole blocks, whatever the size of batches
+                ids, vectors = map(np.concatenate, zip(*held, strict=True))
+                yield out(ids[:size], vectors[:size])
+                held, n = [(ids[size:], vectors[size:])], n - size
+        if n:
+            yield out(*map(np.concatenate, zip(*held, strict=True)))
+
+    def out(ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([uuid.uuid4().hex]), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "vectors"])
 
     return rows.mapInArrow(run, "block string, ids binary, vectors binary")
 
@@ -157,11 +191,12 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100) -> DataFrame:
     """
     spark = vectors.sparkSession
     rows = stored(usable(vectors), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()["embedding"]
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not len(sample):
         return spark.createDataFrame([], schema)
-    coder = Coder.learned(np.stack([np.asarray(v, np.float64) for v in sample]))
+    x = np.stack([np.asarray(v, np.float64) for v in sample["embedding"]])
+    coder = with_radius(Coder.learned(x), rows, sample["vec_id"].to_numpy()[:SAMPLE_QUERIES], x[:SAMPLE_QUERIES])
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n_query = max(1, math.ceil(rows.filter(F.col("vec_id") % every == 0).select("vec_id").distinct().count() / QUERY_BLOCK))
     queries = stored(packed(asked.repartition(n_query), QUERY_BLOCK), "queries").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})

@@ -85,7 +85,7 @@ def domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 @query
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return mixture.with_rates(docs, domains(docs, labels), TARGETS).select("doc_id", "n_tokens", "posterior", "rate")
+    return mixture.with_rates(docs.select("doc_id", "text"), domains(docs, labels), TARGETS, spare=("text",)).select("doc_id", "n_tokens", "posterior", "rate")
 
 
 @query
