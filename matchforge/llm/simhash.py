@@ -41,8 +41,8 @@ SEED = 42
 CHUNK, LARGE = 250_000, 32
 #: Rows of an anchor's group in one part at most.
 PART = 200_000
-#: Comparisons that sending one replica costs, about, and the number of fingerprints up to which the cover stays the same.
-SENDING, FEW = 200, 10_000_000
+#: Comparisons that sending one replica costs, its bytes on disk counted in.
+SENDING = 10_000
 
 
 @dataclass(frozen=True)
@@ -50,17 +50,19 @@ class Kind:
     """What a near-duplicate is: words in a shingle, differing bits of the first 64, and of all bits, at most.
 
     `halves` 2 makes fingerprints of 128 bits; anchors are looked for by the
-    first 64, and all of them decide.
+    first 64, and all of them decide. Up to `few` different fingerprints the
+    cover stays the same.
     """
 
     shingle: int = 4
     distance: int = 4
     halves: int = 1
     in_all: int = 4
+    few: int = 10_000_000
 
 
 #: Shingles of five words and a similarity of 0.8: two such sets differ in 19 of 128 bits on average.
-SIMILAR = Kind(shingle=5, distance=11, halves=2, in_all=21)
+SIMILAR = Kind(shingle=5, distance=11, halves=2, in_all=21, few=1_000_000)
 
 
 def fingerprint(text: bytes | None, kind: Kind = Kind()) -> bytes:
@@ -172,8 +174,8 @@ for _bit in range(64):
 
 
 def cover_for(distance: int, n: int) -> Cover:
-    """The cheapest cover for `n` different fingerprints, `FEW` at least; radii above three would need too many replicas."""
-    return min((Cover(distance, k) for k in range(2, distance + 1) if distance // k <= 3), key=lambda c: c.cost(max(n, FEW)))
+    """The cheapest cover for `n` different fingerprints; radii above three would need too many replicas."""
+    return min((Cover(distance, k) for k in range(2, distance + 1) if distance // k <= 3), key=lambda c: c.cost(n))
 
 
 # ---- comparing -----------------------------------------------------------------------------------------------------
@@ -309,7 +311,7 @@ def binaries(words: np.ndarray) -> pa.Array:
 
 def fingerprint_links(distinct: DataFrame, kind: Kind = Kind(), cover: Cover | None = None) -> DataFrame:
     """Links (a, b) that connect the fingerprints fp of a table of different ones as all their links do."""
-    cover = cover or cover_for(kind.distance, distinct.count())
+    cover = cover or cover_for(kind.distance, max(distinct.count(), kind.few))
     group = Group(kind, cover)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
