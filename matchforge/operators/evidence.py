@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,40 +44,32 @@ def sliding_maximum(profile: DataFrame, group: str, order: str, value: str, widt
     return whole.groupBy(group).agg(F.max_by(F.struct("at", "total"), F.struct("total", -F.col("at"))).alias("b")).select(group, (F.col("b.at") - (width - 1)).alias("first"), "b.total")
 
 
-def _joined(line: str | None) -> str | None:
-    """A line without letter-spacing, and with colour and sweetness words put together again."""
-    if line is None or " " not in line.strip():
-        return line
-    parts = line.split()
-    if len(parts) >= 3 and sum(len(p) == 1 for p in parts) >= 0.6 * len(parts):
-        return "".join(parts)
+def category_word(token: Column) -> Column:
+    """Does a token, but for its signs and look-alike letters, name a colour or sweetness? Long ones may have one wrong letter."""
     terms = [t for t in (*words.SWEETNESS, *words.COLOURS) if " " not in t and len(t) >= 4]
-    look = str.maketrans(words.LOOKALIKE_LATIN, words.LOOKALIKE_CYRILLIC)
-
-    def term(pair: str) -> bool:
-        low = "".join(c for c in pair.replace("İ", "I").lower().replace("ё", "е") if c.isdigit() or "a" <= c <= "z" or "а" <= c <= "я")
-        return any(f == t or len(f) == len(t) >= 7 and sum(a != b for a, b in zip(f, t, strict=True)) <= 1 for f in (low, low.translate(look)) for t in terms)
-
-    out, i = [], 0
-    while i < len(parts):
-        if i + 1 < len(parts) and term(parts[i] + parts[i + 1]):
-            out.append(parts[i] + parts[i + 1])
-            i += 2
-        else:
-            out.append(parts[i])
-            i += 1
-    return " ".join(out)
+    long = [t for t in terms if len(t) >= 7]
+    low = F.regexp_replace(text.clean(token), " ", "")
+    return F.exists(F.array(low, text.homoglyphs(low)), lambda form: form.isin(terms) | (F.size(text.substituted(form, long)) > 0))
 
 
 def joined_spaces(line: Column) -> Column:
-    """Letter-spaced and torn words of a line put together; the walk over pairs depends on what it has joined, hence Python."""
+    """A line put together again where it is letter-spaced or where a colour or sweetness word is torn in two.
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(_joined)
-
-    # the annotations decide how Spark calls it
-    return F.pandas_udf(run, "string")(line)
+    Three parts or more of which three in five are single letters are one word.
+    Else neighbours that together name a category are joined, from left to right.
+    """
+    parts = F.split(F.trim(line), r"\s+")
+    letters = F.size(F.filter(parts, lambda p: F.length(p) == 1))
+
+    def step(state: Column, part: Column) -> Column:
+        whole = state["waiting"].isNotNull() & category_word(F.concat(state["waiting"], part))
+        done = F.when(whole, F.array_append(state["done"], F.concat(state["waiting"], part))).when(state["waiting"].isNotNull(), F.array_append(state["done"], state["waiting"])).otherwise(state["done"])
+        return F.struct(done.alias("done"), F.when(~whole, part).alias("waiting"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("waiting"))
+    pairs = F.aggregate(parts, start, step, lambda s: F.array_compact(F.array_append(s["done"], s["waiting"])))
+    spaced = (F.size(parts) >= 3) & (letters >= 0.6 * F.size(parts))
+    return F.when(~F.trim(line).contains(" "), line).when(spaced, F.array_join(parts, "")).otherwise(F.array_join(pairs, " "))
 
 
 def label_json(raw: Column) -> Column:

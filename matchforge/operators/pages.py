@@ -2,51 +2,67 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 8
-
 
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, link) of all references, in no order, repeats included."""
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("link"))
 
 
-def resolved(flat: list, at: object, depth: int = 0):
-    """The value at a place, numbers within it followed as places, at most `DEPTH` deep."""
-    if depth > DEPTH or not isinstance(at, int) or isinstance(at, bool) or not 0 <= at < len(flat):
-        return None
-    value = flat[at]
-    if isinstance(value, dict):
-        return {k: resolved(flat, v, depth + 1) for k, v in value.items()}
-    if isinstance(value, list):
-        return [resolved(flat, v, depth + 1) for v in value]
-    return value
+#: Wrappers of values in payloads (fixed values): a list of the wrapper's name and a place.
+WRAPPERS = ("ShallowReactive", "Reactive", "Ref", "ShallowRef")
+
+
+class Payload:
+    """Columns out of a flat payload: an array of JSON values in which numbers within objects and lists are places of others."""
+
+    def __init__(self, flat: Column):
+        self.flat = flat
+
+    def at(self, place: Column) -> Column:
+        """The value at a place, out of up to three wrappers."""
+        value = F.get(self.flat, place.cast("int"))
+        for _ in range(3):
+            inner = F.from_json(value, "array<string>")
+            value = F.when(F.get(inner, F.lit(0)).isin(*WRAPPERS), F.get(self.flat, F.get(inner, F.lit(1)).cast("int"))).otherwise(value)
+        return value
+
+    def member(self, value: Column, name: str) -> Column:
+        """A member of an object; a number is the place of the member's value."""
+        own = F.get_json_object(value, f"$.{name}")
+        return F.when(own.rlike("^[0-9]+$"), self.at(own)).otherwise(own)
+
+    def named(self, value: Column, name: str) -> Column:
+        """The name of a member that is an object with a name, or the member itself."""
+        own = self.member(value, name)
+        return F.when(own.startswith("{"), self.member(own, "name")).otherwise(own)
+
+    def names(self, value: Column, name: str) -> Column:
+        """The names of a member that is a list of objects."""
+        found = F.transform(F.from_json(self.member(value, name), "array<string>"), lambda i: self.member(self.at(i), "name"))
+        return F.coalesce(F.filter(found, lambda n: n.isNotNull() & (n != "")), F.array().cast("array<string>"))
 
 
 def payload_cards(rows: DataFrame) -> DataFrame:
-    """(page_id, slug, title, maker) of the first object of each payload; nulls where it can't be read.
+    """(page_id, slug, title, maker, region, grapes) of the card of each row (page_id, slug, payload).
 
-    The references form a graph inside one value, which no built-in function follows.
+    The card is the first object with slug, title and a maker whose slug is the
+    row's; payloads without it, or that can't be read, give nulls. The payload
+    may be the JSON itself or the page that holds it in its data script.
     """
+    script = F.regexp_extract("payload", r'(?s)<script[^>]*id="__NUXT_DATA__"[^>]*>(.*?)</script>', 1)
+    parsed = rows.withColumn("flat", F.from_json(F.coalesce(F.nullif(script, F.lit("")), "payload"), "array<string>"))
+    p = Payload(F.col("flat"))
+
+    def is_card(v: Column) -> Column:
+        complete = v.startswith("{") & F.get_json_object(v, "$.slug").isNotNull() & F.get_json_object(v, "$.title").isNotNull()
+        return F.coalesce(complete & (p.member(v, "slug") == F.col("slug")) & (F.coalesce(p.member(v, "manufacturer"), F.lit("")) != ""), F.lit(False))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for page, raw in zip(part["page_id"], part["payload"], strict=True):
-                try:
-                    card = resolved(json.loads(raw), 0) if raw else None
-                except ValueError:
-                    card = None
-                card = card if isinstance(card, dict) else {}
-                maker = card.get("maker")
-                values = (card.get("slug"), card.get("title"), maker.get("name") if isinstance(maker, dict) else maker)
-                out.append((page, *(str(x) if isinstance(x, str | int | float) else None for x in values)))
-            yield pd.DataFrame(out, columns=["page_id", "slug", "title", "maker"])
-
-    return rows.select("page_id", "payload").mapInPandas(run, "page_id bigint, slug string, title string, maker string")
+    found = parsed.withColumn("card", F.get(F.filter("flat", is_card), F.lit(0)))
+    card = F.col("card")
+    return found.select(
+        "page_id", p.member(card, "slug").alias("slug"), F.trim(p.member(card, "title")).alias("title"), F.trim(p.named(card, "manufacturer")).alias("maker"),
+        F.trim(p.named(card, "region")).alias("region"), p.names(card, "grapes").alias("grapes"),
+    )

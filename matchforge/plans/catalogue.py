@@ -120,12 +120,18 @@ def page_title_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", title.alias("title"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
 
 
-@query()
+@query("SELECT page_id, 'p' || page_id AS slug, 't' || page_id AS title, 'm' || (page_id % 7) AS maker, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'g' || (page_id % 5) END AS grapes FROM pages")
 def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards out of flat payload arrays whose numbers point to other places; the payloads are made of the pages' ids."""
-    pages = table(spark, sf_dir, "pages")
-    flat = F.concat(F.lit('[{"slug":1,"title":2,"maker":3},"p'), F.col("page_id"), F.lit('","t'), F.col("page_id"), F.lit('",{"name":4},"m'), F.col("page_id") % 7, F.lit('"]'))
-    return page_operators.payload_cards(pages.select("page_id", flat.alias("payload")))
+    """Cards out of flat payloads, made of the pages' ids: another card first, wrapped values, makers as objects, lists of objects."""
+    k = F.col("page_id").cast("string")
+    grapes = F.when(F.col("page_id") % 3 == 0, F.lit("[]")).otherwise(F.lit("[13]"))
+    flat = F.concat(
+        F.lit('[["Reactive",1],{"slug":2,"title":3,"manufacturer":4},"other","x",{"name":3},{"slug":6,"title":7,"manufacturer":8,"grapes":12},"p'), k, F.lit('","t'), k, F.lit('",["Ref",9],{"name":10},"m'),
+        (F.col("page_id") % 7).cast("string"), F.lit('",null,'), grapes, F.lit(',{"name":14},"g'), (F.col("page_id") % 5).cast("string"), F.lit('"]'),
+    )
+    page = F.concat(F.lit('<script type="application/json" id="__NUXT_DATA__">'), flat, F.lit("</script>"))
+    found = page_operators.payload_cards(table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), k).alias("slug"), page.alias("payload")))
+    return found.select("page_id", "slug", "title", "maker", F.array_join("grapes", ",").alias("grapes"))
 
 
 @query("SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS INT)) AS total FROM events GROUP BY 1")
@@ -134,22 +140,19 @@ def json_property_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
 
-EDGES = "edges AS (SELECT DISTINCT 's' || (l_suppkey % 400) AS a, 'p' || (l_partkey % 900) AS b FROM lineitem WHERE l_orderkey % 40 = 0)"
-
-
-@query(f"""WITH RECURSIVE {EDGES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach(node, seen) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen)
-SELECT node, min(seen) AS component FROM reach GROUP BY 1""")
+@query("""WITH region_of AS (SELECT n_nationkey, n_regionkey FROM nation), nodes AS (SELECT 's' || s_suppkey AS node, n_regionkey AS r FROM supplier JOIN region_of ON n_nationkey = s_nationkey
+UNION ALL SELECT 'c' || c_custkey, n_regionkey FROM customer JOIN region_of ON n_nationkey = c_nationkey UNION ALL SELECT 'n' || n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, r_regionkey FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation))
+SELECT node, min(node) OVER (PARTITION BY r) AS component FROM nodes""")
 def connected_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that share a photo, series or item come into one split: components by their smallest node."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0")
-    edges = lines.select(F.concat(F.lit("s"), F.col("l_suppkey") % 400).alias("a"), F.concat(F.lit("p"), F.col("l_partkey") % 900).alias("b")).distinct()
-    return components.connected_components(edges)
+    edges = [("customer", "c", "c_custkey", "n", "c_nationkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey")]
+    a, b, c = (table(spark, sf_dir, t).select(F.concat(F.lit(p), x).alias("a"), F.concat(F.lit(q), y).alias("b")) for t, p, x, q, y in edges)
+    return components.connected_components(a.unionByName(b).unionByName(c))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 500 AS a, (l_suppkey * 7 + l_linenumber) % 500 AS b FROM lineitem WHERE l_orderkey % 50 = 0), reach(n) AS (SELECT 1::BIGINT UNION SELECT e.b FROM reach JOIN e ON e.a = reach.n) SELECT n AS node FROM reach")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey * 7 + l_linenumber AS b FROM lineitem), reach(n) AS (SELECT 1::BIGINT UNION SELECT e.b FROM reach JOIN e ON e.a = reach.n) SELECT n AS node FROM reach")
 def recursive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0")
-    edges = lines.select((F.col("l_partkey") % 500).alias("a"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 500).alias("b")).distinct()
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") * 7 + F.col("l_linenumber")).alias("b")).distinct()
     return components.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")))
 
 
@@ -178,7 +181,7 @@ def fragment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
     x, y = (F.col("l_partkey") * 37 % 900).cast("int"), (F.col("l_suppkey") * 11 % 200).cast("int")
     return l.select(
         F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("word_id"), F.concat(F.lit("w"), F.col("l_partkey") % 9).alias("text"), (F.col("l_quantity") / 50).alias("conf"),

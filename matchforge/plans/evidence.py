@@ -15,12 +15,14 @@ from matchforge.plans.vectors import RAW, index_rows, query_rows, r6
 from matchforge.sources.tables import table
 
 
-@query(f"""WITH {RAW}, n AS (SELECT query_id, row_id, sqrt(greatest(2 - 2 * cv, 0)) AS d, row_number() OVER (PARTITION BY query_id ORDER BY cv DESC, row_id) AS rank FROM raw WHERE row_id >= {20}),
+@query(f"""WITH {RAW}, n AS (SELECT query_id, row_id, sqrt(greatest(2 - 2 * cv, 0)) AS d, row_number() OVER (PARTITION BY query_id ORDER BY cv DESC, row_id) AS rank FROM raw WHERE row_id <> query_id),
 f AS (SELECT query_id, max(CASE WHEN rank = 1 THEN row_id END) AS row_id, max(CASE WHEN rank = 1 THEN d END) AS d1, max(CASE WHEN rank = 2 THEN d END) AS d2 FROM n WHERE rank <= 2 GROUP BY 1)
 SELECT query_id, row_id, round(d1, 6) AS distance FROM f WHERE d1 < 0.99 * d2 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY d1, query_id) = 1""")
 def keypoint_ratio_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two nearest descriptors of each point, kept if clearly apart, one point a descriptor."""
-    two = knn.top_rows(index_rows(spark, sf_dir).filter("row_id >= 20"), query_rows(spark, sf_dir), 2)
+    three = knn.top_rows(index_rows(spark, sf_dir), query_rows(spark, sf_dir), 3).filter("row_id <> query_id").drop("rank", "place")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cv"), "row_id"))
+    two = three.withColumn("rank", rank).filter("rank <= 2")
     distances = two.withColumn("distance", F.sqrt(F.greatest(2 - 2 * F.col("cv"), F.lit(0.0))))
     return evidence.ratio_matches(distances, 0.99).withColumn("distance", r6("distance"))
 
@@ -71,7 +73,7 @@ def energy_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EVIDENCE}, y AS (SELECT query_id, slug, place, ((row_id * 11 + query_id * 3) % 100) / 100.0::DOUBLE AS p FROM cand), s AS (SELECT query_id, max(CASE WHEN place = 0 THEN p END) AS lead, max(p) AS best, arg_max(slug, p * 1000 - place) AS other, max(CASE WHEN place = 0 THEN slug END) AS leader FROM y GROUP BY 1),
-g AS (SELECT s.*, d, g, (query_id % 10) / 20.0::DOUBLE AS prob FROM s, (VALUES (0.1), (0.3)) a(d), (VALUES (0.2), (0.4)) b(g))
+g AS (SELECT s.*, d, g, (query_id // 100 % 10) / 20.0::DOUBLE AS prob FROM s, (VALUES (0.1), (0.3)) a(d), (VALUES (0.2), (0.4)) b(g))
 SELECT d::DOUBLE AS d, g::DOUBLE AS g, count(*) FILTER (WHERE best - lead > d AND prob < g AND other <> leader) AS switched, count(*) AS n FROM g GROUP BY 1, 2""")
 def rerank_rule_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second judge's answer takes over if it is surer by d and the first one surer than g isn't: all d and g in one pass."""
@@ -80,7 +82,7 @@ def rerank_rule_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(F.col("place") == 0, F.col("p"))).alias("lead"), F.max("p").alias("best"), F.max_by("slug", F.struct("p", -F.col("place"))).alias("other"), F.max(F.when(F.col("place") == 0, F.col("slug"))).alias("leader")
     )
     grid = sides.withColumn("d", F.explode(F.array(F.lit(0.1), F.lit(0.3)))).withColumn("g", F.explode(F.array(F.lit(0.2), F.lit(0.4))))
-    switch = (F.col("best") - F.col("lead") > F.col("d")) & (F.col("query_id") % 10 / 20.0 < F.col("g")) & (F.col("other") != F.col("leader"))
+    switch = (F.col("best") - F.col("lead") > F.col("d")) & (F.floor(F.col("query_id") / 100) % 10 / 20.0 < F.col("g")) & (F.col("other") != F.col("leader"))
     return grid.groupBy("d", "g").agg(F.count_if(switch).alias("switched"), F.count("*").alias("n"))
 
 
@@ -92,12 +94,12 @@ def resampled_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, sf_dir).withColumn("half", half).select("doc_id", (F.col("half") == 1).alias("train"), copies.alias("copy"))
 
 
-@query(f"""WITH {EVIDENCE}, gold AS (SELECT * FROM cand WHERE slug::INT = query_id % 10), f AS (SELECT query_id, (row_number() OVER (ORDER BY sha256(query_id::VARCHAR)) - 1) % 5 AS fold FROM (SELECT DISTINCT query_id FROM cand))
+@query(f"""WITH {EVIDENCE}, gold AS (SELECT * FROM cand WHERE slug::INT = query_id // 100 % 10), f AS (SELECT query_id, (row_number() OVER (ORDER BY sha256(query_id::VARCHAR)) - 1) % 5 AS fold FROM (SELECT DISTINCT query_id FROM cand))
 SELECT query_id, o.slug, CAST(fold AS INT) AS fold, round(g.cv - o.cv, 6) AS d_cv, g.inliers - o.inliers AS d_inliers, round(g.coverage - o.coverage, 6) AS d_coverage FROM gold g JOIN cand o USING (query_id) JOIN f USING (query_id) WHERE o.slug <> g.slug""")
 def pairwise_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Right minus other features within each query, with five folds by the order of hashes; groups are queries, one row each before the window."""
     rows = candidates(spark, sf_dir)
-    gold = rows.filter(F.col("slug").cast("int") == F.col("query_id") % 10).select("query_id", F.col("slug").alias("right"), *[F.col(c).alias(f"g_{c}") for c in ("cv", "inliers", "coverage")])
+    gold = rows.filter(F.col("slug").cast("int") == F.floor(F.col("query_id") / 100) % 10).select("query_id", F.col("slug").alias("right"), *[F.col(c).alias(f"g_{c}") for c in ("cv", "inliers", "coverage")])
     order = Window.partitionBy(F.lit(0)).orderBy(F.sha2(F.col("query_id").cast("string"), 256))
     folds = rows.select("query_id").distinct().withColumn("fold", ((F.row_number().over(order) - 1) % 5).cast("int"))
     pairs = rows.join(gold, "query_id").filter("slug <> right").join(folds, "query_id")
@@ -166,11 +168,11 @@ def settled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "slug", "place")
 
 
-@query()
+@query("SELECT CASE WHEN o_custkey IN (1, 7) THEN 'test' ELSE 'tune' END AS split, count(*) AS n FROM orders GROUP BY 1")
 def assigned_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share a text or a group of lines come into one split."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0")
-    rows = o.select(F.col("o_orderkey").cast("string").alias("image"), (F.col("o_custkey") % 3000).cast("string").alias("series"), F.concat(F.lit("i"), F.col("o_orderkey") % 4000).alias("item"))
+    """Orders of one customer are a series and come into one split; two customers' splits are fixed."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").cast("string").alias("image"), F.col("o_custkey").cast("string").alias("series"), F.concat(F.lit("i"), F.col("o_orderkey")).alias("item"))
     locked = spark.sql("SELECT * FROM VALUES ('series:1', 'test'), ('series:7', 'test') AS v(node, split)")
     return evidence.assigned_splits(rows, locked).groupBy("split").agg(F.count("*").alias("n"))
 

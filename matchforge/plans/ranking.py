@@ -12,7 +12,7 @@ from matchforge.plans.vectors import BEST, index_rows, query_rows, r6
 from matchforge.sources.tables import table
 
 EVIDENCE = f"""{BEST}, cand AS (SELECT query_id, slug, row_id, cv, place, (row_id * 7 + query_id * 13) % 40 AS inliers, ((row_id * 3 + query_id) % 16) / 16.0::DOUBLE AS coverage,
-CASE WHEN (row_id + query_id) % 4 = 0 THEN 1 ELSE 0 END AS reasons, (row_id + query_id) % 3 = 0 AS hard, slug::INT % 3 AS maker, (row_id * 5 + query_id) % 6 AS votes, query_id % 5 AS conflicts FROM best)"""
+CASE WHEN (row_id + query_id) % 4 = 0 THEN 1 ELSE 0 END AS reasons, (row_id + query_id) % 3 = 0 AS hard, slug::INT % 3 AS maker, (row_id * 5 + query_id) % 6 AS votes, query_id // 100 % 5 AS conflicts FROM best)"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(
         "query_id", "slug", "row_id", "cv", "place", ((row * 7 + q * 13) % 40).alias("inliers"), (((row * 3 + q) % 16) / 16.0).alias("coverage"),
         F.when((row + q) % 4 == 0, 1).otherwise(0).alias("reasons"), ((row + q) % 3 == 0).alias("hard"), (F.col("slug").cast("int") % 3).alias("maker"),
-        ((row * 5 + q) % 6).alias("votes"), (q % 5).alias("conflicts"),
+        ((row * 5 + q) % 6).alias("votes"), (F.floor(q / 100) % 5).alias("conflicts"),
     )
 
 
@@ -82,7 +82,7 @@ def outcome_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {OUTCOME_SQL}, crowd AS (SELECT query_id, count(*) FILTER (WHERE inliers >= 0.8 * most) >= 2 OR count(*) FILTER (WHERE place > 0 AND maker = lead_maker) >= 2 AS crowded
     FROM (SELECT *, max(inliers) OVER (PARTITION BY query_id) AS most, max(CASE WHEN place = 0 THEN maker END) OVER (PARTITION BY query_id) AS lead_maker FROM cand) GROUP BY 1)
-    SELECT query_id, slug, CASE WHEN p_top1 < {words.SHOW_P} THEN 'unsure' WHEN p_top1 >= {words.CONFIDENT_P} AND query_id % 5 = 0 AND NOT crowded THEN 'confident' ELSE 'uncertain' END AS state
+    SELECT query_id, slug, CASE WHEN p_top1 < {words.SHOW_P} THEN 'unsure' WHEN p_top1 >= {words.CONFIDENT_P} AND query_id // 100 % 5 = 0 AND NOT crowded THEN 'confident' ELSE 'uncertain' END AS state
     FROM prob JOIN crowd USING (query_id)"""
 )
 def output_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,11 +41,6 @@ def clean_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(found).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(found)).cast("bigint").alias("n_different"), F.md5("clean").alias("digest"))
 
 
-@query(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{YEAR_SQL}', 1))) AS year FROM documents")
-def year_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.years(F.col("text"))).alias("year"))
-
-
 @query()
 def translit_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of part names and types in canonical letters."""
@@ -76,8 +71,8 @@ def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty noisy label texts: names of parts with a letter lost, one word of the type, and the brand."""
-    p = table(spark, sf_dir, "part").filter("p_partkey % 97 = 0 and p_partkey < 2000")
+    """A noisy label text for every hundredth part: names of parts with a letter lost, one word of the type, and the brand."""
+    p = table(spark, sf_dir, "part").filter("p_partkey % 100 = 0")
     noisy = F.concat(F.substring("p_name", 1, 3), F.expr("substring(p_name, 5)"))
     return p.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", noisy, F.element_at(F.split("p_type", " "), 1), F.col("p_brand")).alias("text"))
 
@@ -89,7 +84,7 @@ def byte(c: str) -> str:
 
 MATCH_SQL = f"""CASE WHEN q = d THEN 1.0 WHEN length(q) >= 4 AND (starts_with(d, q) OR starts_with(q, d)) AND abs(length(q) - length(d)) <= 3 THEN 0.85
 WHEN greatest(length(q), length(d)) >= 8 AND levenshtein({byte('q')}, {byte('d')}) <= 2 THEN 0.7 WHEN greatest(length(q), length(d)) >= 5 AND levenshtein({byte('q')}, {byte('d')}) <= 1 THEN 0.7 ELSE 0 END"""
-ASKED_SQL = f"""queries AS (SELECT p_partkey AS query_id, substring(p_name, 1, 3) || substring(p_name, 5) || ' ' || string_split(p_type, ' ')[1] || ' ' || p_brand AS text FROM part WHERE p_partkey % 97 = 0 AND p_partkey < 2000),
+ASKED_SQL = f"""queries AS (SELECT p_partkey AS query_id, substring(p_name, 1, 3) || substring(p_name, 5) || ' ' || string_split(p_type, ' ')[1] || ' ' || p_brand AS text FROM part WHERE p_partkey % 100 = 0),
 qwords AS (SELECT query_id, unnest(list_filter(string_split({clean_sql('text')}, ' '), lambda x: length(x) >= 2)) AS t FROM queries),
 asked AS (SELECT DISTINCT query_id, CASE WHEN regexp_full_match(t, '[a-z0-9]+') AND NOT regexp_full_match(t, '[0-9]+') THEN {translit_sql('t')} ELSE t END AS q FROM qwords),
 kept AS (SELECT * FROM asked WHERE q NOT IN ({STOP}) AND NOT regexp_full_match(q, '[0-9]+')),
@@ -117,12 +112,12 @@ def token_match_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textsearch.matched_tokens(asked, tokens)
 
 
-OWNED_SQL = "owned AS (SELECT DISTINCT p_brand AS brand, p_size % 5 AS grp, lower(w) AS token FROM (SELECT p_brand, p_size, unnest(string_split(p_name || ' ' || p_type, ' ')) AS w FROM part))"
+OWNED_SQL = "owned AS (SELECT DISTINCT p_brand AS brand, p_size % 5 AS grp, lower(w) AS token FROM (SELECT p_brand, p_size, unnest(string_split(p_name || ' ' || p_type || ' lot' || p_partkey % 977, ' ')) AS w FROM part))"
 
 
 def owned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_brand").alias("brand"), (F.col("p_size") % 5).alias("grp"), F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("token")).distinct()
+    p, lot = table(spark, sf_dir, "part"), F.concat(F.lit("lot"), F.col("p_partkey") % 977)
+    return p.select(F.col("p_brand").alias("brand"), (F.col("p_size") % 5).alias("grp"), F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", lot)), " ")).alias("token")).distinct()
 
 
 @query(f"WITH {OWNED_SQL} SELECT grp, token, min(brand) AS brand FROM owned GROUP BY 1, 2 HAVING count(DISTINCT brand) = 1")
@@ -142,9 +137,10 @@ def distinguishing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textsearch.distinguishing(owned.join(lead, "grp"), "grp", "brand", "token", F.col("brand") == F.col("leader"))
 
 
-@query("SELECT lower(p_brand) AS brand, lower(p_type) AS type, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1, 2 HAVING count(*) > 1")
+@query("SELECT lower(p_brand) AS brand, lower(p_name) AS name, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1, 2 HAVING count(*) > 1")
 def near_duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = table(spark, sf_dir, "part").groupBy(F.lower("p_brand").alias("brand"), F.lower("p_type").alias("type"))
+    """Items that only the key tells apart: the same maker and name but for capitals."""
+    grouped = table(spark, sf_dir, "part").groupBy(F.lower("p_brand").alias("brand"), F.lower("p_name").alias("name"))
     return grouped.agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).filter("n > 1")
 
 
@@ -174,20 +170,19 @@ def sibling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_votes_osa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes: different read words within a fifth of their length of a word of the card, by optimal string alignment."""
     read = label_texts(spark, sf_dir).select("query_id", F.explode(F.array_distinct(F.split(text.clean(F.col("text")), " "))).alias("token")).filter("length(token) >= 4")
-    cards = table(spark, sf_dir, "part").filter("p_partkey % 97 = 0").select(F.col("p_partkey").alias("slug"), F.explode(F.array_distinct(F.split(text.clean(F.concat_ws(" ", "p_name", "p_type")), " "))).alias("word"))
-    cards = cards.filter("length(word) >= 4").withColumn("n", F.length("word"))
-    lengths = read.withColumn("n", F.explode(F.sequence(F.length("token") - 2, F.length("token") + 2)))
-    met = lengths.join(cards, "n").withColumn("distance", text.osa_distance(F.col("token"), F.col("word")))
-    near = met.filter(F.col("distance") <= F.floor(0.2 * F.greatest(F.length("token"), F.col("n"))))
-    return near.groupBy("query_id", "slug").agg(F.countDistinct("token").alias("votes"))
+    cards = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slug"), F.explode(F.array_distinct(F.split(text.clean(F.concat_ws(" ", "p_name", "p_type")), " "))).alias("word")).filter("length(word) >= 4")
+    near = textsearch.near_tokens(read.select("token").distinct(), cards.select("word").distinct(), 0.2)
+    return read.join(near, "token").join(cards, "word").groupBy("query_id", "slug").agg(F.countDistinct("token").alias("votes"))
 
 
 @query()
 def sequence_ratio_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closest spelling of each label's words among the catalogue's type words: equal, or the largest block similarity from 0.8."""
-    words_ = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).distinct().withColumn("initial", F.left("word", F.lit(1)))
-    asked = label_texts(spark, sf_dir).select(F.explode(F.split(text.clean(F.col("text")), " ")).alias("token")).distinct().withColumn("initial", F.left("token", F.lit(1)))
-    close = asked.join(words_, "initial").withColumn("ratio", text.sequence_ratio(F.col("token"), F.col("word"))).filter("ratio >= 0.8")
+    words_ = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).distinct().withColumn("n", F.length("word"))
+    asked = label_texts(spark, sf_dir).select(F.explode(F.split(text.clean(F.col("text")), " ")).alias("token")).distinct()
+    n = F.length("token")  # twice the shorter length is four fifths of both at least
+    lengths = asked.withColumn("n", F.explode(F.sequence(F.ceil(n * 2 / 3).cast("int"), F.floor(n * 3 / 2).cast("int"))))
+    close = lengths.join(words_, "n").withColumn("ratio", text.sequence_ratio(F.col("token"), F.col("word"))).filter("ratio >= 0.8")
     return close.groupBy("token").agg(F.max_by("word", F.struct("ratio", "word")).alias("closest"), r6(F.max("ratio")).alias("ratio"))
 
 

@@ -9,8 +9,8 @@ from matchforge.operators import knn
 from matchforge.plans.registry import query
 from matchforge.sources.tables import table
 
-#: The stated set of queries.
-QUERIES_BELOW = 20
+#: The stated set of queries: rows whose id this number divides.
+EVERY = 100
 
 
 def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < QUERIES_BELOW)
+    e = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % EVERY == 0)
     return e.select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("gold"), "embedding")
 
 
@@ -27,7 +27,7 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
-RAW = f"""q AS (SELECT vec_id AS query_id, label AS gold, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id < {QUERIES_BELOW}),
+RAW = f"""q AS (SELECT vec_id AS query_id, label AS gold, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % {EVERY} = 0),
 raw AS (SELECT query_id, gold, vec_id AS row_id, label::VARCHAR AS slug, vec_id % 2 AS view, list_dot_product(qe, embedding::DOUBLE[]) AS cv FROM q, embeddings)"""
 BEST = f"""{RAW}, best AS (SELECT query_id, slug, row_id, view, cv, row_number() OVER (PARTITION BY query_id ORDER BY cv DESC, row_id) - 1 AS place
 FROM (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY query_id, slug ORDER BY cv DESC, row_id) = 1))"""
@@ -39,12 +39,12 @@ def knn_topk_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "slug", "row_id", r6("cv").alias("cv"), "place")
 
 
-@query(f"""WITH {RAW}, folded AS (SELECT query_id // 2 AS item, slug, max(cv) AS cv FROM raw GROUP BY ALL)
+@query(f"""WITH {RAW}, folded AS (SELECT query_id // 200 AS item, slug, max(cv) AS cv FROM raw GROUP BY ALL)
 SELECT item, slug, round(cv, 6) AS cv, CAST(row_number() OVER (PARTITION BY item ORDER BY cv DESC, slug) - 1 AS INT) AS place FROM folded""")
 def knn_multiview_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two views of each query: the larger similarity counts, then the best view of each key."""
     best = knn.best_by_key(index_rows(spark, sf_dir), query_rows(spark, sf_dir))
-    folded = best.groupBy(F.floor(F.col("query_id") / 2).alias("item"), "slug").agg(F.max("cv").alias("cv"))
+    folded = best.groupBy(F.floor(F.col("query_id") / (2 * EVERY)).alias("item"), "slug").agg(F.max("cv").alias("cv"))
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("cv"), "slug")) - 1
     return folded.select("item", "slug", r6("cv").alias("cv"), place.alias("place"))
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchforge.functions import statistics, text
-from matchforge.operators import boxes, catalogue, components, evaluation, evidence, pages, ranking
+from matchforge.operators import boxes, catalogue, components, evaluation, evidence, pages, ranking, textsearch
 
 
 def values(spark, texts, f):
@@ -222,9 +222,85 @@ def test_splits_never_mix(spark):
 
 
 def test_payloads(spark):
-    rows = [(1, '[{"slug":1,"title":2,"maker":3},"p","t",{"name":4},"m"]'), (2, "broken"), (3, None), (4, '[{"slug":0}]')]
-    got = pages.payload_cards(spark.createDataFrame(rows, "page_id bigint, payload string")).orderBy("page_id").collect()
-    assert [tuple(r)[1:] for r in got[:3]] == [("p", "t", "m"), (None, None, None), (None, None, None)]
+    flat = '[["Reactive",1],{"slug":2,"title":3,"manufacturer":4,"grapes":6},"p","t",{"name":5},"m",[7,8],{"name":9},{"x":9},"g"]'
+    wrapped = '[{"slug":1,"title":2,"manufacturer":3},["Ref",4],"t",["ShallowRef",5],"p",{"name":6},["Ref",7],"m"]'
+    other = '[{"slug":1,"title":2},"p","t"]'
+    rows = [(1, "p", flat), (2, "p", "broken"), (3, "p", None), (4, "p", other), (5, "q", flat), (6, "p", wrapped), (7, "p", f'<script id="__NUXT_DATA__" x>{flat}</script>')]
+    got = {r[0]: tuple(r)[1:] for r in pages.payload_cards(spark.createDataFrame(rows, "page_id bigint, slug string, payload string")).collect()}
+    none = (None, None, None, None, [])
+    assert got == {1: ("p", "t", "m", None, ["g"]), 2: none, 3: none, 4: none, 5: none, 6: ("p", "t", "m", None, []), 7: ("p", "t", "m", None, ["g"])}
+
+
+def random_words(rng, image, n):
+    out = []
+    for k in range(n):
+        x, y = rng.randrange(0, 300), rng.randrange(0, 120)
+        out.append((image, k, rng.choice(["Ab", " ab", "c", "Straße"]), rng.random(), x, y, x + rng.randrange(5, 80), y + rng.randrange(0, 30)))
+    return out
+
+
+BOXES = "image int, word_id int, text string, conf double, x1 int, y1 int, x2 int, y2 int"
+
+
+def test_lines_equal_slow_walk(spark):
+    """Top to bottom, each word to the first line that its specification allows."""
+    rng = random.Random(4)
+    rows = [w for image in range(25) for w in random_words(rng, image, rng.randrange(0, 25))]
+    want = {}
+    for image in range(25):
+        lines = []
+        for w in sorted((r for r in rows if r[0] == image), key=lambda r: (r[5], r[4], r[1])):
+            def allowed(line, w=w):
+                of = line[-1]
+                h = min(of[7] - of[5], w[7] - w[5]) or 1
+                return min(of[7], w[7]) - max(of[5], w[5]) > h / 2 and abs(w[4] - max(o[6] for o in line)) <= h
+            at = next((i for i, line in enumerate(lines) if allowed(line)), len(lines))
+            lines[at:at + 1] = [[*lines[at], w]] if at < len(lines) else [[w]]
+            want[image, w[1]] = at
+    got = {(r["image"], r["word_id"]): r["line"] for r in boxes.text_lines(spark.createDataFrame(rows, BOXES)).collect()}
+    assert got == want and boxes.text_lines(spark.createDataFrame([], BOXES)).count() == 0
+
+
+def test_merged_readings_equal_slow_walk(spark):
+    rng = random.Random(5)
+    first = [w for image in range(20) for w in random_words(rng, image, rng.randrange(0, 8))]
+    second = [w for image in range(22) for w in random_words(rng, image, rng.randrange(0, 8))]
+    second.append((0, 99, *first[0][2:4], first[0][4] + 12, *first[0][5:6], first[0][6] + 12, first[0][7])) if first[0][0] == 0 else None
+    want = []
+    for image in range(22):
+        kept = [w for w in first if w[0] == image]
+        for w in (r for r in second if r[0] == image):
+            same = [i for i, o in enumerate(kept) if o[2].strip().casefold() == w[2].strip().casefold() and abs(o[4] + o[6] - w[4] - w[6]) < 2 * max(12, w[6] - w[4]) and abs(o[5] + o[7] - w[5] - w[7]) < 2 * max(12, w[7] - w[5])]
+            if not same:
+                kept.append(w)
+            elif w[3] > kept[same[0]][3]:
+                kept[same[0]] = w
+        want += kept
+    got = boxes.merged(spark.createDataFrame(first, BOXES), spark.createDataFrame(second, BOXES))
+    assert got.columns == BOXES.replace(",", "").split()[::2] and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_central_words(spark):
+    words = [(1, 0, "РОЗОВОЕ", 0.9, 100, 0, 200, 20), (1, 1, "CABERNET", 0.9, 290, 60, 300, 80), (1, 2, "low", 0.3, 0, 0, 10, 10), (1, 3, "left", 0.9, 0, 90, 300, 99)]
+    got = boxes.central_words(spark.createDataFrame(words, BOXES), 0.6, 0.72)
+    assert sorted(r["text"] for r in got.collect()) == ["left", "РОЗОВОЕ"]
+
+
+def test_near_tokens_equal_all_pairs(spark):
+    rng = random.Random(6)
+    found = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(4, 20))) for _ in range(60)} | {"abcabcabcabcabcabc", "bacabcabcabcabcabx", "abcd", "abdc"})
+    frame = spark.createDataFrame([(w,) for w in found], "word string")
+    got = {tuple(r) for r in textsearch.near_tokens(frame.withColumnRenamed("word", "token"), frame, 0.2).collect()}
+
+    def osa(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                swap = [d[i - 2, j - 2] + 1] if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1] else []
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]), *swap)
+        return d[len(a), len(b)]
+
+    assert got == {(a, b) for a in found for b in found if osa(a, b) <= 0.2 * max(len(a), len(b))}
 
 
 def test_cards(spark):
