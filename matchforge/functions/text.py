@@ -226,3 +226,21 @@ def name_closeness(name: Column, title: Column) -> Column:
 def file_key(name: Column) -> Column:
     """A file name's key: compatibility letters, other signs as one _, lower case."""
     return F.pandas_udf(_file_key, "string")(name)
+
+
+def latin(text: Column) -> Column:
+    """Cyrillic text in Latin letters, sign by sign; a capital letter's whole group is in capitals."""
+    table = words.CYRILLIC_TO_LATIN | {a.upper(): b.upper() for a, b in words.CYRILLIC_TO_LATIN.items()}
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), 1), lambda c: F.coalesce(F.try_element_at(constant_map(table), c), c)), "")
+
+
+def clean_title(title: Column) -> Column:
+    """A title without spaces before marks and without runs of spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+([.,!?;:])", "$1"), r"\s{2,}", " "))
+
+
+def split_description(description: Column) -> Column:
+    """struct<body, pairing>: a description cut at its paragraph on what the item goes with."""
+    cut = F.split(F.coalesce(description, F.lit("")), r"(?iu)\s*(?:гастрономические\s+)?сочетания\s*[:—-]\s*", 2)
+    two = F.size(cut) == 2
+    return F.struct(F.when(two, F.trim(F.get(cut, F.lit(0)))).otherwise(F.coalesce(description, F.lit(""))).alias("body"), F.when(two, F.trim(F.get(cut, F.lit(1)))).otherwise("").alias("pairing"))

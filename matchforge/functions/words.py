@@ -13,6 +13,15 @@ LATIN_TO_CYRILLIC = [
     ("y", "и"), ("z", "з"),
 ]
 
+#: Cyrillic letters and their Latin groups in keys of items.
+CYRILLIC_TO_LATIN = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo",
+    "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m",
+    "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u",
+    "ф": "f", "х": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch",
+    "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+}
+
 STOPWORDS = [
     "вино", "wine", "россия", "russia", "оф", "of", "и", "in", "the", "de", "ооо", "зао", "ао", "гост", "литр", "объем",
     "алк", "alc", "vol", "год", "урожай",

@@ -100,22 +100,34 @@ def fingerprint(rows: DataFrame, key: str) -> DataFrame:
 
 
 def write_if_changed(rows: DataFrame, path: str, key: str) -> bool:
-    """Write a table with its fingerprint beside it, unless the same content is there already."""
+    """Write a table with its fingerprint, unless the same content is there already; `current` reads it.
+
+    Content goes to a folder of its own and only then into the list of versions,
+    so a run that breaks off leaves the version before in place. `key` must
+    differ in all rows.
+    """
     spark = rows.sparkSession
     now = fingerprint(rows, key).first()["fingerprint"]
     try:
-        before = spark.read.parquet(f"{path}/_meta").first()["fingerprint"]
+        number, before = spark.read.parquet(f"{path}/versions").agg(F.max("number"), F.max_by("fingerprint", "number")).first()
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        before = None
+        number, before = 0, None
     if before == now:
         return False
-    rows.write.mode("overwrite").parquet(f"{path}/data")
-    spark.createDataFrame([(now,)], "fingerprint string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_meta")
+    must_be_empty(rows.groupBy(key).count().filter("count > 1"), "repeated key")
+    rows.write.mode("overwrite").parquet(f"{path}/{now}")
+    spark.createDataFrame([(number + 1, now)], "number bigint, fingerprint string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
     return True
 
 
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version of a table that `write_if_changed` wrote."""
+    now = spark.read.parquet(f"{path}/versions").agg(F.max_by("fingerprint", "number")).first()[0]
+    return spark.read.parquet(f"{path}/{now}")
+
+
 def inverted_index(catalogue: DataFrame, fields: dict[str, float]) -> DataFrame:
     """(token, slug, field, weight)."""
     parts = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), F.col(f).alias("text")) for f, w in fields.items()]))

@@ -54,10 +54,11 @@ def fill_nulls_layering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.layered(base, card, verified, "slug", "sweetness", ["v0", "v1", "v2"])
 
 
-@query("SELECT c_custkey, 'new' AS change FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) UNION ALL SELECT DISTINCT o_custkey, 'removed' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("WITH live AS (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'), dump AS (SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_orderstatus = 'F') SELECT c_custkey, 'new' AS change FROM live WHERE c_custkey NOT IN (FROM dump) UNION ALL SELECT c_custkey, 'removed' FROM dump WHERE c_custkey NOT IN (FROM live)")
 def anti_join_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = table(spark, sf_dir, "customer").select("c_custkey")
-    dump = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    """Keys that came and went between two states of a catalogue: a market's customers, and those with finished orders."""
+    live = table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'").select("c_custkey")
+    dump = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return live.join(dump, "c_custkey", "left_anti").withColumn("change", F.lit("new")).unionAll(dump.join(live, "c_custkey", "left_anti").withColumn("change", F.lit("removed")))
 
 

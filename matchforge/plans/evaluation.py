@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchforge.functions.statistics import wilson
-from matchforge.operators import evaluation
+from matchforge.operators import calibration, evaluation
 from matchforge.plans.registry import query
 from matchforge.plans.vectors import r6
 from matchforge.sources.tables import table
@@ -140,15 +140,45 @@ def mcnemar_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.paired(rows, rows.withColumn("correct", F.col("in_top3")), "doc_id")
 
 
+FEATURES = ["dominance", "log_inliers", "cv_margin", "cv_lift", "coverage", "text_support", "text_conflict"]
+
+
+def calibration_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven features of an answer, made of an order's lines, and what became of it: 0 right, 1 among the first five, 2 neither."""
+    q, d, t = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        (F.max(q) / F.sum(q)).alias("dominance"), F.log1p(F.max(q)).alias("log_inliers"), (F.max(d) - F.avg(d)).alias("cv_margin"), (F.max(d) - F.min(d)).alias("cv_lift"), F.avg(t).alias("coverage"),
+        F.max((F.col("l_returnflag") == "A").cast("double")).alias("text_support"), (F.least(F.count_if(F.col("l_returnflag") == "R"), F.lit(3)) / 3.0).alias("text_conflict"), F.sum("l_partkey").alias("k"),
+    )
+    noise = F.pmod(F.xxhash64("l_orderkey"), F.lit(1000)) / 1000.0
+    ease = F.col("dominance") + F.col("text_support") - F.col("text_conflict") + noise - 0.5
+    return rows.withColumn("outcome", F.when(ease > 0.7, 0).when(ease > 0.2, 1).otherwise(2)).drop("k")
+
+
 @query()
 def softmax_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-way outcome model (right, in the first five, neither) fitted by Spark; rates by class."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    """Weights of the three-way outcome model in the features' own units."""
+    model = calibration.fitted(calibration_rows(spark, sf_dir), FEATURES, "outcome", "multinomial")
+    return calibration.outcome_weights(spark, model, FEATURES).withColumn("weight", F.round("weight", 4))
 
-    rows = cases(spark, sf_dir)
-    outcome = F.when(F.col("correct"), 0.0).when(F.col("in_top5"), 1.0).otherwise(2.0)
-    data = rows.select(F.col("probability").alias("p"), (F.col("doc_id") % 10 / 10.0).alias("x"), outcome.alias("label"))
-    assembled = VectorAssembler(inputCols=["p", "x"], outputCol="features").transform(data)
-    model = LogisticRegression(family="multinomial", maxIter=50, regParam=1e-6).fit(assembled)
-    return model.transform(assembled).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("agree"))
+
+@query()
+def binary_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability of the binary model of right answers: tenths of the probability with the share that was right."""
+    rows = calibration_rows(spark, sf_dir).withColumn("right", (F.col("outcome") == 0).cast("int"))
+    scored = calibration.with_probabilities(rows, calibration.fitted(rows, FEATURES, "right", "binomial"), FEATURES)
+    tenth = F.least(F.floor(F.col("p")[1] * 10), F.lit(9)).alias("tenth")
+    return scored.groupBy(tenth).agg(F.count("*").alias("n"), F.round(F.avg(F.col("p")[1]), 4).alias("expected"), F.round(F.avg("right"), 4).alias("observed"))
+
+
+@query()
+def pairwise_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a right and another answer, ranked by models of other folds: how often the right one comes first."""
+    rows = calibration_rows(spark, sf_dir)
+    group = F.col("l_orderkey") % 997
+    best = rows.filter("outcome = 0").withColumn("g", group).groupBy("g").agg(F.min_by(F.struct(*FEATURES), "l_orderkey").alias("a"))
+    worst = rows.filter("outcome = 2").withColumn("g", group).groupBy("g").agg(F.min_by(F.struct(*FEATURES), "l_orderkey").alias("b"))
+    fold = (F.row_number().over(Window.orderBy(F.sha2(F.col("g").cast("string"), 256))) - 1) % 5  # a row a group, 997 at most
+    pairs = best.join(worst, "g").select("g", *[(F.col(f"a.{f}") - F.col(f"b.{f}")).alias(f) for f in FEATURES]).withColumn("fold", fold)
+    scored = calibration.ranked_out_of_fold(pairs, FEATURES, 5)
+    return scored.groupBy("fold").agg(F.count("*").alias("pairs"), F.round(F.avg((F.col("score") > 0).cast("double")), 4).alias("right_first"))
