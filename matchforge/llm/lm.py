@@ -162,9 +162,9 @@ def vocabulary(batches: DataFrame, shards: int) -> DataFrame:
                 (counts,) = unpack(part.column("counts")[k].as_py())
                 ends = np.searchsorted(word_hashes(words) * shards >> 32, np.arange(shards + 1))  # shards are ranges of hashes
                 rows = []
-                for s, i, j in zip(range(shards), ends, ends[1:], strict=False):
-                    if i < j:
-                        rows.append({"shard": s, "batch": part.column("batch")[k].as_py(), "words": b" ".join(words[i:j]), "counts": pack(counts[i:j])})
+                for s in np.flatnonzero(np.diff(ends)).tolist():
+                    i, j = ends[s], ends[s + 1]
+                    rows.append({"shard": s, "batch": part.column("batch")[k].as_py(), "words": b" ".join(words[i:j]), "counts": pack(counts[i:j])})
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("batch", pa.string()), ("words", pa.binary()), ("counts", pa.binary())]))
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
@@ -233,10 +233,9 @@ class Numbered:
         self.ends = np.searchsorted(shard[self.order], np.arange(trigram_shards + 1))
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
-        for s in range(len(self.ends) - 1):
+        for s in np.flatnonzero(np.diff(self.ends)).tolist():  # the shards that it has trigrams for, however many there are
             at = self.order[self.ends[s] : self.ends[s + 1]]
-            if len(at):
-                yield s, pack(*ascents(self.ids[self.v[at]], self.ids[self.u[at]]), self.ids[self.w[at]], self.counts[at], steps_of(self.unigram[self.w[at]]))
+            yield s, pack(*ascents(self.ids[self.v[at]], self.ids[self.u[at]]), self.ids[self.w[at]], self.counts[at], steps_of(self.unigram[self.w[at]]))
 
     def scores(self, answers: list[dict]) -> np.ndarray:
         """The score of each document from the shards' answers."""

@@ -622,7 +622,25 @@ def test_radius_finds_every_code():
     coder = nearest.Coder.learned(x[:500])
     index = nearest.Index(coder, np.arange(3000), x)
     for q in range(0, 3000, 300):
-        assert list(index.within(index.codes[q])) == list(np.flatnonzero(np.bitwise_count(index.codes ^ index.codes[q]) <= coder.radius))
+        apart = np.bitwise_count(index.codes ^ index.codes[q])
+        for radius in (0, 7, 18, 30, 64):
+            assert list(index.within(index.codes[q], radius)) == list(np.flatnonzero(apart <= radius))
+        coder.radius = 0  # holds too few: widened bit by bit until ten are found
+        least = next(r for r in range(65) if ((apart <= r) & (np.arange(3000) != q)).sum() >= 10)
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1)) + np.where((apart <= least) & (np.arange(3000) != q), 0, np.inf)
+        assert list(index.nearest(q, x[q], index.codes[q])[0]) == list(np.argsort(d)[:10])
+
+
+def test_radius_shrinks_as_the_table_fills(spark):
+    """Learned from all rows: groups of near vectors, of which a small table holds one each, a large one ten."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 32))
+    radii = []
+    for copies in (1, 11):
+        x = np.repeat(base, copies, axis=0) + 0.05 * rng.normal(size=(300 * copies, 32))
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+        radii.append(nearest.with_radius(nearest.Coder.learned(x[:300]), frame, np.arange(0, 300, 3), x[0:300:3]).radius)
+    assert radii[1] < radii[0] / 2
 
 
 def test_nearest_odd_cases(spark):
