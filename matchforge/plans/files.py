@@ -34,7 +34,7 @@ def json_document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES = "SELECT l_orderkey AS image, l_partkey::VARCHAR AS slug, l_discount AS p_yes, l_linenumber AS n FROM lineitem"
 
 
-@query(f"SELECT image, count(*) AS n, round(max(p_yes), 6) AS best FROM (SELECT * FROM ({SCORES}) QUALIFY row_number() OVER (PARTITION BY image, slug ORDER BY n DESC) = 1) GROUP BY 1")
+@query(f"SELECT image, count(*) AS n, round(max(p_yes), 6) AS best FROM (SELECT * FROM ({SCORES}) QUALIFY row_number() OVER (PARTITION BY image, slug ORDER BY n DESC, p_yes DESC) = 1) GROUP BY 1")
 def json_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores with a list of candidates a line; the lists are read as maps."""
     path = new_path(spark, "lines")
