@@ -27,7 +27,7 @@ from matchforge.llm.common import remembers, slices, small_batches, tidied
 
 SPACE = "▁"
 #: Units that each of a worker's two generations of memory holds at most (a full young one becomes the old one), and signs of a remembered unit.
-MEMORY, REMEMBERED = 100_000, 64
+MEMORY, REMEMBERED = 150_000, 64
 
 
 @dataclass
