@@ -12,6 +12,11 @@ a few totals come to the driver:
    Elias-Fano trie, and looks up every trigram asked for;
 3. the answers go back to the batch, which sums them for each document.
 
+A middle word that would fill a shard alone is split: its trigrams are dealt to
+several shards by their outer words. Each trigram still has one shard, so what
+the shards count of a pair adds up; they send these counts to one place for each
+part of the pairs and get back the sums before they compute probabilities.
+
 Smoothing is interpolated Kneser-Ney with one discount: trigram counts, then the
 number of different words before a pair, then add-one unigrams over all tokens
 and one unknown word.
@@ -22,7 +27,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -42,6 +47,8 @@ DISCOUNT = 0.75
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
 #: Bytes of text in a batch; words and trigrams that a shard gets about.
 BATCH, SHARD_WORDS, SHARD_TRIGRAMS = 4_000_000, 400_000, 1_000_000
+#: Places of a word in the training text beyond which the trigrams with it in the middle are split into as many parts.
+PART = 1_000_000
 #: Steps of a base-10 logarithm between shards and batches, finer than the trie's levels; below 10**-15 it is cut.
 STEPS = 1024
 LOCAL_BITS = 21
@@ -82,6 +89,12 @@ def steps_of(logs: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-logs * STEPS), 0, 15 * STEPS).astype(np.uint16)
 
 
+def spread(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of 32 bits of two ids each."""
+    a, b = (z.astype(np.uint64) * np.uint64(odd) for z, odd in ((x, 0x9E3779B97F4A7C15), (y, 0xC2B2AE3D27D4EB4F)))
+    return ((a ^ b >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh32_intdigest(w, 5) for w in words), np.int64, len(words))
 
@@ -192,14 +205,14 @@ def vocabulary(batches: DataFrame, shards: int) -> DataFrame:
 class Numbered:
     """A batch with corpus ids: its tokens, sums of the base score, and its different trigrams in the order of ids."""
 
-    def __init__(self, row: dict, trigram_shards: int, tokens: int, known: int, trained: int):
+    def __init__(self, row: dict, trigram_shards: int, tokens: int, known: int, trained: int, part: int):
         answers = sorted(row["answers"] or [], key=lambda a: a["shard"])  # shards are ranges of the word table
         ids = np.concatenate([np.zeros(0, np.int64), *(unpack(a["ids"])[0] for a in answers)]).astype(np.int64)
         counts = np.concatenate([np.zeros(0, np.int64), *(unpack(a["counts"])[0] for a in answers)]).astype(np.int64)
         self.ids, place = np.unique(np.r_[UNKNOWN, START, END, ids], return_inverse=True)
         count = np.zeros(len(self.ids), np.int64)
         count[place[3:]] = counts
-        count[END] = trained
+        count[START] = count[END] = trained
         self.unigram = np.log10((count + 1) / (tokens + known + 1))
         (lengths,) = unpack(row["lengths"])
         (places,) = unpack(row["places"])
@@ -227,15 +240,17 @@ class Numbered:
             self.inverse = self.inverse.ravel()
             self.v, self.u, self.w = different.T
         self.counts = np.bincount(self.inverse, weights=~np.repeat(held, self.lengths), minlength=len(self.v)).astype(np.int64)
-        shard = self.ids[self.v] * 2654435761 % (1 << 32) % trigram_shards
+        self.parts = np.maximum(-(-count // part), 1)[self.v]
+        shard = spread(self.ids[self.v], spread(self.ids[self.u], self.ids[self.w]) % self.parts) % trigram_shards
         shard[self.v == UNKNOWN] = trigram_shards  # nothing to ask for: no context
         self.order = np.argsort(shard, kind="stable")
         self.ends = np.searchsorted(shard[self.order], np.arange(trigram_shards + 1))
 
-    def requests(self) -> Iterator[tuple[int, bytes]]:
+    def requests(self) -> Iterator[tuple[int, bool, bytes]]:
         for s in np.flatnonzero(np.diff(self.ends)).tolist():  # the shards that it has trigrams for, however many there are
             at = self.order[self.ends[s] : self.ends[s + 1]]
-            yield s, pack(*ascents(self.ids[self.v[at]], self.ids[self.u[at]]), self.ids[self.w[at]], self.counts[at], steps_of(self.unigram[self.w[at]]))
+            columns = (*ascents(self.ids[self.v[at]], self.ids[self.u[at]]), self.ids[self.w[at]], self.counts[at], steps_of(self.unigram[self.w[at]]), self.parts[at])
+            yield s, bool((self.parts[at] > 1).any()), pack(*columns)
 
     def scores(self, answers: list[dict]) -> np.ndarray:
         """The score of each document from the shards' answers."""
@@ -267,64 +282,147 @@ def sorted_by(bits: int, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def answered(columns: list[np.ndarray]) -> np.ndarray:
-    """Steps of the smoothed probability of each trigram asked for, sums of equal ones' counts being the model.
+class Trigrams:
+    """The different ones of the trigrams asked of a shard, sorted by v, u and w, with the sums of their counts.
 
-    `columns` are v, u, w, counts and the steps of the unigram of w; the list is
-    emptied, so that memory is given back early. All trigrams with the same v
-    must be here.
+    `requests` are the packed ones of batches; v is a place in `names`, whose
+    words are split into `parts`. `inverse` leads back to what was asked.
     """
-    v, u, w, counts, unigram = columns
-    columns.clear()
-    _, v = np.unique(v, return_inverse=True)
-    v = v.astype(np.uint32)
-    bits = int(max(u.max(), w.max())).bit_length()
-    order, new = sorted_by(bits, v, u, w)
-    at = order[new]
-    inverse = np.empty(len(order), np.uint32)
-    inverse[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
-    del order, new
-    v, u, w = (x[at].astype(np.uint32 if bits <= 32 else np.int64) for x in (v, u, w))
-    one = unigram[at].astype(np.float32) / np.float32(-STEPS)
-    counts = np.bincount(inverse, weights=counts, minlength=len(v)).astype(np.float32)
-    del at, unigram
-    # the model: trigrams that were seen
-    logs = one.copy()
-    seen = counts > 0
-    if seen.any():
-        trie = trained(bits, v[seen], u[seen], w[seen], counts[seen].astype(np.float64), 10.0 ** one[seen])
-        del counts
-        looked_up(trie, v, u, w, one, logs)
-    return steps_of(logs)[inverse]
-
-
-def trained(bits: int, kv: np.ndarray, ku: np.ndarray, kw: np.ndarray, c: np.ndarray, p1: np.ndarray) -> Trie:
-    """The trie of sorted trigrams that were seen `c` times, with unigrams `p1` of their last words."""
-    pairs, new = sorted_by(bits, kv, kw)
-    pair_of = np.empty(len(kv), np.uint32)
-    pair_of[pairs] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
-    before = np.bincount(pair_of).astype(np.float64)  # different words before the pair
-    heads = pairs[new]
-    pv, pw, pp = kv[heads], kw[heads], p1[heads]
-    del pairs, new, heads, p1
-    at_v = run_starts(pv)
-    all_v, n_v = np.add.reduceat(before, at_v), np.diff(np.r_[at_v, len(pv)])
-    weight_v = DISCOUNT * n_v / all_v
-    p2 = (before - DISCOUNT) / np.repeat(all_v, n_v) + np.repeat(weight_v, n_v) * pp
-    del before, pp
-    at_u = np.flatnonzero(np.r_[True, (kv[1:] != kv[:-1]) | (ku[1:] != ku[:-1])])
-    all_u, n_u = np.add.reduceat(c, at_u), np.diff(np.r_[at_u, len(kv)])
-    weight_u = DISCOUNT * n_u / all_u
-    p3 = (c - DISCOUNT) / np.repeat(all_u, n_u) + np.repeat(weight_u, n_u) * p2[pair_of]
-    del c, pair_of
-    logs = np.log10(np.r_[p2, p3]).astype(np.float32)
-    del p2, p3
-    heads, _ = sorted_by(bits, np.r_[pv[at_v], kv[at_u]], np.r_[np.zeros_like(pv[at_v]), ku[at_u]])
-    backoff = np.log10(np.r_[weight_v, weight_u])[heads]
-    tv, tu, tw = np.r_[pv, kv], np.r_[np.zeros_like(pv), ku], np.r_[pw, kw]
-    del pv, pw, kv, ku, kw
-    order, _ = sorted_by(bits, tv, tu, tw)
-    return Trie(tv[order], tu[order], tw[order], logs[order], backoff).mapped()
+
+    def __init__(self, requests: Iterable[bytes], split_only: bool = False):
+        asked = [(*summed(*r[:2]), *r[2:]) for r in map(unpack, requests)]
+        if split_only:
+            asked = [[x[a[5] > 1] for x in a] for a in asked]
+        self.sizes = [len(a[0]) for a in asked]
+        v, u, w, counts, unigram, parts = (np.concatenate(x) for x in zip(*asked, strict=True))
+        del asked
+        self.names, v = np.unique(v, return_inverse=True)
+        self.parts = np.ones(len(self.names), np.int64)
+        self.parts[v] = parts
+        v = v.astype(np.uint32)
+        self.bits = int(max(u.max(), w.max())).bit_length()
+        order, new = sorted_by(self.bits, v, u, w)
+        at = order[new]
+        self.inverse = np.empty(len(order), np.uint32)
+        self.inverse[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        del order, new
+        self.v, self.u, self.w = (x[at].astype(np.uint32 if self.bits <= 32 else np.int64) for x in (v, u, w))
+        self.one = unigram[at].astype(np.float32) / np.float32(-STEPS)
+        self.counts = np.bincount(self.inverse, weights=counts, minlength=len(at))
+        # pairs (v, w): where each one's first trigram is, the pair of each trigram, and in how many trigrams it was seen
+        order, new = sorted_by(self.bits, self.v, self.w)
+        self.vw, self.vw_of = order[new], np.empty(len(order), np.uint32)
+        self.vw_of[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        del order, new
+        self.before = np.bincount(self.vw_of, weights=self.counts > 0, minlength=len(self.vw))
+        # pairs (u, v) alike: sums of counts, and by how many different words they were followed
+        new = np.r_[True, (self.v[1:] != self.v[:-1]) | (self.u[1:] != self.u[:-1])]
+        self.vu, self.vu_of = np.flatnonzero(new), np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        self.total = np.bincount(self.vu_of, weights=self.counts)
+        self.after = np.bincount(self.vu_of, weights=self.counts > 0)
+        # words v: trigrams seen with it, and different words that followed it
+        self.all_v = np.bincount(self.v[self.vw], weights=self.before)
+        self.n_v = np.bincount(self.v[self.vw], weights=self.before > 0)
+
+    def split(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Place of each split word, part of its pairs, and the pairs (v, w) and (u, v) in that part, the outer words in their order."""
+        first = np.r_[0, np.cumsum(np.where(self.parts > 1, self.parts, 0))]
+        found = []
+        for heads, outer in ((self.vw, self.w), (self.vu, self.u)):
+            at = np.flatnonzero(self.parts[self.v[heads]] > 1)
+            v, outer = self.v[heads[at]], outer[heads[at]]
+            slot = first[v] + spread(outer, np.zeros_like(outer)) % self.parts[v]
+            order = np.argsort(slot, kind="stable")
+            found.append(np.split(at[order], np.searchsorted(slot[order], np.arange(1, first[-1]))))
+        for v in np.flatnonzero(self.parts > 1).tolist():
+            for part in range(int(self.parts[v])):
+                yield v, part, found[0][first[v] + part], found[1][first[v] + part]
+
+    def corrected(self, sums: dict[tuple[int, int], tuple]) -> None:
+        """Put the sums over all shards of split words' pairs, by word and part, for this shard's own counts."""
+        for v, part, vw, vu in self.split():
+            if part == 0:
+                self.all_v[v] = self.n_v[v] = 0
+            all_v, n_v, before, both = sums[int(self.names[v]), part]
+            self.all_v[v] += all_v
+            self.n_v[v] += n_v
+            (self.before[vw],), (self.total[vu], self.after[vu]) = unpack(before), unpack(both)
+
+    def trie(self) -> Trie | None:
+        """The trie of what was seen, with all pairs of split words that were asked for; none if there is nothing."""
+        p2 = np.zeros(len(self.vw))
+        known, v = self.before > 0, self.v[self.vw]
+        weight_v = DISCOUNT * self.n_v / np.maximum(self.all_v, 1)
+        p2[known] = (self.before[known] - DISCOUNT) / self.all_v[v[known]] + weight_v[v[known]] * 10.0 ** self.one[self.vw[known]]
+        weight_u = DISCOUNT * self.after / np.maximum(self.total, 1)
+        seen = np.flatnonzero(self.counts > 0)
+        pair = self.vu_of[seen]
+        p3 = (self.counts[seen] - DISCOUNT) / self.total[pair] + weight_u[pair] * p2[self.vw_of[seen]]
+        contexts, extensions = np.flatnonzero(self.all_v > 0), np.flatnonzero(self.total > 0)
+        if not len(contexts):
+            return None
+        logs = np.log10(np.r_[p2[known], p3]).astype(np.float32)
+        del p2, p3, pair
+        vw, vu = self.vw[known], self.vu[extensions]
+        heads, _ = sorted_by(self.bits, np.r_[contexts, self.v[vu]], np.r_[np.zeros_like(contexts), self.u[vu]])
+        backoff = np.log10(np.r_[weight_v[contexts], weight_u[extensions]])[heads]
+        # lists of split words may have no word in this shard: the unknown word, which is never looked up, stands in all of them
+        held_v, held_u = contexts[self.parts[contexts] > 1].astype(np.uint32), vu[self.parts[self.v[vu]] > 1]
+        none = np.zeros(len(held_v) + len(held_u), self.u.dtype)
+        tv = np.r_[self.v[vw], self.v[seen], held_v, self.v[held_u]]
+        tu = np.r_[np.zeros(len(vw), self.u.dtype), self.u[seen], none[: len(held_v)], self.u[held_u]]
+        tw = np.r_[self.w[vw], self.w[seen], none]
+        logs = np.r_[logs, np.resize(logs, len(none))]  # levels are of what is there
+        order, _ = sorted_by(self.bits, tv, tu, tw)
+        return Trie(tv[order], tu[order], tw[order], logs[order], backoff).mapped()
+
+    def answers(self) -> list[np.ndarray]:
+        """Steps of the smoothed probability of each trigram asked for, by request."""
+        logs = self.one.copy()
+        trie = self.trie()
+        if trie is not None:
+            looked_up(trie, self.v, self.u, self.w, self.one, logs)
+        return np.split(steps_of(logs)[self.inverse], np.cumsum(self.sizes)[:-1])
+
+
+PAIRS = "v bigint, part int, deal int, before binary, both binary"
+SUMS = "deal int, v bigint, part int, all_v bigint, n_v bigint, before binary, both binary"
+
+
+def pair_counts(rows: pd.DataFrame) -> pd.DataFrame:
+    """What one shard counted of the pairs of its split words, a row for each word and part, also where there are none."""
+    out: dict[str, list] = {k: [] for k in ("v", "part", "deal", "before", "both")}
+    requests = rows["request"][rows["split"]]
+    if len(requests):
+        t = Trigrams(requests, split_only=True)
+        for v, part, vw, vu in t.split():
+            w, u = t.w[t.vw[vw]].astype(np.int64), t.u[t.vu[vu]].astype(np.int64)
+            before, both = pack(np.diff(w, prepend=0), t.before[vw]), pack(np.diff(u, prepend=0), t.total[vu], t.after[vu])
+            for k, value in zip(out, (int(t.names[v]), part, int(rows["deal"].iloc[0]), before, both), strict=True):
+                out[k].append(value)
+    return pd.DataFrame(out)
+
+
+def pair_sums(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums over the shards of one part of a split word's pairs, sent back to each in the order of its own pairs."""
+
+    def added(blobs: pd.Series) -> tuple[list[np.ndarray], list[bytes]]:
+        parts = [unpack(b) for b in blobs]
+        ends = np.cumsum([len(p[0]) for p in parts])[:-1]
+        _, place = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in parts]), return_inverse=True)
+        sums = [np.bincount(place, weights=np.concatenate(c)).astype(np.int64) for c in list(zip(*parts, strict=True))[1:]]
+        return sums, [pack(*x) for x in zip(*(np.split(s[place], ends) for s in sums), strict=True)]
+
+    (before,), befores = added(rows["before"])
+    _, both = added(rows["both"])
+    return pd.DataFrame({"deal": rows["deal"], "v": rows["v"], "part": rows["part"], "all_v": int(before.sum()), "n_v": int((before > 0).sum()), "before": befores, "both": both})
+
+
+def answered(rows: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+    """One shard's answers to its batches."""
+    t = Trigrams(rows["request"])
+    t.corrected({(v, part): rest for v, part, *rest in zip(*(sums[c].tolist() for c in ("v", "part", "all_v", "n_v", "before", "both")), strict=True)})
+    return pd.DataFrame({"batch": rows["batch"].to_numpy(), "shard": rows["deal"].to_numpy(), "logs": [pack(x) for x in t.answers()]})
 
 
 def looked_up(trie: Trie, v: np.ndarray, u: np.ndarray, w: np.ndarray, one: np.ndarray, logs: np.ndarray) -> None:
@@ -344,6 +442,7 @@ def looked_up(trie: Trie, v: np.ndarray, u: np.ndarray, w: np.ndarray, one: np.n
     extension, found, off = np.repeat(extension, sizes), np.repeat(found, sizes), np.repeat(off, sizes)
     hits = np.flatnonzero(found)
     at, there = trie.word(extension[hits], w[hits])
+    there &= w[hits] != UNKNOWN
     logs[hits[there]] = trie.probability.logs(trie.codes[at[there]])
     done = np.zeros(len(v), bool)
     done[hits[there]] = True
@@ -351,17 +450,19 @@ def looked_up(trie: Trie, v: np.ndarray, u: np.ndarray, w: np.ndarray, one: np.n
     if len(rest):
         general, _ = trie.extension(context_at[rest], np.zeros(len(rest), np.int64))
         at, there = trie.word(general, w[rest])
+        there &= w[rest] != UNKNOWN
         logs[rest] = off[rest] + trie.weight.logs(trie.weights[general]) + one[rest]
         logs[rest[there]] = off[rest[there]] + trie.probability.logs(trie.codes[at[there]])
 
 
-def text_scores(docs: DataFrame) -> DataFrame:
+def text_scores(docs: DataFrame, part: int = PART) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of `docs` (doc_id, text).
 
     A null text counts as empty: the end is its only token. Texts count whole,
     repeated rows count as often as they are there, a null doc_id isn't held out;
     without training documents every score is 0; an empty table gives an empty
-    one; other columns are ignored.
+    one; other columns are ignored. Words with more than `part` places in the
+    training text are split, which changes scores by the rounding of levels only.
     """
     batches = stored(batched(small_batches(docs)), "batches")
     sums = batches.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_trained")).first()
@@ -375,25 +476,20 @@ def text_scores(docs: DataFrame) -> DataFrame:
     with_ids = batches.select("batch", "doc_ids", "held", "lengths", "places").join(answers, "batch", "left")
 
     def numbered(row: dict) -> Numbered:
-        return Numbered(row, deals, tokens, known, trained)
+        return Numbered(row, deals, tokens, known, trained, part)
 
     @tidied
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = pa.schema([("deal", pa.int32()), ("batch", pa.string()), ("request", pa.binary())])
+        types = pa.schema([("deal", pa.int32()), ("batch", pa.string()), ("split", pa.bool_()), ("request", pa.binary())])
         for part in parts:
             for k in range(part.num_rows):
                 (row,) = part.slice(k, 1).to_pylist()
-                yield pa.RecordBatch.from_pylist([{"deal": s, "batch": row["batch"], "request": r} for s, r in numbered(row).requests()], schema=types)
-
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        asked = [(*summed(*r[:2]), *r[2:]) for r in map(unpack, rows["request"])]
-        ends = np.cumsum([len(a[0]) for a in asked])
-        columns = [np.concatenate(x) for x in zip(*asked, strict=True)]
-        del asked
-        steps = answered(columns)
-        return pd.DataFrame({"batch": rows["batch"].to_numpy(), "shard": rows["deal"].to_numpy(), "logs": [pack(x) for x in np.split(steps, ends[:-1])]})
+                yield pa.RecordBatch.from_pylist([{"deal": s, "batch": row["batch"], "split": p, "request": r} for s, p, r in numbered(row).requests()], schema=types)
 
-    replies = with_ids.mapInArrow(ask, "deal int, batch string, request binary").groupBy("deal").applyInPandas(answer, "batch string, shard int, logs binary")
+    asked = with_ids.mapInArrow(ask, "deal int, batch string, split boolean, request binary").groupBy("deal")
+    # both uses of what was asked read the same exchange
+    sums = asked.applyInPandas(pair_counts, PAIRS).groupBy("v", "part").applyInPandas(pair_sums, SUMS)
+    replies = asked.cogroup(sums.groupBy("deal")).applyInPandas(answered, "batch string, shard int, logs binary")
     back = replies.groupBy("batch").agg(F.collect_list(F.struct("shard", "logs")).alias("replies"))
 
     @tidied

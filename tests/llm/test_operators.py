@@ -684,12 +684,14 @@ def slow_model(rows):
     return one, n, v, p
 
 
-def test_lm_equals_brute_force(odd, empty, docs):
+@pytest.mark.parametrize(("part", "shard"), [(lm.PART, lm.SHARD_TRIGRAMS), (20, 5_000)])
+def test_lm_equals_brute_force(odd, empty, docs, monkeypatch, part, shard):
+    monkeypatch.setattr(lm, "SHARD_TRIGRAMS", shard)
     for frame in (docs, odd.filter("doc_id is null or doc_id <> 4")):
         rows = [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()]
         one, n, v, p = slow_model(rows)
         want = sorted(((i is not None and zlib.crc32(str(i).encode()) % 7 == 2, words(t), i) for i, t in rows), key=lambda r: (r[2] or -1, r[1]))
-        got = sorted(lm.text_scores(frame).collect(), key=lambda r: (r["doc_id"] or -1, r["n_tokens"]))
+        got = sorted(lm.text_scores(frame, part).collect(), key=lambda r: (r["doc_id"] or -1, r["n_tokens"]))
         assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"]) for r in got) == Counter((i, h, len(w) + 1, sum(one[x] > 0 for x in [*w, None])) for h, w, i in want)
         exact = Counter()
         for _, w, i in want:
