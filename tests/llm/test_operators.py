@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -108,10 +109,18 @@ def test_mixture_odd_cases(odd, empty, spark):
 # ---- 2 licences
 
 
+def wrapped(text, width=70):
+    """A notice as a comment of short lines."""
+    return "".join(f"# {line}\n" for line in textwrap.wrap(text, width)) + "\n"
+
+
 def test_licences_equal_sql(spark):
+    code = "".join(f"value{i} = other{i}(license{i})\n\n" for i in range(300))
     rows = [(i, t) for i, t in enumerate(licences.TEMPLATES.values())]
     rows += [(100, None), (101, ""), (102, LONG), (103, "Licensed under the apache license version 2.0\nx"), (103, "Licensed under the apache license version 2.0\nx"), (104, "one"), (105, "\n\n")]
     rows += [(200 + i, licences.TEMPLATES["mit-text"].replace(" a ", f" {w} ") + "\nand more") for i, w in enumerate(("one", "some of"))]
+    rows += [(300 + i, code + wrapped(t) + code) for i, t in enumerate(licences.TEMPLATES.values())]
+    rows += [(400, code + wrapped(licences.TEMPLATES["mit-text"]) + code + wrapped(licences.TEMPLATES["mit-text"], 31)), (401, "Licensed under\n\n\nCC BY 4.0.\n")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("x") for c in CLASH if c != "doc_id"})
     got = licences.licence_lines(frame).toPandas()
     con = duckdb.connect()
@@ -123,6 +132,8 @@ def test_licences_equal_sql(spark):
     assert (got["doc_id"] == 103).sum() == 2 * (want["doc_id"] == 103).sum()
     assert licences.licence_lines(frame.limit(0)).count() == 0
     assert {r.licence for r in got.itertuples() if r.doc_id < 100} == set(licences.TEMPLATES)
+    assert [(r.licence, r.line_no, r.dice) for r in got[got.doc_id.between(300, 399)].sort_values("doc_id").itertuples()] == [(k, 601, 1.0) for k in licences.TEMPLATES]
+    assert (got["doc_id"] == 400).sum() == 2
 
 
 def test_bounds_lose_no_candidate():
