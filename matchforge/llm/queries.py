@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchforge.llm import crf, licences, lm, mixture, nearest, pages, pieces, pseudonyms, quality, simhash
+from matchforge.llm import audit, crf, licences, lm, mixture, nearest, pages, pieces, pseudonyms, quality, simhash
 from matchforge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,11 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.text_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = audit.oracle_sql()
