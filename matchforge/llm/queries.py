@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchforge.llm import audit, crf, licences, lm, mixture, nearest, pages, pieces, pseudonyms, quality, simhash
+from matchforge.llm import audit, crf, licences, lm, mixture, nearest, pages, pieces, pseudonyms, quality, simhash, tries
 from matchforge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_filter_audit"] = audit.oracle_sql()
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = tries.oracle_sql()
