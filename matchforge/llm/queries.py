@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchforge.llm import audit, crf, licences, lm, mixture, nearest, pages, pieces, pseudonyms, quality, simhash, tries
+from matchforge.llm import audit, crf, licences, lm, mixture, nearest, oddsketch, pages, pieces, pseudonyms, quality, simhash, tries
 from matchforge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,11 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_prefix_trie"] = tries.oracle_sql()
+
+
+@query
+def op12_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_odd_sketches"] = oddsketch.oracle_sql()
