@@ -17,7 +17,8 @@ YEAR = r"(?<![0-9A-Za-zА-Яа-яЁё_])(19[89][0-9]|20[0-3][0-9])(?![0-9A-Za-z
 
 
 def constant_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    """A map literal, given as one expression: a call for each entry would cost more than most plans."""
+    return F.expr("map(" + ", ".join(f"'{a}', '{b}'" for a, b in pairs.items()) + ")")
 
 
 def first_of(cases: list[tuple[Column, Column]]) -> Column:
@@ -81,9 +82,19 @@ def homoglyphs(text: Column) -> Column:
     return F.translate(text, words.LOOKALIKE_LATIN, words.LOOKALIKE_CYRILLIC)
 
 
+#: One row for each thing that a label may say: (kind, phrase, value), longer phrases first within a kind of which the longest counts.
+LABEL_TERMS = [("sweetness", p, v) for n in range(40, 0, -1) for p, v in words.SWEETNESS.items() if len(p) == n] + [("colour", p, v) for p, v in words.COLOURS.items()]
+
+
 def category_words() -> list[str]:
-    phrases = [*words.SWEETNESS, *words.SWEETNESS.values(), *words.COLOURS, *words.COLOURS.values()]
-    return sorted({t for p in phrases for t in re.split(r"[\s-]+", p) if t})
+    """All words of the phrases and values of sweetness and colour."""
+    return sorted(set(" ".join(f"{phrase} {value}" for _, phrase, value in LABEL_TERMS).replace("-", " ").split()))
+
+
+def said(kind: str, low: Column) -> Column:
+    """The value of the first phrase of a kind that stands in a cleaned text, its words whole."""
+    terms = F.array(*(F.struct(F.lit(f" {phrase} ").alias("phrase"), F.lit(value).alias("value")) for k, phrase, value in LABEL_TERMS if k == kind))
+    return F.get(F.filter(terms, lambda t: F.contains(F.concat(F.lit(" "), low, F.lit(" ")), t["phrase"])), F.lit(0))["value"]
 
 
 def canonical(token: Column) -> Column:
@@ -103,19 +114,13 @@ def best_match(token: Column, marked: Column, need: float | Column) -> Column:
 
 
 def sweetness(low: Column) -> Column:
-    """Sweetness in a cleaned text: longer phrases first, single words only as whole tokens."""
-    glued = F.regexp_replace(low, r"(?<![a-zа-я0-9])полу\s+", "полу")
-    phrases = sorted(words.SWEETNESS.items(), key=lambda kv: -len(kv[0]))
-    padded = F.concat(F.lit(" "), glued, F.lit(" "))
-    cases = [(padded.contains(f" {p} "), F.lit(v)) for p, v in phrases if " " in p]
-    cases += [(F.array_contains(F.split(glued, " "), p), F.lit(v)) for p, v in phrases if " " not in p]
-    return first_of(cases)
+    """Sweetness in a cleaned text; a torn «полу» belongs to the word behind it."""
+    return said("sweetness", F.regexp_replace(low, r"(?<![a-zа-я0-9])полу\s+", "полу"))
 
 
 def colour(low: Column) -> Column:
     """Colour in a cleaned text: the first word of the list that stands in it."""
-    padded = F.concat(F.lit(" "), low, F.lit(" "))
-    return first_of([(padded.contains(f" {w} "), F.lit(v)) for w, v in words.COLOURS.items()])
+    return said("colour", low)
 
 
 def label_attributes(text: Column) -> Column:

@@ -27,6 +27,12 @@ STOPWORDS = [
     "алк", "alc", "vol", "год", "урожай",
 ]
 
+#: Words that tell nothing on cards and labels; those of the text search above are another list.
+CARD_STOPWORDS = [
+    "вино", "wine", "вина", "россия", "russia", "крым", "кубань", "выдержанное", "коллекционное", "натуральное", "года", "год",
+    "игристое",
+]
+
 #: Phrases of sweetness on labels and their values.
 SWEETNESS = {
     "экстра брют": "экстра брют", "extra brut": "экстра брют", "брют натюр": "экстра брют", "brut nature": "экстра брют",
@@ -90,3 +96,13 @@ OUTCOME_WEIGHTS = [
     [-2.329732233439823, -1.1610690981187812, 3.490801331558589],
 ]
 SHOW_P, CONFIDENT_P = 0.1, 0.3
+
+#: Switches of the rules, by the names under which runs are recorded.
+RULE_SWITCHES = [
+    "TEXT_ALIASES", "OCR_JOIN", "NAME_FIRST", "LINE_BAND", "PLATFORM_SWEETNESS",
+    "NAME_STRONG", "NAME_TRANSLIT", "GROUP_LEADER", "DEMOTE_GEOMETRY", "DEMOTE_DEPTH",
+    "LABEL_BAND", "KIN_GROUP", "BRAND_FIRST", "GEOM_WEIGHT", "GEOM_WEIGHT_ALPHA",
+    "SIFT_MAX_SIDE", "SIFT_DIR", "YOLO_WEIGHTS", "YOLO_CONF", "YOLO_IMGSZ",
+    "PLATFORM_ADDITIONS", "GEOMETRY_MARGIN", "SIFT_ONE_TO_ONE",
+    "SIFT_UNIQUE_INLIERS", "TEXT_VOTE",
+]

@@ -9,6 +9,8 @@ catalogue. Different read tokens and different card words are compared once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def brand_key(name: Column) -> Column:
 
 def vocabulary(card_text: Column) -> Column:
     """The words by which a card is known, from its title, varieties and maker in one text."""
-    plain = words.GENERIC_WORDS + words.STOPWORDS
+    plain = words.GENERIC_WORDS + words.CARD_STOPWORDS
     return F.array_distinct(F.filter(F.split(text.clean(card_text), " "), lambda t: (F.length(t) >= 4) & ~t.isin(plain)))
 
 
@@ -49,8 +51,11 @@ def features(cards: DataFrame) -> DataFrame:
     """(slug, producer, name, varieties, years): sets of canonical words of each card, each word in one of them.
 
     Title words that write the maker's name, in either alphabet and with few
-    wrong letters, are no name.
+    wrong letters, are no name. Cards that have these columns keep them.
     """
+    if "producer" in cards.columns:
+        return cards.select("slug", "producer", "name", "varieties", "years")
+
     def split(c: Column, least: int) -> Column:
         return F.array_distinct(F.transform(F.filter(F.split(text.clean(F.coalesce(c, F.lit(""))), " "), lambda t: F.length(t) >= least), text.canonical))
 
@@ -65,7 +70,7 @@ def features(cards: DataFrame) -> DataFrame:
         return F.exists(forms(token), lambda f: F.array_contains(known, f) | F.exists(known, lambda k: (F.length(k) >= 5) & (text.tokens_match(f, k) >= SURE_MATCH)))
 
     left = F.filter(F.split("title", " "), lambda t: (F.length(t) >= 3) & ~of_maker(t))
-    plain = F.array(*map(F.lit, sorted({*words.STOPWORDS, *text.category_words()})))
+    plain = F.array(*map(F.lit, sorted({*words.CARD_STOPWORDS, *text.category_words()})))
     name = F.array_except(F.array_except(F.array_distinct(F.transform(left, text.canonical)), F.array_union("producer", "varieties")), plain)
     return base.select("slug", "producer", name.alias("name"), "varieties", "years")
 
@@ -108,18 +113,18 @@ def own_words(shortlist: DataFrame, found: DataFrame) -> DataFrame:
     return rows.withColumn("words", every).select("query_id", "slug", F.explode("words").alias("word"))
 
 
-def telling(own: DataFrame) -> DataFrame:
-    """Words of a shortlist that not all its cards have."""
-    cards = own.groupBy("query_id").agg(F.countDistinct("slug").alias("cards"))
+def telling(own: DataFrame, shortlist: DataFrame) -> DataFrame:
+    """Words of a shortlist that not all its cards have; a card without any word has none of them."""
+    cards = shortlist.groupBy("query_id").agg(F.countDistinct("slug").alias("cards"))
     shared = own.groupBy("query_id", "word").agg(F.countDistinct("slug").alias("with_word"))
     kept = shared.join(cards, "query_id").filter("with_word < cards").select("query_id", "word")
     return own.join(kept, ["query_id", "word"])
 
 
-def matches(read: DataFrame, known: DataFrame) -> DataFrame:
+def matches(read: DataFrame, known: DataFrame, spellings: Callable[[Column], Column] = text.alphabet_variants) -> DataFrame:
     """(token, word, match) of different read tokens and known words of the same query, by the best of the token's spellings."""
     pairs = read.select("query_id", "token").distinct().join(known.select("query_id", "word").distinct(), "query_id").select("token", "word").distinct()
-    best = F.array_max(F.transform(text.alphabet_variants(F.col("token")), lambda v: text.tokens_match(v, F.col("word"))))
+    best = F.array_max(F.transform(spellings(F.col("token")), lambda v: text.tokens_match(v, F.col("word"))))
     return pairs.withColumn("match", best).filter("match > 0")
 
 
@@ -133,14 +138,15 @@ def leader_evidence(shortlist: DataFrame, cards: DataFrame, read: DataFrame, win
 
     A word is a conflict if no spelling of it matches the leader's words and it
     is exactly a telling word of one rival alone, of another maker. It confirms
-    if it matches a word that the leader has and no rival within `window` of its
-    inliers has; one read surely may have wrong letters.
+    if it matches a word that the leader has and no close rival has; one read
+    surely may have wrong letters. Close are rivals within `window` of the
+    leader's inliers, and those of its maker with half of the best inliers.
     """
     found = features(cards)
     maker = shortlist.join(cards.select("slug", "manufacturer"), "slug")
     lead = maker.filter("place = 0").select("query_id", F.col("slug").alias("leader"), F.col("manufacturer").alias("own_maker"), F.col("inliers").alias("own_inliers"))
     own = own_words(shortlist, found)
-    marks = telling(own)
+    marks = telling(own, shortlist)
     card_words = found.select("slug", F.explode(F.array_union(F.array_union("name", "varieties"), "producer")).alias("word"))
     of_leader = lead.join(marks, (marks["query_id"] == lead["query_id"]) & (marks["slug"] == lead["leader"])).select(lead["query_id"], "word")
     of_leader = of_leader.unionByName(lead.join(card_words, F.col("leader") == F.col("slug")).select("query_id", "word")).distinct()
@@ -152,8 +158,9 @@ def leader_evidence(shortlist: DataFrame, cards: DataFrame, read: DataFrame, win
     against = claimed.join(excused, ["query_id", "token"], "left_anti").groupBy("query_id", "token").agg(F.countDistinct("slug").alias("owners")).filter("owners = 1")
     conflicts = against.groupBy("query_id").agg(F.count("*").alias("conflicts"))
 
-    rivals = shortlist.join(lead, "query_id").filter((F.col("slug") != F.col("leader")) & (F.col("inliers") >= F.col("own_inliers") * window))
-    near = rivals.select("query_id", "slug").unionByName(lead.join(rivals.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.col("leader").alias("slug")))
+    of_series = series_rivals(shortlist, cards).select("query_id", "slug")
+    rivals = shortlist.join(lead, "query_id").filter((F.col("slug") != F.col("leader")) & (F.col("inliers") >= F.col("own_inliers") * window)).select("query_id", "slug").union(of_series).distinct()
+    near = rivals.unionByName(lead.join(rivals.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.col("leader").alias("slug")))
     words_near = own_words(near, found).join(lead.select("query_id", "leader"), "query_id")
     only = words_near.groupBy("query_id", "word").agg(F.bool_and(F.col("slug") == F.col("leader")).alias("only")).filter("only").select("query_id", "word")
     sure = worth_a_look_any(read).join(only, "query_id").join(matches(worth_a_look_any(read), only), ["token", "word"])
@@ -168,22 +175,36 @@ def worth_a_look_any(read: DataFrame) -> DataFrame:
     return read.filter(F.length("token") >= 3).groupBy("query_id", "token").agg(F.max("conf").alias("conf"))
 
 
+def series_rivals(shortlist: DataFrame, cards: DataFrame, share: float = 0.5) -> DataFrame:
+    """(query_id, slug) of cards of the leader's maker that have a share of the best inliers: their labels look alike, so inliers don't decide."""
+    rows = shortlist.select("query_id", "slug", "place", "inliers").join(cards.select("slug", "manufacturer"), "slug")
+    by_query = Window.partitionBy("query_id")
+    lead = F.max(F.when(F.col("place") == 0, F.col("manufacturer"))).over(by_query)
+    best = F.max("inliers").over(by_query)
+    near = (best > 0) & (F.col("inliers") >= share * best) & (lead != "") & (F.col("manufacturer") == lead)
+    return rows.withColumn("near", near).filter("near and place > 0").select("query_id", "slug")
+
+
+def named(shortlist: DataFrame, cards: DataFrame, read: DataFrame, least: int) -> DataFrame:
+    """(query_id, slug) of cards of whose own names a word of `least` letters was read surely and exactly, and is no other card's in the shortlist."""
+    own = shortlist.select("query_id", "slug").join(features(cards).select("slug", F.explode("name").alias("word")), "slug")
+    names = own.filter((F.length("word") >= least) & ~F.col("word").isin(words.GENERIC_WORDS + words.CARD_STOPWORDS))
+    lone = names.groupBy("query_id", "word").agg(F.countDistinct("slug").alias("owners"), F.min("slug").alias("slug")).filter("owners = 1")
+    tokens = read.filter((F.col("conf") >= SURE_CONF) & (F.length("token") >= least) & ~F.col("token").isin(text.category_words()))
+    spelled = tokens.select("query_id", "token", F.explode(text.alphabet_variants(F.col("token"))).alias("word")).distinct()
+    hits = spelled.join(lone, ["query_id", "word"]).groupBy("query_id", "token").agg(F.countDistinct("slug").alias("hits"), F.min("slug").alias("slug")).filter("hits = 1")
+    return hits.select("query_id", "slug").distinct()
+
+
 def name_owners(shortlist: DataFrame, cards: DataFrame, read: DataFrame) -> DataFrame:
-    """(query_id, slug) of cards whose own name was read surely and exactly, and is no other card's in the shortlist.
+    """(query_id, slug) of cards whose own name of five letters was read surely and exactly, and is no other card's in the shortlist.
 
     Such a card joins the group that text compares. It needs `FLOOR` of the best
     inliers, unless the name has `STRONG_NAME` letters.
     """
-    own = shortlist.select("query_id", "slug", "inliers").join(features(cards).select("slug", F.explode("name").alias("word")), "slug")
-    plain = words.GENERIC_WORDS + words.STOPWORDS
-    named = own.filter((F.length("word") >= 5) & ~F.col("word").isin(plain))
-    lone = named.groupBy("query_id", "word").agg(F.countDistinct("slug").alias("owners"), F.min("slug").alias("slug"), F.min("inliers").alias("inliers")).filter("owners = 1")
-    tokens = read.filter((F.col("conf") >= SURE_CONF) & (F.length("token") >= 5) & ~F.col("token").isin(text.category_words()))
-    spelled = tokens.select("query_id", "token", F.explode(text.alphabet_variants(F.col("token"))).alias("word")).distinct()
-    hits = spelled.join(lone, ["query_id", "word"]).groupBy("query_id", "token").agg(F.countDistinct("slug").alias("hits"), F.min("slug").alias("slug"), F.min("inliers").alias("inliers"), F.max(F.length("word")).alias("long")).filter("hits = 1")
-    best = shortlist.groupBy("query_id").agg(F.max("inliers").alias("best"))
-    enough = (F.col("inliers") >= FLOOR * F.col("best")) | (F.least("long", F.length("token")) >= STRONG_NAME)
-    return hits.join(best, "query_id").filter(enough).select("query_id", "slug").distinct()
+    best = shortlist.withColumn("best", F.max("inliers").over(Window.partitionBy("query_id"))).filter(F.col("inliers") >= FLOOR * F.col("best"))
+    enough = best.select("query_id", "slug").unionByName(named(shortlist, cards, read, STRONG_NAME)).distinct()
+    return named(shortlist, cards, read, 5).join(enough, ["query_id", "slug"])
 
 
 def comparison_group(shortlist: DataFrame, owners: DataFrame, window: float = 0.8) -> DataFrame:
@@ -200,7 +221,7 @@ def contradicted(shortlist: DataFrame, cards: DataFrame, read: DataFrame, near:
     and more and a confidence of 0.85.
     """
     vocab = cards.select("slug", F.explode(vocabulary(F.concat_ws(" ", "title", F.array_join("grapes", " "), "manufacturer"))).alias("word"))
-    plain = words.GENERIC_WORDS + words.STOPWORDS
+    plain = words.GENERIC_WORDS + words.CARD_STOPWORDS
     tokens = read.filter((F.col("conf") >= 0.85) & (F.length("token") >= 5) & ~F.col("token").isin(plain)).select("query_id", "token").distinct()
     lead = shortlist.filter("place = 0").select("query_id", "slug")
     known = tokens.join(lead, "query_id").join(vocab, "slug").join(near, ["token", "word"]).select("query_id", "token").distinct()

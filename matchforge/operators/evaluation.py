@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchforge.functions.statistics import mcnemar, share, wilson
+from matchforge.operators import order
 
 RULES = ("strict", "null_ok", "positives")
 
@@ -91,8 +92,4 @@ def paired(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 def nearest_rank(values: DataFrame, group: str, value: str, share_: float, half_even: bool = False) -> DataFrame:
     """The percentile by rank: ceil(share * n), or the rounded (half to even) rank."""
-    w = Window.partitionBy(group)
-    n = F.count("*").over(w)
-    rank = F.bround(share_ * n).cast("bigint") if half_even else F.ceil(share_ * n)
-    order = F.row_number().over(w.orderBy(value))
-    return values.withColumn("__n", order).withColumn("__at", F.greatest(F.lit(1), rank)).filter("__n = __at").select(group, F.col(value).alias("at_rank"))
+    return order.at_ranks(values, group, value, {"at_rank": order.nearest_rank(F.col("n"), share_, half_even)}).drop("n")

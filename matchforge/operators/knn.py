@@ -1,90 +1,124 @@
-"""Exact nearest rows by cosine of unit vectors, as blocks of matrix products with a reduction in each task.
+"""Exact nearest rows by cosine of unit vectors, as blocks of matrix products with a reduction in each cell.
 
-Queries are a stated, small set. They go to the tasks in blocks of at most
-`QUERY_BLOCK` vectors, one pass over the index a block; the index is read where
-it lies and never shuffled. Each task sends on only the best rows it has seen, so
-the exchange after it grows with queries and tasks, not with the index.
+The index is dealt out once to cells of a bounded number of rows. Queries, a
+stated set that grows with the tables, go to every cell as rows of a table: a
+task holds one cell's vectors and streams the queries past them a block at a
+time. Each query takes on no more than the wanted rows (or keys) of a cell, ties
+by row_id, so the exchange that follows has cells x queries x depth rows at most.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4_096
+#: Rows of the index in a cell, on average at most; queries that are multiplied at once.
+CELL_ROWS, QUERY_BLOCK = 131_072, 256
 SCHEMA = "query_id bigint, row_id bigint, slug string, view bigint, cv double"
-
-
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query ids and vectors, a bounded block at a time."""
-    ids, rows = [], []
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids, np.int64), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(rows, np.float64)
-
-
-def _scan(index: DataFrame, queries: DataFrame, keep) -> DataFrame:
-    """Rows of `keep(similarities, row ids, slugs)` for each batch of the index and block of queries."""
-
-    def over(ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
+#: Rows that are taken of similarities to a cell's rows in the order of their ids, given their slugs: (query, row) places.
+Keep = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def best_places(similar: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the `depth` largest values of each row, the earlier ones of equal values."""
+    if similar.shape[1] <= depth:
+        return tuple(x.ravel() for x in np.indices(similar.shape))
+    cut = np.partition(similar, -depth, axis=1)[:, -depth][:, None]
+    above, equal = similar > cut, similar == cut
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= depth - above.sum(axis=1, keepdims=True))))
+
+
+def cells_of(index: DataFrame) -> int:
+    """Cells for an index: of `CELL_ROWS` rows, but some for each core where rows allow it."""
+    rows = index.count()
+    return max(-(-rows // CELL_ROWS), min(index.sparkSession.sparkContext.defaultParallelism, -(-rows // 1_024)), 1)
+
+
+def _scan(index: DataFrame, queries: DataFrame, keep: Keep) -> DataFrame:
+    """What `keep` takes of each cell for each query."""
+    cells = cells_of(index)
+    none = F.lit(None)
+    rows = index.select(
+        F.pmod(F.xxhash64("row_id"), F.lit(cells)).cast("int").alias("cell"), F.lit(0).alias("kind"), F.col("row_id").cast("bigint").alias("id"), F.col("slug").cast("string").alias("slug"),
+        F.col("view").cast("bigint").alias("view"), F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    asked = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("kind"), F.col("query_id").cast("bigint").alias("id"), none.cast("string").alias("slug"), none.cast("bigint").alias("view"), F.col("embedding").cast("array<double>").alias("embedding")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, parts, own, codes = None, [], None, None
+
+        def matrix(part: pa.RecordBatch) -> np.ndarray:
+            return part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+
+        for batch in batches:
+            key = batch.column("cell").to_numpy() * 2 + batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(start, end - start)
+                if not part.num_rows:
                     continue
-                own = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                similar = vectors @ own.T
-                q, r = keep(similar, batch.column("row_id").to_numpy(zero_copy_only=False), batch.column("slug"))
-                columns = [pa.array(ids[q]), *(batch.column(c).take(pa.array(r)) for c in ("row_id", "slug", "view")), pa.array(similar[q, r])]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "row_id", "slug", "view", "cv"])
-
-        rows = index.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("slug").cast("string").alias("slug"), F.col("view").cast("bigint").alias("view"), "embedding")
-        return rows.mapInArrow(run, SCHEMA)
+                if key[start] // 2 != cell:
+                    cell, parts, own = key[start] // 2, [], None
+                if key[start] % 2 == 0:
+                    parts.append(part)
+                    continue
+                if own is None and parts:
+                    rows = pa.Table.from_batches(parts).combine_chunks()
+                    own = np.concatenate([matrix(p) for p in parts]).T.copy()
+                    codes = rows.column("slug").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                    parts = []
+                if own is None:
+                    continue
+                vectors, ids = matrix(part), part.column("id")
+                for at in range(0, len(vectors), QUERY_BLOCK):
+                    similar = vectors[at : at + QUERY_BLOCK] @ own
+                    q, r = keep(similar, codes)
+                    columns = [ids.take(pa.array(q + at)), *(rows.column(c).take(pa.array(r)).combine_chunks() for c in ("id", "slug", "view")), pa.array(similar[q, r])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "row_id", "slug", "view", "cv"])
 
-    parts = [over(*block) for block in _blocks(queries)]
-    return functools.reduce(DataFrame.unionAll, parts) if parts else index.sparkSession.createDataFrame([], SCHEMA)
+    dealt = rows.unionAll(asked).repartition(cells, "cell").sortWithinPartitions("cell", "kind", "id")
+    return dealt.mapInArrow(run, SCHEMA)
 
 
 def top_rows(index: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
     """The `depth` nearest index rows of each query, ties by row_id, with their rank from 1."""
-
-    def keep(similar: np.ndarray, row_ids: np.ndarray, slugs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if similar.shape[1] <= depth:
-            return tuple(x.ravel() for x in np.indices(similar.shape))
-        cut = np.partition(similar, -depth, axis=1)[:, -depth]
-        return np.nonzero(similar >= cut[:, None])  # ties at the cut all go on
-
     nearest = Window.partitionBy("query_id").orderBy(F.desc("cv"), "row_id")
-    return _scan(index, queries, keep).withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= depth)
+    found = _scan(index, queries, lambda similar, _: best_places(similar, depth))
+    return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= depth)
+
 
+def best_by_key(index: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """The nearest row of each key (slug) for each query, ties by row_id; with `limit` of that many nearest keys only.
 
-def best_by_key(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """The nearest row of each key (slug) for each query, ties by row_id. Rows without key count for nothing."""
+    Rows without key count for nothing. The nearest keys of the whole index are
+    among the nearest of the cells that hold their best rows, so a cell gives
+    `limit` keys a query.
+    """
 
-    def keep(similar: np.ndarray, row_ids: np.ndarray, slugs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        codes = slugs.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        order = np.lexsort((row_ids, codes))
+    def keep(similar: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(codes, kind="stable")  # by key, then by id
         starts = np.flatnonzero(np.r_[True, codes[order][1:] != codes[order][:-1]])
-        best = np.maximum.reduceat(similar[:, order], starts, axis=1)
-        ends = np.r_[starts[1:], len(order)]
-        q, r = [], []
-        for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
-            r.append(order[a + np.argmax(similar[:, order[a:b]] == best[:, k : k + 1], axis=1)])  # the first row of equal ones
-            q.append(np.arange(len(similar)))
-        return np.concatenate(q), np.concatenate(r)
+        sorted_ = similar[:, order]
+        best = np.maximum.reduceat(sorted_, starts, axis=1)
+        hit = sorted_ == np.repeat(best, np.diff(np.r_[starts, len(order)]), axis=1)
+        first = np.minimum.reduceat(np.where(hit, np.arange(len(order)), len(order)), starts, axis=1)
+        places = order[first]
+        if limit is None or places.shape[1] <= limit:
+            return np.repeat(np.arange(len(similar)), places.shape[1]), places.ravel()
+        ids = np.argsort(places, axis=1)  # ties between keys by their rows' ids
+        q, k = best_places(np.take_along_axis(best, ids, axis=1), limit)
+        return q, np.take_along_axis(places, ids, axis=1)[q, k]
 
     found = _scan(index.filter("slug is not null"), queries, keep)
     best = F.max_by(F.struct("row_id", "view", "cv"), F.struct("cv", -F.col("row_id")))
-    return found.groupBy("query_id", "slug").agg(best.alias("best")).select("query_id", "slug", "best.row_id", "best.view", "best.cv")
+    rows = found.groupBy("query_id", "slug").agg(best.alias("best")).select("query_id", "slug", "best.row_id", "best.view", "best.cv")
+    return rows if limit is None else placed(rows, limit).drop("place")
 
 
 def placed(candidates: DataFrame, limit: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,7 @@ def links(pages: DataFrame) -> DataFrame:
 
 #: Wrappers of values in payloads (fixed values): a list of the wrapper's name and a place.
 WRAPPERS = ("ShallowReactive", "Reactive", "Ref", "ShallowRef")
+DEPTH = 8
 
 
 class Payload:
@@ -22,12 +23,13 @@ class Payload:
         self.flat = flat
 
     def at(self, place: Column) -> Column:
-        """The value at a place, out of up to three wrappers."""
-        value = F.get(self.flat, place.cast("int"))
-        for _ in range(3):
+        """The value at a place, out of up to `DEPTH` wrappers; deeper ones stay wrapped."""
+
+        def out_of(value: Column, _: Column) -> Column:
             inner = F.from_json(value, "array<string>")
-            value = F.when(F.get(inner, F.lit(0)).isin(*WRAPPERS), F.get(self.flat, F.get(inner, F.lit(1)).cast("int"))).otherwise(value)
-        return value
+            return F.when(F.get(inner, F.lit(0)).isin(*WRAPPERS), F.get(self.flat, F.get(inner, F.lit(1)).cast("int"))).otherwise(value)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.get(self.flat, place.cast("int")), out_of)
 
     def member(self, value: Column, name: str) -> Column:
         """A member of an object; a number is the place of the member's value."""
@@ -45,6 +47,20 @@ class Payload:
         return F.coalesce(F.filter(found, lambda n: n.isNotNull() & (n != "")), F.array().cast("array<string>"))
 
 
+def sitemap(spark: SparkSession, path: str) -> DataFrame:
+    """(key, changed) of the pages that sitemaps list: the last part of each address, and when it changed."""
+    rows = spark.read.schema("loc string, lastmod string").option("rowTag", "url").format("xml").load(path)
+    key = F.regexp_extract(F.trim("loc"), r"([^/]+)/?$", 1)
+    return rows.filter(key != "").groupBy(key.alias("key")).agg(F.max(F.to_timestamp(F.trim("lastmod"))).alias("changed"))
+
+
+def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(key, kind) of what two snapshots (key, changed) differ in: new, removed or changed; one full join by key."""
+    old, new = (s.select("key", F.col("changed").alias(name), F.lit(True).alias(f"in_{name}")) for s, name in ((before, "was"), (after, "now")))
+    kind = F.when(F.col("in_was").isNull(), "new").when(F.col("in_now").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("now")), "changed")
+    return old.join(new, "key", "full").select("key", kind.alias("kind")).filter("kind is not null")
+
+
 def payload_cards(rows: DataFrame) -> DataFrame:
     """(page_id, slug, title, maker, region, grapes) of the card of each row (page_id, slug, payload).
 

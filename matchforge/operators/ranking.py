@@ -108,11 +108,11 @@ def geometry_backs(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("backed", (best > 0) & (F.col("inliers") >= CLOSE * best) & (F.col("inliers") >= 1.5 * lead))
 
 
-def demoted(candidates: DataFrame, hard: str = "hard") -> DataFrame:
-    """Move contradicted leaders behind the first clean candidate, four steps at most: the loop as one sort key."""
+def demoted(candidates: DataFrame, hard: str = "hard", depth: Column | None = None) -> DataFrame:
+    """Move contradicted leaders behind the first clean candidate, `depth` (four) steps at most: the loop as one sort key."""
     i = F.col("place")
     k = per_query(F.min(F.when(~F.col(hard), i)))
-    m = F.least(k, F.lit(DEMOTE_DEPTH))
+    m = F.least(k, F.lit(DEMOTE_DEPTH) if depth is None else depth)
     key = F.when(k.isNull() | (k == 0), i).when(i < m, k - i).when(i < k, i - m).when(i == k, k - m).otherwise(i)
     keyed = candidates.withColumn("__key", key)
     return keyed.withColumn("place", F.row_number().over(of_query().orderBy("__key", "place")) - 1).drop("__key")

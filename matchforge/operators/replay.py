@@ -2,30 +2,10 @@
 
 from __future__ import annotations
 
-import dataclasses
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchforge.functions.statistics import logistic
-from matchforge.operators import cards
-
-
-@dataclasses.dataclass(frozen=True)
-class Rules:
-    """Switches and thresholds of a replay; every report carries them, tasks never read the environment."""
-
-    margin: float = 0.5
-    window: float = 0.8
-    floor_share: float | None = None
-    demote_contradicted: bool = True
-    depth: int = 4
-    show: float = 0.1
-    confident: float = 0.3
-
-    def as_json(self) -> str:
-        return json.dumps(dataclasses.asdict(self), sort_keys=True)
+from matchforge.operators.rules import Rules
 
 
 def stage_places(rows: DataFrame, rules: Rules) -> DataFrame:
@@ -57,25 +37,3 @@ def image_report(placed: DataFrame) -> DataFrame:
     found = placed.groupBy("image").agg(F.max("gold").alias("gold"), F.min_by("slug", "text").alias("top1"), *map(rank, ("retrieval", "geometry", "text")))
     flags = {"correct": F.col("rank_text") == 0, "in_top3": F.col("rank_text").between(0, 2), "in_top5": F.col("rank_text").between(0, 4)}
     return found.withColumns(flags)
-
-
-def answers(placed: DataFrame, evidence: DataFrame, rules: Rules) -> DataFrame:
-    """(image, slug, probability, state) of each image's leader.
-
-    Conflicts lower the odds; silence of the text is no confirmation, so only a
-    confirmed and unopposed leader can be `confident`.
-    """
-    by_image = Window.partitionBy("image").orderBy("text")
-    rival = F.coalesce(F.lead("inliers").over(by_image), F.lit(0))
-    lead = placed.withColumn("rival", rival).filter("text = 0").join(evidence.withColumnRenamed("query_id", "image"), ["image", "slug"], "left").na.fill({"conflicts": 0, "confirmed": 0})
-    odds = 4.0 * F.col("inliers") / F.greatest(F.col("inliers") + F.col("rival"), F.lit(1)) - 3.0 * F.least("conflicts", F.lit(3)) / 3 - 2.0
-    p = logistic(odds)
-    state = F.when(p < rules.show, "unsure").when((p >= rules.confident) & (F.col("conflicts") == 0) & (F.col("confirmed") > 0), "confident").otherwise("uncertain")
-    return lead.select("image", "slug", p.alias("probability"), state.alias("state"))
-
-
-def retrieved(shortlist: DataFrame, catalogue: DataFrame, read: DataFrame, rules: Rules) -> DataFrame:
-    """A shortlist (query_id, slug, cv, inliers, hard_conflicts) to answers in one plan: order, settle, check, state."""
-    placed = stage_places(shortlist.withColumnRenamed("query_id", "image"), rules)
-    settled = placed.select(F.col("image").alias("query_id"), "slug", F.col("text").alias("place"), "inliers")
-    return answers(placed, cards.leader_evidence(settled, catalogue, read, rules.window), rules)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from matchforge.functions import text
 from matchforge.operators import boxes, catalogue, components
 from matchforge.operators import pages as page_operators
 from matchforge.plans.registry import query
+from matchforge.sources.shared import shared_dir
 from matchforge.sources.tables import table
 
 
@@ -127,14 +130,35 @@ def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id").cast("string")
     grapes = F.when(F.col("page_id") % 3 == 0, F.lit("[]")).otherwise(F.lit("[13]"))
     flat = F.concat(
-        F.lit('[["Reactive",1],{"slug":2,"title":3,"manufacturer":4},"other","x",{"name":3},{"slug":6,"title":7,"manufacturer":8,"grapes":12},"p'), k, F.lit('","t'), k, F.lit('",["Ref",9],{"name":10},"m'),
-        (F.col("page_id") % 7).cast("string"), F.lit('",null,'), grapes, F.lit(',{"name":14},"g'), (F.col("page_id") % 5).cast("string"), F.lit('"]'),
+        F.lit('[["Reactive",1],{"slug":2,"title":3,"manufacturer":4},"other","x",{"name":3},{"slug":6,"title":7,"manufacturer":8,"grapes":12},"p'), k, F.lit('","t'), k, F.lit('",["Ref",15],{"name":10},"m'),
+        (F.col("page_id") % 7).cast("string"), F.lit('",null,'), grapes, F.lit(',{"name":14},"g'), (F.col("page_id") % 5).cast("string"), F.lit('",["Ref",16],["Reactive",17],["ShallowRef",18],["Ref",19],["ShallowReactive",9]]'),
     )
     page = F.concat(F.lit('<script type="application/json" id="__NUXT_DATA__">'), flat, F.lit("</script>"))
     found = page_operators.payload_cards(table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), k).alias("slug"), page.alias("payload")))
     return found.select("page_id", "slug", "title", "maker", F.array_join("grapes", ",").alias("grapes"))
 
 
+def written_sitemap(spark: SparkSession, keys: DataFrame, name: str) -> str:
+    """Where a sitemap of the keys (key, lastmod) stands in the shared folder."""
+    path = f"{shared_dir(spark)}/matchforge/sitemap-{name}-{uuid.uuid4().hex}"
+    rows = keys.select(F.concat(F.lit("https://example.org/items/"), "key").alias("loc"), "lastmod")
+    rows.write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+    return path
+
+
+@query("SELECT 'item-' || p_partkey AS key, CASE WHEN p_partkey % 7 = 0 THEN 'new' WHEN p_partkey % 5 = 0 THEN 'removed' ELSE 'changed' END AS kind FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 5 <> 0 OR p_partkey % 5 = 0 AND p_partkey % 7 <> 0 OR p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_size % 3 = 0")
+def sitemap_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two sitemaps, written and read as XML, differ in: the first lacks every seventh item, the second every fifth."""
+    day = F.when((F.col("p_size") % 3 == 0) & F.col("late"), "2024-03-02").otherwise("2024-03-01")
+    items = table(spark, sf_dir, "part").select(F.concat(F.lit("item-"), F.col("p_partkey")).alias("key"), "p_partkey", "p_size")
+
+    def at(late: bool, without: int, name: str) -> DataFrame:
+        rows = items.filter(F.col("p_partkey") % without != 0).withColumn("late", F.lit(late)).select("key", F.concat(day, F.lit("T00:00:00Z")).alias("lastmod"))
+        return page_operators.sitemap(spark, written_sitemap(spark, rows, name))
+
+    return page_operators.snapshot_diff(at(False, 7, "before"), at(True, 5, "after"))
+
+
 @query("SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS INT)) AS total FROM events GROUP BY 1")
 def json_property_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))

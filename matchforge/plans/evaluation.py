@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchforge.functions.statistics import wilson
-from matchforge.operators import calibration, evaluation
+from matchforge.operators import calibration, evaluation, order
 from matchforge.plans.registry import query
 from matchforge.plans.vectors import r6
 from matchforge.sources.tables import table
@@ -87,13 +87,10 @@ def calibration_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value) FILTER (WHERE i = ceil(0.95 * n)), 6) AS p95_rank, round(max(value) FILTER (WHERE i = n // 2 + 1), 6) AS upper_median, round(max(value), 6) AS most FROM n GROUP BY 1""")
 def percentile_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_type", "value")
-    linear = events.groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.95)).alias("p95"), F.max("value").alias("most"), F.count("*").alias("n"))
-    ranked = evaluation.nearest_rank(events, "event_type", "value", 0.95).withColumnRenamed("at_rank", "p95_rank")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("event_type").orderBy("value")
-    middle = events.withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("event_type"))).filter("i = floor(n / 2) + 1").select("event_type", F.col("value").alias("upper_median"))
-    return linear.join(ranked, "event_type").join(middle, "event_type").select("event_type", *[r6(c).alias(c) for c in ("median", "p95", "p95_rank", "upper_median", "most")])
+    n = F.col("n")
+    linear = order.percentiles(events, "event_type", "value", {"median": 0.5, "p95": 0.95})
+    ranked = order.at_ranks(events, "event_type", "value", {"p95_rank": order.nearest_rank(n, 0.95), "upper_median": F.floor(n / 2) + 1, "most": n})
+    return linear.drop("n").join(ranked, "event_type").select("event_type", *[r6(c).alias(c) for c in ("median", "p95", "p95_rank", "upper_median", "most")])
 
 
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS over, round(count(*) FILTER (WHERE value > 50) / count(*)::DOUBLE, 6) AS share FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchforge.functions.statistics import share
-from matchforge.operators import evidence, knn, ranking
+from matchforge.operators import evidence, knn, order, ranking
 from matchforge.plans.evaluation import CASES, cases
 from matchforge.plans.ranking import EVIDENCE, candidates
 from matchforge.plans.registry import query
@@ -89,9 +89,11 @@ def rerank_rule_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CASES}, h AS (SELECT doc_id, quality, ntile(2) OVER (PARTITION BY quality ORDER BY doc_id) AS half FROM cases) SELECT doc_id, half = 1 AS train, copy FROM h, unnest(range(1, CASE WHEN quality = 1 THEN 2 ELSE 4 END)) u(copy)")
 def resampled_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half of each stratum trains; rare cases count three times."""
-    half = F.ntile(2).over(Window.partitionBy("quality").orderBy("doc_id"))
+    rows = cases(spark, sf_dir)
+    middle = order.at_ranks(rows, "quality", "doc_id", {"last": F.ceil(F.col("n") / 2)}).withColumnRenamed("quality", "stratum")
     copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.when(F.col("quality") == 1, 1).otherwise(3).cast("bigint")))
-    return cases(spark, sf_dir).withColumn("half", half).select("doc_id", (F.col("half") == 1).alias("train"), copies.alias("copy"))
+    halves = rows.join(middle, F.col("quality").eqNullSafe(F.col("stratum")))  # a row a stratum
+    return halves.select("doc_id", (F.col("doc_id") <= F.col("last")).alias("train"), copies.alias("copy"))
 
 
 @query(f"""WITH {EVIDENCE}, gold AS (SELECT * FROM cand WHERE slug::INT = query_id // 100 % 10), f AS (SELECT query_id, (row_number() OVER (ORDER BY sha256(query_id::VARCHAR)) - 1) % 5 AS fold FROM (SELECT DISTINCT query_id FROM cand))
@@ -159,15 +161,6 @@ def catalogue_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.filter(F.lower("text").contains(F.lower("manufacturer"))).select("query_id", "slug", "confidence")
 
 
-@query()
-def settled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything that changes the answer, in turn: own maker first, fewer reasons, votes, contradicted leaders."""
-    found = ranking.own_first(candidates(spark, sf_dir), F.col("maker") == F.col("query_id") % 3)
-    for step in (ranking.by_reasons, ranking.vote_winner, ranking.demoted):
-        found = found.transform(step)
-    return found.select("query_id", "slug", "place")
-
-
 @query("SELECT CASE WHEN o_custkey IN (1, 7) THEN 'test' ELSE 'tune' END AS split, count(*) AS n FROM orders GROUP BY 1")
 def assigned_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of one customer are a series and come into one split; two customers' splits are fixed."""

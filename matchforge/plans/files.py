@@ -146,16 +146,6 @@ def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.agg(F.count("*").alias("images"), F.count_if(F.col("rank_geometry") == 0).alias("after_geometry"), F.count_if(F.col("rank_text") == 0).alias("after_text"))
 
 
-@query()
-def retrieve_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortlists to answers in one plan, with the rules beside them."""
-    q = F.floor(F.col("query_id") / 100)
-    rows = label.shortlist(spark, sf_dir).withColumn("hard_conflicts", F.when((F.col("slug") + q) % 4 == 0, 1).otherwise(0)).drop("place")
-    rules = replay.Rules()
-    found = replay.retrieved(rows, label.cards(spark, sf_dir), label.read_words(spark, sf_dir), rules)
-    return found.select("image", "slug", r6("probability").alias("probability"), "state", F.lit(rules.as_json()).alias("rules"))
-
-
 @query("SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-greatest(-30, least(30, l_quantity - 25)))), 9) AS p FROM lineitem")
 def legacy_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(logistic(F.col("l_quantity") - 25), 9).alias("p"))

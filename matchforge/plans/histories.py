@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchforge.operators import catalogue
 from matchforge.plans.registry import query
 from matchforge.sources.tables import table
-from matchforge.streaming import harvest
+from matchforge.streaming import harvest, memory
 
 
 @query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INT) AS depth, max(value) OVER (PARTITION BY user_id) AS lead FROM events")
@@ -46,3 +46,10 @@ def ragged_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def harvest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, each key once, summed as they come."""
     return harvest.summed(spark, f"{sf_dir}/events.parquet")
+
+
+@query("""WITH last AS (SELECT user_id, event_type || '/' || floor(value)::BIGINT AS k, max(epoch_us(ts)) AS touched FROM events GROUP BY 1, 2)
+SELECT user_id, k, touched, CAST(row_number() OVER (PARTITION BY user_id ORDER BY touched DESC, k) AS INT) AS place FROM last QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY touched DESC, k) <= 64""")
+def remembered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 64 keys in each user's memory after a stateful stream of the events."""
+    return memory.recent_events(spark, f"{sf_dir}/events.parquet")

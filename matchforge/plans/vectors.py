@@ -35,7 +35,7 @@ FROM (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY query_id, slug O
 
 @query(f"WITH {BEST} SELECT query_id, slug, row_id, round(cv, 6) AS cv, CAST(place AS INT) AS place FROM best WHERE place < 20")
 def knn_topk_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = knn.placed(knn.best_by_key(index_rows(spark, sf_dir), query_rows(spark, sf_dir)), 20)
+    best = knn.placed(knn.best_by_key(index_rows(spark, sf_dir), query_rows(spark, sf_dir), 20))
     return best.select("query_id", "slug", "row_id", r6("cv").alias("cv"), "place")
 
 
