@@ -51,7 +51,7 @@ def sitemap(spark: SparkSession, path: str) -> DataFrame:
     """(key, changed) of the pages that sitemaps list: the last part of each address, and when it changed."""
     rows = spark.read.schema("loc string, lastmod string").option("rowTag", "url").format("xml").load(path)
     key = F.regexp_extract(F.trim("loc"), r"([^/]+)/?$", 1)
-    return rows.filter(key != "").groupBy(key.alias("key")).agg(F.max(F.to_timestamp(F.trim("lastmod"))).alias("changed"))
+    return rows.filter(key != "").groupBy(key.alias("key")).agg(F.max(F.try_to_timestamp(F.trim("lastmod"))).alias("changed"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:

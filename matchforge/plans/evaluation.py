@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchforge.functions.statistics import wilson
-from matchforge.operators import calibration, evaluation, order
+from matchforge.operators import calibration, evaluation, order, sampling
 from matchforge.plans.registry import query
 from matchforge.plans.vectors import r6
 from matchforge.sources.tables import table
@@ -170,12 +170,12 @@ def binary_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pairwise_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a right and another answer, ranked by models of other folds: how often the right one comes first."""
-    rows = calibration_rows(spark, sf_dir)
-    group = F.col("l_orderkey") % 997
-    best = rows.filter("outcome = 0").withColumn("g", group).groupBy("g").agg(F.min_by(F.struct(*FEATURES), "l_orderkey").alias("a"))
-    worst = rows.filter("outcome = 2").withColumn("g", group).groupBy("g").agg(F.min_by(F.struct(*FEATURES), "l_orderkey").alias("b"))
-    fold = (F.row_number().over(Window.orderBy(F.sha2(F.col("g").cast("string"), 256))) - 1) % 5  # a row a group, 997 at most
-    pairs = best.join(worst, "g").select("g", *[(F.col(f"a.{f}") - F.col(f"b.{f}")).alias(f) for f in FEATURES]).withColumn("fold", fold)
-    scored = calibration.ranked_out_of_fold(pairs, FEATURES, 5)
+    """A customer's first right order against each of its other orders, ranked by models of other folds: how often the right one comes first."""
+    scored = calibration.ranked_out_of_fold(ranker_pairs(spark, sf_dir), FEATURES, 5)
     return scored.groupBy("fold").agg(F.count("*").alias("pairs"), F.round(F.avg((F.col("score") > 0).cast("double")), 4).alias("right_first"))
+
+
+def ranker_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owners = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer"))
+    rows = calibration_rows(spark, sf_dir).join(owners, "l_orderkey").withColumn("right", F.col("outcome") == 0)
+    return sampling.against_the_right(rows, "customer", "right", "l_orderkey", FEATURES, 5)

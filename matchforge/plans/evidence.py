@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchforge.functions.statistics import share
-from matchforge.operators import evidence, knn, order, ranking
+from matchforge.operators import evidence, fitting, knn, order, ranking, sampling
 from matchforge.plans.evaluation import CASES, cases
 from matchforge.plans.ranking import EVIDENCE, candidates
 from matchforge.plans.registry import query
@@ -181,3 +181,30 @@ def label_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answered_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = F.count_if(F.col("probability") >= 0.1)
     return cases(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), answered.alias("answered"), r6(share(answered, F.count("*"))).alias("share"))
+
+
+@query("""WITH h AS (SELECT p_partkey AS a, p_type AS s, p_brand AS g, md5(p_partkey::VARCHAR || '|17') AS hash, count(*) OVER (PARTITION BY p_type) AS n FROM part),
+d AS (SELECT *, (('0x' || hash[1:8])::BIGINT * CAST(ceil(n / 8192.0) AS BIGINT)) >> 32 AS ring FROM h), p AS (SELECT *, row_number() OVER (PARTITION BY s, ring ORDER BY hash, a) AS place, count(*) OVER (PARTITION BY s, ring) AS size FROM d)
+SELECT x.a AS p_partkey, y.a AS stranger FROM p x, range(1, 4) k(step), p y WHERE step < x.size AND y.s = x.s AND y.ring = x.ring AND y.place = (x.place - 1 + step) % x.size + 1 AND x.g <> y.g""")
+def stranger_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three other items of the same type for each item, those of its own brand left out."""
+    return sampling.strangers(table(spark, sf_dir, "part"), "p_partkey", "p_type", "p_brand", 3)
+
+
+def matched_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as matched points, a pair of images for each supplier; five of seven lines follow the supplier's transform."""
+    x, y, s = (F.col("l_partkey") % 397).cast("double"), (F.col("l_orderkey") % 293).cast("double"), F.col("l_suppkey") % 50
+    w = 1 + x * 0.0004
+    own = F.col("l_linenumber") <= 5
+    u = F.when(own, (x * 1.1 + y * 0.1 + s) / w).otherwise((F.col("l_orderkey") * 7 % 401).cast("double"))
+    v = F.when(own, (y * 0.9 - x * 0.1 + 60) / w).otherwise((F.col("l_partkey") * 11 % 307).cast("double"))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pair_id"), key.alias("match_id"), x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS pair_id, (l_partkey % 397)::DOUBLE AS x, (l_orderkey % 293)::DOUBLE AS y, l_linenumber <= 5 AS own, (l_orderkey * 7 % 401)::DOUBLE AS ou, (l_partkey * 11 % 307)::DOUBLE AS ov, l_suppkey % 50 AS s FROM lineitem),
+t AS (SELECT *, (x * 1.1 + y * 0.1 + s) / (1 + x * 0.0004) AS tu, (y * 0.9 - x * 0.1 + 60) / (1 + x * 0.0004) AS tv FROM p)
+SELECT pair_id, count(*) AS matches, count(*) FILTER (WHERE own OR (ou - tu) ** 2 + (ov - tv) ** 2 <= 25) AS inliers FROM t GROUP BY 1""")
+def transform_inliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches that each pair's best transform explains: those that follow the true one, and others that happen to."""
+    return fitting.fit_report(matched_points(spark, sf_dir))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchforge.functions import text, words
@@ -84,7 +84,8 @@ def byte(c: str) -> str:
 
 MATCH_SQL = f"""CASE WHEN q = d THEN 1.0 WHEN length(q) >= 4 AND (starts_with(d, q) OR starts_with(q, d)) AND abs(length(q) - length(d)) <= 3 THEN 0.85
 WHEN greatest(length(q), length(d)) >= 8 AND levenshtein({byte('q')}, {byte('d')}) <= 2 THEN 0.7 WHEN greatest(length(q), length(d)) >= 5 AND levenshtein({byte('q')}, {byte('d')}) <= 1 THEN 0.7 ELSE 0 END"""
-ASKED_SQL = f"""queries AS (SELECT p_partkey AS query_id, substring(p_name, 1, 3) || substring(p_name, 5) || ' ' || string_split(p_type, ' ')[1] || ' ' || p_brand AS text FROM part WHERE p_partkey % 100 = 0),
+LABELS_SQL = "SELECT p_partkey AS query_id, substring(p_name, 1, 3) || substring(p_name, 5) || ' ' || string_split(p_type, ' ')[1] || ' ' || p_brand AS text FROM part WHERE p_partkey % 100 = 0"
+ASKED_SQL = f"""queries AS ({LABELS_SQL}),
 qwords AS (SELECT query_id, unnest(list_filter(string_split({clean_sql('text')}, ' '), lambda x: length(x) >= 2)) AS t FROM queries),
 asked AS (SELECT DISTINCT query_id, CASE WHEN regexp_full_match(t, '[a-z0-9]+') AND NOT regexp_full_match(t, '[0-9]+') THEN {translit_sql('t')} ELSE t END AS q FROM qwords),
 kept AS (SELECT * FROM asked WHERE q NOT IN ({STOP}) AND NOT regexp_full_match(q, '[0-9]+')),
@@ -166,23 +167,26 @@ def sibling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("p_partkey").alias("a"), "series").join(other, "series").filter("a < b").select("a", "b")
 
 
-@query()
+@query(f"""WITH queries AS ({LABELS_SQL}), read AS (SELECT DISTINCT query_id, unnest(string_split({clean_sql('text')}, ' ')) AS token FROM queries), cards AS (SELECT DISTINCT p_partkey AS slug, unnest(string_split({clean_sql("p_name || ' ' || p_type")}, ' ')) AS word FROM part),
+near AS (SELECT token, word FROM (SELECT DISTINCT token FROM read WHERE length(token) >= 4), (SELECT DISTINCT word FROM cards WHERE length(word) >= 4) WHERE damerau_levenshtein(token, word) <= floor(greatest(length(token), length(word)) * 0.2 + 1e-9)),
+votes AS (SELECT query_id, slug, count(DISTINCT token) AS votes FROM read JOIN near USING (token) JOIN cards USING (word) GROUP BY 1, 2)
+SELECT query_id, slug, votes FROM votes QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, slug) <= 5""")
 def text_votes_osa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes: different read words within a fifth of their length of a word of the card, by optimal string alignment."""
+    """The five cards of each label with most votes: different read words within a fifth of their length of a word of the card, by optimal string alignment."""
     read = label_texts(spark, sf_dir).select("query_id", F.explode(F.array_distinct(F.split(text.clean(F.col("text")), " "))).alias("token")).filter("length(token) >= 4")
     cards = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slug"), F.explode(F.array_distinct(F.split(text.clean(F.concat_ws(" ", "p_name", "p_type")), " "))).alias("word")).filter("length(word) >= 4")
     near = textsearch.near_tokens(read.select("token").distinct(), cards.select("word").distinct(), 0.2)
-    return read.join(near, "token").join(cards, "word").groupBy("query_id", "slug").agg(F.countDistinct("token").alias("votes"))
+    votes = read.join(near, "token").join(cards, "word").groupBy("query_id", "slug").agg(F.countDistinct("token").alias("votes"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("votes"), "slug"))
+    return votes.withColumn("place", best).filter("place <= 5").drop("place")
 
 
 @query()
 def sequence_ratio_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closest spelling of each label's words among the catalogue's type words: equal, or the largest block similarity from 0.8."""
-    words_ = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).distinct().withColumn("n", F.length("word"))
-    asked = label_texts(spark, sf_dir).select(F.explode(F.split(text.clean(F.col("text")), " ")).alias("token")).distinct()
-    n = F.length("token")  # twice the shorter length is four fifths of both at least
-    lengths = asked.withColumn("n", F.explode(F.sequence(F.ceil(n * 2 / 3).cast("int"), F.floor(n * 3 / 2).cast("int"))))
-    close = lengths.join(words_, "n").withColumn("ratio", text.sequence_ratio(F.col("token"), F.col("word"))).filter("ratio >= 0.8")
+    known = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).distinct()
+    asked = label_texts(spark, sf_dir).select(F.explode(F.split(text.clean(F.col("text")), " ")).alias("token")).filter("token <> ''").distinct()
+    close = textsearch.close_spellings(asked, known)
     return close.groupBy("token").agg(F.max_by("word", F.struct("ratio", "word")).alias("closest"), r6(F.max("ratio")).alias("ratio"))
 
 

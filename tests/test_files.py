@@ -137,5 +137,3 @@ def test_states(spark):
     rows = spark.createDataFrame([("q", "a", 0.9, 40, 0), ("q", "b", 0.8, 4, 0), ("r", "a", 0.9, 40, 1), ("r", "b", 0.8, 39, 0)], "image string, slug string, cv double, inliers int, hard_conflicts int")
     placed = replay.stage_places(rows, replay.Rules())
     assert {(r["image"], r["slug"]) for r in placed.filter("text = 0").collect()} == {("q", "a"), ("r", "b")}
-    seen = spark.createDataFrame([("q", "a", 0, 2), ("r", "b", 3, 0)], "query_id string, slug string, conflicts bigint, confirmed bigint")
-    assert {r["image"]: r["state"] for r in replay.answers(placed, seen, replay.Rules()).collect()} == {"q": "confident", "r": "unsure"}
