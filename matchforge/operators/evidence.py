@@ -44,6 +44,25 @@ def sliding_maximum(profile: DataFrame, group: str, order: str, value: str, widt
     return whole.groupBy(group).agg(F.max_by(F.struct("at", "total"), F.struct("total", -F.col("at"))).alias("b")).select(group, (F.col("b.at") - (width - 1)).alias("first"), "b.total")
 
 
+def widened_band(profile: DataFrame, group: str, order: str, value: str, width: int, share: float = 0.35, pad: float = 0.12) -> DataFrame:
+    """(group, top, bottom): the window of `width` rows with the largest sum, widened while rows hold more than `share` of its mean, and padded.
+
+    Rows are numbered from 0 by `order`, `bottom` is the row after the last.
+    Groups of fewer rows than the window have no band.
+    """
+    ordered = Window.partitionBy(group).orderBy(order)
+    numbered = profile.withColumn("at", F.row_number().over(ordered) - 1)
+    best = sliding_maximum(profile, group, order, value, width).withColumn("least", F.col("total") / width * share)
+    weak = F.col(value) <= F.col("least")
+    edges = numbered.join(best, group).groupBy(group).agg(
+        F.coalesce(F.max(F.when((F.col("at") < F.col("first")) & weak, F.col("at") + 1)), F.lit(0)).alias("upper"),
+        F.min(F.when((F.col("at") >= F.col("first") + width) & weak, F.col("at"))).alias("lower"), F.count("*").alias("height"),
+    )
+    lower = F.coalesce("lower", "height")
+    extra = F.floor((lower - F.col("upper")) * pad)
+    return edges.select(group, F.greatest(F.lit(0), F.col("upper") - extra).cast("int").alias("top"), F.least("height", lower + extra).cast("int").alias("bottom"))
+
+
 def category_word(token: Column) -> Column:
     """Does a token, but for its signs and look-alike letters, name a colour or sweetness? Long ones may have one wrong letter."""
     terms = [t for t in (*words.SWEETNESS, *words.COLOURS) if " " not in t and len(t) >= 4]

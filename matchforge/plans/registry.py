@@ -25,5 +25,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _name in ("vectors", "ranking", "texts", "evaluation", "recommendations", "catalogue", "histories", "evidence", "cards", "files"):
+for _name in ("vectors", "ranking", "texts", "evaluation", "recommendations", "catalogue", "histories", "evidence", "cards", "files", "labels"):
     importlib.import_module(f"matchforge.plans.{_name}")
