@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of the index in a cell, on average at most; queries that are multiplied at once.
@@ -38,20 +38,27 @@ def cells_of(index: DataFrame) -> int:
     return max(-(-rows // CELL_ROWS), min(index.sparkSession.sparkContext.defaultParallelism, -(-rows // 1_024)), 1)
 
 
-def _scan(index: DataFrame, queries: DataFrame, keep: Keep) -> DataFrame:
-    """What `keep` takes of each cell for each query."""
+def _scan(index: DataFrame, queries: DataFrame, keep: Keep, settings: int = 0) -> DataFrame:
+    """What `keep` takes of each cell for each query.
+
+    With `settings` it does so once for each of them, over the rows whose column
+    `mask` has the setting's bit, and rows tell their setting: one product of
+    vectors serves all settings.
+    """
     cells = cells_of(index)
     none = F.lit(None)
     rows = index.select(
         F.pmod(F.xxhash64("row_id"), F.lit(cells)).cast("int").alias("cell"), F.lit(0).alias("kind"), F.col("row_id").cast("bigint").alias("id"), F.col("slug").cast("string").alias("slug"),
-        F.col("view").cast("bigint").alias("view"), F.col("embedding").cast("array<double>").alias("embedding"),
+        F.col("view").cast("bigint").alias("view"), (F.col("mask").cast("bigint") if settings else F.lit(1).cast("bigint")).alias("mask"), F.col("embedding").cast("array<double>").alias("embedding"),
     )
     asked = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("kind"), F.col("query_id").cast("bigint").alias("id"), none.cast("string").alias("slug"), none.cast("bigint").alias("view"), F.col("embedding").cast("array<double>").alias("embedding")
+        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("kind"), F.col("query_id").cast("bigint").alias("id"), none.cast("string").alias("slug"), none.cast("bigint").alias("view"), F.lit(0).cast("bigint").alias("mask"), F.col("embedding").cast("array<double>").alias("embedding")
     )
 
+    names = ["query_id", "row_id", "slug", "view", "cv", *(["setting"] if settings else [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, parts, own, codes = None, [], None, None
+        cell, parts, own, codes, within = None, [], None, None, []
 
         def matrix(part: pa.RecordBatch) -> np.ndarray:
             return part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
@@ -72,18 +79,26 @@ def _scan(index: DataFrame, queries: DataFrame, keep: Keep) -> DataFrame:
                     rows = pa.Table.from_batches(parts).combine_chunks()
                     own = np.concatenate([matrix(p) for p in parts]).T.copy()
                     codes = rows.column("slug").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                    mask = rows.column("mask").to_numpy()
+                    within = [np.flatnonzero(mask >> k & 1) for k in range(max(settings, 1))]
                     parts = []
                 if own is None:
                     continue
                 vectors, ids = matrix(part), part.column("id")
                 for at in range(0, len(vectors), QUERY_BLOCK):
                     similar = vectors[at : at + QUERY_BLOCK] @ own
-                    q, r = keep(similar, codes)
-                    columns = [ids.take(pa.array(q + at)), *(rows.column(c).take(pa.array(r)).combine_chunks() for c in ("id", "slug", "view")), pa.array(similar[q, r])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "row_id", "slug", "view", "cv"])
+                    for setting, inside in enumerate(within):
+                        if not len(inside):
+                            continue
+                        q, r = keep(similar[:, inside], codes[inside]) if len(inside) < similar.shape[1] else keep(similar, codes)
+                        r = inside[r]
+                        columns = [ids.take(pa.array(q + at)), *(rows.column(c).take(pa.array(r)).combine_chunks() for c in ("id", "slug", "view")), pa.array(similar[q, r])]
+                        if settings:
+                            columns.append(pa.array(np.full(len(q), setting, np.int32)))
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
 
     dealt = rows.unionAll(asked).repartition(cells, "cell").sortWithinPartitions("cell", "kind", "id")
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(run, SCHEMA + (", setting int" if settings else ""))
 
 
 def top_rows(index: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
@@ -93,13 +108,8 @@ def top_rows(index: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= depth)
 
 
-def best_by_key(index: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
-    """The nearest row of each key (slug) for each query, ties by row_id; with `limit` of that many nearest keys only.
-
-    Rows without key count for nothing. The nearest keys of the whole index are
-    among the nearest of the cells that hold their best rows, so a cell gives
-    `limit` keys a query.
-    """
+def best_keys(limit: int | None) -> Keep:
+    """Takes the nearest row of each key, with `limit` of that many nearest keys only; ties by row_id."""
 
     def keep(similar: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(codes, kind="stable")  # by key, then by id
@@ -115,12 +125,52 @@ def best_by_key(index: DataFrame, queries: DataFrame, limit: int | None = None)
         q, k = best_places(np.take_along_axis(best, ids, axis=1), limit)
         return q, np.take_along_axis(places, ids, axis=1)[q, k]
 
-    found = _scan(index.filter("slug is not null"), queries, keep)
+    return keep
+
+
+def best_by_key(index: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """The nearest row of each key (slug) for each query, ties by row_id; with `limit` of that many nearest keys only.
+
+    Rows without key count for nothing. The nearest keys of the whole index are
+    among the nearest of the cells that hold their best rows, so a cell gives
+    `limit` keys a query.
+    """
+    found = _scan(index.filter("slug is not null"), queries, best_keys(limit))
     best = F.max_by(F.struct("row_id", "view", "cv"), F.struct("cv", -F.col("row_id")))
     rows = found.groupBy("query_id", "slug").agg(best.alias("best")).select("query_id", "slug", "best.row_id", "best.view", "best.cv")
     return rows if limit is None else placed(rows, limit).drop("place")
 
 
+def under_settings(index: DataFrame, queries: DataFrame, settings: dict[str, Column], limit: int) -> DataFrame:
+    """(setting, query_id, slug, row_id, cv, place) of the first `limit` keys of each query under each setting, in one pass over the index.
+
+    A setting is a condition on the index's rows (views, scopes); 62 at most.
+    """
+    mask = sum((F.when(rule, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, rule in enumerate(settings.values())), F.lit(0).cast("bigint"))
+    found = _scan(index.filter("slug is not null").withColumn("mask", mask), queries, best_keys(limit), len(settings))
+    best = F.max_by(F.struct("row_id", "cv"), F.struct("cv", -F.col("row_id")))
+    rows = found.groupBy("setting", "query_id", "slug").agg(best.alias("b")).select("setting", "query_id", "slug", "b.row_id", "b.cv")
+    place = F.row_number().over(Window.partitionBy("setting", "query_id").orderBy(F.desc("cv"), "row_id")) - 1
+    name = F.get(F.array(*map(F.lit, settings)), F.col("setting"))
+    return rows.withColumn("place", place).filter(F.col("place") < limit).withColumn("setting", name)
+
+
+def mapped(rows: DataFrame, left: np.ndarray, right: np.ndarray) -> DataFrame:
+    """`rows` with each embedding v as the unit vector of v + (v left) right: a stored head of low rank."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                own = own + (own @ left) @ right
+                own /= np.linalg.norm(own, axis=1, keepdims=True) + 1e-9
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, own.shape[1]), pa.int32()), pa.array(own.ravel()))
+                yield pa.RecordBatch.from_arrays([flat if c == "embedding" else batch.column(c) for c in names], names=names)
+
+    return rows.withColumn("embedding", F.col("embedding").cast("array<double>")).mapInArrow(run, rows.withColumn("embedding", F.col("embedding").cast("array<double>")).schema)
+
+
 def placed(candidates: DataFrame, limit: int | None = None) -> DataFrame:
     """Candidates with their place from 0 by falling similarity, ties by row_id."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cv"), "row_id")) - 1

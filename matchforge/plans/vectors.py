@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -153,3 +154,53 @@ def struck_gold_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = cases.withColumn("cv", F.when(~F.col("present") & (F.col("slug") == F.col("gold")), -1.0).otherwise(F.col("cv")))
     place = F.row_number().over(Window.partitionBy("query_id", "present").orderBy(F.desc("cv"), "row_id"))
     return cases.withColumn("place", place).filter("place <= 3").select("query_id", "present", "slug", r6("cv").alias("cv"))
+
+
+#: Settings of retrieval by name: a condition in Spark's SQL and DuckDB's.
+SETTINGS = {"both": "true", "first view": "view = 0", "second view": "view = 1", "scope": "row_id % 7 <> 3", "scope, first view": "row_id % 7 <> 3 AND view = 0", "scope, second view": "row_id % 7 <> 3 AND view = 1"}
+
+
+def reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index without the rows that ask."""
+    return index_rows(spark, sf_dir).filter(F.col("row_id") % EVERY != 0)
+
+
+@query(f"""WITH {RAW}, s AS ({' UNION ALL '.join(f"SELECT '{name}' AS setting, * FROM raw WHERE row_id % {EVERY} <> 0 AND {rule}" for name, rule in SETTINGS.items())}),
+first AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY setting, query_id, slug ORDER BY cv DESC, row_id) = 1), p AS (SELECT *, row_number() OVER (PARTITION BY setting, query_id ORDER BY cv DESC, row_id) - 1 AS place FROM first),
+r AS (SELECT setting, query_id, coalesce(min(place) FILTER (WHERE slug = gold::VARCHAR AND place < 20), -1) AS rank FROM p GROUP BY 1, 2)
+SELECT setting, k.k, count(*) AS n, count(*) FILTER (WHERE rank BETWEEN 0 AND k.k - 1) AS found FROM r, (VALUES (1), (5), (20)) k(k) GROUP BY 1, 2""")
+def recall_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many queries find their key within 1, 5 and 20 keys under six settings, from one pass over the index."""
+    queries = query_rows(spark, sf_dir)
+    found = knn.under_settings(reference_rows(spark, sf_dir), queries, {name: F.expr(rule) for name, rule in SETTINGS.items()}, 20)
+    gold = found.join(queries.select("query_id", "gold"), "query_id").groupBy("setting", "query_id").agg(F.coalesce(F.min(F.when(F.col("slug") == F.col("gold"), F.col("place"))), F.lit(-1)).alias("rank"))
+    deep = gold.withColumn("k", F.explode(F.array(*map(F.lit, (1, 5, 20)))))
+    return deep.groupBy("setting", "k").agg(F.count("*").alias("n"), F.count_if(F.col("rank").between(0, F.col("k") - 1)).alias("found"))
+
+
+#: A stored head of rank four for vectors of 64 numbers, by rule.
+DIM, RANK = 64, 4
+LEFT = np.array([[((7 * i + 3 * r) % 11 - 5) / 20 for r in range(RANK)] for i in range(DIM)])
+RIGHT = np.array([[((5 * i + r) % 13 - 6) / 10 for i in range(DIM)] for r in range(RANK)])
+
+
+def head_sql() -> str:
+    parts = [f"list_dot_product(v, {[float(x) for x in LEFT[:, r]]}::DOUBLE[])" for r in range(RANK)]
+    moved = "list_transform(range(1, 65), lambda i: v[i] + " + " + ".join(f"z{r} * ({[float(x) for x in RIGHT[r]]}::DOUBLE[])[i]" for r in range(RANK)) + ")"
+    return f"""z AS (SELECT vec_id, label, v, {', '.join(f'{p} AS z{r}' for r, p in enumerate(parts))} FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)),
+moved AS (SELECT vec_id, label, v, {moved} AS m FROM z), sides AS (SELECT vec_id, label, v, list_transform(m, lambda x: x / (sqrt(list_dot_product(m, m)) + 1e-9)) AS w FROM moved),
+pairs AS (SELECT a.vec_id AS query_id, a.label AS gold, b.vec_id AS row_id, b.label AS slug, list_dot_product(a.v, b.v) AS before, list_dot_product(a.w, b.w) AS after FROM sides a, sides b WHERE a.vec_id % {EVERY} = 0 AND b.vec_id % {EVERY} <> 0),
+tops AS (SELECT query_id, arg_max(slug = gold, before) AS old, arg_max(slug = gold, after) AS new FROM pairs GROUP BY 1)"""
+
+
+@query(f"WITH {head_sql()} SELECT count(*) AS n, count(*) FILTER (WHERE old) AS right_before, count(*) FILTER (WHERE new) AS right_after, count(*) FILTER (WHERE new AND NOT old) AS gained, count(*) FILTER (WHERE old AND NOT new) AS lost FROM tops")
+def head_gain_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries whose nearest row has their key, before and after a stored head moves all vectors."""
+    index, queries = reference_rows(spark, sf_dir), query_rows(spark, sf_dir)
+
+    def right(i: DataFrame, q: DataFrame, name: str) -> DataFrame:
+        first = knn.top_rows(i, q, 1).join(queries.select("query_id", "gold"), "query_id")
+        return first.select("query_id", (F.col("slug") == F.col("gold")).alias(name))
+
+    both = right(index, queries, "old").join(right(knn.mapped(index, LEFT, RIGHT), knn.mapped(queries, LEFT, RIGHT), "new"), "query_id")
+    return both.agg(F.count("*").alias("n"), F.count_if("old").alias("right_before"), F.count_if("new").alias("right_after"), F.count_if(F.expr("new AND NOT old")).alias("gained"), F.count_if(F.expr("old AND NOT new")).alias("lost"))
