@@ -107,7 +107,7 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.inverted_index(items, {"p_name": 3.0, "p_brand": 2.0, "p_type": 1.0})
 
 
-@query()
+@query("""SELECT sha256(concat_ws('|', count(*), sum(('0x' || sha256(CAST(to_json(struct_pack(p_brand := p_brand, p_name := p_name, p_partkey := p_partkey, p_retailprice := p_retailprice, p_size := p_size, p_type := p_type)) AS VARCHAR))[1:15])::BIGINT)))[1:12] AS fingerprint, count(*) AS n FROM part""")
 def snapshot_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.fingerprint(table(spark, sf_dir, "part"), "p_partkey")
 
@@ -214,7 +214,7 @@ def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query("SELECT p_partkey, ['полусухое', 'сухое', 'экстра брют', 'сладкое', 'брют'][p_size % 5 + 1] AS sweetness, ['белое', 'красное', NULL, 'розовое', NULL][p_size % 5 + 1] AS colour, CASE p_size % 5 WHEN 0 THEN 12.5::DOUBLE WHEN 1 THEN 13.0::DOUBLE END AS alcohol FROM part")
 def key_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes told by keys that end in sweetness, colour and strength."""
     p = table(spark, sf_dir, "part")

@@ -170,7 +170,7 @@ def assigned_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.assigned_splits(rows, locked).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT p_partkey, p_brand AS producer, CAST(NULL AS VARCHAR) AS name, 'красное' AS colour, CASE WHEN p_size % 2 = 0 THEN 'сухое' END AS sweetness, 'a,b' AS grapes FROM part")
 def label_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free answers with a JSON object in them, made of parts, read into columns."""
     raw = F.concat(F.lit('Sure! ```json {"producer":"'), "p_brand", F.lit('","name":"none","color":"Red","sweetness":"'), F.when(F.col("p_size") % 2 == 0, "Dry").otherwise("odd"), F.lit('","grapes":["a","","b"]} ```'))

@@ -133,3 +133,13 @@ def canonical_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latin words of names and types in canonical letters."""
     found = table(spark, sf_dir, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("word")).distinct().filter("word RLIKE '^[A-Za-z]{2,}$'")
     return found.select("word", F.concat_ws(" ", text.tokenize(F.col("word"))).alias("canonical"))
+
+
+@query("""SELECT p_partkey, ['2019', '', '2015,2018', ''][p_size % 4 + 1] AS years, ['экстра брют', 'полусухое', NULL, NULL][p_size % 4 + 1] AS sweetness, ['розовое', 'красное', 'красное', NULL][p_size % 4 + 1] AS colour,
+CASE p_size % 4 WHEN 0 THEN 12.5::DOUBLE WHEN 1 THEN 11.0::DOUBLE END AS alcohol FROM part""")
+def label_line_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What label lines state, made of parts: in either alphabet, torn, in look-alike letters, or nothing."""
+    size = F.col("p_size") % 4
+    line = F.when(size == 0, "Extra Brut ROSE 2019, 12,5 % vol").when(size == 1, "ПОЛУ СУХОЕ Красное 11%").when(size == 2, F.concat(F.lit("KPACHOE 2015 2018 "), "p_name")).otherwise(F.col("p_name"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.label_attributes(line).alias("a"))
+    return rows.select("p_partkey", F.array_join("a.years", ",").alias("years"), "a.sweetness", "a.colour", "a.alcohol")

@@ -44,7 +44,12 @@ def analogs_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.analogs(items, items.filter("slug % 100 = 0"), 6, tie).withColumn("score", r6("score"))
 
 
-@query()
+#: The checksum of a text of ASCII signs, bit by bit; the number is the reflected polynomial.
+CRC_BITS = "list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+CRC = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(source || '|' || slug, ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda c, b: {CRC_BITS}), 4294967295)"
+
+
+@query(f"WITH {ANALOG}, tied AS (SELECT *, {CRC} AS crc FROM scored WHERE score > 1), few AS (SELECT *, row_number() OVER (PARTITION BY source, maker ORDER BY round(score, 9) DESC, crc) AS m FROM tied) SELECT source, slug, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, crc) AS INT) AS rank FROM few WHERE m <= 2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, crc) <= 6")
 def analogs_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the checksum of salt and slug as the tie-break."""
     items = catalogue(spark, sf_dir)

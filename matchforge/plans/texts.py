@@ -41,7 +41,8 @@ def clean_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(found).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(found)).cast("bigint").alias("n_different"), F.md5("clean").alias("digest"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split(p_name || ' ' || p_type, ' ')) AS word FROM part), c AS (SELECT word, {clean_sql('word')} AS c FROM w)
+SELECT word, CASE WHEN length(c) < 2 THEN '' WHEN regexp_full_match(c, '[0-9]+') THEN c ELSE {translit_sql('c')} END AS canonical FROM c""")
 def translit_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of part names and types in canonical letters."""
     p = table(spark, sf_dir, "part")

@@ -19,7 +19,7 @@ def test_query(spark, con, name):
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
     else:
-        assert len(got.columns)
+        assert len(got) and len(got.columns)
 
 
 def test_entry(spark):
