@@ -158,7 +158,9 @@ def capped(scored: DataFrame, group: list[str], cap: int, limit: int, *order: Co
     """The best `limit` rows of each `group`'s query with at most `cap` of one maker."""
     within = F.row_number().over(Window.partitionBy(*group, "maker").orderBy(*order))
     few = scored.withColumn("__n", within).filter(F.col("__n") <= cap).drop("__n")
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) if group else F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+    if not group:
+        few = few.orderBy(*order).limit(limit)  # the one window below sees no more than these
+    place = F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order))
     return few.withColumn("rank", place).filter(F.col("rank") <= limit)
 
 

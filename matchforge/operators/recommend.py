@@ -25,27 +25,51 @@ def title_key(title: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
+#: Rows of one style that a task takes at most, on average.
+STYLE_ROWS = 200_000
+STYLE = ("colour", "sparkling", "sweetness")
+
+
+def known(facet: str) -> Column:
+    return F.concat(F.lit("="), F.col(facet).cast("string"))
+
+
+def styles_met(sources: DataFrame) -> Column:
+    """The keys under which these sources may ask for an item: each facet as it is or left open (*); unknown sweetness has a name (?).
+
+    Which facets are left open together is looked up: eight rows at most.
+    """
+    item = [known("colour"), known("sparkling"), F.coalesce(known("sweetness"), F.lit("?"))]
+    left_open = sorted(tuple(r) for r in sources.select(*(F.col(c).isNull() for c in STYLE)).distinct().collect())
+    keys = [F.array(*(F.lit("*") if free else c for c, free in zip(item, shape, strict=True))) for shape in left_open]
+    return F.filter(F.array(*keys).cast("array<array<string>>"), lambda key: ~F.exists(key, lambda x: x.isNull()))
+
+
 def analogs(catalogue: DataFrame, sources: DataFrame, limit: int = 6, tie_of: Column | None = None) -> DataFrame:
     """Items of other makers in the style of each source: (source, slug, score, rank).
 
-    `sources` is a small stated set of catalogue rows. The first catalogue row of
-    a series counts, judged after the filters; scores up to 1 are no analogs.
+    `sources` is a stated set of catalogue rows, whose key is the slug. The first catalogue row of a
+    series counts, judged after the filters; scores up to 1 are no analogs.
+
+    Rows of one series and style give the two first of them before anything is
+    joined (two, since a source isn't its own analog). Items and sources meet by
+    one key of colour, sparkling and sweetness, with open facets as keys of their
+    own; styles with many items are dealt to parts, which all sources of the
+    style visit, and Spark cuts each part to the best rows before it sends them.
     """
-    s = sources.select(*[F.col(c).alias(f"s_{c}") for c in ("slug", "maker", "colour", "sweetness", "sparkling", "region", "varieties")])
-
-    def silent(a: Column, ok: Column) -> Column:
-        return a.isNull() | ok
-
-    # equal colour is the join key where the source has one; the few sources without colour meet all items
-    plain = catalogue.join(s.filter("s_colour is null"), F.col("slug") != F.col("s_slug"))
-    met = catalogue.join(s.filter("s_colour is not null"), F.col("colour") == F.col("s_colour")).unionAll(plain)
-    kept = met.filter(
-        (F.col("slug") != F.col("s_slug"))
-        & silent(F.col("s_maker"), F.col("maker") != F.col("s_maker"))
-        & silent(F.col("s_sparkling"), F.col("sparkling") == F.col("s_sparkling"))
-        & (F.col("s_sweetness").isNull() | F.col("sweetness").isNull() | (F.col("sweetness") == F.col("s_sweetness")))
-    )
-    first = F.row_number().over(Window.partitionBy("s_slug", "maker", title_key(F.col("title"))).orderBy("row_id"))
+    s = sources.select(*[F.col(c).alias(f"s_{c}") for c in ("slug", "maker", *STYLE, "region", "varieties")])
+    named = catalogue.withColumn("__series", title_key(F.col("title")))
+    age = F.row_number().over(Window.partitionBy("maker", "__series", *STYLE).orderBy("row_id"))
+    folded = named.withColumn("__age", age).filter("__age <= 2").drop("__age")
+    parts = -(-catalogue.count() // STYLE_ROWS) or 1
+    items = folded.withColumn("__part", F.pmod(F.xxhash64("slug"), F.lit(parts))).withColumn("__style", F.explode(styles_met(sources)))
+    colour, sparkling = (F.coalesce(known(f"s_{c}"), F.lit("*")) for c in STYLE[:2])
+    sweet = F.when(F.col("s_sweetness").isNull(), F.array(F.lit("*"))).otherwise(F.array(known("s_sweetness"), F.lit("?")))
+    keys = F.transform(sweet, lambda t: F.array(colour, sparkling, t))
+    asked = s.withColumn("__style", F.explode(keys)).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = items.join(asked.withColumn("__part", F.col("__part").cast("bigint")), ["__style", "__part"])
+    kept = met.filter((F.col("slug") != F.col("s_slug")) & (F.col("s_maker").isNull() | (F.col("maker") != F.col("s_maker"))))
+    first = F.row_number().over(Window.partitionBy("s_slug", "maker", "__series").orderBy("row_id"))
     series = kept.withColumn("__n", first).filter("__n = 1")
     common, union = F.size(F.array_intersect("varieties", "s_varieties")), F.size(F.array_union("varieties", "s_varieties"))
     score = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchforge.functions.statistics import share
@@ -57,11 +57,12 @@ def equivalent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT population, count(*) AS n, round(avg(cv), 6) AS mean, round(quantile_cont(cv, 0.5), 6) AS median, round(quantile_cont(cv, 0.9), 6) AS p90 FROM p GROUP BY 1""")
 def similarity_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How similar rows of the same key, of the same maker and of strangers are to the queries."""
-    queries = query_rows(spark, sf_dir)
-    rows = knn.top_rows(index_rows(spark, sf_dir), queries, 1 << 30).filter("row_id <> query_id").join(queries.select("query_id", "gold"), "query_id")
-    kind = F.when(F.col("slug") == F.col("gold"), "inside").when(F.col("slug").cast("int") % 3 == F.col("gold").cast("int") % 3, "brand").otherwise("stranger")
-    found = rows.groupBy(kind.alias("population")).agg(F.count("*").alias("n"), F.avg("cv").alias("mean"), F.percentile("cv", F.lit(0.5)).alias("median"), F.percentile("cv", F.lit(0.9)).alias("p90"))
-    return found.select("population", "n", *[r6(c).alias(c) for c in ("mean", "median", "p90")])
+    def kin(key: str) -> Column:
+        return F.array(F.col(key), (F.col(key).cast("int") % 3).cast("string")).alias("kin")
+
+    rows, asked = index_rows(spark, sf_dir).select("row_id", "embedding", kin("slug")), query_rows(spark, sf_dir).select("query_id", "embedding", kin("gold"))
+    found = knn.similarity_spread(rows, asked, ["inside", "brand", "stranger"], [0.5, 0.9])
+    return spark.createDataFrame([(name, n, mean, *values) for name, n, mean, values in found], "population string, n bigint, mean double, median double, p90 double").select("population", "n", *[r6(c).alias(c) for c in ("mean", "median", "p90")])
 
 
 @query("""WITH d AS (SELECT l_returnflag, l_shipdate::DATE AS day, sum(l_quantity)::BIGINT AS e FROM lineitem GROUP BY 1, 2), s AS (SELECT l_returnflag, row_number() OVER w - 1 AS pos, sum(e) OVER (PARTITION BY l_returnflag ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)::BIGINT AS total FROM d WINDOW w AS (PARTITION BY l_returnflag ORDER BY day))

@@ -160,12 +160,12 @@ def series_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("n > 1")
 
 
-@query(f"WITH {SERIES_SQL} SELECT a.p_partkey AS a, b.p_partkey AS b FROM series a JOIN series b ON a.series = b.series AND a.p_partkey < b.p_partkey")
+@query(f"WITH {SERIES_SQL}, n AS (SELECT p_partkey, min(p_partkey) OVER w AS first, count(*) OVER w AS n FROM series WINDOW w AS (PARTITION BY series)) SELECT p_partkey, first, n - 1 AS siblings FROM n WHERE n > 1")
 def sibling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs within a series; series are small by contract (variants of one item)."""
+    """Items with siblings in their series: the series' smallest key, which stands for it, and how many pairs the item is in."""
     s = series(spark, sf_dir)
-    other = s.select(F.col("p_partkey").alias("b"), "series")
-    return s.select(F.col("p_partkey").alias("a"), "series").join(other, "series").filter("a < b").select("a", "b")
+    kin = s.groupBy("series").agg(F.min("p_partkey").alias("first"), (F.count("*") - 1).alias("siblings")).filter("siblings > 0")
+    return s.join(kin, "series").select("p_partkey", "first", "siblings")
 
 
 @query(f"""WITH queries AS ({LABELS_SQL}), read AS (SELECT DISTINCT query_id, unnest(string_split({clean_sql('text')}, ' ')) AS token FROM queries), cards AS (SELECT DISTINCT p_partkey AS slug, unnest(string_split({clean_sql("p_name || ' ' || p_type")}, ' ')) AS word FROM part),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchforge.functions import text, words
-from matchforge.operators import cards, fitting, knn, order, pages, resolution, sampling, textsearch
+from matchforge.operators import cards, fitting, knn, order, pages, ranking, recommend, resolution, sampling, textsearch
 from matchforge.operators.rules import Rules
 from matchforge.streaming import harvest, memory
 
@@ -354,3 +354,87 @@ def test_sweetness_and_colour(spark):
     frame = spark.createDataFrame([(t,) for t in cases], "t string").select("t", text.sweetness(text.clean(F.col("t"))).alias("s"), text.colour(text.clean(F.col("t"))).alias("c"))
     assert {r.t: (r.s, r.c) for r in frame.collect()} == cases
     assert {"demi", "sec", "полусухое", "rosso", "роза"} <= set(text.category_words())
+
+
+def plain_analogs(items, sources, limit=6):
+    """Source by source, item by item."""
+    found = []
+    for s in sources:
+        series, few = {}, defaultdict(list)
+        for c in sorted(items, key=lambda c: c["row_id"]):
+            styles = [(s[f], c[f]) for f in ("colour", "sparkling", "sweetness")]
+            sweet = s["sweetness"] is None or c["sweetness"] is None or s["sweetness"] == c["sweetness"]
+            if c["slug"] != s["slug"] and (s["maker"] is None or c["maker"] not in (None, s["maker"])) and all(a is None or a == b for a, b in styles[:2]) and sweet:
+                series.setdefault((c["maker"], c["title"]), c)
+        for c in series.values():
+            common = set(c["varieties"]) & set(s["varieties"])
+            score = 3.0 * len(common) / len(set(c["varieties"]) | set(s["varieties"])) + (s["sweetness"] is not None and c["sweetness"] == s["sweetness"]) + 0.5 * (c["region"] == s["region"]) + c["rating"] / 5.0
+            if score > 1:
+                few[c["maker"]].append((-score, c["slug"]))
+        best = sorted(x for own in few.values() for x in sorted(own)[:2])[:limit]
+        found += [(s["slug"], slug, rank) for rank, (_, slug) in enumerate(best, 1)]
+    return found
+
+
+@pytest.mark.parametrize("size", [200_000, 37])
+def test_analogs_equal_a_plain_walk(spark, monkeypatch, size):
+    """Unknown facets on both sides, long series, a style with most items, styles in several parts."""
+    rng = random.Random(4)
+    monkeypatch.setattr(recommend, "STYLE_ROWS", size)
+    items = [
+        {"slug": i, "row_id": (i * 77) % 400, "title": rng.choice("abcdefgh"), "maker": rng.choice(["m1", "m2", "m3", "m4", None]), "colour": rng.choice(["red", "red", "red", "?", None]), "sparkling": rng.choice([True, False, False, None]),
+         "sweetness": rng.choice(["dry", "sweet", "?", None]), "region": rng.choice(["r1", "r2"]), "varieties": rng.sample(["v1", "v2", "v3", "v4"], 2), "rating": rng.randrange(51) / 10}
+        for i in range(400)
+    ]
+    frame = spark.createDataFrame([tuple(x.values()) for x in items], "slug bigint, row_id bigint, title string, maker string, colour string, sparkling boolean, sweetness string, region string, varieties array<string>, rating double")
+    found = recommend.analogs(frame, frame.filter("slug % 10 = 0"), 6, F.col("slug"))
+    assert sorted((r["source"], r["slug"], r["rank"]) for r in found.collect()) == sorted(plain_analogs(items, items[::10]))
+    assert recommend.analogs(frame, frame.limit(0)).count() == recommend.analogs(frame.limit(0), frame.limit(0)).count() == 0
+    assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("cell", [131_072, 50])
+def test_similarity_spread_equals_all_pairs(spark, monkeypatch, cell):
+    """Negative, zero and equal similarities, rows of nobody's kin, a third of all rows alike."""
+    rng = np.random.default_rng(7)
+    vectors = rng.integers(-2, 3, (300, 4)).astype(float)
+    vectors[:100] = vectors[0]
+    vectors[250:] = rng.standard_normal((50, 4))
+    kin = [[None if i % 17 == 0 else str(i % 4), None if i % 29 == 0 else str(i % 2)] for i in range(300)]
+    index = spark.createDataFrame([(i, kin[i], v.tolist()) for i, v in enumerate(vectors)], "row_id bigint, kin array<string>, embedding array<double>").repartition(7)
+    monkeypatch.setattr(knn, "CELL_ROWS", cell)
+    monkeypatch.setattr(knn, "AREA", 500)
+    found = knn.similarity_spread(index, index.filter("row_id % 3 = 0").withColumnRenamed("row_id", "query_id"), ["own", "near", "far"], [0.0, 0.37, 0.5, 0.9, 1.0])
+    want = defaultdict(list)
+    for q in range(0, 300, 3):
+        for r in range(300):
+            level = next((k for k in range(2) if kin[q][k] is not None and kin[q][k] == kin[r][k]), 2)
+            if q != r:
+                want[["own", "near", "far"][level]].append(vectors[q] @ vectors[r])
+    assert [(name, n) for name, n, *_ in found] == [(name, len(want[name])) for name in ("own", "near", "far")]
+    for name, _, mean, values in found:
+        assert np.isclose(mean, np.mean(want[name])) and np.allclose(values, np.quantile(want[name], [0.0, 0.37, 0.5, 0.9, 1.0]), atol=1e-12)
+    assert knn.similarity_spread(index.limit(0), index.limit(0).withColumnRenamed("row_id", "query_id"), ["own", "near", "far"], [0.5]) == []
+
+
+def test_rank_keys_order_numbers():
+    values = np.array([-np.inf, -2.5, -1.0, -1e-300, -0.0, 0.0, 5e-324, 0.5, 1.0, np.inf])
+    keys = knn.rank_keys(values)
+    assert list(keys) == sorted(keys) and keys[4] == keys[5] and len(set(keys)) == 9
+    assert [knn.rank_value(int(k)) for k in keys] == [*values]
+
+
+def test_best_of_all_needs_no_window_over_all(spark):
+    rows = spark.range(1000).select(F.col("id").alias("slug"), (F.col("id") % 40).alias("maker"), (F.col("id") % 7).alias("score"))
+    found = ranking.capped(rows, [], 2, 5, F.desc("score"), F.col("slug"))
+    best = sorted(((i % 7, -i, i % 40) for i in range(1000)), reverse=True)
+    makers, want = defaultdict(int), []
+    for _, i, maker in best:
+        makers[maker] += 1
+        if makers[maker] <= 2:
+            want.append(-i)
+    assert [r["slug"] for r in found.orderBy("rank").collect()] == want[:5] and "TakeOrdered" in plan(found)
