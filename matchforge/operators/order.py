@@ -1,4 +1,4 @@
-"""Order statistics of large groups: ranks, medians and percentiles without a window or a buffer over a whole group.
+"""Order statistics of large groups and whole tables: ranks, medians, percentiles and running sums without a window or a buffer over a whole group.
 
 Rows are dealt out by ranges of (group, value) and counted by range, so that a
 running sum over a group's ranges, as many as there are partitions, tells which
@@ -57,3 +57,17 @@ def percentiles(values: DataFrame, group: str, value: str, shares: dict[str, flo
 def nearest_rank(n: Column, share: float, half_even: bool = False) -> Column:
     """The rank of a percentile: ceil(share * n), or the rounded (half to even) one, 1 at least."""
     return F.greatest(F.lit(1), F.bround(n * share).cast("bigint") if half_even else F.ceil(n * share))
+
+
+def summed_before(rows: DataFrame, by: Column, value: Column, name: str) -> DataFrame:
+    """`rows` with `name`: the sum of `value`, a whole number, over all rows before this one in the order of `by`; with ones it numbers them from 0.
+
+    Rows are dealt by ranges of `by`, which has few equal values by contract (an
+    id or its digest), since these share a range; null comes first. Sums within
+    a range and a sum a range give all places, so no task orders the whole table.
+    """
+    dealt = stored(rows.withColumn("__by", by).withColumn("__value", value.cast("bigint")).repartitionByRange("__by").withColumn("__range", F.spark_partition_id()), "dealt")
+    held = dealt.groupBy("__range").agg(F.sum("__value").alias("__held"))
+    earlier = held.select("__range", (F.sum("__held").over(Window.orderBy("__range")) - F.col("__held")).alias("__earlier"))  # a row a range
+    within = F.sum("__value").over(Window.partitionBy("__range").orderBy("__by").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__value")
+    return dealt.withColumn("__within", within).join(earlier, "__range").withColumn(name, F.col("__within") + F.col("__earlier")).drop("__by", "__value", "__range", "__within", "__earlier")

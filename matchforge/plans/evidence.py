@@ -100,11 +100,11 @@ def resampled_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EVIDENCE}, gold AS (SELECT * FROM cand WHERE slug::INT = query_id // 100 % 10), f AS (SELECT query_id, (row_number() OVER (ORDER BY sha256(query_id::VARCHAR)) - 1) % 5 AS fold FROM (SELECT DISTINCT query_id FROM cand))
 SELECT query_id, o.slug, CAST(fold AS INT) AS fold, round(g.cv - o.cv, 6) AS d_cv, g.inliers - o.inliers AS d_inliers, round(g.coverage - o.coverage, 6) AS d_coverage FROM gold g JOIN cand o USING (query_id) JOIN f USING (query_id) WHERE o.slug <> g.slug""")
 def pairwise_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Right minus other features within each query, with five folds by the order of hashes; groups are queries, one row each before the window."""
+    """Right minus other features within each query, with five folds by the order of the queries' hashes."""
     rows = candidates(spark, sf_dir)
     gold = rows.filter(F.col("slug").cast("int") == F.floor(F.col("query_id") / 100) % 10).select("query_id", F.col("slug").alias("right"), *[F.col(c).alias(f"g_{c}") for c in ("cv", "inliers", "coverage")])
-    order = Window.partitionBy(F.lit(0)).orderBy(F.sha2(F.col("query_id").cast("string"), 256))
-    folds = rows.select("query_id").distinct().withColumn("fold", ((F.row_number().over(order) - 1) % 5).cast("int"))
+    numbered = order.summed_before(rows.select("query_id").distinct(), F.sha2(F.col("query_id").cast("string"), 256), F.lit(1), "place")
+    folds = numbered.select("query_id", (F.col("place") % 5).cast("int").alias("fold"))
     pairs = rows.join(gold, "query_id").filter("slug <> right").join(folds, "query_id")
     return pairs.select("query_id", "slug", "fold", r6(F.col("g_cv") - F.col("cv")).alias("d_cv"), (F.col("g_inliers") - F.col("inliers")).alias("d_inliers"), r6(F.col("g_coverage") - F.col("coverage")).alias("d_coverage"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchforge.functions import text, words
 from matchforge.functions.statistics import logistic
-from matchforge.operators import boxes, replay
+from matchforge.operators import boxes, order, replay
 from matchforge.plans import cards as label
 from matchforge.plans.registry import query
 from matchforge.plans.vectors import r6
@@ -97,16 +97,9 @@ def ragged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "ragged")
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(F.collect_list(F.array(F.col("l_quantity") * 9 - 40)).alias("points"))
     files.write_ragged(rows, path)
-    ordered = spark.read.parquet(path).repartitionByRange("row_id").withColumn("part", F.spark_partition_id())
     total = F.aggregate(F.flatten("points"), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    kept = ordered.select("part", "row_id", "points_n", total.alias("total"))
-    stored_path = new_path(spark, "ragged-parts")
-    kept.write.parquet(stored_path)
-    kept = spark.read.parquet(stored_path)
-    parts = kept.groupBy("part").agg(F.sum("points_n").alias("n"))
-    before = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row a partition
-    inner = F.sum("points_n").over(Window.partitionBy("part").orderBy("row_id")) - F.col("points_n")
-    return kept.withColumn("inner", inner).join(F.broadcast(before), "part").select("row_id", "points_n", "total", (F.col("inner") + F.col("before")).alias("start"))
+    rows = spark.read.parquet(path).select("row_id", "points_n", total.alias("total"))
+    return order.summed_before(rows, F.col("row_id"), F.col("points_n"), "start").select("row_id", "points_n", "total", "start")
 
 
 @query("SELECT 'version' AS kind, 'format' AS name, '1' AS value UNION ALL SELECT 'input', 'nation', count(*)::VARCHAR FROM nation UNION ALL SELECT 'input', 'part', count(*)::VARCHAR FROM part")

@@ -100,7 +100,7 @@ ranks AS (SELECT q.query_id, coalesce(min(place) FILTER (WHERE slug = q.gold::VA
 
 def others_best(index: DataFrame, queries: DataFrame) -> DataFrame:
     """The nearest row of each key but the query's own row, at any depth: rows that are queries are kept apart from their keys until it is left out."""
-    asked = F.broadcast(queries.select(F.col("query_id").alias("row_id"), F.lit(True).alias("asked")))
+    asked = queries.select(F.col("query_id").alias("row_id"), F.lit(True).alias("asked"))
     apart = index.join(asked, "row_id", "left").withColumn("slug", F.when(F.col("asked"), F.concat("slug", F.lit("\x01"), "row_id")).otherwise(F.col("slug")))
     found = knn.best_by_key(apart, queries).filter("row_id <> query_id").withColumn("slug", F.substring_index("slug", "\x01", 1))
     best = F.max_by(F.struct("row_id", "cv"), F.struct("cv", -F.col("row_id")))
@@ -149,7 +149,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id, present ORDER BY cv DESC, row_
 def struck_gold_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query twice: as it is, and with its own key struck out, for calibration."""
     queries = query_rows(spark, sf_dir)
-    best = knn.best_by_key(index_rows(spark, sf_dir), queries).join(F.broadcast(queries.select("query_id", "gold")), "query_id")
+    best = knn.best_by_key(index_rows(spark, sf_dir), queries).join(queries.select("query_id", "gold"), "query_id")
     cases = best.withColumn("present", F.explode(F.array(F.lit(True), F.lit(False))))
     cases = cases.withColumn("cv", F.when(~F.col("present") & (F.col("slug") == F.col("gold")), -1.0).otherwise(F.col("cv")))
     place = F.row_number().over(Window.partitionBy("query_id", "present").orderBy(F.desc("cv"), "row_id"))

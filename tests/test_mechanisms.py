@@ -438,3 +438,15 @@ def test_best_of_all_needs_no_window_over_all(spark):
         if makers[maker] <= 2:
             want.append(-i)
     assert [r["slug"] for r in found.orderBy("rank").collect()] == want[:5] and "TakeOrdered" in plan(found)
+
+
+def test_sums_before_equal_a_plain_walk(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(9)) for i in rng.sample(range(10_000), 3_000)] + [(None, 4)]
+    frame = spark.createDataFrame(rows, "id bigint, n int").repartition(9)
+    total, want = 0, {}
+    for i, n in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        want[i], total = total, total + n
+    found = order.summed_before(frame, F.col("id"), F.col("n"), "before")
+    assert found.columns == ["id", "n", "before"] and {r["id"]: r["before"] for r in found.collect()} == want
+    assert order.summed_before(frame.limit(0), F.col("id"), F.lit(1), "before").count() == 0
