@@ -434,6 +434,69 @@ def test_quality_on_held_out_documents(spark):
     assert (good >= 0.3).mean() > 0.99 and (bad >= 0.3).mean() < 0.1
 
 
+def plain_features(text):
+    """Word by word, in whole numbers modulo 2**64."""
+    wrap, mix = (1 << 64) - 1, [int(x) for x in ngrams.MIX]
+    words = (text or "").encode().split()
+    tall = [xxhash.xxh64_intdigest(w, 1) >> 24 for w in words]
+    shapes = [re.sub(r"[0-9]+", "9", re.sub(r"[A-ZÀ-ÖØ-Þ]+", "X", re.sub(r"[a-zß-öø-ÿ]+", "x", w[:64].decode("utf-8", "replace"))))[:8] for w in words]
+    small = [xxhash.xxh32_intdigest(s.encode(), 2) & 0xFFFFFF for s in shapes]
+    found = [w * mix[0] & wrap for w in tall] + [(s + 1) * mix[3] & wrap for s in small]
+    for k in range(len(words) - 1):
+        found.append((tall[k] * mix[1] + tall[k + 1]) * mix[2] & wrap)
+        found.append(mix[0] if tall[k] == tall[k + 1] else ((small[k] + 7) * mix[2] + small[k + 1]) * mix[1] & wrap)
+    return [x >> 64 - ngrams.BITS | 1 for x in found]
+
+
+def plain_ftrl(texts, marks):
+    """One coordinate after another, kept in dictionaries."""
+    z, n = {}, {}
+
+    def weight(k):
+        zk, nk = z.get(k, 0.0), n.get(k, 0.0)
+        if abs(zk) <= ngrams.L1:
+            return 0.0
+        return -(zk - math.copysign(ngrams.L1, zk)) / ((ngrams.BETA + math.sqrt(nk)) / ngrams.ALPHA + ngrams.L2)
+
+    for _ in range(ngrams.EPOCHS):
+        for text, y in zip(texts, marks, strict=True):
+            found = plain_features(text)
+            x = {0: 1.0} | {k: c / math.sqrt(len(found)) for k, c in Counter(found).items()}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g, old = (p - y) * v, n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / ngrams.ALPHA * w[k]
+                n[k] = old + g * g
+    return {k: weight(k) for k in z}
+
+
+def test_quality_equals_plain_training(spark):
+    """Folds, shards, updates, averages and scores, each walked through by hand; labels that repeat and differ count as their mean."""
+    rng = random.Random(8)
+    words = ["good", "Bad", "X1", "99", "é", "ß-a", "the", "w" * 80, "😀", "click!"]
+    rows = [(i, " ".join(rng.choices(words[:7] if i % 2 else words[3:], k=rng.randrange(0, 30)))) for i in range(80)] + [(80, None), (81, "good good good"), (82, "the Bad the Bad")]
+    labels = [(i, i % 2) for i in range(70)] + [(3, 0), (80, 0), (81, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in quality.quality_scores(docs, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()}
+    order = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    known = {}
+    for i, y in labels:
+        if y is not None and zlib.crc32(str(i).encode()) % 5:
+            known.setdefault(i, []).append(y)
+    text_of, models = dict(rows), []
+    for shard in range(ngrams.SHARDS):
+        own = sorted((i for i in known if order[i] % ngrams.SHARDS == shard), key=order.get)
+        models.append(plain_ftrl([text_of[i] for i in own], [sum(known[i]) / len(known[i]) for i in own]))
+    model = {k: sum(m.get(k, 0.0) for m in models) / ngrams.SHARDS for k in set().union(*models)}
+    assert all(models) and set(got) == set(text_of)
+    for i, text in rows:
+        found = plain_features(text)
+        score = 1 / (1 + math.exp(-model[0] - sum(model.get(k, 0.0) for k in found) / math.sqrt(max(len(found), 1))))
+        assert math.isclose(got[i]["score"], score, rel_tol=1e-5), i
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i]["predicted"] == (got[i]["score"] >= 0.3)
+
+
 def test_quality_odd_cases(odd, empty, labels):
     got = {(r["doc_id"], r["held_out"]): r for r in quality.quality_scores(odd, labels).collect()}
     for i in (1, 2, 3, 4, 5, 7, 8):
