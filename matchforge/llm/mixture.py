@@ -6,15 +6,17 @@ projected-gradient least squares, so that the expected tokens of each domain,
 rate * tokens * posterior summed over all documents, come to the target share of
 the budget.
 
-The unknowns stay distributed. A step changes a rate by the product of the
-document's posteriors with one small vector, and cuts it at zero, so the whole
-state of the fit is the list of these vectors: each pass recomputes the rates
-from it and sends back one sum for each domain.
+The unknowns stay distributed. Of all rates that fit the targets best, those
+nearest to the budget are a gradient step from it cut at the least rate:
+max(least, budget * (1 - posterior . pull)) with one number a domain. So the
+state of the fit is the vector `pull`. Each pass over the documents gives the
+gradient at several step lengths and the Gram matrix of the documents that
+aren't cut there, which scales the next step. Where the same documents stay cut
+such a step ends at the optimum, so passes are few and need no cap.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,10 @@ from matchforge.llm.common import stored
 
 #: Domains are few by contract: their Gram matrix is solved on the driver.
 MOST_DOMAINS = 64
-PASSES, CLOSE = 80, 1e-4
+#: What a rate's squared distance from the budget counts beside a share's from its target; the gradient at which the fit ends.
+EVEN, CLOSE = 1e-6, 1e-10
+#: Lengths of a step that one pass tries.
+LENGTHS = 4.0 ** -np.arange(14)
 
 
 def with_posteriors(docs: DataFrame, labelled: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -56,13 +61,40 @@ def with_posteriors(docs: DataFrame, labelled: DataFrame) -> tuple[DataFrame, li
     return scored.withColumn("n_tokens", F.col("__scored.n_words")).withColumn("posterior", posterior).drop("__scored"), names
 
 
-def rates(start: float, steps: np.ndarray, p: np.ndarray, least: float = 0.0) -> np.ndarray:
-    """Rates of documents with posteriors `p` after all steps: each is carried on by momentum and cut at `least`."""
-    before = now = at = np.full(len(p), start)
-    for k, step in enumerate(steps):
-        before, now = now, np.maximum(least, at - p @ step)
-        at = np.maximum(least, now + k / (k + 3) * (now - before))
-    return at
+def rates(budget: float, pull: np.ndarray, p: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Rates of documents with posteriors `p`."""
+    return np.maximum(least, budget * (1 - p @ pull))
+
+
+def sums_at(docs: DataFrame, pulls: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over all documents, weighed by tokens, at each of `pulls`: halved squares of the cut rates, their products with posteriors, Gram matrix of those not cut.
+
+    Rates are multiples of the budget here, and `floor` the least. A task sends
+    one row of numbers for each pull.
+    """
+    k = pulls.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(pulls), 1 + k + k * k))
+        for batch in batches:
+            p = batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            n = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(np.float64)
+            for at, pull in zip(out, pulls, strict=True):
+                rate = 1 - p @ pull
+                free = rate >= floor
+                cut = np.where(free, rate, floor)
+                at[0] += n @ (cut * (rate - cut / 2))
+                at[1 : 1 + k] += p.T @ (n * cut)
+                at[1 + k :] += ((p[free] * n[free, None]).T @ p[free]).ravel()
+        place = pa.array(np.arange(out.size), pa.int32())
+        yield pa.RecordBatch.from_arrays([place, pa.array(out.ravel())], names=["place", "x"])
+
+    got = docs.select("n_tokens", "posterior").mapInArrow(run, "place int, x double").groupBy("place").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(len(pulls) * (1 + k + k * k))
+    for row in got:
+        out[row["place"]] = row["x"]
+    out = out.reshape(len(pulls), -1)
+    return out[:, 0], out[:, 1 : 1 + k], out[:, 1 + k :].reshape(-1, k, k)
 
 
 def kept_whole(share: np.ndarray, target: np.ndarray, budget: float, least: float) -> tuple[float, np.ndarray]:
@@ -79,65 +111,54 @@ def kept_whole(share: np.ndarray, target: np.ndarray, budget: float, least: floa
 
 
 def fitted(docs: DataFrame, domains: list[str], targets: dict[str, float], budget: float, least: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
-    """Start rate, steps and reached shares for documents with n_tokens and posterior.
+    """Budget, pull and reached shares (of the budget) for documents with n_tokens and posterior.
 
     `targets` are weights of domains (made to sum to 1 over those that there are);
     `budget` is the wanted tokens as a multiple of all tokens. Minimised is the
     squared distance of the domains' shares from the targets, weighed by the
-    inverse of their Gram matrix, for which a full step is the right length;
-    momentum helps where many rates are cut. Ends when all shares are met, when
-    they no longer move, or after `PASSES`. With `least` above zero no rate is
-    smaller: the budget grows as `kept_whole` says.
+    inverse of their Gram matrix, and, counting `EVEN` as much, that of rates from
+    the budget. It ends where the gradient vanishes or no step length makes it
+    better. With `least` above zero no rate is smaller: the budget grows as
+    `kept_whole` says.
     """
     k = len(domains)
-    want = np.array([targets.get(d, 0.0) for d in domains])
-    want = want / want.sum() if want.sum() > 0 else np.full(k, 1 / k)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    p = F.col("posterior")
-    first = docs.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * p[i] * p[j]) for i, j in pairs]).first()
-    total = float(first[0] or 0)
+    given = np.array([max(targets.get(d, 0.0), 0.0) for d in domains])
+    want = given / given.sum() if given.sum() > 0 else np.full(k, 1 / k)
+    _, (tokens,), (gram,) = sums_at(docs, np.zeros((1, k)), 0.0)
+    total = tokens.sum()
     if total == 0:
-        return max(budget, least), np.zeros((0, k)), np.zeros(k)
-    gram = np.zeros((k, k))
-    for (i, j), x in zip(pairs, first[1:], strict=True):
-        gram[i, j] = gram[j, i] = x / total
+        return max(budget, least), np.zeros(k), np.zeros(k)
     if least > 0:
-        given = np.array([max(targets.get(d, 0.0), 0.0) for d in domains])
-        budget, want = kept_whole(gram.sum(axis=1), given / (given.sum() or 1), budget, least)
-    gram /= budget
-    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    steps = np.zeros((0, k))
-    reached = np.zeros(k)
-    for _ in range(PASSES):
-
-        def sums(batches: Iterator[pa.RecordBatch], steps: np.ndarray = steps) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k)
-            for batch in batches:
-                own = batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                out += own.T @ (rates(budget, steps, own, least) * batch.column("n_tokens").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(out)], names=["domain", "tokens"])
-
-        got = docs.select("n_tokens", "posterior").mapInArrow(sums, "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect()
-        before = reached.copy()
-        for row in got:
-            reached[row["domain"]] = row["tokens"] / total / budget
-        off = reached - want
-        if np.abs(off).max() < CLOSE or len(steps) > 3 and np.abs(reached - before).max() < CLOSE / 100:
+        budget, want = kept_whole(tokens / total, given / (given.sum() or 1), budget, least)
+    gram /= total
+    # what no document can tell apart is wanted as the documents have it
+    near = gram @ np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ want
+    pull = np.zeros(k)
+
+    def at(pulls: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Value, gradient, curvature, shares and pull for each of `pulls`."""
+        squares, shares, free = (x / total for x in sums_at(docs, pulls, least / budget))
+        return [
+            (EVEN / 2 * u @ gram @ u + near @ u + a, EVEN * gram @ u + near - s, EVEN * gram + f, s, u)
+            for u, a, s, f in zip(pulls, squares, shares, free, strict=True)
+        ]
+
+    now = at(pull[None])[0]
+    while np.abs(now[1]).max() > CLOSE:
+        step = -np.linalg.pinv(now[2], rcond=1e-13, hermitian=True) @ now[1]
+        best = min(at(now[4] + LENGTHS[:, None] * step), key=lambda x: x[0])
+        if not best[0] < now[0]:
             break
-        steps = np.vstack([steps, inverse @ off])
-    else:
-        warnings.warn(f"shares still move after {PASSES} passes; the farthest is off by {np.abs(off).max():.2g}", stacklevel=2)
-    return budget, steps, reached
+        now = best
+    return budget, now[4], now[3]
 
 
-def rate_column(start: float, steps: np.ndarray, least: float = 0.0) -> Column:
+def rate_column(budget: float, pull: np.ndarray, least: float = 0.0) -> Column:
     """The rate of a document with column posterior."""
-    width = steps.shape[1]
-
     @F.arrow_udf("double")
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in batches:
-            yield pa.array(rates(start, steps, part.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), least))
+            yield pa.array(rates(budget, pull, part.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(pull)), least))
 
     return rate(F.col("posterior"))
 
@@ -151,13 +172,12 @@ def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     posterior or rate are overwritten. Targets out of reach are met as nearly as
     rates of `least` and more can; with `least` above zero the budget grows until
     they are in reach, and domains without a target are wanted at that rate.
-    Columns named in `spare` aren't needed after scoring and are left out; a
-    warning tells if the fit ended before the shares stood still.
+    Columns named in `spare` aren't needed after scoring and are left out.
     """
     scored, domains = with_posteriors(docs, labelled)
     scored = stored(scored.drop(*spare), "posteriors")
-    start, steps, _ = fitted(scored, domains, targets, budget, least)
-    return scored.withColumn("rate", rate_column(start, steps, least))
+    budget, pull, _ = fitted(scored, domains, targets, budget, least)
+    return scored.withColumn("rate", rate_column(budget, pull, least))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, least: float = 0.0) -> DataFrame:

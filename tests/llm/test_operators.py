@@ -71,7 +71,7 @@ def test_mixture_reaches_targets(spark):
     assert (r >= 0).all() and np.allclose(p.sum(axis=1), 1)
     assert list(n) == [len(SPACES.findall(t)) for t in got["text"]]
     share = (p * (n * r)[:, None]).sum(axis=0) / n.sum()
-    assert np.allclose(share, [queries.TARGETS[k] for k in sorted(queries.TARGETS)], atol=2e-4)
+    assert np.allclose(share, [queries.TARGETS[k] for k in sorted(queries.TARGETS)], atol=2e-5)
 
 
 def test_mixture_with_unreachable_targets_is_optimal(spark):
@@ -80,8 +80,8 @@ def test_mixture_with_unreachable_targets_is_optimal(spark):
     n = rng.integers(1, 100, 60)
     frame = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens bigint, posterior array<double>")
     targets = {"a": 1.0, "b": 0.0, "c": 0.0}
-    start, steps, reached = mixture.fitted(frame, ["a", "b", "c"], targets, 1.0)
-    rates = mixture.rates(start, steps, p)
+    budget, pull, reached = mixture.fitted(frame, ["a", "b", "c"], targets, 1.0)
+    rates = mixture.rates(budget, pull, p)
     assert (rates >= 0).all()
     gram = (p * n[:, None]).T @ p / n.sum()
     inverse = np.linalg.pinv(gram)
@@ -94,7 +94,20 @@ def test_mixture_with_unreachable_targets_is_optimal(spark):
     for _ in range(20_000):
         off = (p * (n * x)[:, None]).sum(axis=0) / n.sum() - [1, 0, 0]
         x = np.maximum(0, x - p @ inverse @ off)
-    assert loss(rates) <= loss(x) * 1.05 + 1e-9
+    assert loss(rates) <= loss(x) + 1e-4
+    # no direction that the bounds allow makes it better: the gradient is zero where rates are free, not below it where they are cut
+    slope = p @ inverse @ (reached - [1, 0, 0])
+    assert np.allclose(reached, (p * (n * rates)[:, None]).sum(axis=0) / n.sum(), atol=1e-9)
+    assert slope.min() > -1e-3 and np.abs(slope[rates > 0]).max() < 1e-3
+
+
+def test_mixture_with_domains_that_look_alike(spark):
+    """Domains whose posteriors are always equal, or always zero, can't be told apart: the fit ends, and meets what can be met."""
+    p = np.array([[0.4, 0.4, 0.2, 0.0], [0.1, 0.1, 0.8, 0.0], [0.25, 0.25, 0.5, 0.0]] * 5)
+    frame = spark.createDataFrame([(10, x.tolist()) for x in p], "n_tokens bigint, posterior array<double>")
+    budget, pull, reached = mixture.fitted(frame, ["a", "b", "c", "d"], {"a": 0.5, "b": 0.2, "c": 0.3, "d": 0.0}, 2.0)
+    assert budget == 2.0 and np.allclose(reached, [0.35, 0.35, 0.3, 0.0], atol=1e-4)
+    assert np.allclose(p.T @ mixture.rates(budget, pull, p) / 15 / budget, reached, atol=1e-9)
 
 
 def test_mixture_odd_cases(odd, empty, spark):

@@ -98,8 +98,8 @@ def test_rates_of_one_and_more_meet_targets(spark):
     own = [1] * 90 + [0, 2, 3] * 2 + [4] * 4
     p = np.eye(5)[own]
     frame = spark.createDataFrame([(10, row.tolist()) for row in p], "n_tokens bigint, posterior array<double>")
-    start, steps, reached = mixture.fitted(frame, domains, queries.TARGETS, corpus_pipeline.BUDGET, corpus_pipeline.LEAST_RATE)
-    rates = mixture.rates(start, steps, p, corpus_pipeline.LEAST_RATE)
+    budget, pull, reached = mixture.fitted(frame, domains, queries.TARGETS, corpus_pipeline.BUDGET, corpus_pipeline.LEAST_RATE)
+    rates = mixture.rates(budget, pull, p, corpus_pipeline.LEAST_RATE)
     assert rates.min() >= 1 and abs(rates[own.index(4)] - 1) < 1e-3
     tokens = p.T @ rates
     assert np.allclose(tokens[:4] / tokens[:4].sum(), [queries.TARGETS[k] for k in domains[:4]], atol=1e-3)
