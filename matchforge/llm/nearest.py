@@ -1,30 +1,35 @@
 """Approximate nearest neighbours by multi-index hashing of learned binary codes.
 
 Codes are the signs of the centred vectors after a rotation learned by iterative
-quantisation on a bounded sample. They are cut into substrings of up to 16 bits,
-and every block of vectors has one table for each substring. If two codes differ
-in at most `radius` bits, some substring differs in few (pigeonhole), so probing
-the tables finds every code within the radius; those vectors are then ranked by
-their exact distances. The radius is learned too: for a bounded set of sample
-queries, all rows are read and it holds `HOLDS` of their true neighbours, so it
-shrinks as the table fills. A query that finds too few within it widens it by a
-bit at a time.
-
-Queries and vectors are packed into blocks, and blocks of both meet by equal
-block numbers, so no task needs all vectors or all queries.
+quantisation on a bounded sample. They are cut into substrings of up to 16 bits
+with a table each. If two codes differ in at most `radius` bits, some substring
+differs in few (pigeonhole), so probing the buckets near a query's substrings
+finds every code within the radius; those vectors are then ranked by their exact
+distances. The radius is learned too: for a bounded set of sample queries, all
+rows are read and it holds `HOLDS` of their true neighbours, so it shrinks as
+the table fills. It is the same for all blocks.
+
+A table's buckets lie on shelves by the first bits of the substring, as many
+bits as make a shelf a block of rows; a bucket that is larger than a block takes
+several. Shelves are written once. A query meets, by equi-joins, only the
+shelves whose bits are near enough to its own, and on them probes only buckets
+within reach. Queries that found too few rows in all ask again with a wider
+radius, the last time with one that holds every code.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchforge.llm.common import slices, stored
 
@@ -40,8 +45,9 @@ BLOCK, QUERY_BLOCK = 8_192, 2_048
 
 @dataclass
 class Coder:
-    """Centre, rotation (dimension x bits, at most 64) and search radius."""
+    """Scale and centre, rotation (dimension x bits, at most 64) and search radius."""
 
+    scale: float
     centre: np.ndarray
     turn: np.ndarray
     radius: int
@@ -50,17 +56,32 @@ class Coder:
     def bits(self) -> int:
         return self.turn.shape[1]
 
+    @property
+    def tables(self) -> int:
+        return math.ceil(self.bits / PART)
+
     def codes(self, x: np.ndarray) -> np.ndarray:
-        signs = (x - self.centre) @ self.turn > 0
+        signs = (x / self.scale - self.centre) @ self.turn > 0
         padded = np.zeros((len(x), 64), np.uint8)
         padded[:, : self.bits] = signs
         return np.packbits(padded, axis=1, bitorder="little").view(np.uint64).ravel()
 
+    def reaches(self, radius: int) -> list[int]:
+        """Bits in which each table's substrings may differ, below zero if the table needn't be asked: these and one for each table add up to more than the radius."""
+        each, over = divmod(radius, self.tables)
+        return [each if j <= over else each - 1 for j in range(self.tables)]
+
+    def shelf_bits(self, rows: int, block: int) -> list[int]:
+        """Bits of each table's substrings that name a shelf, so that shelves hold about `block` of `rows` rows."""
+        wanted = max(0, math.ceil(math.log2(max(rows, 1) / block)))
+        return [min(wanted, PART, self.bits - j * PART) for j in range(self.tables)]
+
     @classmethod
     def learned(cls, x: np.ndarray) -> Coder:
-        """Iterative quantisation on principal axes; the radius is still all bits."""
-        centre = x.mean(axis=0)
-        y = x - centre
+        """Iterative quantisation on principal axes; the radius is still all bits. Very large components are scaled down first."""
+        scale = float(np.abs(x).max()) or 1.0
+        centre = (x / scale).mean(axis=0)
+        y = x / scale - centre
         bits = min(x.shape[1], 64)
         axes = np.linalg.svd(y.T @ y)[0][:, :bits]
         z = y @ axes
@@ -68,7 +89,7 @@ class Coder:
         for _ in range(TURNS):
             u, _, v = np.linalg.svd(z.T @ np.where(z @ turn > 0, 1.0, -1.0))
             turn = u @ v
-        return cls(centre, axes @ turn, bits)
+        return cls(scale, centre, axes @ turn, bits)
 
 
 def with_radius(coder: Coder, rows: DataFrame, ids: np.ndarray, asked: np.ndarray) -> Coder:
@@ -76,13 +97,14 @@ def with_radius(coder: Coder, rows: DataFrame, ids: np.ndarray, asked: np.ndarra
 
     Each task sends ten rows a query; ten times `SAMPLE_QUERIES` numbers come to the driver.
     """
-    codes = coder.codes(asked)
+    codes, asked = coder.codes(asked), asked / coder.scale
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.full((len(ids), NEAREST), np.inf), np.zeros((len(ids), NEAREST), np.int64)
         for batch in (part for whole in batches for part in slices(whole, 2_000)):
             own, x = vectors_of(batch)
-            d = (asked**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * asked @ x.T
+            y = x / coder.scale
+            d = (asked**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * asked @ y.T
             d[ids[:, None] == own] = np.inf
             both = np.concatenate([best[0], d], axis=1)
             bits = np.concatenate([best[1], np.bitwise_count(codes[:, None] ^ coder.codes(x)).astype(np.int64)], axis=1)
@@ -94,52 +116,74 @@ def with_radius(coder: Coder, rows: DataFrame, ids: np.ndarray, asked: np.ndarra
     found = rows.mapInArrow(run, "query bigint, d double, bits bigint")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "bits"))
     far = found.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("bits").toPandas()["bits"].to_numpy()
-    return Coder(coder.centre, coder.turn, int(np.quantile(far, HOLDS, method="higher")) if len(far) else coder.bits)
+    return replace(coder, radius=int(np.quantile(far, HOLDS, method="higher")) if len(far) else coder.bits)
 
 
 def vectors_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors as rows of doubles."""
     ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-    return ids, batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-
-
-class Index:
-    """The substring tables of one block."""
-
-    def __init__(self, coder: Coder, ids: np.ndarray, vectors: np.ndarray):
-        self.coder, self.ids, self.vectors = coder, ids, vectors
-        self.codes = coder.codes(vectors.astype(np.float64))
-        self.tables = []
-        for j in range(math.ceil(coder.bits / PART)):
-            values = self.codes >> np.uint64(j * PART) & np.uint64((1 << PART) - 1)
-            order = np.argsort(values, kind="stable")
-            buckets, starts, sizes = np.unique(values[order], return_index=True, return_counts=True)
-            self.tables.append((order, buckets, starts, sizes))
-
-    def within(self, code: np.uint64, radius: int) -> np.ndarray:
-        """Rows whose code differs in at most `radius` bits: probe the buckets near each substring, then check whole codes."""
-        found = np.zeros(len(self.ids), bool)
-        each, over = divmod(radius, len(self.tables))
-        for j, (order, buckets, starts, sizes) in enumerate(self.tables):
-            reach = each if j <= over else each - 1
-            if reach < 0:
-                continue
-            value = code >> np.uint64(j * PART) & np.uint64((1 << PART) - 1)
-            near = np.flatnonzero(np.bitwise_count(buckets ^ value) <= reach)
-            if len(near):
-                ends = np.cumsum(sizes[near])
-                found[order[np.arange(ends[-1]) + np.repeat(starts[near] - (ends - sizes[near]), sizes[near])]] = True
-        rows = np.flatnonzero(found)
-        return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
-
-    def nearest(self, query_id: int, query: np.ndarray, code: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the block's nearest within the radius, which is widened while it holds too few."""
-        for radius in range(self.coder.radius, self.coder.bits + 1):
-            rows = self.within(code, radius)
-            rows = rows[self.ids[rows] != query_id]
-            if len(rows) >= NEAREST:
-                break
-        d = np.sqrt(((self.vectors[rows].astype(np.float64) - query.astype(np.float64)) ** 2).sum(axis=1))
+    return ids, batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+
+
+def distances(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows in doubles; where squares leave their range, they are taken of scaled differences."""
+    apart = x.astype(np.float64) - query.astype(np.float64)
+    with np.errstate(over="ignore", under="ignore"):
+        d = np.sqrt((apart**2).sum(axis=1))
+    most = np.abs(apart).max(axis=1, initial=0.0)
+    odd = (d < 1e-150) & (most > 0) | ~np.isfinite(d) & np.isfinite(most)
+    d[odd] = most[odd] * np.sqrt(((apart[odd] / most[odd, None]) ** 2).sum(axis=1))
+    return d
+
+
+class Shelf:
+    """Rows of one table whose substrings begin with the same `shelf_bits` bits, by bucket (substring)."""
+
+    def __init__(self, coder: Coder, table: int, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray):
+        self.coder, self.table, self.ids, self.codes, self.vectors = coder, table, ids, codes, vectors
+        values = self.part(codes, table)
+        self.order = np.argsort(values, kind="stable")
+        self.buckets, self.starts, self.sizes = np.unique(values[self.order], return_index=True, return_counts=True)
+
+    @staticmethod
+    def part(codes: np.ndarray, table: int) -> np.ndarray:
+        return codes >> np.uint64(table * PART) & np.uint64((1 << PART) - 1)
+
+    def probed(self, value: np.uint64, reach: int, fixed: int) -> np.ndarray:
+        """Places of buckets that differ from `value` in at most `reach` bits; all here share the lowest `fixed` bits.
+
+        Where the substrings within reach are fewer than the buckets, each is looked up.
+        """
+        own = np.uint64((1 << fixed) - 1)
+        if not len(self.buckets) or (reach := reach - int(np.bitwise_count((self.buckets[0] ^ value) & own))) < 0:
+            return np.zeros(0, np.int64)
+        width = min(PART, self.coder.bits - self.table * PART) - fixed
+        if sum(math.comb(width, k) for k in range(reach + 1)) >= len(self.buckets):
+            return np.flatnonzero(np.bitwise_count((self.buckets ^ value) & ~own) <= reach)
+        probes = (value & ~own | self.buckets[0] & own) ^ (flips(width, reach) << np.uint64(fixed))
+        at = np.minimum(np.searchsorted(self.buckets, probes), len(self.buckets) - 1)
+        return at[self.buckets[at] == probes]
+
+    def within(self, code: np.uint64, radius: int, fixed: int = 0) -> tuple[np.ndarray, int]:
+        """Rows whose code differs in at most `radius` bits and that no table before finds, and how many codes were read for that."""
+        reaches = self.coder.reaches(radius)
+        near = self.probed(self.part(code, self.table), reaches[self.table], fixed)
+        if not len(near):
+            return np.zeros(0, np.int64), 0
+        ends = np.cumsum(self.sizes[near])
+        rows = self.order[np.arange(ends[-1]) + np.repeat(self.starts[near] - (ends - self.sizes[near]), self.sizes[near])]
+        read = len(rows)
+        apart = self.codes[rows] ^ code
+        mine = np.bitwise_count(apart) <= radius
+        for j in range(self.table):
+            mine &= np.bitwise_count(self.part(apart, j)) > reaches[j] if reaches[j] >= 0 else True
+        return np.sort(rows[mine]), read
+
+    def nearest(self, query_id: int, query: np.ndarray, code: np.uint64, radius: int, fixed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the nearest rows within the radius."""
+        rows, _ = self.within(code, radius, fixed)
+        rows = rows[self.ids[rows] != query_id]
+        d = distances(self.vectors[rows], query)
         if len(rows) > NEAREST:
             few = d <= np.partition(d, NEAREST - 1)[NEAREST - 1]
             rows, d = rows[few], d[few]
@@ -147,39 +191,124 @@ class Index:
         return self.ids[rows[order]], d[order]
 
 
+@functools.cache
+def flips(width: int, reach: int) -> np.ndarray:
+    """All numbers of `width` bits of which at most `reach` are set."""
+    every = np.arange(1 << width, dtype=np.uint64)
+    return every[np.bitwise_count(every) <= reach]
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows (vec_id, embedding) that take part: an id, and a non-zero vector of finite components and of the commonest size."""
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """Rows (vec_id, embedding) that take part: an id, and a non-zero vector of finite components and of the commonest size; components stay float or become double."""
+    kept = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull) else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kept).alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0))
     top = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.filter(F.size("embedding") == (top["n"] if top else 0))
 
 
-def packed(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most `size` rows: block string, ids and vectors (doubles) as bytes."""
+def coded(rows: DataFrame, coder: Coder) -> DataFrame:
+    """(vec_id, code, vector): the code as a number, the vector's components as bytes."""
+    single = rows.schema["embedding"].dataType.elementType == T.FloatType()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        n = 0
-        for batch in (part for whole in batches for part in slices(whole, size)):
-            held.append(vectors_of(batch))
-            n += len(held[-1][0])
-            while n >= size:  # whole blocks, whatever the size of batches
-                ids, vectors = map(np.concatenate, zip(*held, strict=True))
-                yield out(ids[:size], vectors[:size])
-                held, n = [(ids[size:], vectors[size:])], n - size
-        if n:
-            yield out(*map(np.concatenate, zip(*held, strict=True)))
-
-    def out(ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array([uuid.uuid4().hex]), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "vectors"])
-
-    return rows.mapInArrow(run, "block string, ids binary, vectors binary")
-
-
-def nearest_neighbours(vectors: DataFrame, every: int = 100) -> DataFrame:
+        for batch in (part for whole in batches for part in slices(whole, 2_000)):
+            ids, x = vectors_of(batch)
+            vector = pa.array([row.tobytes() for row in (x.astype(np.float32) if single else x)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(coder.codes(x).view(np.int64)), vector], names=["vec_id", "code", "vector"])
+
+    return rows.mapInArrow(run, "vec_id bigint, code bigint, vector binary")
+
+
+def packed(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Rows (keys, vec_id, code, vector) as packs of at most `size` rows with equal keys: keys, pack (a new name), ids, codes, vectors.
+
+    Ranges of keys and of a hash of the id are tasks, so a key with many rows
+    takes several; each walks through its sorted rows and holds one pack.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out() -> pa.RecordBatch:
+            whole = pa.concat_batches(held)
+            columns = [pa.array([value], whole.schema.field(name).type) for name, value in zip(keys, key, strict=True)] + [pa.array([uuid.uuid4().hex])]
+            parts = [whole.column(name).to_numpy(zero_copy_only=False).tobytes() for name in ("vec_id", "code")] + [b"".join(whole.column("vector").to_pylist())]
+            return pa.RecordBatch.from_arrays(columns + [pa.array([x], pa.binary()) for x in parts], names=[*keys, "pack", "ids", "codes", "vectors"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            named = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            starts = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in named], axis=0)])
+            for at, end in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
+                own = tuple(x[at] for x in named)
+                if held and own != key:
+                    yield out()
+                    held.clear()
+                key = own
+                while at < end:
+                    more = min(end - at, size - sum(x.num_rows for x in held))
+                    held.append(batch.slice(at, more))
+                    at += more
+                    if sum(x.num_rows for x in held) == size:
+                        yield out()
+                        held.clear()
+        if held:
+            yield out()
+
+    own = [rows.schema[k] for k in keys]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own) + ", pack string, ids binary, codes binary, vectors binary"
+    spread = rows.select(*keys, "vec_id", "code", "vector").repartitionByRange(*keys, F.xxhash64("vec_id", "vector"))
+    return spread.sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def shelf_of(code: Column, table: int, bits: int) -> Column:
+    return F.shiftrightunsigned(code, table * PART).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+
+
+def shelves_near(table: int, bits: int, reach: int) -> Column:
+    """The table's shelves (t, shelf) whose bits differ from those of column code in at most `reach`."""
+    flip = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit((1 << bits) - 1).cast("bigint")), lambda x: F.bit_count(x) <= reach)
+    return F.transform(flip, lambda x: F.struct(F.lit(table).alias("t"), x.bitwiseXOR(shelf_of(F.col("code"), table, bits)).alias("shelf")))
+
+
+def shelves(rows: DataFrame, coder: Coder, bits: list[int], block: int) -> DataFrame:
+    """The index: all rows once for each table, in packs by table and shelf."""
+    places = [F.struct(F.lit(t).alias("t"), shelf_of(F.col("code"), t, n).alias("shelf")) for t, n in enumerate(bits)]
+    return packed(rows.withColumn("place", F.explode(F.array(*places))).select("place.*", "vec_id", "code", "vector"), ["t", "shelf"], block)
+
+
+def found_within(index: DataFrame, queries: DataFrame, coder: Coder, bits: list[int], radius: int, single: bool) -> DataFrame:
+    """The ten nearest rows within `radius` of each of `queries` (vec_id, code, vector): query_id, rank, vec_id, score."""
+    kind = np.float32 if single else np.float64
+    asked = [shelves_near(t, n, reach) for t, (n, reach) in enumerate(zip(bits, coder.reaches(radius), strict=True)) if reach >= 0]
+    probes = queries.withColumn("place", F.explode(F.concat(*asked))).select("place.*", "vec_id", "code", "vector")
+    met = probes.join(index.select("t", "shelf", F.col("pack").alias("met")), ["t", "shelf"]).select("met", "vec_id", "code", "vector")
+    groups = packed(met, ["met"], QUERY_BLOCK).select("met", *[F.col(c).alias(f"q_{c}") for c in ("ids", "codes", "vectors")])
+    pairs = index.join(groups, F.col("pack") == F.col("met")).select("t", "ids", "codes", "vectors", "q_ids", "q_codes", "q_vectors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                t = batch.column("t")[k].as_py()
+                side = []
+                for q in ("", "q_"):
+                    raw = [batch.column(q + c)[k].as_py() for c in ("ids", "codes", "vectors")]
+                    ids = np.frombuffer(raw[0], np.int64)
+                    side.append((ids, np.frombuffer(raw[1], np.uint64), np.frombuffer(raw[2], kind).reshape(len(ids), -1)))
+                shelf = Shelf(coder, t, *side[0])
+                out = [(q, *shelf.nearest(q, x, c, radius, bits[t])) for q, c, x in zip(*side[1], strict=True)]
+                columns = [np.repeat(side[1][0], [len(d) for _, _, d in out]), np.concatenate([i for _, i, _ in out]), np.concatenate([d for _, _, d in out])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest_neighbours(vectors: DataFrame, every: int = 100, block: int = BLOCK) -> DataFrame:
     """The nearest found of each row whose id is divisible by `every`: query_id, rank, vec_id, score (Euclidean).
 
     Candidates are all rows with another id; ties go to the smaller id. Rows
@@ -187,7 +316,8 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100) -> DataFrame:
     size than the commonest, take no part. An id that repeats among the queries
     asks once, with its smallest vector; candidates that repeat count each. If a
     query has fewer candidates than ten, all of them are returned. An empty table
-    gives an empty one; other columns are ignored.
+    gives an empty one; other columns are ignored. Distances beyond the range of
+    squares are right as long as they are doubles themselves.
     """
     spark = vectors.sparkSession
     rows = stored(usable(vectors), "vectors")
@@ -195,27 +325,21 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100) -> DataFrame:
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not len(sample):
         return spark.createDataFrame([], schema)
+    single = rows.schema["embedding"].dataType.elementType == T.FloatType()
     x = np.stack([np.asarray(v, np.float64) for v in sample["embedding"]])
     coder = with_radius(Coder.learned(x), rows, sample["vec_id"].to_numpy()[:SAMPLE_QUERIES], x[:SAMPLE_QUERIES])
+    bits = coder.shelf_bits(rows.count(), block)
+    index = stored(shelves(coded(rows, coder), coder, bits, block), "shelves")
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n_query = max(1, math.ceil(rows.filter(F.col("vec_id") % every == 0).select("vec_id").distinct().count() / QUERY_BLOCK))
-    queries = stored(packed(asked.repartition(n_query), QUERY_BLOCK), "queries").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
-    index = stored(packed(rows, BLOCK), "index")
-    n_index = max(1, math.ceil(index.count()))
-    whole = queries.withColumn("qb", F.pmod(F.xxhash64("block"), F.lit(n_query))).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_index - 1)).cast("array<bigint>")))
-    pairs = index.withColumn("ib", F.pmod(F.xxhash64("block"), F.lit(n_index))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)).cast("array<bigint>")))
-    met = pairs.select("ib", "qb", "ids", "vectors").join(whole.select("ib", "qb", "q_ids", "q_vectors"), ["ib", "qb"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids, q_ids = (np.frombuffer(batch.column(c)[k].as_py(), np.int64) for c in ("ids", "q_ids"))
-                own, asked = (np.frombuffer(batch.column(c)[k].as_py(), np.float64).reshape(len(i), -1) for c, i in (("vectors", ids), ("q_vectors", q_ids)))
-                index = Index(coder, ids, own)
-                out = [(q, *index.nearest(q, x, c)) for q, x, c in zip(q_ids, asked, coder.codes(asked), strict=True)]
-                columns = [np.repeat(q_ids, [len(d) for _, _, d in out]), np.concatenate([i for _, i, _ in out]), np.concatenate([d for _, _, d in out])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
-
-    found = met.select("ids", "vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("query_id", "rank", "vec_id", "score")
+    todo = stored(coded(asked, coder), "queries")
+    done, radius, wider = [], coder.radius, coder.tables
+    while True:
+        found = stored(found_within(index, todo, coder, bits, radius, single), "found")
+        if radius >= coder.bits:
+            return functools.reduce(DataFrame.unionByName, [*done, found])
+        full = found.filter(F.col("rank") == NEAREST).select("query_id")
+        done.append(found.join(full, "query_id", "left_semi"))
+        todo = stored(todo.join(full, todo["vec_id"] == full["query_id"], "left_anti"), "queries")
+        if todo.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
+        radius, wider = min(coder.bits, radius + wider), 2 * wider

@@ -703,19 +703,63 @@ def test_nearest_recall(spark):
     assert got["query_id"].nunique() == (ids % 100 == 0).sum() and hits / len(got) >= 0.9
 
 
-def test_radius_finds_every_code():
+def test_tables_find_every_code_once():
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(3000, 64))
-    coder = nearest.Coder.learned(x[:500])
-    index = nearest.Index(coder, np.arange(3000), x)
-    for q in range(0, 3000, 300):
-        apart = np.bitwise_count(index.codes ^ index.codes[q])
-        for radius in (0, 7, 18, 30, 64):
-            assert list(index.within(index.codes[q], radius)) == list(np.flatnonzero(apart <= radius))
-        coder.radius = 0  # holds too few: widened bit by bit until ten are found
-        least = next(r for r in range(65) if ((apart <= r) & (np.arange(3000) != q)).sum() >= 10)
-        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1)) + np.where((apart <= least) & (np.arange(3000) != q), 0, np.inf)
-        assert list(index.nearest(q, x[q], index.codes[q])[0]) == list(np.argsort(d)[:10])
+    for size in (64, 40, 5):
+        x = rng.normal(size=(3000, size))
+        coder = nearest.Coder.learned(x[:500])
+        codes = coder.codes(x)
+        for fixed in ([0] * coder.tables, coder.shelf_bits(3000, 400)):
+            shelves = []
+            for t, n in enumerate(fixed):
+                own = nearest.Shelf.part(codes, t) & np.uint64((1 << n) - 1)
+                for rows in (np.flatnonzero(own == value) for value in np.unique(own)):
+                    shelves.append((rows, n, nearest.Shelf(coder, t, rows, codes[rows], x[rows])))
+            for q in range(0, 3000, 300):
+                apart = np.bitwise_count(codes ^ codes[q])
+                for radius in (0, 2, 7, 18, coder.bits):
+                    found = np.concatenate([rows[shelf.within(codes[q], radius, n)[0]] for rows, n, shelf in shelves])
+                    assert sorted(found) == list(np.flatnonzero(apart <= radius))
+
+
+def test_probes_read_few_codes():
+    """A narrow radius reads only what lies in buckets within reach, however many rows there are."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(20_000, 64))
+    coder = nearest.Coder.learned(base[:4_000])
+    codes = coder.codes(base)
+    shelves = [nearest.Shelf(coder, t, np.arange(len(base)), codes, base) for t in range(coder.tables)]
+    read = np.mean([sum(shelf.within(code, 7)[1] for shelf in shelves) for code in codes[::500]])
+    assert read < 0.02 * len(base)
+    assert all(np.bitwise_count(nearest.Shelf.part(codes[shelf.order[at : at + 1]] ^ codes[3], shelf.table))[0] <= 1 for shelf in shelves for at in shelf.starts[shelf.probed(nearest.Shelf.part(codes[3], shelf.table), 1, 0)])
+
+
+def test_nearest_on_many_shelves(spark):
+    """Groups of eleven near vectors, one huge group of equal ones, strangers that must widen: recall, no repeats, whole answers."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.repeat(rng.normal(size=(150, 24)), 11, axis=0) + 0.1 * rng.normal(size=(1650, 24)), np.tile(rng.normal(size=24), (800, 1)), 9 * rng.normal(size=(50, 24))])
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(5)
+    got = nearest.nearest_neighbours(frame, 10, 100).toPandas()
+    wide = x.astype(float)
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        d = np.sqrt(((wide - wide[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert sorted(part["rank"]) == list(range(1, 11)) and part["vec_id"].is_unique
+        assert np.allclose(part["score"], d[part["vec_id"]], rtol=1e-12)
+        hits += len(set(np.lexsort((np.arange(len(x)), d))[:10]) & set(part["vec_id"]))
+        if (d == 0).sum() >= 10:
+            assert list(part.sort_values("rank")["vec_id"]) == list(np.flatnonzero(d == 0)[:10])
+    assert got["query_id"].nunique() == len(x) // 10 and hits >= 0.9 * len(got)
+
+
+def test_nearest_of_huge_components(spark):
+    x = [[1e300, 0.0], [0.0, 1e300], [1e300, 1e299], [5.0, 5.0], [5.0, 6.0]]
+    frame = spark.createDataFrame(list(enumerate(x)), "vec_id bigint, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in nearest.nearest_neighbours(frame).orderBy("query_id", "rank").collect()]
+    assert [v for v, _ in got] == [2, 3, 4, 1]
+    assert np.allclose([s for _, s in got], [1e299, 1e300, 1e300, math.sqrt(2) * 1e300], rtol=1e-12)
 
 
 def test_radius_shrinks_as_the_table_fills(spark):
