@@ -527,6 +527,16 @@ def test_scores_don_t_depend_on_ids(spark, docs, labels):
     assert a.groupBy("text").agg(F.countDistinct("s").alias("n")).filter("n > 1").count() == 0
 
 
+def test_shapes_of_ascii_words_equal_those_of_any():
+    rng = random.Random(8)
+    for _ in range(3_000):
+        word = "".join(rng.choice("abzAZ019x X9.-_~") for _ in range(rng.randrange(1, 80))).replace(" ", "")
+        shape = word[:64]
+        for run, sign in ngrams.RUNS:
+            shape = run.sub(sign, shape)
+        assert ngrams.Words.hashed(word.encode()) & 0xFFFFFF == xxhash.xxh32_intdigest(shape[:8].encode(), 2) & 0xFFFFFF
+
+
 # ---- 7 pieces
 
 
