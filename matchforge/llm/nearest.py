@@ -9,12 +9,18 @@ distances. The radius is learned too: for a bounded set of sample queries, all
 rows are read and it holds `HOLDS` of their true neighbours, so it shrinks as
 the table fills. It is the same for all blocks.
 
+Each table holds all vectors, so where substrings within reach would be many
+(`FEW` of all codes read or more), only the first is made and asked, for whole codes.
+
 A table's buckets lie on shelves by the first bits of the substring, as many
 bits as make a shelf a block of rows; a bucket that is larger than a block takes
 several. Shelves are written once. A query meets, by equi-joins, only the
 shelves whose bits are near enough to its own, and on them probes only buckets
 within reach. Queries that found too few rows in all ask again with a wider
 radius, the last time with one that holds every code.
+
+The driver gets the sample, drawn from few rows a task, and a line for each
+block of the index; queries and what they meet stay on the executors.
 """
 
 from __future__ import annotations
@@ -26,12 +32,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchforge.llm.common import slices, stored
+from matchforge.llm.common import slices, stored, tidied
 
 #: Vectors from which rotation and radius are learned at most, and queries among them.
 SAMPLE, SAMPLE_QUERIES = 4_096, 256
@@ -39,18 +46,21 @@ HOLDS = 0.98
 NEAREST = 10
 TURNS = 30
 PART = 16
-#: Vectors and queries in a block.
-BLOCK, QUERY_BLOCK = 8_192, 2_048
+#: Share of the codes that substrings within reach may hold before whole codes are compared instead.
+FEW = 0.25
+#: Vectors in a block, and at most in one of whole codes, where every query meets every block.
+BLOCK, WIDE_BLOCK, WIDE_BLOCKS = 8_192, 65_536, 24
 
 
 @dataclass
 class Coder:
-    """Scale and centre, rotation (dimension x bits, at most 64) and search radius."""
+    """Scale and centre, rotation (dimension x bits, at most 64) and search radius; whether one table holds the whole codes."""
 
     scale: float
     centre: np.ndarray
     turn: np.ndarray
     radius: int
+    whole: bool = False
 
     @property
     def bits(self) -> int:
@@ -58,7 +68,14 @@ class Coder:
 
     @property
     def tables(self) -> int:
-        return math.ceil(self.bits / PART)
+        return 1 if self.whole else math.ceil(self.bits / PART)
+
+    def within(self, radius: int) -> Coder:
+        """The coder at this radius, with only its first table and whole codes if tables of substrings would read many codes, were codes spread evenly."""
+        parts = replace(self, radius=radius, whole=False)
+        widths = [min(PART, self.bits - j * PART) for j in range(parts.tables)]
+        read = sum(sum(math.comb(w, k) for k in range(reach + 1)) / 2**w for w, reach in zip(widths, parts.reaches(radius), strict=True))
+        return replace(parts, whole=read >= FEW)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         signs = (x / self.scale - self.centre) @ self.turn > 0
@@ -166,6 +183,8 @@ class Shelf:
 
     def within(self, code: np.uint64, radius: int, fixed: int = 0) -> tuple[np.ndarray, int]:
         """Rows whose code differs in at most `radius` bits and that no table before finds, and how many codes were read for that."""
+        if self.coder.whole:
+            return np.flatnonzero(np.bitwise_count(self.codes ^ code) <= radius), len(self.codes)
         reaches = self.coder.reaches(radius)
         near = self.probed(self.part(code, self.table), reaches[self.table], fixed)
         if not len(near):
@@ -179,10 +198,14 @@ class Shelf:
             mine &= np.bitwise_count(self.part(apart, j)) > reaches[j] if reaches[j] >= 0 else True
         return np.sort(rows[mine]), read
 
-    def nearest(self, query_id: int, query: np.ndarray, code: np.uint64, radius: int, fixed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the nearest rows within the radius."""
+    def nearest(self, query_id: int, query: np.ndarray, code: np.uint64, radius: int, fixed: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the nearest rows within the radius; `apart`: what `roughly` says of all rows, where it's known."""
         rows, _ = self.within(code, radius, fixed)
         rows = rows[self.ids[rows] != query_id]
+        if len(rows) > 4 * NEAREST:
+            x = self.vectors[rows] if apart is None else None
+            squares = self.squares[rows]
+            rows = rows[close(roughly(x, squares, query[None])[0] if apart is None else apart[rows], squares.max(), query)]
         d = distances(self.vectors[rows], query)
         if len(rows) > NEAREST:
             few = d <= np.partition(d, NEAREST - 1)[NEAREST - 1]
@@ -190,6 +213,34 @@ class Shelf:
         order = np.lexsort((self.ids[rows], d))[:NEAREST]
         return self.ids[rows[order]], d[order]
 
+    @functools.cached_property
+    def squares(self) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return np.einsum("ij,ij->i", self.vectors, self.vectors)
+
+    def answers(self, ids: np.ndarray, queries: np.ndarray, codes: np.ndarray, radius: int, fixed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, ids, distances) of each query. Among whole codes most blocks have many rows within reach: rough distances come from one product for some queries at a time."""
+        for at in range(0, len(ids), 32):
+            few = slice(at, at + 32)
+            apart = roughly(self.vectors, self.squares, queries[few]) if self.coder.whole else [None] * 32
+            for q, x, code, a in zip(ids[few], queries[few], codes[few], apart, strict=False):
+                yield q, *self.nearest(q, x, code, radius, fixed, a)
+
+
+def roughly(x: np.ndarray, squares: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Squared distances of rows from each query, but for the query's own square, in the vectors' precision."""
+    with np.errstate(all="ignore"):
+        return squares - 2 * (queries @ x.T)
+
+
+def close(apart: np.ndarray, most: float, query: np.ndarray) -> np.ndarray:
+    """Places of rough distances among which the ten nearest are, their error allowed for; all where squares leave their range. most: the largest square of a row."""
+    kind = np.finfo(apart.dtype)
+    with np.errstate(all="ignore"):
+        error = 8 * len(query) * (kind.eps * (most + query @ query) + kind.tiny)
+        bound = np.partition(apart, NEAREST)[NEAREST] + 2 * error
+    return np.flatnonzero(apart <= bound) if np.isfinite(apart).all() and np.isfinite(bound) else np.arange(len(apart))
+
 
 @functools.cache
 def flips(width: int, reach: int) -> np.ndarray:
@@ -221,11 +272,12 @@ def coded(rows: DataFrame, coder: Coder) -> DataFrame:
     return rows.mapInArrow(run, "vec_id bigint, code bigint, vector binary")
 
 
-def packed(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+def packed(rows: DataFrame, keys: list[str], size: int, parts: int | None = None) -> DataFrame:
     """Rows (keys, vec_id, code, vector) as packs of at most `size` rows with equal keys: keys, pack (a new name), ids, codes, vectors.
 
     Ranges of keys and of a hash of the id are tasks, so a key with many rows
-    takes several; each walks through its sorted rows and holds one pack.
+    takes several; each walks through its sorted rows and holds one pack. `parts`:
+    the number of tasks, where packs should not be cut by more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +312,8 @@ def packed(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
 
     own = [rows.schema[k] for k in keys]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own) + ", pack string, ids binary, codes binary, vectors binary"
-    spread = rows.select(*keys, "vec_id", "code", "vector").repartitionByRange(*keys, F.xxhash64("vec_id", "vector"))
+    by = [*keys, F.xxhash64("vec_id", "vector")]
+    spread = rows.select(*keys, "vec_id", "code", "vector").repartitionByRange(*([parts] if parts else []), *by)
     return spread.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
@@ -274,40 +327,69 @@ def shelves_near(table: int, bits: int, reach: int) -> Column:
     return F.transform(flip, lambda x: F.struct(F.lit(table).alias("t"), x.bitwiseXOR(shelf_of(F.col("code"), table, bits)).alias("shelf")))
 
 
-def shelves(rows: DataFrame, coder: Coder, bits: list[int], block: int) -> DataFrame:
-    """The index: all rows once for each table, in packs by table and shelf."""
+def shelves(rows: DataFrame, coder: Coder, bits: list[int], block: int, n: int) -> DataFrame:
+    """The index: all rows once for each table, in packs by table and shelf; of whole codes, one shelf in as many packs as it takes."""
     places = [F.struct(F.lit(t).alias("t"), shelf_of(F.col("code"), t, n).alias("shelf")) for t, n in enumerate(bits)]
-    return packed(rows.withColumn("place", F.explode(F.array(*places))).select("place.*", "vec_id", "code", "vector"), ["t", "shelf"], block)
+    placed = rows.withColumn("place", F.explode(F.array(*places))).select("place.*", "vec_id", "code", "vector")
+    return packed(placed, ["t", "shelf"], 2 * block, math.ceil(n / block)) if coder.whole else packed(placed, ["t", "shelf"], block)
 
 
-def found_within(index: DataFrame, queries: DataFrame, coder: Coder, bits: list[int], radius: int, single: bool) -> DataFrame:
-    """The ten nearest rows within `radius` of each of `queries` (vec_id, code, vector): query_id, rank, vec_id, score."""
-    kind = np.float32 if single else np.float64
-    asked = [shelves_near(t, n, reach) for t, (n, reach) in enumerate(zip(bits, coder.reaches(radius), strict=True)) if reach >= 0]
+def found_within(index: DataFrame, queries: DataFrame, coder: Coder, bits: list[int], single: bool) -> DataFrame:
+    """The ten nearest rows within the coder's radius of each of `queries` (vec_id, code, vector): query_id, rank, vec_id, score.
+
+    Queries travel to the packs that they meet, once each, and pass by them as a
+    stream. What is broadcast is the list of packs: exploded queries look as small
+    to the planner as before, and would be broadcast whole.
+    """
+    kind, radius = np.float32 if single else np.float64, coder.radius
+    asked = [shelves_near(t, bits[t], reach) for t, reach in enumerate(coder.reaches(radius)) if reach >= 0]
+    index = index.filter(F.col("t") < len(asked))
     probes = queries.withColumn("place", F.explode(F.concat(*asked))).select("place.*", "vec_id", "code", "vector")
-    met = probes.join(index.select("t", "shelf", F.col("pack").alias("met")), ["t", "shelf"]).select("met", "vec_id", "code", "vector")
-    groups = packed(met, ["met"], QUERY_BLOCK).select("met", *[F.col(c).alias(f"q_{c}") for c in ("ids", "codes", "vectors")])
-    pairs = index.join(groups, F.col("pack") == F.col("met")).select("t", "ids", "codes", "vectors", "q_ids", "q_codes", "q_vectors")
+    met = probes.join(F.broadcast(index.select("t", "shelf", "pack")), ["t", "shelf"]).select("pack", F.lit(True).alias("asks"), "t", "vec_id", "code", "vector")
+    packs = index.select("pack", F.lit(False).alias("asks"), "t", "ids", "codes", F.col("vectors").alias("vector"))
+    both = packs.unionByName(met, allowMissingColumns=True).repartition(max(12, index.count()), "pack").sortWithinPartitions("pack", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                t = batch.column("t")[k].as_py()
-                side = []
-                for q in ("", "q_"):
-                    raw = [batch.column(q + c)[k].as_py() for c in ("ids", "codes", "vectors")]
-                    ids = np.frombuffer(raw[0], np.int64)
-                    side.append((ids, np.frombuffer(raw[1], np.uint64), np.frombuffer(raw[2], kind).reshape(len(ids), -1)))
-                shelf = Shelf(coder, t, *side[0])
-                out = [(q, *shelf.nearest(q, x, c, radius, bits[t])) for q, c, x in zip(*side[1], strict=True)]
-                columns = [np.repeat(side[1][0], [len(d) for _, _, d in out]), np.concatenate([i for _, i, _ in out]), np.concatenate([d for _, _, d in out])]
+        pack, shelf = (), None
+        for batch in (part for whole in batches for part in slices(whole, 2_000)):
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            ends = np.r_[np.flatnonzero(~asks), len(asks)]
+            out = []
+            for at, end in zip(np.r_[-1, ends[:-1]], ends, strict=True):
+                if at >= 0:
+                    pack, shelf = [batch.column(c)[at].as_py() for c in ("t", "ids", "codes", "vector")], None
+                if end - at > 1:
+                    if shelf is None:
+                        ids, codes, vectors = (np.frombuffer(raw, k) for raw, k in zip(pack[1:], (np.int64, np.uint64, kind), strict=True))
+                        shelf = Shelf(coder, pack[0], ids, codes, vectors.reshape(len(ids), -1))
+                    part = batch.slice(at + 1, end - at - 1)
+                    x = np.frombuffer(b"".join(part.column("vector").to_pylist()), kind).reshape(part.num_rows, -1)
+                    codes = part.column("code").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    out += shelf.answers(part.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64), x, codes, radius, bits[shelf.table])
+            if out:
+                columns = [np.repeat([q for q, _, _ in out], [len(d) for _, _, d in out]), np.concatenate([i for _, i, _ in out]), np.concatenate([d for _, _, d in out])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    found = both.mapInArrow(tidied(run), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("query_id", "rank", "vec_id", "score")
 
 
+def sampled(rows: DataFrame, n: int) -> pd.DataFrame:
+    """The `SAMPLE` rows with the smallest hashes of their ids, of `n` rows, or all if they are fewer.
+
+    Only hashes below a bound that some four times as many rows keep are sorted, in
+    few parts: sorted in place, every task would send `SAMPLE` vectors to the driver.
+    """
+    key = F.xxhash64("vec_id")
+    edge = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * SAMPLE // max(n, 1))
+    for few in (rows.filter(key <= F.lit(edge)), rows):  # the second, if one id repeats so often that others lie beyond
+        found = few.repartition(12, "vec_id", "embedding").orderBy(key, "vec_id").limit(SAMPLE).toPandas()
+        if len(found) >= min(SAMPLE, n):
+            break
+    return found
+
+
 def nearest_neighbours(vectors: DataFrame, every: int = 100, block: int = BLOCK) -> DataFrame:
     """The nearest found of each row whose id is divisible by `every`: query_id, rank, vec_id, score (Euclidean).
 
@@ -321,25 +403,29 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, block: int = BLOCK)
     """
     spark = vectors.sparkSession
     rows = stored(usable(vectors), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    n = rows.count()
+    sample = sampled(rows, n)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not len(sample):
         return spark.createDataFrame([], schema)
     single = rows.schema["embedding"].dataType.elementType == T.FloatType()
     x = np.stack([np.asarray(v, np.float64) for v in sample["embedding"]])
     coder = with_radius(Coder.learned(x), rows, sample["vec_id"].to_numpy()[:SAMPLE_QUERIES], x[:SAMPLE_QUERIES])
-    bits = coder.shelf_bits(rows.count(), block)
-    index = stored(shelves(coded(rows, coder), coder, bits, block), "shelves")
+    coder = coder.within(coder.radius)
+    if coder.whole:
+        block = max(block, min(WIDE_BLOCK, n // WIDE_BLOCKS))
+    bits = [0] if coder.whole else coder.shelf_bits(n, block)
+    index = stored(shelves(coded(rows, coder), coder, bits, block, n), "shelves")
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     todo = stored(coded(asked, coder), "queries")
-    done, radius, wider = [], coder.radius, coder.tables
+    done, wider = [], math.ceil(coder.bits / PART)
     while True:
-        found = stored(found_within(index, todo, coder, bits, radius, single), "found")
-        if radius >= coder.bits:
+        found = stored(found_within(index, todo, coder, bits, single), "found")
+        if coder.radius >= coder.bits:
             return functools.reduce(DataFrame.unionByName, [*done, found])
         full = found.filter(F.col("rank") == NEAREST).select("query_id")
         done.append(found.join(full, "query_id", "left_semi"))
         todo = stored(todo.join(full, todo["vec_id"] == full["query_id"], "left_anti"), "queries")
         if todo.isEmpty():
             return functools.reduce(DataFrame.unionByName, done)
-        radius, wider = min(coder.bits, radius + wider), 2 * wider
+        coder, wider = coder.within(min(coder.bits, coder.radius + wider)), 2 * wider

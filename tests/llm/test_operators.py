@@ -764,6 +764,45 @@ def test_nearest_on_many_shelves(spark):
     assert got["query_id"].nunique() == len(x) // 10 and hits >= 0.9 * len(got)
 
 
+def test_driver_gets_neither_queries_nor_samples_of_all_tasks(spark, monkeypatch):
+    """Broadcasts hold the list of packs, not what queries meet; a sample is drawn from the same rows whatever their parts."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.repeat(rng.normal(size=(60, 24)), 11, axis=0) + 0.1 * rng.normal(size=(660, 24)), 9 * rng.normal(size=(40, 24))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(5)
+    plans, stored = [], nearest.stored
+
+    def seen(df, name):
+        plans.extend([df._jdf.queryExecution().executedPlan().toString()] * (name == "found"))
+        return stored(df, name)
+
+    monkeypatch.setattr(nearest, "stored", seen)
+    assert nearest.nearest_neighbours(frame, 10, 100).count() == 700 and plans
+    for plan in plans:
+        inside = None
+        for line in plan.splitlines():
+            depth = len(line) - len(line.lstrip(" :+-*(0123456789)"))
+            inside = None if inside is not None and depth <= inside else inside
+            assert inside is None or "Generate" not in line
+            inside = depth if inside is None and "BroadcastExchange" in line else inside
+    monkeypatch.setattr(nearest, "SAMPLE", 7)
+    want = [r["vec_id"] for r in frame.orderBy(F.xxhash64("vec_id"), "vec_id").limit(7).collect()]
+    assert list(nearest.sampled(frame, 700)["vec_id"]) == want
+    assert list(nearest.sampled(frame, 1 << 40)["vec_id"]) == want  # the bound leaves none
+
+
+def test_rough_distances_lose_none():
+    rng = np.random.default_rng(10)
+    for kind, size in ((np.float32, 1.0), (np.float32, 1e-25), (np.float32, 1e25), (np.float64, 1e200), (np.float64, 1.0)):
+        x = (size * rng.normal(size=(500, 8))).astype(kind)
+        x[300:] = x[:200] * kind(1 + 1e-6)
+        for coder in (nearest.Coder.learned(x.astype(float)), nearest.Coder.learned(x.astype(float)).within(8)):
+            shelf = nearest.Shelf(coder, 0, np.arange(500), coder.codes(x.astype(float)), x)
+            for q, ids, d in shelf.answers(np.arange(0, 500, 7), x[::7], shelf.codes[::7], coder.bits, 0):
+                own = nearest.distances(x, x[q])
+                own[q] = np.inf
+                assert list(ids) == list(np.lexsort((np.arange(500), own))[:10]) and list(d) == list(np.sort(own)[:10])
+
+
 def test_nearest_of_huge_components(spark):
     x = [[1e300, 0.0], [0.0, 1e300], [1e300, 1e299], [5.0, 5.0], [5.0, 6.0]]
     frame = spark.createDataFrame(list(enumerate(x)), "vec_id bigint, embedding array<double>")
