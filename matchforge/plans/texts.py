@@ -150,7 +150,7 @@ SERIES_SQL = "series AS (SELECT p_partkey, p_brand || ' ' || trim(regexp_replace
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.concat_ws(" ", "p_brand", F.trim(F.regexp_replace(F.lower("p_name"), "(^| )(a|in|of|the|[0-9]+)( |$)", " ")))
+    key = F.concat("p_brand", F.lit(" "), F.trim(F.regexp_replace(F.lower("p_name"), r"(^| )(a|in|of|the|[0-9]+)( |\z)", " ")))
     return table(spark, sf_dir, "part").select("p_partkey", key.alias("series"))
 
 
@@ -160,12 +160,19 @@ def series_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("n > 1")
 
 
-@query(f"WITH {SERIES_SQL}, n AS (SELECT p_partkey, min(p_partkey) OVER w AS first, count(*) OVER w AS n FROM series WINDOW w AS (PARTITION BY series)) SELECT p_partkey, first, n - 1 AS siblings FROM n WHERE n > 1")
+#: Items of a series that a task pairs with their siblings at most.
+SERIES_ITEMS = 2_000
+
+
+@query(f"WITH {SERIES_SQL} SELECT a.p_partkey AS a, b.p_partkey AS b FROM series a JOIN series b ON a.series = b.series AND a.p_partkey < b.p_partkey")
 def sibling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with siblings in their series: the series' smallest key, which stands for it, and how many pairs the item is in."""
+    """All pairs within a series; the first items of a large series are dealt to several parts, each of which meets all second ones."""
     s = series(spark, sf_dir)
-    kin = s.groupBy("series").agg(F.min("p_partkey").alias("first"), (F.count("*") - 1).alias("siblings")).filter("siblings > 0")
-    return s.join(kin, "series").select("p_partkey", "first", "siblings")
+    kin = s.groupBy("series").agg(F.count("*").alias("n")).filter("n > 1").select("series", F.ceil(F.col("n") / SERIES_ITEMS).alias("parts"))
+    kept = s.join(kin, "series")
+    first = kept.select(F.col("p_partkey").alias("a"), "series", F.pmod(F.xxhash64("p_partkey"), "parts").alias("part"))
+    second = kept.select(F.col("p_partkey").alias("b"), "series", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    return first.join(second, ["series", "part"]).filter("a < b").select("a", "b")
 
 
 @query(f"""WITH queries AS ({LABELS_SQL}), read AS (SELECT DISTINCT query_id, unnest(string_split({clean_sql('text')}, ' ')) AS token FROM queries), cards AS (SELECT DISTINCT p_partkey AS slug, unnest(string_split({clean_sql("p_name || ' ' || p_type")}, ' ')) AS word FROM part),

@@ -1,8 +1,10 @@
 """Operators that rest on a mechanism of their own, against plain versions and on hot groups."""
 
+import itertools
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from matchforge.functions import text, words
 from matchforge.operators import cards, fitting, knn, order, pages, ranking, recommend, resolution, sampling, textsearch
 from matchforge.operators.rules import Rules
+from matchforge.plans import registry, texts
 from matchforge.streaming import harvest, memory
 
 CARD = "slug string, title string, manufacturer string, grapes array<string>, sweetness string, colour string, alcohol double"
@@ -450,3 +453,16 @@ def test_sums_before_equal_a_plain_walk(spark):
     found = order.summed_before(frame, F.col("id"), F.col("n"), "before")
     assert found.columns == ["id", "n", "before"] and {r["id"]: r["before"] for r in found.collect()} == want
     assert order.summed_before(frame.limit(0), F.col("id"), F.lit(1), "before").count() == 0
+
+
+def test_siblings_are_all_pairs(spark, monkeypatch, tmp_path):
+    """Different names of one series, a series in several parts, unknown makers and names, one item alone."""
+    names = [("m", "the red ring"), ("m", "red ring"), ("m", "Red ring 12"), (None, "red ring"), (None, "red ring"), ("m", None), ("m", None), ("n", "red ring"), ("m", "red of\n"), ("m", "red\n")] + [("m", "bolt")] * 9
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "p_partkey bigint, p_brand string, p_name string").repartition(3).write.parquet(folder + "/part.parquet")
+    monkeypatch.setattr(texts, "SERIES_ITEMS", 4)
+    found = sorted((r["a"], r["b"]) for r in texts.sibling_pairs(spark, folder).collect())
+    assert found == sorted([*itertools.combinations(range(3), 2), *itertools.combinations(range(10, 19), 2)])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet/*.parquet'")
+    assert found == sorted(con.execute(registry.ORACLES["sibling_pairs"]).fetchall())
