@@ -47,7 +47,7 @@ NEAREST = 10
 TURNS = 30
 PART = 16
 #: Share of the codes that substrings within reach may hold before whole codes are compared instead.
-FEW = 0.25
+FEW = 0.02
 #: Vectors in a block, and at most in one of whole codes, where every query meets every block.
 BLOCK, WIDE_BLOCK, WIDE_BLOCKS = 8_192, 65_536, 24
 
