@@ -1,8 +1,8 @@
 """Robust fitting of plane-to-plane transforms to matched points, as a plan.
 
 Minimal samples are drawn by hash, each gives a transform in closed form, and
-all samples of a pair are judged at once by how many matches they explain. A
-pair's matches are some hundred points; samples carry nine numbers.
+all samples of a pair are judged at once by how many matches they explain and
+how closely. A pair's matches are some hundred points; samples carry nine numbers.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from matchforge.sources.shared import stored
 
 #: Matches that a fit needs, samples of a pair, and the farthest an explained match may be from its place.
 LEAST, SAMPLES, REACH = 8, 64, 5.0
+#: Share of the squared reach that rounding may add, and the parts in which a match's gain is counted.
+ROUNDING, PARTS = 1e-6, 1e12
 H = [f"h{i}" for i in range(9)]
 
 
@@ -77,16 +79,23 @@ def drawn(matches: DataFrame, samples: int) -> DataFrame:
 def explained(matches: DataFrame, samples: int = SAMPLES, reach: float = REACH) -> DataFrame:
     """`matches` (pair_id, match_id, x, y, u, v) with inlier: does the pair's best transform put (x, y) within `reach` of (u, v)?
 
-    The best explains most matches, the first sample of equal ones. Pairs with
-    fewer than eight matches, or whose samples all lie on lines, have no inlier.
+    A match at distance d gains (1 - d / reach)²: what squared distances leave of
+    a squared reach, on the mean of all reaches up to `reach`. The best transform
+    gains most, the first sample of equal ones; mere numbers of matches would
+    prefer one that is bent towards a wrong match nearby. Gains are whole parts,
+    so their sums don't depend on the rows' order. Matches on the edge of the
+    reach count as explained.
+    Pairs with fewer than eight matches, or whose samples all lie on lines, have
+    no inlier.
     """
     fits = stored(transforms(drawn(matches, samples), "pair_id", "sample"), "fits")
     px, py = projected(F.col("x"), F.col("y"))
     off = (px - F.col("u")) ** 2 + (py - F.col("v")) ** 2
-    votes = matches.join(fits, "pair_id").filter(off <= reach * reach).groupBy("pair_id", "sample").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("pair_id").agg(F.max_by("sample", F.struct("votes", -F.col("sample"))).alias("sample"))
+    gain = F.floor((1 - F.sqrt(off) / reach) ** 2 * PARTS)
+    gains = matches.join(fits, "pair_id").filter(off <= reach * reach).groupBy("pair_id", "sample").agg(F.sum(gain).alias("gain"))
+    best = gains.groupBy("pair_id").agg(F.max_by("sample", F.struct("gain", -F.col("sample"))).alias("sample"))
     chosen = fits.join(best, ["pair_id", "sample"])
-    return matches.join(chosen, "pair_id", "left").withColumn("inlier", F.coalesce(off <= reach * reach, F.lit(False))).select(*matches.columns, "inlier")
+    return matches.join(chosen, "pair_id", "left").withColumn("inlier", F.coalesce(off <= reach * reach * (1 + ROUNDING), F.lit(False))).select(*matches.columns, "inlier")
 
 
 def fit_report(matches: DataFrame) -> DataFrame:

@@ -255,6 +255,30 @@ def test_transforms_are_found_among_wrong_matches(spark):
     assert got.filter("inlier").groupBy("pair_id").agg(F.max("match_id")).filter("pair_id = 0").first()[1] < 45
 
 
+def test_transforms_are_not_bent_towards_wrong_matches(spark):
+    """Three wrong matches lie side by side just out of reach: a transform between them and the right ones would explain all."""
+    own = np.random.default_rng(12)
+    rows = []
+    for pair in range(20):
+        for m in range(15):
+            x, y = own.uniform(0, 400, 2)
+            rows.append((pair, m, float(x), float(y), float(x + (7 if m >= 12 else 0)), float(y)))
+    frame = spark.createDataFrame(rows, "pair_id int, match_id int, x double, y double, u double, v double")
+    assert {r.inliers for r in fitting.fit_report(frame).collect()} == {12}
+
+
+def test_matches_on_the_edge_of_the_reach_are_explained(spark):
+    own = np.random.default_rng(13)
+    rows = []
+    for pair in range(40):
+        for m in range(24):
+            x, y = (0.0, 10.0 * (m - 20)) if m >= 20 else own.integers(0, 400, 2).astype(float)
+            w, off = 1 + x * 0.0004, ((3, 4), (5, 0), (0, -5), (-4, 3))[m - 20] if m >= 20 else (0, 0)
+            rows.append((pair, m, float(x), float(y), float((x * 1.1 + y * 0.1 + pair) / w + off[0]), float((y * 0.9 - x * 0.1 + 60) / w + off[1])))
+    frame = spark.createDataFrame(rows, "pair_id int, match_id int, x double, y double, u double, v double")
+    assert {r.inliers for r in fitting.fit_report(frame).collect()} == {24}
+
+
 def test_closed_form_equals_a_linear_solution(spark):
     own = np.random.default_rng(8)
     src, dst = own.uniform(0, 100, (4, 2)), own.uniform(0, 100, (4, 2))
