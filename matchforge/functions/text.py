@@ -178,12 +178,12 @@ def category_parts(name: Column) -> Column:
     return F.struct(F.coalesce(capital(found), F.lit("")).alias("colour"), capital(rest).alias("sweetness"))
 
 
-def markup_text(html: Column) -> Column:
-    """Text without tags, common entities read, white space squeezed."""
+def markup_text(html: Column, quote: str = '"') -> Column:
+    """Text without tags, common entities read (`&quot;` as `quote`), white space squeezed, spaces of any script trimmed."""
     text = F.regexp_replace(html, "<[^>]+>", "")
-    for name, sign in (("&nbsp;", " "), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    for name, sign in (("&nbsp;", " "), ("&quot;", quote), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t\n\f\r]+", " "), r"^\p{Zs}+|\p{Zs}+\z", "")
 
 
 def _osa(a: pd.Series, b: pd.Series) -> pd.Series:
