@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchforge.functions import text, words
 from matchforge.operators import textsearch
 from matchforge.plans.registry import query
 from matchforge.plans.vectors import r6
+from matchforge.sources.shared import stored
 from matchforge.sources.tables import table
 
 STOP = ", ".join(f"'{w}'" for w in words.STOPWORDS)
@@ -180,13 +181,22 @@ near AS (SELECT token, word FROM (SELECT DISTINCT token FROM read WHERE length(t
 votes AS (SELECT query_id, slug, count(DISTINCT token) AS votes FROM read JOIN near USING (token) JOIN cards USING (word) GROUP BY 1, 2)
 SELECT query_id, slug, votes FROM votes QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, slug) <= 5""")
 def text_votes_osa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five cards of each label with most votes: different read words within a fifth of their length of a word of the card, by optimal string alignment."""
+    """The five cards of each label with most votes: different read words within a fifth of their length of a word of the card, by optimal string alignment.
+
+    Labels of the same words are asked once; cards are told apart only by the words that any label is near.
+    """
     read = label_texts(spark, sf_dir).select("query_id", F.explode(F.array_distinct(F.split(text.clean(F.col("text")), " "))).alias("token")).filter("length(token) >= 4")
-    cards = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slug"), F.explode(F.array_distinct(F.split(text.clean(F.concat_ws(" ", "p_name", "p_type")), " "))).alias("word")).filter("length(word) >= 4")
-    near = textsearch.near_tokens(read.select("token").distinct(), cards.select("word").distinct(), 0.2)
-    votes = read.join(near, "token").join(cards, "word").groupBy("query_id", "slug").agg(F.countDistinct("token").alias("votes"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("votes"), "slug"))
-    return votes.withColumn("place", best).filter("place <= 5").drop("place")
+    titles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slug"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    spelled = titles.select("title").distinct().select("title", F.explode(F.array_distinct(F.split(text.clean(F.col("title")), " "))).alias("word")).filter("length(word) >= 4")
+    cards = titles.join(spelled, "title").select("slug", "word")
+    near = stored(textsearch.near_tokens(read.select("token").distinct(), cards.select("word").distinct(), 0.2), "near")
+    members = textsearch.questions(read.groupBy("query_id").agg(F.array_sort(F.collect_set("token")).alias("tokens")), "query_id")
+    known = cards.join(near.select("word").distinct(), "word", "left_semi").groupBy("slug").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    kept = stored(textsearch.first_alike(known, "slug", 5), "alike")
+    asked = members.filter("query_id = question").select("question", F.explode("tokens").alias("token"))
+    kinds = kept.filter("slug = alike").select("alike", F.explode("words").alias("word"))
+    votes = asked.join(near, "token").join(kinds, "word").groupBy("question", "alike").agg(F.countDistinct("token").alias("votes"))
+    return textsearch.best_of_alike(votes, "votes", kept, members, 5).drop("rank")
 
 
 @query()
