@@ -40,6 +40,12 @@ def test_partitions_change_nothing(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("name", ["leader_check", "text_contradictions"])
+def test_the_catalogue_is_read_before_the_last_plan(spark, name):
+    """A plan that works shortlists out of the catalogue at each look needs more of the driver than the tables do."""
+    assert not [f for f in registry.QUERIES[name](spark, SMALL).inputFiles() if "part.parquet" in f]
+
+
 def test_gold_ranks_behind_a_hot_key(spark, monkeypatch):
     """500 rows of one key are nearer than the query's own key."""
     rows = [(0, "g", 0, [1.0, 0.0]), (1, "g", 1, [0.5, 0.0])] + [(i, "h", i % 2, [0.9, 0.0]) for i in range(2, 502)]
