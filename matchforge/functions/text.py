@@ -93,8 +93,10 @@ def category_words() -> list[str]:
 
 def said(kind: str, low: Column) -> Column:
     """The value of the first phrase of a kind that stands in a cleaned text, its words whole."""
-    terms = F.array(*(F.struct(F.lit(f" {phrase} ").alias("phrase"), F.lit(value).alias("value")) for k, phrase, value in LABEL_TERMS if k == kind))
-    return F.get(F.filter(terms, lambda t: F.contains(F.concat(F.lit(" "), low, F.lit(" ")), t["phrase"])), F.lit(0))["value"]
+    own = [(phrase, value) for k, phrase, value in LABEL_TERMS if k == kind]
+    terms = F.array(*(F.struct(F.lit(f" {phrase} ").alias("phrase"), F.lit(value).alias("value")) for phrase, value in own))
+    some = f" (?:{'|'.join(re.escape(phrase) for phrase, _ in own)}) "  # one look at texts that say nothing
+    return bound(F.concat(F.lit(" "), low, F.lit(" ")), lambda whole: F.when(whole.rlike(some), F.get(F.filter(terms, lambda t: F.contains(whole, t["phrase"])), F.lit(0))["value"]))
 
 
 def canonical(token: Column) -> Column:
@@ -124,18 +126,21 @@ def colour(low: Column) -> Column:
 
 
 def label_attributes(text: Column) -> Column:
-    """struct<years, sweetness, colour, alcohol> of a label's text, read as it is and with look-alike letters folded."""
-    low = clean(text)
+    """struct<years, sweetness, colour, alcohol> of a label's text, read as it is and with look-alike letters folded; each text is cleaned and folded once."""
     alcohol = F.coalesce(
         F.try_to_number(F.regexp_replace(F.nullif(F.regexp_extract(text, r"(?<![0-9A-Za-z_])([0-9]{1,2}[.,][0-9])\s*%", 1), F.lit("")), ",", "."), F.lit("99.9")),
         F.nullif(F.regexp_extract(text, r"(?<![0-9A-Za-z_])([0-9]{1,2})\s*%", 1), F.lit("")).cast("decimal(3,1)"),
     ).cast("double")
-    return F.struct(
-        years(low).alias("years"),
-        F.coalesce(sweetness(low), sweetness(homoglyphs(low))).alias("sweetness"),
-        F.coalesce(colour(low), colour(homoglyphs(low))).alias("colour"),
-        alcohol.alias("alcohol"),
-    )
+
+    def told(low: Column) -> Column:
+        return bound(homoglyphs(low), lambda folded: F.struct(
+            years(low).alias("years"),
+            F.coalesce(sweetness(low), sweetness(folded)).alias("sweetness"),
+            F.coalesce(colour(low), colour(folded)).alias("colour"),
+            alcohol.alias("alcohol"),
+        ))
+
+    return bound(clean(text), told)
 
 
 def key_attributes(key: Column, category: Column) -> Column:
