@@ -13,6 +13,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchforge.sources.shared import stored
+
 
 def fitted(rows: DataFrame, features: list[str], label: str, family: str, intercept: bool = True, penalty: float = 0.0) -> LogisticRegressionModel:
     vectors = VectorAssembler(inputCols=features, outputCol="__x").transform(rows.select(*features, F.col(label).cast("double").alias("__y")))
@@ -37,9 +39,12 @@ def ranked_out_of_fold(pairs: DataFrame, features: list[str], folds: int, penalt
     """`pairs` (fold, differences right minus other) with score, by a model that saw no pair of the fold.
 
     A pair and its mirror image are the two classes, so the model needs no
-    constant. Scores above zero put the right one first.
+    constant. Scores above zero put the right one first. Pairs are written once:
+    else each fold's fit and scores would shuffle their way to them anew.
     """
-    both = pairs.select("fold", *features, F.lit(1).alias("label")).unionByName(pairs.select("fold", *[(-F.col(f)).alias(f) for f in features], F.lit(0).alias("label")))
+    pairs = stored(pairs, "pairs")
+    sides = [F.struct(*[(F.col(f) * sign).alias(f) for f in features], F.lit(label).alias("label")) for sign, label in ((1, 1), (-1, 0))]
+    both = pairs.select("fold", F.inline(F.array(*sides)))
     out = None
     for k in range(folds):
         weights = fitted(both.filter(F.col("fold") != k), features, "label", "binomial", False, penalty).coefficients.toArray()
